@@ -19,7 +19,7 @@ def from_micros(value) -> Column:
 
 def plus_minutes(ts, minutes) -> Column:
     shift = col(minutes) if isinstance(minutes, (Column, str)) else F.lit(int(minutes))
-    return from_micros(micros(ts) + shift * MICROS_PER_MINUTE)
+    return from_micros(micros(ts) + shift.cast("bigint") * F.lit(MICROS_PER_MINUTE).cast("bigint"))
 
 
 def bar_index(ts, minutes: int) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barwright.functions.clock import MICROS_PER_MINUTE, local_time
+from barwright.session import materialize
 from barwright.functions.numeric import any_of, change, count_where, ratio, share
 from barwright.operators.quantiles import attach, exact_quantiles
 from barwright.operators.sequence import (CHUNK, CORE, balanced_chunk, chunk_window, salted_join, with_row_halo)
@@ -171,9 +172,11 @@ def series_findings(df: DataFrame, minutes: int, keys: Sequence[str]) -> DataFra
 
 
 def certify(df: DataFrame, meta: Mapping[str, object], minutes: int, keys: Sequence[str] = ("dataset",)) -> DataFrame:
-    """Bronze with a findings array per row: every check in one plan."""
-    marked = mark_disorder(mark_duplicates(df, keys), keys)
+    """Bronze with a findings array per row. The bronze table and its marks are each materialised once."""
+    df = materialize(df)
+    marked = materialize(mark_disorder(mark_duplicates(df, keys), keys))
     unique = mark_conflicts(marked.where(~F.col("is_duplicate")), keys)
+    unique = materialize(unique)
     unique = add_neighbour_facts(unique, keys, minutes)
     copies = marked.where(F.col("is_duplicate"))
     whole = unique.unionByName(copies, allowMissingColumns=True)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from barwright.session import prepare
 
-MODULES = ("quality",)
+MODULES = ("quality", "diagnostics", "features")
 
 
 @dataclass

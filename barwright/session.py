@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "barwright", cores: str | None = None, shuffle_partitions: int | None = None,
@@ -18,8 +18,10 @@ def build_session(app: str = "barwright", cores: str | None = None, shuffle_part
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,3 +45,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a derived table that several later steps read.
+
+    A reliable checkpoint in the shared folder: the table is computed once, survives lost executors, and
+    the plans built on it stay small instead of doubling with every reference.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
