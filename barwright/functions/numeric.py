@@ -24,7 +24,7 @@ def ratio(numerator, denominator) -> Column:
 
 def change(now, before) -> Column:
     """Relative change now/before - 1, NULL when the base is zero or missing."""
-    return ratio(col(now) - col(before), before)
+    return ratio(now, before) - 1
 
 
 def share(predicate: Column) -> Column:

@@ -34,6 +34,7 @@ def expand_actions(quoted: DataFrame, spec: FeatureSpec) -> DataFrame:
     action, close = F.col("action"), F.col("close")
     entry = F.col("quote_0")
     paid = close + F.col("state_spread_price")
+    outcomes, costs = {}, {}
     for h in spec.horizons:
         gross, leave = F.col(f"label_return_{h}"), F.col(f"quote_{h}")
         target = close * (1 + gross)
@@ -48,16 +49,18 @@ def expand_actions(quoted: DataFrame, spec: FeatureSpec) -> DataFrame:
             return F.when(action == LONG, long).when(action == SHORT, short).otherwise(wait)
 
         net = by_action(F.when(real, long_real).otherwise(long_proxy), F.when(real, short_real).otherwise(short_proxy), F.lit(0.0))
-        df = (df.withColumn(f"gross_{h}", by_action(gross, -gross, zero))
-                .withColumn(f"net_{h}", F.when(gross.isNotNull(), net))
-                .withColumn(f"mfe_{h}", by_action(F.col(f"label_up_{h}"), -F.col(f"label_down_{h}"), zero))
-                .withColumn(f"mae_{h}", by_action(F.col(f"label_down_{h}"), -F.col(f"label_up_{h}"), zero))
-                .withColumn(f"cost_{h}", F.col(f"gross_{h}") - F.col(f"net_{h}"))
-                .withColumn(f"cost_method_{h}", F.when(action == WAIT, F.lit("NO_POSITION"))
-                            .when(real, F.lit("REAL_TICK_COST")).otherwise(F.lit("PROXY_COST"))))
-    return (df.withColumn("counterfactual", F.lit(True)).withColumn("execution_real", F.lit(False))
-              .withColumn("estimated_slippage", F.lit(None).cast("double")).withColumn("slippage_status", F.lit(SLIPPAGE_STATUS))
-              .drop(*[f"quote_{h}" for h in [0, *spec.horizons]]))
+        outcomes.update({
+            f"gross_{h}": by_action(gross, -gross, zero),
+            f"net_{h}": F.when(gross.isNotNull(), net),
+            f"mfe_{h}": by_action(F.col(f"label_up_{h}"), -F.col(f"label_down_{h}"), zero),
+            f"mae_{h}": by_action(F.col(f"label_down_{h}"), -F.col(f"label_up_{h}"), zero),
+            f"cost_method_{h}": F.when(action == WAIT, F.lit("NO_POSITION"))
+                                 .when(real, F.lit("REAL_TICK_COST")).otherwise(F.lit("PROXY_COST"))})
+        costs[f"cost_{h}"] = F.col(f"gross_{h}") - F.col(f"net_{h}")
+    return (df.withColumns(outcomes).withColumns({
+        **costs, "counterfactual": F.lit(True), "execution_real": F.lit(False),
+        "estimated_slippage": F.lit(None).cast("double"), "slippage_status": F.lit(SLIPPAGE_STATUS)})
+        .drop(*[f"quote_{h}" for h in [0, *spec.horizons]]))
 
 
 def unpivot_horizons(experiences: DataFrame, keep: Sequence[str], horizons: Sequence[int],

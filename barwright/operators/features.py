@@ -52,72 +52,66 @@ ROLLING = ("state_atr", "state_vol_short", "state_vol_long", "state_dist_high",
 def add_clock(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Decision time is the close of the bar; session minutes and dates follow the local clock."""
     decision = plus_minutes("ts", spec.minutes)
-    return (df.withColumn("decision_ts", decision)
-              .withColumn("local_ts", local_time("decision_ts", spec.zone).cast("timestamp_ntz"))
-              .withColumn("minute", minute_of_session("decision_ts", spec.zone, spec.opening_hour))
-              .withColumn("session_id", F.date_format("local_ts", "yyyy-MM-dd")))
+    local = local_time(decision, spec.zone)
+    return df.withColumns({"decision_ts": decision, "local_ts": local.cast("timestamp_ntz"),
+                           "minute": minute_of_session(decision, spec.zone, spec.opening_hour),
+                           "session_id": F.date_format(local, "yyyy-MM-dd")})
 
 
 def add_states(df: DataFrame, spec: FeatureSpec, window) -> DataFrame:
     """Past-only features over an ordered window (already chunked by the caller)."""
     index, close = F.col("bar_index"), F.col("close")
     previous = F.lag("close", 1).over(window)
-    df = df.withColumn("_ret1", change(close, previous))
-    df = df.withColumn("_true_range", F.greatest(
-        F.col("high") - F.col("low"), F.abs(F.col("high") - previous), F.abs(F.col("low") - previous)))
 
     def rows(n: int):
         return window.rowsBetween(-(n - 1), 0)
 
-    for k in spec.lags:
-        exact = index - F.lag("bar_index", k).over(window) == k
-        df = df.withColumn(f"state_return_{k}", F.when(exact, change(close, F.lag("close", k).over(window))))
+    returns = {f"state_return_{k}": F.when(index - F.lag("bar_index", k).over(window) == k,
+                                           change(close, F.lag("close", k).over(window))) for k in spec.lags}
     warm = index - F.lag("bar_index", spec.warmup).over(window) == spec.warmup
+    df = df.withColumns({
+        "_ret1": change(close, previous),
+        "_true_range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - previous), F.abs(F.col("low") - previous)),
+        "_warm": F.coalesce(warm, F.lit(False)), **returns})
     high = full_frame(F.max("high"), "high", rows(spec.extreme), spec.extreme)
     low = full_frame(F.min("low"), "low", rows(spec.extreme), spec.extreme)
-    df = (df.withColumn("_warm", F.coalesce(warm, F.lit(False)))
-            .withColumn("state_bar_range", F.col("high") - F.col("low"))
-            .withColumn("state_atr", full_frame(F.avg("_true_range"), "_true_range", rows(spec.atr), spec.atr))
-            .withColumn("state_vol_short", full_frame(F.stddev_pop("_ret1"), "_ret1", rows(spec.vol_short), spec.vol_short))
-            .withColumn("state_vol_long", full_frame(F.stddev_pop("_ret1"), "_ret1", rows(spec.vol_long), spec.vol_long))
-            .withColumn("state_dist_high", ratio(high - close, close))
-            .withColumn("state_dist_low", ratio(close - low, close))
-            .withColumn("state_momentum", F.col(f"state_return_{spec.momentum}")))
-    for name in ROLLING:
-        df = df.withColumn(name, F.when(F.col("_warm"), F.col(name)))
+    rolling = {
+        "state_atr": full_frame(F.avg("_true_range"), "_true_range", rows(spec.atr), spec.atr),
+        "state_vol_short": full_frame(F.stddev_pop("_ret1"), "_ret1", rows(spec.vol_short), spec.vol_short),
+        "state_vol_long": full_frame(F.stddev_pop("_ret1"), "_ret1", rows(spec.vol_long), spec.vol_long),
+        "state_dist_high": ratio(high - close, close),
+        "state_dist_low": ratio(close - low, close),
+        "state_momentum": F.col(f"state_return_{spec.momentum}")}
+    df = df.withColumns({name: F.when(F.col("_warm"), value) for name, value in rolling.items()})
     vol, momentum = F.col("state_vol_short"), F.col("state_momentum")
     regime = (F.when(~F.col("_warm"), F.lit(UNAVAILABLE)).when(momentum > vol, F.lit(TREND_UP))
                .when(momentum < -vol, F.lit(TREND_DOWN)).otherwise(F.lit(RANGE)))
-    return (df.withColumn("state_regime", regime)
-              .withColumn("state_spread_points", F.col("spread").cast("double"))
-              .withColumn("state_spread_price", F.col("spread") * spec.point)
-              .withColumn("state_tick_volume", F.col("tick_volume"))
-              .withColumn("state_real_volume", F.col("real_volume"))
-              .withColumn("state_boundary", F.lit("FEATURES_AVAILABLE_AT_DECISION_TIME"))
-              .withColumn("state_max_source_ts", F.col("ts"))
-              .drop("_warm", "_true_range"))
+    return df.withColumns({
+        "state_regime": regime,
+        "state_bar_range": F.col("high") - F.col("low"),
+        "state_spread_points": F.col("spread").cast("double"),
+        "state_spread_price": F.col("spread") * spec.point,
+        "state_tick_volume": F.col("tick_volume"),
+        "state_real_volume": F.col("real_volume"),
+        "state_boundary": F.lit("FEATURES_AVAILABLE_AT_DECISION_TIME"),
+        "state_max_source_ts": F.col("ts")}).drop("_warm", "_true_range")
 
 
 def add_labels(df: DataFrame, spec: FeatureSpec, window) -> DataFrame:
     """Future outcomes at each horizon, NULL unless the horizon is met exactly in elapsed time."""
     close = F.col("close")
+    labels = {}
     for h in spec.horizons:
         ahead = window.rowsBetween(1, h)
         exact = F.lead("bar_index", h).over(window) - F.col("bar_index") == h
-
-        def met(value: Column) -> Column:
-            return F.when(exact, value)
-
         high = full_frame(F.max("high"), "high", ahead, h)
         low = full_frame(F.min("low"), "low", ahead, h)
-        vol = full_frame(F.stddev_samp("_ret1"), "_ret1", ahead, h)
-        df = (df.withColumn(f"label_return_{h}", met(change(F.lead("close", h).over(window), close)))
-                .withColumn(f"label_up_{h}", met(ratio(high - close, close)))
-                .withColumn(f"label_down_{h}", met(ratio(low - close, close)))
-                .withColumn(f"label_vol_{h}", met(vol) if h > 1 else F.lit(None).cast("double"))
-                .withColumn(f"label_spread_{h}", met(F.lead("spread", h).over(window)))
-                .withColumn(f"label_source_ts_{h}", met(F.lead("ts", h).over(window))))
-    return df.withColumn("label_boundary", F.lit("FUTURE_INFORMATION_LABEL_ONLY"))
+        vol = full_frame(F.stddev_samp("_ret1"), "_ret1", ahead, h) if h > 1 else F.lit(None).cast("double")
+        values = {"return": change(F.lead("close", h).over(window), close), "up": ratio(high - close, close),
+                  "down": ratio(low - close, close), "vol": vol, "spread": F.lead("spread", h).over(window),
+                  "source_ts": F.lead("ts", h).over(window)}
+        labels.update({f"label_{name}_{h}": F.when(exact, value) for name, value in values.items()})
+    return df.withColumns({**labels, "label_boundary": F.lit("FUTURE_INFORMATION_LABEL_ONLY")})
 
 
 def build_frame(bars: DataFrame, spec: FeatureSpec, keys: Sequence[str] = ("symbol",), labels: bool = True) -> DataFrame:
@@ -145,12 +139,12 @@ def session_points(df: DataFrame) -> DataFrame:
 
 def derived_states(df: DataFrame, lags: Sequence[int]) -> DataFrame:
     """Magnitudes and ratios used by large-move conditions."""
-    for k in lags:
-        df = df.withColumn(f"state_abs_return_{k}", F.abs(F.col(f"state_return_{k}")))
-    return (df.withColumn("state_abs_momentum", F.abs(F.col("state_momentum")))
-              .withColumn("state_min_distance", F.least("state_dist_high", "state_dist_low"))
-              .withColumn("state_vol_ratio", ratio("state_vol_short", "state_vol_long"))
-              .withColumn("state_atr_range", ratio("state_atr", "state_bar_range")))
+    return df.withColumns({
+        **{f"state_abs_return_{k}": F.abs(F.col(f"state_return_{k}")) for k in lags},
+        "state_abs_momentum": F.abs(F.col("state_momentum")),
+        "state_min_distance": F.least("state_dist_high", "state_dist_low"),
+        "state_vol_ratio": ratio("state_vol_short", "state_vol_long"),
+        "state_atr_range": ratio("state_atr", "state_bar_range")})
 
 
 def simple_features(bars: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column) -> DataFrame:

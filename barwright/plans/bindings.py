@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barwright.functions.numeric import rounded
+from barwright.session import materialize
 from barwright.operators.features import FeatureSpec, build_frame
 from barwright.sources.bars import build_bars
 
@@ -18,6 +19,10 @@ QUARTER = FeatureSpec(minutes=15, lags=(1, 3, 5, 10, 15), atr=5, vol_short=5, vo
                       warmup=10, horizons=(1, 3, 5, 10))
 
 
+# Derived tables written once per application and read by every query that needs them.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     """Lazy access to the tables of one scale directory."""
 
@@ -27,6 +32,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A derived table that is materialised on first use, as a published dataset would be."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STORED:
+            _STORED[key] = materialize(build())
+        return _STORED[key]
+
     @cached_property
     def events(self) -> DataFrame:
         raw = self.read("events")

@@ -11,7 +11,6 @@ from barwright.plans import oracle
 from barwright.plans.bindings import HOURLY, POINT, QUARTER, Tables, day_chunk, rounded_all
 from barwright.plans.quality import TICKS_SQL
 from barwright.plans.registry import query
-from barwright.session import materialize
 
 HSQL = oracle.bars(60) + oracle.states(HOURLY)
 QSQL = oracle.bars(15) + oracle.states(QUARTER)
@@ -108,13 +107,13 @@ def forward_quote(t: Tables) -> DataFrame:
     return q.drop("symbol").withColumn("ask", rounded("ask"))
 
 
-def experiences(t: Tables, cut: bool = True) -> DataFrame:
-    """Three experiences per quarter-hour state, with real quotes where a tick is near enough."""
-    frame = t.frame(QUARTER)
-    if cut:
-        frame = materialize(frame)
-    out = A.expand_actions(A.attach_quotes(frame, t.ticks, QUARTER), QUARTER)
-    return materialize(out) if cut else out
+def experiences(t: Tables) -> DataFrame:
+    """Three experiences per quarter-hour state, with real quotes where a tick is near enough.
+
+    As in production, the state table and the experience table are each written once.
+    """
+    states = t.stored("states", lambda: t.frame(QUARTER))
+    return t.stored("experiences", lambda: A.expand_actions(A.attach_quotes(states, t.ticks, QUARTER), QUARTER))
 
 
 def experiences_sql() -> str:
@@ -147,7 +146,7 @@ OUTCOMES = ["gross", "net", "mfe", "mae", "cost"]
 @query("f20_action_expansion", ESQL + " " + " UNION ALL ".join(
     f"SELECT ts, action, {h} AS horizon, {', '.join(f'{oracle.r(f + "_" + str(h))} AS {f}' for f in OUTCOMES)}, cost_method_{h} AS cost_method FROM exps" for h in QUARTER.horizons))
 def action_expansion(t: Tables) -> DataFrame:
-    long = A.unpivot_horizons(experiences(t, cut=False), ["ts", "action"], QUARTER.horizons)
+    long = A.unpivot_horizons(experiences(t), ["ts", "action"], QUARTER.horizons)
     return rounded_all(long, OUTCOMES)
 
 
