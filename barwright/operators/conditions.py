@@ -32,17 +32,16 @@ def quantile_needs(condition: Mapping, neighbour: float = 0.0) -> set[tuple[str,
 
 
 def learn_thresholds(train: DataFrame, needs: set[tuple[str, float]], by: Sequence[str] = ()) -> DataFrame | None:
-    """All thresholds of a condition set: one exact quantile table per field, keyed by `by` (folds)."""
-    tables = []
-    for field in sorted({f for f, _ in needs}):
-        probs = sorted({q for f, q in needs if f == field})
-        tables.append(exact_quantiles(train, field, probs, by=by, names=[threshold_name(field, q) for q in probs]))
-    if not tables:
+    """All thresholds of a condition set in one pass over the training rows, keyed by `by` (folds, signals)."""
+    if not needs:
         return None
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.join(table, list(by), "full") if by else attach(out, table)
-    return out
+    fields = sorted({f for f, _ in needs})
+    probs = sorted({q for _, q in needs})
+    stacked = train.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("_field"), F.col(f).cast("double").alias("_value")) for f in fields])))
+    table = exact_quantiles(stacked, "_value", probs, by=["_field", *by], names=[f"_p{i}" for i in range(len(probs))])
+    return table.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_field") == f, F.col(f"_p{probs.index(q)}"))).alias(threshold_name(f, q)) for f, q in sorted(needs)])
 
 
 def condition(spec: Mapping, neighbour: float = 0.0, override: float | None = None) -> Column:
