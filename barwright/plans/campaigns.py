@@ -316,17 +316,17 @@ def edge_and_value(t: Tables) -> DataFrame:
 
 # Candidates from parts: brand is the family, (type, size) the condition; small parts are the registry.
 CAND = """WITH p AS (SELECT p_partkey AS id, p_brand AS family, p_type AS condition, p_size AS target, p_name AS action, p_retailprice AS price FROM part),
- reg AS (SELECT *, CASE WHEN target % 3 = 0 THEN 'REJECTED' ELSE 'DEV_SURVIVOR' END AS status FROM p WHERE price < 1000), rj AS (SELECT family, count(*) AS n FROM reg WHERE status = 'REJECTED' GROUP BY 1),
+ reg AS (SELECT *, CASE WHEN target % 3 = 0 THEN 'REJECTED' ELSE 'DEV_SURVIVOR' END AS status FROM p WHERE price < 930), rj AS (SELECT family, count(*) AS n FROM reg WHERE status = 'REJECTED' GROUP BY 1),
  fresh AS (SELECT p.*, least(1.0, coalesce(n, 0) / 4.0) AS saturation FROM p LEFT JOIN rj USING (family) WHERE (family, condition, target, action) NOT IN (SELECT (family, condition, target, action) FROM reg)),
- sc AS (SELECT *, (0.22 * 0.8 + 0.16 * 0.75 + 0.13 * CASE WHEN target < 25 THEN 0.55 ELSE 0.85 END + 0.12 * 0.3 + 0.12 * CASE WHEN price > 1050 THEN 1.0 ELSE 0.65 END + 0.10 * 0.9 + 0.08 * (1 - 0.15) + 0.07 * (1 - 0.4)) AS gain, (0.45 * 0.05 + 0.30 * saturation + 0.25 * (target / 100.0)) AS pen FROM fresh)"""
+ sc AS (SELECT *, (0.22 * 0.8 + 0.16 * 0.75 + 0.13 * CASE WHEN target < 25 THEN 0.55 ELSE 0.85 END + 0.12 * 0.3 + 0.12 * CASE WHEN price > 970 THEN 1.0 ELSE 0.65 END + 0.10 * 0.9 + 0.08 * (1 - 0.15) + 0.07 * (1 - 0.4)) AS gain, (0.45 * 0.05 + 0.30 * saturation + 0.25 * (target / 100.0)) AS pen FROM fresh)"""
 
 
 @query("w15_candidate_ranking", CAND + f" SELECT id, family, {r('saturation')} AS saturation, {r('least(greatest(gain * (1 - 0.7 * pen), 0), 1)', 5)} AS score FROM sc ORDER BY round(least(greatest(gain * (1 - 0.7 * pen), 0), 1), 6) DESC, id LIMIT 50")
 def candidate_ranking(t: Tables) -> DataFrame:
     p = t.read("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("family"), F.col("p_type").alias("condition"), F.col("p_size").alias("target"), F.col("p_name").alias("action"), F.col("p_retailprice").alias("price"))
-    reg = p.where(F.col("price") < 1000).withColumn("status", F.when(F.pmod("target", F.lit(3)) == 0, "REJECTED").otherwise("DEV_SURVIVOR"))
+    reg = p.where(F.col("price") < 930).withColumn("status", F.when(F.pmod("target", F.lit(3)) == 0, "REJECTED").otherwise("DEV_SURVIVOR"))
     cand = p.withColumns({"information_gain": F.lit(0.8), "uncertainty_reduction": F.lit(0.75), "novelty": F.when(F.col("target") < 25, 0.55).otherwise(0.85), "contradiction": F.lit(0.3),
-                          "economic": F.when(F.col("price") > 1050, 1.0).otherwise(0.65), "data_quality": F.lit(0.9), "prior_evidence": F.lit(0.15), "compute_cost": F.lit(0.4),
+                          "economic": F.when(F.col("price") > 970, 1.0).otherwise(0.65), "data_quality": F.lit(0.9), "prior_evidence": F.lit(0.15), "compute_cost": F.lit(0.4),
                           "redundancy": F.lit(0.05), "complexity": F.col("target") / 100})
     out = W.rank_candidates(cand, reg, ["family", "condition", "target", "action"], 50)
     return out.select("id", "family", rounded("saturation").alias("saturation"), rounded("score", 5).alias("score"))
