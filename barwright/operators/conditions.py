@@ -31,16 +31,20 @@ def quantile_needs(condition: Mapping, neighbour: float = 0.0) -> set[tuple[str,
     return set()
 
 
-def learn_thresholds(train: DataFrame, needs: set[tuple[str, float]], by: Sequence[str] = ()) -> DataFrame | None:
-    """All thresholds of a condition set in one pass over the training rows, keyed by `by` (folds, signals)."""
+def learn_thresholds(train: DataFrame, needs: set[tuple[str, float]], by: Sequence[str] = (), fan: str | None = None) -> DataFrame | None:
+    """All thresholds of a condition set in one pass over the training rows, keyed by `by`.
+
+    With `fan` (an array of the folds each row trains) the result is keyed by fold as well.
+    """
     if not needs:
         return None
     fields = sorted({f for f, _ in needs})
     probs = sorted({q for _, q in needs})
-    stacked = train.select(*by, F.inline(F.array(*[
+    stacked = train.select(*by, *([fan] if fan else []), F.inline(F.array(*[
         F.struct(F.lit(f).alias("_field"), F.col(f).cast("double").alias("_value")) for f in fields])))
-    table = exact_quantiles(stacked, "_value", probs, by=["_field", *by], names=[f"_p{i}" for i in range(len(probs))])
-    return table.groupBy(*by).agg(*[
+    table = exact_quantiles(stacked, "_value", probs, by=["_field", *by], names=[f"_p{i}" for i in range(len(probs))], fan=fan)
+    keys = [*by, "fold"] if fan else list(by)
+    return table.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_field") == f, F.col(f"_p{probs.index(q)}"))).alias(threshold_name(f, q)) for f, q in sorted(needs)])
 
 

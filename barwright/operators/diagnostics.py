@@ -136,10 +136,15 @@ def clock_offset_scan(ours: DataFrame, other: DataFrame, minutes: int, hours: Se
     summary = matched.groupBy("hours", "period").agg(
         F.count(F.lit(1)).alias("matched_bars"), F.avg(F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / 4).alias("mean_abs_ohlc"),
         count_where(exact).alias("exact_bars"))
-    values = matched.select("hours", "period", F.explode("_d").alias("_x"))
-    spread = exact_quantiles(values, "_x", [0.5, 0.95], by=["hours", "period"], names=["median_abs_ohlc", "p95_abs_ohlc"])
-    closes = exact_quantiles(matched, F.col("_d")[3], [0.5], by=["hours", "period"], names=["median_abs_close"])
-    return summary.join(spread, ["hours", "period"]).join(closes, ["hours", "period"])
+    # All four differences and, apart from them, the close alone: one quantile pass serves both.
+    listed = F.concat(F.transform("_d", lambda x: F.struct(F.lit("OHLC").alias("kind"), x.alias("x"))),
+                      F.array(F.struct(F.lit("CLOSE").alias("kind"), F.col("_d")[3].alias("x"))))
+    values = matched.select("hours", "period", F.inline(listed))
+    q = exact_quantiles(values, "x", [0.5, 0.95], by=["hours", "period", "kind"], names=["median", "p95"])
+    spread = q.groupBy("hours", "period").agg(
+        F.max(F.when(F.col("kind") == "OHLC", F.col("median"))).alias("median_abs_ohlc"), F.max(F.when(F.col("kind") == "OHLC", F.col("p95"))).alias("p95_abs_ohlc"),
+        F.max(F.when(F.col("kind") == "CLOSE", F.col("median"))).alias("median_abs_close"))
+    return summary.join(spread, ["hours", "period"])
 
 
 def expand_to_grid(intervals: DataFrame, start: str, end: str, minutes: int, inclusive: bool) -> DataFrame:

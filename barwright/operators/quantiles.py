@@ -34,20 +34,27 @@ def _locate(counts: DataFrame, group: Sequence[str], place: str, targets: DataFr
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, fan: str | None = None, fan_name: str = "fold") -> DataFrame:
     """One row per group with one column per probability, as `quantile_cont` defines it.
 
-    NULLs are skipped; groups with no value are absent.
+    NULLs are skipped; groups with no value are absent. `fan` names an array column of further group
+    values a row belongs to (the folds it trains): counts are taken once per distinct array and fan out
+    afterwards, so rows are not multiplied by the number of folds.
     """
     names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
-    group = [f"_g{i}" for i in range(len(by))] or ["_g0"]
-    keys = [F.col(b).alias(g) for b, g in zip(by, group)] or [F.lit(0).alias("_g0")]
+    base = [f"_g{i}" for i in range(len(by))] or ["_g0"]
+    keys = [F.col(b).alias(g) for b, g in zip(by, base)] or [F.lit(0).alias("_g0")]
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rows = df.select(*keys, *([F.col(fan).alias("_fan")] if fan else []), value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     rows = rows.withColumn("_c", _cell(F.col("_v")))
-
-    cells = rows.groupBy(*group, "_c").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
-                                           F.max("_v").alias("_hi"))
+    group = [*base, "_gf"] if fan else base
+
+    measured = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    if fan:
+        sliced = rows.groupBy(*base, "_fan", "_c").agg(*measured).withColumn("_gf", F.explode("_fan"))
+        cells = sliced.groupBy(*group, "_c").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    else:
+        cells = rows.groupBy(*group, "_c").agg(*measured)
     totals = cells.groupBy(*group).agg(F.sum("_n").alias("_total"))
     wanted = totals.select(*group, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_p"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("_pos"))
@@ -63,7 +70,7 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     picked = first.select(*group, "_c", "_lo", "_hi").distinct()
     slice_no = F.when(F.col("_hi") > F.col("_lo"), F.floor(
         (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (SLICES - 1)).cast("bigint")).otherwise(F.lit(0))
-    inside = _join_groups(rows, picked, [*group, "_c"]).withColumn("_s", slice_no)
+    inside = _join_groups(rows, picked, [*base, "_c"], fan is not None).withColumn("_s", slice_no)
 
     values = inside.groupBy(*group, "_c", "_s", "_v").agg(F.count(F.lit(1)).alias("_n"))
     slices = values.groupBy(*group, "_c", "_s").agg(F.sum("_n").alias("_n"))
@@ -76,14 +83,16 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_b"))
     point = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")
     wide = ends.groupBy(*group).agg(*[F.max(F.when(F.col("_p") == i, point)).alias(n) for i, n in enumerate(names)])
-    return wide.select(*[F.col(g).alias(b) for b, g in zip(by, group)], *names)
+    return wide.select(*[F.col(g).alias(b) for b, g in zip(by, base)], *([F.col("_gf").alias(fan_name)] if fan else []), *names)
 
 
-def _join_groups(rows: DataFrame, picked: DataFrame, on: Sequence[str]) -> DataFrame:
+def _join_groups(rows: DataFrame, picked: DataFrame, on: Sequence[str], fan: bool) -> DataFrame:
     """Keep rows whose group was picked. At most two cells per group and probability are picked."""
-    other = picked.select(*[F.col(c).alias(f"_r{c}") for c in on], "_lo", "_hi")
-    joined = rows.join(other, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in on])
-    return joined.select(*rows.columns, "_lo", "_hi")
+    other = picked.withColumnsRenamed({c: f"_r{c}" for c in on})
+    match = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in on]
+    if fan:
+        match.append(F.array_contains("_fan", F.col("_gf")))
+    return rows.join(other, match).drop(*[f"_r{c}" for c in on], "_fan")
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.hashing import draw_index, uniform
+from barwright.functions.hashing import draw_index, hashed_int, uniform
 
 
 def positions(effects: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -86,11 +86,19 @@ def _tail(null: DataFrame, observed: DataFrame, by: Sequence[str], direction: st
                                  ((F.count_if(extreme) + 1) / F.lit(count + 1)).alias("p_value"))
 
 
+COINS = 32
+
+
 def sign_flip_test(placed: DataFrame, by: Sequence[str], count: int, seed: Column, direction: str = "GREATER") -> DataFrame:
-    """Paired permutation: every effect keeps or changes its sign by a hashed coin."""
-    rows = _resamples(placed, count)
-    sign = F.when(uniform(seed, F.col("resample"), F.col("pos")) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
-    null = rows.groupBy(*by, "resample").agg(F.avg(F.col("effect") * sign).alias("mean"))
+    """Paired permutation: every effect keeps or changes its sign by a hashed coin.
+
+    One hash yields 32 coins, so a row is hashed once per 32 resamples; sums are partial before the shuffle.
+    """
+    tosses = placed.select(*by, "pos", "effect", seed.alias("_seed"), F.explode(F.sequence(F.lit(0), F.lit((count - 1) // COINS))).alias("_block"))
+    tosses = tosses.withColumn("_h", hashed_int("_seed", "_block", "pos")).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(COINS - 1))))
+    rows = tosses.withColumn("resample", F.col("_block") * COINS + F.col("_bit")).where(F.col("resample") < count)
+    tails = F.expr("shiftright(_h, _bit)").bitwiseAND(F.lit(1)) == 1
+    null = rows.groupBy(*by, "resample").agg(F.avg(F.when(tails, -F.col("effect")).otherwise(F.col("effect"))).alias("mean"))
     observed = placed.groupBy(*by).agg(F.avg("effect").alias("observed"))
     return _tail(null, observed, by, direction, count)
 

@@ -20,16 +20,22 @@ def tag_folds(df: DataFrame, time: str, first_test_year: int, purge_minutes: int
     Train ends a label horizon before 1 January of the test year, test begins an embargo after it. The
     year list is a few values computed from the time bounds; rows fan out by an array, not by a join.
     """
+    roled = fold_roles(df, time, first_test_year, purge_minutes, embargo_minutes)
+    both = F.concat(F.transform("train_folds", lambda y: F.struct(y.alias("fold"), F.lit(TRAIN).alias("role"))),
+                    F.transform("test_folds", lambda y: F.struct(y.alias("fold"), F.lit(TEST).alias("role"))))
+    return roled.select(*df.columns, F.inline(both))
+
+
+def fold_roles(df: DataFrame, time: str, first_test_year: int, purge_minutes: int, embargo_minutes: int) -> DataFrame:
+    """One row per row, with the folds it trains and the fold it tests as arrays (nothing fans out yet)."""
     years = df.agg(F.sequence(F.lit(first_test_year), F.greatest(F.year(F.max(time)), F.lit(first_test_year))).alias("_years"))
     ts = F.col(time).cast("timestamp")
 
-    def role(y: Column) -> Column:
-        opening = F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-        closing = F.make_timestamp(y + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-        return (F.when(ts < opening - F.expr(f"interval {purge_minutes} minutes"), F.lit(TRAIN))
-                 .when((ts >= opening + F.expr(f"interval {embargo_minutes} minutes")) & (ts < closing), F.lit(TEST)))
-    tagged = attach(df, years).withColumn("_f", F.explode(F.transform("_years", lambda y: F.struct(y.alias("fold"), role(y).alias("role")))))
-    return tagged.where(F.col("_f.role").isNotNull()).select(*df.columns, F.col("_f.fold").alias("fold"), F.col("_f.role").alias("role"))
+    def opening(y: Column) -> Column:
+        return F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    trains = F.filter("_years", lambda y: ts < opening(y) - F.expr(f"interval {purge_minutes} minutes"))
+    tests = F.filter("_years", lambda y: (ts >= opening(y) + F.expr(f"interval {embargo_minutes} minutes")) & (ts < opening(y + 1)))
+    return attach(df, years).select(*df.columns, trains.alias("train_folds"), tests.alias("test_folds"))
 
 
 def fold_table(tagged: DataFrame, time: str) -> DataFrame:
@@ -60,14 +66,20 @@ def temporal_parts(df: DataFrame, time: str, by: Sequence[str], shares: Sequence
     return df.join(cum.select(*by, time, part.alias("part")), [*by, time])
 
 
-def signal_rows(tagged: DataFrame, signals: Sequence[Mapping], outcome: Mapping[str, str]) -> DataFrame:
+def signal_rows(rows: DataFrame, signals: Sequence[Mapping], outcome: Mapping[str, str]) -> DataFrame:
     """Rows that fire each frozen signal, with the outcome columns of its action and horizon."""
     listed = []
     for s in signals:
         fields = {name: F.col(pattern.format(action=s["action"].lower(), horizon=s["horizon"])) for name, pattern in outcome.items()}
-        listed.append(F.struct(F.lit(s["id"]).alias("signal"), signal(s).alias("_fires"), signal(s, magnitude_factor(s)).alias("stronger"),
-                               *[v.alias(k) for k, v in fields.items()]))
-    return tagged.select(*tagged.columns, F.inline(F.array(*listed))).where("_fires").drop("_fires")
+        listed.append(F.when(signal(s), F.struct(F.lit(s["id"]).alias("signal"), signal(s, magnitude_factor(s)).alias("stronger"),
+                                                 *[v.alias(k) for k, v in fields.items()])))
+    return rows.select(*rows.columns, F.inline(F.array_compact(F.array(*listed))))
+
+
+def test_rows(rows: DataFrame) -> DataFrame:
+    """Rows with the one fold they test."""
+    kept = [c for c in rows.columns if c not in ("train_folds", "test_folds")]
+    return rows.where(F.size("test_folds") > 0).select(*kept, F.get("test_folds", 0).alias("fold"))
 
 
 def policy_entries(fired: DataFrame, signals: Sequence[Mapping], policies: Sequence[str] = POLICIES) -> DataFrame:
@@ -75,11 +87,13 @@ def policy_entries(fired: DataFrame, signals: Sequence[Mapping], policies: Seque
 
     One job for all policies: thresholds are a table of (signals x folds) rows, which is broadcast.
     """
-    learned = learn_thresholds(fired.where(F.col("role") == TRAIN), POLICY_NEEDS, by=["signal", "fold"])
-    test = fired.where(F.col("role") == TEST).join(F.broadcast(learned), ["signal", "fold"], "left")
+    learned = learn_thresholds(fired, POLICY_NEEDS, by=["signal"], fan="train_folds")
+    test = test_rows(fired).join(F.broadcast(learned), ["signal", "fold"], "left")
     by_signal = {s["id"]: s for s in signals}
 
     def entered(name: str) -> Column:
+        if name != "HIGH_SIGNAL_MAGNITUDE":
+            return policy(name, signals[0])
         out = F.lit(False)
         for sid, s in by_signal.items():
             out = F.when(F.col("signal") == sid, policy(name, s)).otherwise(out)

@@ -98,8 +98,10 @@ def entries(t: Tables) -> DataFrame:
         sided = led.withColumns({"gross_long": F.col("g"), "gross_short": -F.col("g"), "net_long": F.col("g") - F.col("cost"), "net_short": -F.col("g") - F.col("cost"),
                                  "mfe_long": F.col("up"), "mfe_short": -F.col("down"), "mae_long": F.col("down"), "mae_short": -F.col("up"),
                                  "cost_atr": F.try_divide("state_spread_price", "state_atr")})
-        tagged = W.tag_folds(sided, "ts", FIRST, PURGE, EMBARGO)
-        return W.policy_entries(W.signal_rows(tagged, SIGNALS, OUTCOME), SIGNALS)
+        roled = W.fold_roles(sided, "ts", FIRST, PURGE, EMBARGO)
+        needed = ["ts", "session_id", "state_spread_points", "state_vol_short", "cost_atr", "minute", "state_regime", "cost", "signal", "stronger",
+                  *OUTCOME, *{s["field"] for s in SIGNALS}, "train_folds", "test_folds"]
+        return W.policy_entries(W.signal_rows(roled, SIGNALS, OUTCOME).select(*needed), SIGNALS)
     return t.stored("policy_entries", build)
 
 
@@ -193,15 +195,17 @@ def large_rows(t: Tables) -> DataFrame:
     def build() -> DataFrame:
         size = F.greatest(F.abs("up"), F.abs("down"))
         base = ledger(t).withColumns({"mx": size, "large": F.coalesce(size >= 2 * F.col("cost"), F.lit(False)), "surplus": size - 2 * F.col("cost")})
-        tagged = W.tag_folds(base, "ts", FIRST, PURGE, EMBARGO)
+        roled = W.fold_roles(base, "ts", FIRST, PURGE, EMBARGO)
         needs = set()
         for spec in LARGE.values():
             for n in (-1, 0, 1):
                 needs |= C.quantile_needs(spec, n)
-        learned = C.learn_thresholds(tagged.where(F.col("role") == "TRAIN"), needs, by=["fold"])
-        test = tagged.where(F.col("role") == "TEST").join(F.broadcast(learned), "fold")
+        learned = C.learn_thresholds(roled, needs, fan="train_folds")
+        test = W.test_rows(roled)
+        kept = test.columns
+        test = test.join(F.broadcast(learned), "fold")
         listed = F.array(*[F.struct(F.lit(n).alias("hypothesis"), C.condition(s).alias("chosen"), C.condition(s, -1).alias("weaker"), C.condition(s, 1).alias("stronger")) for n, s in LARGE.items()])
-        return test.select(*tagged.columns, F.inline(listed))
+        return test.select(*kept, F.inline(listed))
     return t.stored("large_rows", build)
 
 

@@ -290,6 +290,12 @@ def u_sql(*parts: str) -> str:
     return f"(('0x' || substr(md5({' || \':\' || '.join(parts)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def coin_sql(seed: str) -> str:
+    """The sign of (resample r, position pos): one bit of a hash shared by 32 resamples."""
+    parts = " || ':' || ".join([seed, "(r // 32)", "pos"])
+    return f"CASE WHEN ((('0x' || substr(md5({parts}), 1, 8))::BIGINT >> (r % 32)::INT) & 1) = 1 THEN -1 ELSE 1 END"
+
+
 PLACED = ", placed AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY session_id, side) - 1 AS pos, count(*) OVER (PARTITION BY hypothesis) AS n FROM eff)"
 REP = f", reps AS (SELECT unnest(range({DRAWS})) AS r)"
 
@@ -341,7 +347,7 @@ def _tail_sql(null: str, obs: str = "avg(effect)") -> str:
 SELECT hypothesis, {oracle.r('max(obs)')} AS observed, {oracle.r('quantile_cont(mean, 0.5)')} AS null_median, {oracle.r(f'(count(*) FILTER (mean >= obs) + 1) / {DRAWS + 1}.0')} AS p_value FROM nulls JOIN o USING (hypothesis) GROUP BY hypothesis"""
 
 
-@query("r05_sign_flip", evidence_sql(MAIN) + PLACED + REP + _tail_sql(f"SELECT hypothesis, r, avg(effect * CASE WHEN {u_sql(chr(39) + 'P' + chr(39), 'r', 'pos')} < 0.5 THEN -1 ELSE 1 END) AS mean FROM placed, reps GROUP BY ALL"))
+@query("r05_sign_flip", evidence_sql(MAIN) + PLACED + REP + _tail_sql(f"SELECT hypothesis, r, avg(effect * {coin_sql(chr(39) + 'P' + chr(39))}) AS mean FROM placed, reps GROUP BY ALL"))
 def sign_flip(t: Tables) -> DataFrame:
     return rounded_all(R.sign_flip_test(placed(t), BY, DRAWS, F.lit("P")), ["observed", "null_median", "p_value"])
 
@@ -354,7 +360,7 @@ def label_permutation(t: Tables) -> DataFrame:
 
 
 @query("r07_trade_sign_flip", """WITH placed AS (SELECT l_returnflag AS hypothesis, l_orderkey * 8 + l_linenumber AS pos, l_extendedprice * (l_discount - 0.05) AS effect FROM lineitem), reps AS (SELECT unnest(range(20)) AS r)""" +
-       _tail_sql(f"SELECT hypothesis, r, avg(effect * CASE WHEN {u_sql(chr(39) + 'W' + chr(39), 'r', 'pos')} < 0.5 THEN -1 ELSE 1 END) AS mean FROM placed, reps GROUP BY ALL").replace(f"{DRAWS + 1}.0", "21.0").replace(", 6) + 0.0::DOUBLE AS observed", ", 3) + 0.0::DOUBLE AS observed").replace(", 6) + 0.0::DOUBLE AS null_median", ", 3) + 0.0::DOUBLE AS null_median"))
+       _tail_sql(f"SELECT hypothesis, r, avg(effect * {coin_sql(chr(39) + 'W' + chr(39))}) AS mean FROM placed, reps GROUP BY ALL").replace(f"{DRAWS + 1}.0", "21.0").replace(", 6) + 0.0::DOUBLE AS observed", ", 3) + 0.0::DOUBLE AS observed").replace(", 6) + 0.0::DOUBLE AS null_median", ", 3) + 0.0::DOUBLE AS null_median"))
 def trade_flip(t: Tables) -> DataFrame:
     """Sign flip over every trade: each row contributes to all resamples by partial aggregation, no join."""
     trades = t.read("lineitem").select(F.col("l_returnflag").alias("hypothesis"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
