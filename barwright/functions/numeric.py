@@ -63,10 +63,10 @@ def normal_cdf(z) -> Column:
 
 
 def p_positive(mean, error) -> Column:
-    """One-sided p-value that a mean exceeds zero; a zero or missing error decides by sign alone."""
+    """One-sided p-value that a mean exceeds zero; a missing mean or a zero or missing error decides by sign alone."""
     mean, error = col(mean), col(error)
     degenerate = F.when(mean.isNull() | (mean <= 0), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(error.isNull() | (error == 0), degenerate).otherwise(
+    return F.when(mean.isNull() | error.isNull() | (error == 0), degenerate).otherwise(
         1 - normal_cdf(ratio(mean, F.when(error != 0, error))))
 
 

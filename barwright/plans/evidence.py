@@ -250,7 +250,7 @@ def phi_sql(z: str) -> str:
 
 
 def p_sql(mean: str, se: str) -> str:
-    return f"(CASE WHEN {se} IS NULL OR {se} = 0 THEN CASE WHEN {mean} IS NULL OR {mean} <= 0 THEN 1.0 ELSE 0.0 END ELSE 1 - {phi_sql(f'({mean} / nullif({se}, 0))')} END)"
+    return f"(CASE WHEN {mean} IS NULL OR {se} IS NULL OR {se} = 0 THEN CASE WHEN {mean} IS NULL OR {mean} <= 0 THEN 1.0 ELSE 0.0 END ELSE 1 - {phi_sql(f'({mean} / nullif({se}, 0))')} END)"
 
 
 @query("e06_rate_lift", """WITH s AS (SELECT year(l_shipdate)::INT AS year, l_shipdate, l_quantity >= 25 AS sel, (l_returnflag = 'R')::INT AS hit FROM lineitem),
