@@ -140,7 +140,7 @@ def clock_offset_scan(ours: DataFrame, other: DataFrame, minutes: int, hours: Se
     listed = F.concat(F.transform("_d", lambda x: F.struct(F.lit("OHLC").alias("kind"), x.alias("x"))),
                       F.array(F.struct(F.lit("CLOSE").alias("kind"), F.col("_d")[3].alias("x"))))
     values = matched.select("hours", "period", F.inline(listed))
-    q = exact_quantiles(values, "x", [0.5, 0.95], by=["hours", "period", "kind"], names=["median", "p95"])
+    q = exact_quantiles(values, "x", [0.5, 0.95], by=["hours", "period", "kind"], names=["median", "p95"], few_groups=True)
     spread = q.groupBy("hours", "period").agg(
         F.max(F.when(F.col("kind") == "OHLC", F.col("median"))).alias("median_abs_ohlc"), F.max(F.when(F.col("kind") == "OHLC", F.col("p95"))).alias("p95_abs_ohlc"),
         F.max(F.when(F.col("kind") == "CLOSE", F.col("median"))).alias("median_abs_close"))

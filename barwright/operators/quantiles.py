@@ -22,11 +22,12 @@ def _cell(value: Column) -> Column:
     return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, size).otherwise(-size)
 
 
-def _locate(counts: DataFrame, group: Sequence[str], place: str, targets: DataFrame, rank: str) -> DataFrame:
+def _locate(counts: DataFrame, group: Sequence[str], place: str, targets: DataFrame, rank: str, small: bool) -> DataFrame:
     """The row of `counts` whose cumulated range holds the target rank; the rank becomes local to it."""
     along = Window.partitionBy(*group).orderBy(place)
     placed = counts.withColumn("_upto", F.sum("_n").over(along)).withColumn("_from", F.col("_upto") - F.col("_n"))
     asked = targets.withColumnRenamed(rank, "_asked").withColumnsRenamed({g: f"_t{g}" for g in group})
+    asked = F.broadcast(asked) if small else asked
     inside = (F.col("_asked") >= F.col("_from")) & (F.col("_asked") < F.col("_upto"))
     hit = placed.join(asked, [*[F.col(g).eqNullSafe(F.col(f"_t{g}")) for g in group], inside])
     return (hit.withColumn(rank, F.col("_asked") - F.col("_from"))
@@ -34,13 +35,17 @@ def _locate(counts: DataFrame, group: Sequence[str], place: str, targets: DataFr
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, fan: str | None = None, fan_name: str = "fold") -> DataFrame:
+                    names: Sequence[str] | None = None, fan: str | None = None, fan_name: str = "fold",
+                    few_groups: bool | None = None) -> DataFrame:
     """One row per group with one column per probability, as `quantile_cont` defines it.
 
     NULLs are skipped; groups with no value are absent. `fan` names an array column of further group
     values a row belongs to (the folds it trains): counts are taken once per distinct array and fan out
-    afterwards, so rows are not multiplied by the number of folds.
+    afterwards, so rows are not multiplied by the number of folds. `few_groups` states that the groups
+    come from a fixed list (fields, folds, specifications): the rank tables, at most two rows per group and
+    probability, are then broadcast and the rows are never shuffled by group.
     """
+    small = not by if few_groups is None else few_groups
     names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
     base = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     keys = [F.col(b).alias(g) for b, g in zip(by, base)] or [F.lit(0).alias("_g0")]
@@ -66,16 +71,16 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
                                F.struct(F.lit(1).alias("_side"), F.ceil("_t._pos").alias("_rank")))).alias("_s"))
     wanted = wanted.select(*group, "_p", "_frac", F.col("_s._side").alias("_side"), F.col("_s._rank").alias("_rank"))
 
-    first = _locate(cells, group, "_c", wanted, "_rank")
+    first = _locate(cells, group, "_c", wanted, "_rank", small)
     picked = first.select(*group, "_c", "_lo", "_hi").distinct()
     slice_no = F.when(F.col("_hi") > F.col("_lo"), F.floor(
         (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (SLICES - 1)).cast("bigint")).otherwise(F.lit(0))
-    inside = _join_groups(rows, picked, [*base, "_c"], fan is not None).withColumn("_s", slice_no)
+    inside = _join_groups(rows, F.broadcast(picked) if small else picked, [*base, "_c"], fan is not None).withColumn("_s", slice_no)
 
     values = inside.groupBy(*group, "_c", "_s", "_v").agg(F.count(F.lit(1)).alias("_n"))
     slices = values.groupBy(*group, "_c", "_s").agg(F.sum("_n").alias("_n"))
-    second = _locate(slices, [*group, "_c"], "_s", first.drop("_lo", "_hi"), "_rank")
-    third = _locate(values, [*group, "_c", "_s"], "_v", second, "_rank")
+    second = _locate(slices, [*group, "_c"], "_s", first.drop("_lo", "_hi"), "_rank", small)
+    third = _locate(values, [*group, "_c", "_s"], "_v", second, "_rank", small)
 
     ends = third.groupBy(*group, "_p").agg(
         F.max("_frac").alias("_frac"),

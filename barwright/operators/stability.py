@@ -158,8 +158,8 @@ def attacks(entries: DataFrame, by: Sequence[str], net: str, trim: str | None =
     is joined back. The group list is a fixed set of specifications, which bounds the broadcast table.
     """
     keys, trim = list(by), trim or net
-    cuts = exact_quantiles(entries, net, [0.01, 0.99], by=keys, names=["_q01", "_q99"])
-    upper = exact_quantiles(entries, trim, [0.95], by=keys, names=["_q95"])
+    cuts = exact_quantiles(entries, net, [0.01, 0.99], by=keys, names=["_q01", "_q99"], few_groups=True)
+    upper = exact_quantiles(entries, trim, [0.95], by=keys, names=["_q95"], few_groups=True)
     limited = entries.join(F.broadcast(cuts), keys, "left").join(F.broadcast(upper), keys, "left")
     value = F.col(net)
     per = limited.groupBy(*keys, session).agg(

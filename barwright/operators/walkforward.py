@@ -28,14 +28,16 @@ def tag_folds(df: DataFrame, time: str, first_test_year: int, purge_minutes: int
 
 def fold_roles(df: DataFrame, time: str, first_test_year: int, purge_minutes: int, embargo_minutes: int) -> DataFrame:
     """One row per row, with the folds it trains and the fold it tests as arrays (nothing fans out yet)."""
-    years = df.agg(F.sequence(F.lit(first_test_year), F.greatest(F.year(F.max(time)), F.lit(first_test_year))).alias("_years"))
+    last = df.agg(F.greatest(F.year(F.max(time)), F.lit(first_test_year)).alias("_last"))
     ts = F.col(time).cast("timestamp")
-
-    def opening(y: Column) -> Column:
-        return F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    trains = F.filter("_years", lambda y: ts < opening(y) - F.expr(f"interval {purge_minutes} minutes"))
-    tests = F.filter("_years", lambda y: (ts >= opening(y) + F.expr(f"interval {embargo_minutes} minutes")) & (ts < opening(y + 1)))
-    return attach(df, years).select(*df.columns, trains.alias("train_folds"), tests.alias("test_folds"))
+    # A row trains the folds that open after its label horizon and tests its own year once the embargo is over.
+    trains_from = F.greatest(F.year(ts + F.expr(f"interval {purge_minutes} minutes")) + 1, F.lit(first_test_year))
+    year = F.year(ts)
+    tested = (F.year(ts - F.expr(f"interval {embargo_minutes} minutes")) == year) & (year >= first_test_year)
+    none = F.array().cast("array<int>")
+    return attach(df, last).select(
+        *df.columns, F.when(trains_from <= F.col("_last"), F.sequence(trains_from, F.col("_last"))).otherwise(none).alias("train_folds"),
+        F.when(tested, F.array(year)).otherwise(none).alias("test_folds"))
 
 
 def fold_table(tagged: DataFrame, time: str) -> DataFrame:

@@ -225,7 +225,7 @@ def opportunity_results(t: Tables) -> DataFrame:
     facts = rows.groupBy(*HYP).agg(
         count_where(on).alias("support"), F.avg(on.cast("double")).alias("frequency"), F.avg(F.when(on, F.col("large").cast("double"))).alias("rate"),
         F.avg(F.col("large").cast("double")).alias("base_rate"), F.avg(F.when(on, F.col("mx"))).alias("move"), F.avg(F.when(on, F.col("cost"))).alias("cost"), F.avg(F.when(on, F.col("surplus"))).alias("surplus"))
-    shape = exact_quantiles(rows.where(on), "mx", [0.5, 0.95], by=HYP, names=["p50", "p95"])
+    shape = exact_quantiles(rows.where(on), "mx", [0.5, 0.95], by=HYP, names=["p50", "p95"], few_groups=True)
     out = lift.join(facts, HYP).join(shape, HYP).withColumn("edge_to_cost", W.edge_to_cost(F.col("move"), F.col("cost")))
     out = out.withColumn("_u", F.abs("lift")).withColumn("_c", F.lit(1)).withColumn("opportunity_value", W.opportunity_value("move", "cost", "frequency", "_u", "_c")).drop("_u", "_c")
     out = out.withColumn("edge_to_cost", rounded("edge_to_cost", 4))
