@@ -276,8 +276,8 @@ def gap_durations(bars: DataFrame, keys: Sequence[str], minutes: int, top: int =
 
 def robust_jump_threshold(returns: DataFrame, value: str, factor: float = 20.0, fallback: float = 0.05) -> DataFrame:
     """Median plus `factor` median absolute deviations of absolute returns, and how many rows exceed it."""
-    rows = returns.select(F.abs(F.col(value)).alias("_r"))
-    median = exact_quantiles(rows, "_r", [0.5], names=["median"])
+    rows = materialize(returns.select(F.abs(F.col(value)).alias("_r")))
+    median = materialize(exact_quantiles(rows, "_r", [0.5], names=["median"]))
     deviation = F.abs(F.col("_r") - F.col("median"))
     mad = exact_quantiles(attach(rows, median), deviation, [0.5], names=["mad"])
     limits = attach(median, mad).withColumn(

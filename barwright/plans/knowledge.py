@@ -84,7 +84,7 @@ def registry(t: Tables) -> DataFrame:
 def status(t: Tables) -> DataFrame:
     latest = K.latest_status(t.read("orders"), "o_custkey", "o_orderstatus", ["o_orderdate", "o_orderkey"])
     counts = latest.groupBy("status").agg(F.count(F.lit(1)).alias("status_count"))
-    return latest.join(F.broadcast(counts), "status")
+    return latest.join(counts, "status")
 
 
 REL = "CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'CONTRADICTS' WHEN l_returnflag = 'R' THEN 'FALSIFIES' WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'REFINES' WHEN l_returnflag = 'A' THEN 'REPLACES' WHEN l_linestatus = 'O' THEN 'PARENT' ELSE 'SUPPORTS' END"
