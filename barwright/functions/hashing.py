@@ -25,14 +25,15 @@ def draw_index(size, *parts) -> Column:
     return F.floor(uniform(*parts) * col(size)).cast("bigint")
 
 
-def canonical(columns: Sequence[str], null_mark: str = "~") -> Column:
-    """Pipe-joined text of the columns with an explicit mark for missing values."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(null_mark)) for c in columns])
+def canonical(columns: Sequence[str]) -> Column:
+    """Text of the columns that no other values share: each with its length in front, a dash where it is missing."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
 
 
 def record_hash(version: str, columns: Sequence[str]) -> Column:
     """Content hash of a row, salted with the dataset version."""
-    return F.sha2(F.concat_ws("|", F.lit(version), canonical(columns)), 256)
+    return F.sha2(F.concat(F.lit(f"{len(version)}:{version}"), canonical(columns)), 256)
 
 
 def fingerprint(columns: Sequence[str]) -> list[Column]:

@@ -22,6 +22,12 @@ def ratio(numerator, denominator) -> Column:
     return F.try_divide(col(numerator).cast("double"), col(denominator).cast("double"))
 
 
+def unbounded_ratio(numerator, denominator) -> Column:
+    """Division by IEEE rules: over zero an infinity of the sign of the numerator, zero over zero NULL (no number)."""
+    top, bottom = col(numerator).cast("double"), col(denominator).cast("double")
+    return F.when((bottom == 0) & (top != 0), F.signum(top) * float("inf")).otherwise(F.try_divide(top, bottom))
+
+
 def change(now, before) -> Column:
     """Relative change now/before - 1, NULL when the base is zero or missing."""
     return ratio(now, before) - 1

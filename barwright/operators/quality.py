@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barwright.functions.clock import MICROS_PER_MINUTE, local_time
 from barwright.session import materialize
-from barwright.functions.numeric import any_of, change, count_where, ratio, share
+from barwright.functions.numeric import any_of, count_where, share, unbounded_ratio
 from barwright.operators.quantiles import attach, exact_quantiles
 from barwright.operators.sequence import (CHUNK, CORE, balanced_chunk, chunk_window, salted_join, with_row_halo)
 
@@ -64,7 +64,7 @@ def row_checks(meta: Mapping[str, object], minutes: int, columns: Sequence[str])
     bad_number = any_of([F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in NUMERIC])
     o, h, l, c = (F.col(x) for x in PRICES)
     grid = F.pmod(F.unix_micros("ts"), F.lit(minutes * MICROS_PER_MINUTE))
-    wide = ratio(F.col("spread") * F.lit(float(meta["point"])), c) > WIDE_LIMIT
+    wide = unbounded_ratio(F.col("spread") * F.lit(float(meta["point"])), c) > WIDE_LIMIT
     checks = [
         finding(bad_number, "NONFINITE_OR_NULL", REJECT, "nonfinite numeric observation"),
         finding(F.col("ts").isNull(), "INVALID_TIME", REJECT, "missing timestamp"),
@@ -122,7 +122,7 @@ def add_neighbour_facts(silver: DataFrame, keys: Sequence[str], minutes: int) ->
                  .withColumn("previous_row", F.lag("source_row", 1).over(w))
                  .withColumn("previous_close", F.lag("close", 1).over(w)))
     run = F.sum("_same").over(w.rowsBetween(1 - STALE_ROWS, 0))
-    return (facts.withColumn("change", change("close", "previous_close"))
+    return (facts.withColumn("change", unbounded_ratio("close", "previous_close") - 1)
                  .withColumn("is_stale", F.coalesce(run == STALE_ROWS, F.lit(False)))
                  .where(F.col(CORE)).drop(CHUNK, CORE, "_same", "_slab"))
 

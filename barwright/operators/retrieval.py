@@ -74,7 +74,7 @@ def verify_manifest(found: DataFrame, manifest: DataFrame, dataset: str) -> Data
 
 
 # Which partition each research phase may read: fixed values.
-PHASE_PARTITIONS = {"DISCOVERY": "DEV", "CONFIRMATION": "VALIDATION"}
+PHASE_PARTITIONS = {"DISCOVERY": "DEV", "VALIDATION": "VALIDATION"}
 
 
 def partition_guard(df: DataFrame, phase: str, column: str = "partition") -> DataFrame:

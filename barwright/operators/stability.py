@@ -134,8 +134,8 @@ def evidence_score(df: DataFrame, minimum_effect: float) -> DataFrame:
 
 
 # Gates of the confirmation verdict: fixed values.
-CONFIRMATION_GATES = {"ci95_low": 0.0, "holm_p": 0.05, "bootstrap": 0.95, "sign": 0.95, "rows": 100, "sessions": 20, "years": 3,
-                      "temporal": 0.6, "year_share": 0.6, "skeptic": 0.65}
+CONFIRMATION_GATES = {"ci95_low": 0.0, "holm_p": 0.05, "bootstrap": 0.90, "sign": 0.90, "rows": 5000, "sessions": 200, "years": 3,
+                      "temporal": 0.6, "year_share": 0.6, "skeptic": 0.75}
 
 
 def confirmation_verdict(df: DataFrame, gates: Mapping[str, float] = CONFIRMATION_GATES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from barwright.functions.numeric import rounded
 from barwright.operators import custody as S
 from barwright.plans.bindings import Tables, day_chunk, rounded_all
-from barwright.plans.oracle import r
+from barwright.plans.oracle import canon, r
 from barwright.plans.registry import query
 from barwright.session import ensure_checkpoint_dir, materialize
 from barwright.streaming import capture
@@ -51,9 +51,17 @@ def window_plan(t: Tables) -> DataFrame:
     return S.plan_windows(batches(t), ORIGIN, 2, 60, week_of_batch()).select("batch", "window_start", "window_end", "clock_regression")
 
 
-@query("st03_duplicate_response", BATCH + """, f AS (SELECT batch, count(*) AS row_count, sum(('0x' || substr(md5(event_type), 1, 8))::BIGINT) AS h FROM bt GROUP BY batch) SELECT batch, row_count, coalesce(row_count = lag(row_count) OVER w AND h = lag(h) OVER w, false) AS duplicate_response FROM f WINDOW w AS (ORDER BY batch)""")
+RESPONSE = ["tick_id", "ts", "event_type", "value", "user_id", "k"]
+
+
+# Every fifth poll returns the response of the poll before once more.
+@query("st03_duplicate_response", BATCH + ", again AS (SELECT * FROM bt WHERE batch % 5 <> 1 UNION ALL SELECT * REPLACE (batch + 1 AS batch) FROM bt WHERE batch % 5 = 0), f AS (SELECT batch, count(*) AS row_count, list_sort(list(" + canon(*RESPONSE) +
+       ")) AS h FROM again GROUP BY batch) SELECT batch, row_count, coalesce(h = lag(h) OVER w, false) AS duplicate_response FROM f WINDOW w AS (ORDER BY batch)")
 def duplicate_response(t: Tables) -> DataFrame:
-    return S.duplicate_responses(batched(t), ["event_type"], week_of_batch()).drop("symbol")
+    polls = batched(t)
+    fifth = F.pmod("batch", F.lit(5))
+    again = polls.where(fifth != 1).unionByName(polls.where(fifth == 0).withColumn("batch", F.col("batch") + 1))
+    return S.duplicate_responses(again, RESPONSE, week_of_batch()).drop("symbol")
 
 
 @query("st04_overlap_resolution", BATCH + " SELECT tick_id, min(batch) AS batch, count(*) AS copies FROM bt GROUP BY tick_id")
@@ -83,11 +91,11 @@ def recovery_episodes(t: Tables) -> DataFrame:
 
 
 def samples(t: Tables) -> DataFrame:
-    s = raw(t).select("symbol", "tick_id", "ts", (F.col("k") / 20).alias("age_seconds"), (F.col("value") * 2).alias("uncertainty_ms"), F.col("user_id").cast("double").alias("disagreement_ms"))
-    return S.reference_validity(s, 5.0, 250.0, 145.0)
+    s = raw(t).select("symbol", "tick_id", "ts", (F.col("k") / 20).alias("age_seconds"), (F.col("value") * 2).alias("uncertainty_ms"), F.pmod("user_id", F.lit(105)).cast("double").alias("disagreement_ms"))
+    return S.reference_validity(s, 5.0, 250.0, 100.0)
 
 
-SAMPLES = BATCH + ", sm AS (SELECT symbol, tick_id, ts, coalesce(k / 20.0 BETWEEN 0 AND 5 AND value * 2 <= 250 AND user_id <= 145, false) AS valid FROM ev)"
+SAMPLES = BATCH + ", sm AS (SELECT symbol, tick_id, ts, coalesce(k / 20.0 BETWEEN 0 AND 5 AND value * 2 <= 250 AND user_id % 105 <= 100, false) AS valid FROM ev)"
 
 
 @query("st08_reference_validity", SAMPLES + " SELECT tick_id, valid FROM sm")

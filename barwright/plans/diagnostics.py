@@ -224,7 +224,7 @@ def text_bars(t: Tables) -> DataFrame:
 
 
 @query("src06_month_ranges", """SELECT greatest(m, a) AS range_start, least(m + INTERVAL 1 MONTH, b) AS range_end FROM
-  (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b, unnest(generate_series(date_trunc('month', min(o_orderdate))::TIMESTAMP, date_trunc('month', max(o_orderdate))::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM orders)""")
+  (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b, unnest(generate_series(date_trunc('month', min(o_orderdate))::TIMESTAMP, date_trunc('month', max(o_orderdate))::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM orders) WHERE greatest(m, a) < least(m + INTERVAL 1 MONTH, b)""")
 def month_ranges(t: Tables) -> DataFrame:
     return files.month_ranges(t.read("orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), "o_orderdate")
 

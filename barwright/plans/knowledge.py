@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from barwright.functions.numeric import rounded
 from barwright.operators import knowledge as K, scope as A
 from barwright.plans.bindings import Tables, rounded_all
-from barwright.plans.oracle import r
+from barwright.plans.oracle import canon, r
 from barwright.plans.registry import query
 from barwright.session import materialize
 
@@ -73,7 +73,7 @@ def recent(t: Tables) -> DataFrame:
     return K.keep_recent(t.events, ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id", "event_type")
 
 
-@query("k06_registry_conflicts", """WITH h AS (SELECT o_custkey, o_orderkey, sha256(concat_ws('|', 'SPEC', concat_ws('|', o_orderstatus, CASE WHEN o_totalprice > 250000 THEN 'BIG' ELSE 'SMALL' END))) AS h, (CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 0 END) AS miss FROM orders)
+@query("k06_registry_conflicts", """WITH h AS (SELECT o_custkey, o_orderkey, sha256(""" + canon("o_orderstatus", "CASE WHEN o_totalprice > 250000 THEN 'BIG' ELSE 'SMALL' END", version="SPEC") + """) AS h, (CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 0 END) AS miss FROM orders)
  SELECT o_custkey, count(*) AS registrations, arg_min(h, o_orderkey) AS spec_hash, sum(miss)::BIGINT AS missing_fields, CASE WHEN sum(miss) > 0 THEN 'INVALID' WHEN min(h) <> max(h) THEN 'CONFLICT' ELSE 'FROZEN' END AS status FROM h GROUP BY 1""")
 def registry(t: Tables) -> DataFrame:
     o = t.read("orders").withColumn("size", F.when(F.col("o_totalprice") > 250000, "BIG").otherwise("SMALL")).withColumn("priority", F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority")))

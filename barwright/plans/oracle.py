@@ -66,6 +66,12 @@ def states(spec: FeatureSpec, source: str = "bars", name: str = "states", labels
   real_volume AS state_real_volume, ts AS state_max_source_ts FROM {name}_b)"""
 
 
+def canon(*columns: str, version: str = "") -> str:
+    """The canonical text of columns: lengths in front, a dash for what is missing."""
+    head = [f"'{len(version)}:{version}'"] if version else []
+    return " || ".join(head + [f"coalesce(length(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in columns])
+
+
 def r(expression: str, digits: int = 6) -> str:
     return f"round(({expression})::DOUBLE, {digits}) + 0.0::DOUBLE"
 

@@ -39,7 +39,7 @@ def feed(t: Tables) -> DataFrame:
         at(7, F.lit("ALT"), F.col("symbol")).alias("symbol"),
         F.timestamp_micros(F.unix_micros("ts") + at(8, F.lit(7_000_000), F.lit(0))).alias("ts"),
         "open", at(1, F.col("low") - 1, F.col("high")).alias("high"), "low",
-        F.when(slot == 2, -F.col("close")).when(slot == 9, F.lit(None)).when(slot == 13, F.col("close") * 1.5)
+        F.when(slot == 2, -F.col("close")).when(slot == 9, F.lit(None)).when(slot == 13, F.col("close") * 1.5).when(slot == 16, F.lit(0.0))
          .otherwise(F.col("close")).cast("double").alias("close"),
         at(5, F.lit(0.0), F.col("tick_volume")).alias("tick_volume"),
         F.when(slot == 3, -1 - F.col("spread")).when(slot == 4, F.lit(0.0)).when(slot == 14, F.abs("close") * 200)
@@ -66,7 +66,7 @@ feed AS (SELECT 'FEED' AS dataset, bar_index * 4 + CASE WHEN slot = 15 THEN 14 E
   CASE WHEN slot = 7 THEN 'ALT' ELSE symbol END AS symbol,
   CASE WHEN slot = 8 THEN ts + INTERVAL 7 SECOND ELSE ts END AS ts, open,
   CASE WHEN slot = 1 THEN low - 1 ELSE high END AS high, low,
-  CASE slot WHEN 2 THEN -close WHEN 9 THEN NULL WHEN 13 THEN close * 1.5 ELSE close END::DOUBLE AS close,
+  CASE slot WHEN 2 THEN -close WHEN 9 THEN NULL WHEN 13 THEN close * 1.5 WHEN 16 THEN 0 ELSE close END::DOUBLE AS close,
   CASE WHEN slot = 5 THEN 0 ELSE tick_volume END AS tick_volume,
   CASE slot WHEN 3 THEN -1 - spread WHEN 4 THEN 0 WHEN 14 THEN abs(close) * 200 ELSE spread END
     + CASE WHEN slot = 12 AND cp = 1 THEN 1 ELSE 0 END AS spread,
@@ -79,7 +79,7 @@ silver AS (SELECT * FROM dupes WHERE NOT dup),
 near AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap_us, lag(close) OVER w AS pc,
   (close = lag(close) OVER w)::INT AS same FROM silver WINDOW w AS (ORDER BY ts, source_row)),
 facts AS (SELECT *, sum(same) OVER (ORDER BY ts, source_row ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS stale,
-  abs(close / nullif(pc, 0) - 1) > 0.02 AS jump FROM near)"""
+  CASE WHEN pc = 0 THEN close <> 0 ELSE abs(close / pc - 1) > 0.02 END AS jump FROM near)"""
 
 ROW_RULES = {
     "NONFINITE_OR_NULL": ("REJECT", "open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR tick_volume IS NULL OR spread IS NULL OR real_volume IS NULL"),
@@ -92,7 +92,7 @@ ROW_RULES = {
     "SYMBOL_CHANGE": ("REJECT", "symbol <> 'EVT'"),
     "BROKER_OR_CONTRACT_CHANGE": ("REVIEW", "broker <> 'HOME'"),
     "OFF_GRID_TIME": ("REVIEW", "epoch_us(ts) % 900000000 <> 0"),
-    "WIDE_SPREAD": ("KEEP_FLAGGED", "spread * 0.01 / nullif(close, 0) > 0.01"),
+    "WIDE_SPREAD": ("KEEP_FLAGGED", "CASE WHEN close = 0 THEN spread > 0 ELSE spread * 0.01 / close > 0.01 END"),
 }
 SERIES_RULES = {
     "GAP": ("REVIEW", "gap_us > 900000000"),

@@ -252,8 +252,8 @@ def replication(t: Tables) -> DataFrame:
 
 # Result tables for the verdict expressions: one row per customer, built from orders.
 RESULTS_SQL = """WITH q AS (SELECT o_custkey AS hypothesis, avg(o_totalprice) / 1e6 - 0.15 AS effect, count(*)::DOUBLE * 10 AS sessions, (min(o_totalprice) / 1e6 + 0.5)::DOUBLE AS temporal_favourable, least(1.0, 0.5 + count(*) / 20.0)::DOUBLE AS bootstrap_favourable,
- 0.75::DOUBLE AS cost_favourable, least(1.0, min(o_totalprice) / 1e6)::DOUBLE AS adjusted_p, true AS quality_ok, least(1.0, count(*) / 10.0)::DOUBLE AS parameter_favourable, count(*) % 3 > 0 AS controls_passed, count(*) >= 3 AS support_passed, 0.7::DOUBLE AS skeptic_survival,
- count(*) * 20 AS condition_rows, count(*) * 3 AS condition_sessions, count(DISTINCT year(o_orderdate)) AS condition_years, max(o_totalprice) / 1e6 - 0.4 AS net_return FROM orders GROUP BY o_custkey)"""
+ 0.75::DOUBLE AS cost_favourable, least(1.0, min(o_totalprice) / 1e6)::DOUBLE AS adjusted_p, true AS quality_ok, least(1.0, count(*) / 10.0)::DOUBLE AS parameter_favourable, count(*) % 3 > 0 AS controls_passed, count(*) >= 3 AS support_passed, CASE WHEN count(*) % 4 = 0 THEN 0.7 ELSE 0.8 END::DOUBLE AS skeptic_survival,
+ count(*) * 600 AS condition_rows, count(*) * 25 AS condition_sessions, count(DISTINCT year(o_orderdate)) AS condition_years, max(o_totalprice) / 1e6 - 0.4 AS net_return FROM orders GROUP BY o_custkey)"""
 
 
 def results(t: Tables) -> DataFrame:
@@ -263,7 +263,7 @@ def results(t: Tables) -> DataFrame:
         (F.avg(price) / 1e6 - 0.15).alias("effect"), (n.cast("double") * 10).alias("sessions"), (F.min(price) / 1e6 + 0.5).alias("temporal_favourable"),
         F.least(F.lit(1.0), 0.5 + n / 20.0).alias("bootstrap_favourable"), F.lit(0.75).alias("cost_favourable"), F.least(F.lit(1.0), F.min(price) / 1e6).alias("adjusted_p"),
         F.lit(True).alias("quality_ok"), F.least(F.lit(1.0), n / 10.0).alias("parameter_favourable"), (F.pmod(n, F.lit(3)) > 0).alias("controls_passed"), (n >= 3).alias("support_passed"),
-        F.lit(0.7).alias("skeptic_survival"), (n * 20).alias("condition_rows"), (n * 3).alias("condition_sessions"), F.count_distinct(F.year("o_orderdate")).alias("condition_years"),
+        F.when(F.pmod(n, F.lit(4)) == 0, 0.7).otherwise(0.8).alias("skeptic_survival"), (n * 600).alias("condition_rows"), (n * 25).alias("condition_sessions"), F.count_distinct(F.year("o_orderdate")).alias("condition_years"),
         (F.max(price) / 1e6 - 0.4).alias("net_return"))
 
 
@@ -282,8 +282,8 @@ def evidence_score(t: Tables) -> DataFrame:
     return out.select("hypothesis", rounded("score").alias("score"), F.concat_ws(",", "rejection_reasons").alias("rejection_reasons"), "verdict")
 
 
-GATES = reasons_sql([("same_direction", "effect > 0"), ("ci95_directional", "ci95_low > 0"), ("holm", "holm_p <= 0.05"), ("bootstrap_favourable", "favourable >= 0.95"), ("sign_stability", "sign_stability >= 0.95"),
-                     ("support", "condition_rows >= 100 AND condition_sessions >= 20 AND condition_years >= 3"), ("temporal", "temporal_favourable >= 0.6"), ("not_year_concentrated", "year_concentration <= 0.6"), ("skeptic", "skeptic_survival >= 0.65"), ("slow_structure", "slow_passed")])
+GATES = reasons_sql([("same_direction", "effect > 0"), ("ci95_directional", "ci95_low > 0"), ("holm", "holm_p <= 0.05"), ("bootstrap_favourable", "favourable >= 0.90"), ("sign_stability", "sign_stability >= 0.90"),
+                     ("support", "condition_rows >= 5000 AND condition_sessions >= 200 AND condition_years >= 3"), ("temporal", "temporal_favourable >= 0.6"), ("not_year_concentrated", "year_concentration <= 0.6"), ("skeptic", "skeptic_survival >= 0.75"), ("slow_structure", "slow_passed")])
 
 
 @query("t18_confirmation_verdict", RESULTS_SQL + f""", g AS (SELECT *, effect - 0.01 AS ci95_low, adjusted_p AS holm_p, bootstrap_favourable AS favourable, bootstrap_favourable AS sign_stability, 0.5 AS year_concentration, controls_passed AS slow_passed FROM q)

@@ -64,14 +64,14 @@ def nearest_states(t: Tables) -> DataFrame:
 
 HASHED = ["event_id", "user_id", "event_type", "cents"]
 EV = "(SELECT *, round(value * 100)::BIGINT AS cents FROM events)"
-CANON = "concat_ws('|', event_id, user_id, event_type, cents)"
+CANON = oracle.canon(*HASHED)
 
 
 def hashed_events(t: Tables) -> DataFrame:
     return t.events.withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
 
 
-@query("h01_record_hash", f"SELECT event_id, sha256(concat_ws('|', 'V1', {CANON})) AS record_hash FROM {EV}")
+@query("h01_record_hash", f"SELECT event_id, sha256({oracle.canon(*HASHED, version='V1')}) AS record_hash FROM {EV}")
 def record_hashes(t: Tables) -> DataFrame:
     return R.with_record_hash(hashed_events(t), "V1", HASHED).select("event_id", "record_hash")
 
@@ -101,10 +101,10 @@ def replay(t: Tables) -> DataFrame:
     return checked.groupBy("event_type").agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.col("intact")).alias("altered"))
 
 
-PHASES = "CASE event_type WHEN 'view' THEN 'DISCOVERY' WHEN 'click' THEN 'DISCOVERY' WHEN 'purchase' THEN 'CONFIRMATION' ELSE 'UNKNOWN' END"
+PHASES = "CASE event_type WHEN 'view' THEN 'DISCOVERY' WHEN 'click' THEN 'DISCOVERY' WHEN 'purchase' THEN 'VALIDATION' ELSE 'UNKNOWN' END"
 
 
-@query("x04_partition_guard", f"""SELECT phase, partition, CASE WHEN (phase = 'DISCOVERY' AND partition = 'DEV') OR (phase = 'CONFIRMATION' AND partition = 'VALIDATION') THEN 'ALLOWED' ELSE 'DENIED' END AS decision,
+@query("x04_partition_guard", f"""SELECT phase, partition, CASE WHEN (phase = 'DISCOVERY' AND partition = 'DEV') OR (phase = 'VALIDATION' AND partition = 'VALIDATION') THEN 'ALLOWED' ELSE 'DENIED' END AS decision,
   count(*) AS requests FROM (SELECT {PHASES} AS phase, CASE WHEN ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-17' THEN 'DEV' WHEN ts >= TIMESTAMP '2024-01-17' AND ts < TIMESTAMP '2024-01-23' THEN 'VALIDATION'
   WHEN ts >= TIMESTAMP '2024-01-23' AND ts < TIMESTAMP '2024-01-29' THEN 'LOCKED_OOS' ELSE 'OUTSIDE' END AS partition FROM events) GROUP BY ALL""")
 def guard(t: Tables) -> DataFrame:

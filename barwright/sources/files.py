@@ -119,7 +119,7 @@ def month_ranges(df: DataFrame, time: str) -> DataFrame:
     months = F.sequence(F.date_trunc("month", "_a"), F.date_trunc("month", "_b"), F.expr("interval 1 month"))
     out = span.select("_a", "_b", F.explode(months).alias("_m"))
     return out.select(F.greatest("_m", "_a").alias("range_start"),
-                      F.least(F.col("_m") + F.expr("interval 1 month"), F.col("_b")).alias("range_end"))
+                      F.least(F.col("_m") + F.expr("interval 1 month"), F.col("_b")).alias("range_end")).where("range_start < range_end")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
