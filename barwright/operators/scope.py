@@ -14,35 +14,43 @@ from barwright.functions.numeric import failed_names
 from barwright.session import materialize
 
 MAX_DEPTH = 32
+MAX_PARENTS = 32
 SETS = ("capabilities", "fields", "purposes", "consumers")
 
 
 def ancestor_closure(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, ancestor, depth) for every path length, the node itself at depth 0.
+    """(id, ancestor, depth): every ancestor of every certificate, itself included, and the longest way there, at most max_depth.
 
-    Level by level with a lineage cut per level; at most `max_depth` levels, each pair once per length.
-    A pair still alive at the last level marks a cycle or a chain that is too deep.
+    Path doubling: each round joins the ways found so far end to end, so the rounds grow with the logarithm of the longest chain. No
+    ancestor is left out; a depth at the limit marks a cycle or a chain that is too deep.
     """
-    up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("_next")).distinct()
-    frontier = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    out = frontier
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(up, "ancestor").select("id", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        frontier = materialize(step)
-        if frontier.isEmpty():
+    first = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(
+        edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    reach, size = materialize(first.groupBy("id", "ancestor").agg(F.max("depth").alias("depth"))), None
+    while True:
+        onward = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
+        longer = reach.join(onward, "ancestor").select("id", F.col("_far").alias("ancestor"), F.least(F.col("depth") + F.col("_more"), F.lit(max_depth)).alias("depth"))
+        reach = materialize(reach.unionByName(longer).groupBy("id", "ancestor").agg(F.max("depth").alias("depth")))
+        now = tuple(reach.agg(F.count(F.lit(1)), F.sum("depth")).first())
+        if now == size:
             break
-        out = out.unionByName(frontier)
-    return out
+        size = now
+    return reach
+
+
+def graph_status(max_depth: int = MAX_DEPTH) -> Column:
+    """Aggregate over the closure rows of one certificate, with `_known` set where the ancestor has a certificate."""
+    cyclic = F.max((F.col("depth") > 0) & (F.col("id") == F.col("ancestor")))
+    return (F.when(F.count_if(F.col("_known").isNull()) > 0, F.lit("UNKNOWN_CERTIFICATE"))
+             .when(cyclic | (F.max("depth") >= max_depth), F.lit("INVALID_PARENT_GRAPH")).otherwise(F.lit("OK")))
 
 
 def graph_problems(closure: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Certificates with a cycle, an overlong chain or an unknown ancestor."""
     known = nodes.select(F.col("id").alias("ancestor"), F.lit(True).alias("_known"))
-    facts = closure.join(known, "ancestor", "left").groupBy("id").agg(
+    return closure.join(known, "ancestor", "left").groupBy("id").agg(
         F.max("depth").alias("depth"), F.max((F.col("depth") > 0) & (F.col("id") == F.col("ancestor"))).alias("cyclic"),
-        F.count_if(F.col("_known").isNull()).alias("unknown_parents"))
-    return facts.withColumn("status", F.when(F.col("unknown_parents") > 0, F.lit("UNKNOWN_CERTIFICATE"))
-                            .when(F.col("cyclic") | (F.col("depth") >= max_depth), F.lit("INVALID_PARENT_GRAPH")).otherwise(F.lit("OK")))
+        F.count_if(F.col("_known").isNull()).alias("unknown_parents"), graph_status(max_depth).alias("status"))
 
 
 def common(column: str) -> Column:
@@ -50,13 +58,17 @@ def common(column: str) -> Column:
 
     The aggregate keeps one counter per distinct name; name sets come from closed vocabularies.
     """
-    return F.reduce(F.collect_set(column), F.first(column), lambda a, x: F.array_intersect(a, x))
+    return F.reduce(F.collect_set(column), F.first(column, ignorenulls=True), lambda a, x: F.array_intersect(a, x))
 
 
 def effective_scope(closure: DataFrame, certificates: DataFrame) -> DataFrame:
-    """What a certificate may really grant: the intersection over itself and all its ancestors."""
-    rows = closure.select("id", "ancestor").distinct().join(certificates.withColumnRenamed("id", "ancestor"), "ancestor")
+    """What a certificate may really grant: the intersection over itself and all its ancestors, and whether they are sound.
+
+    Ancestors without a certificate stay in, so that `graph_status` shows them.
+    """
+    rows = closure.join(certificates.withColumnRenamed("id", "ancestor").withColumn("_known", F.lit(True)), "ancestor", "left")
     return rows.groupBy("id").agg(
+        graph_status().alias("graph_status"),
         *[common(c).alias(c) for c in SETS], F.collect_set("instrument").alias("instruments"), F.collect_set("partition").alias("partitions"),
         F.max("period_from").alias("period_from"), F.min("period_to").alias("period_to"), F.max("valid_from").alias("valid_from"),
         F.min("valid_to").alias("valid_to"), F.max("revoked").alias("revoked"))
@@ -73,7 +85,7 @@ def authorize(requests: DataFrame, scopes: DataFrame, capability_purpose: Mappin
     missing_fields = F.size(F.array_except("fields", "_s_fields")) == 0
     inside = (F.col("_s_period_from") <= F.col("period_from")) & (F.col("period_to") <= F.col("_s_period_to"))
     checks = [
-        ("UNKNOWN_CERTIFICATE", F.col("_s_capabilities").isNotNull()), ("REVOKED_CERTIFICATE", ~F.col("_s_revoked")),
+        ("UNKNOWN_CERTIFICATE", F.col("_s_graph_status") != "UNKNOWN_CERTIFICATE"), ("INVALID_PARENT_GRAPH", F.col("_s_graph_status") != "INVALID_PARENT_GRAPH"), ("REVOKED_CERTIFICATE", ~F.col("_s_revoked")),
         ("NOT_YET_VALID", now >= F.col("_s_valid_from")), ("EXPIRED_CERTIFICATE", now < F.col("_s_valid_to")),
         ("CAPABILITY_NOT_CERTIFIED", F.array_contains("_s_capabilities", F.col("capability"))),
         ("PURPOSE_DENIED", (F.col("purpose") == F.element_at(purpose_of, F.col("capability"))) & F.array_contains("_s_purposes", F.col("purpose"))),
@@ -105,21 +117,45 @@ def manifest_violations(certificates: DataFrame, capability_purpose: Mapping[str
     return certificates.select("id", failed_names(checks).alias("violations"))
 
 
-def derive(edges: DataFrame, certificates: DataFrame) -> DataFrame:
-    """Child scopes as intersections of their parents (at most 32 by rule), with united provenance."""
-    rows = edges.join(certificates.withColumnRenamed("id", "parent"), "parent")
+def derive(edges: DataFrame, certificates: DataFrame, problems: DataFrame) -> DataFrame:
+    """Child scopes as intersections of their parents, in time too, with united provenance.
+
+    Refused: more parents than MAX_PARENTS, parents whose own graph is not sound (`problems` of `graph_problems`), parents of
+    different instruments or partitions, and empty intersections.
+    """
+    sound = problems.select(F.col("id").alias("parent"), F.col("status").alias("_status"))
+    rows = edges.join(certificates.withColumnRenamed("id", "parent"), "parent", "left").join(sound, "parent", "left")
     out = rows.groupBy("child").agg(
-        F.count(F.lit(1)).alias("parents"), *[F.array_sort(common(c)).alias(c) for c in SETS],
-        F.count_distinct("instrument").alias("_i"), F.count_distinct("partition").alias("_p"), F.max("period_from").alias("period_from"), F.min("period_to").alias("period_to"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("provenance")))).alias("provenance"))
-    empty = (F.size("capabilities") == 0) | (F.size("fields") == 0) | (F.size("purposes") == 0) | (F.size("consumers") == 0) | (F.col("period_from") >= F.col("period_to"))
-    status = (F.when((F.col("_i") > 1) | (F.col("_p") > 1), F.lit("CROSS_TRACK_OR_CONTEXT_JOIN")).when(empty, F.lit("EMPTY_PERMISSION_INTERSECTION")).otherwise(F.lit("DERIVED")))
-    return out.withColumn("status", status).drop("_i", "_p")
+        F.count(F.lit(1)).alias("parents"), *[F.array_sort(common(c)).alias(c) for c in SETS], F.count_distinct("instrument").alias("_i"), F.count_distinct("partition").alias("_p"),
+        F.max("period_from").alias("period_from"), F.min("period_to").alias("period_to"), F.max("valid_from").alias("valid_from"), F.min("valid_to").alias("valid_to"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("provenance")))).alias("provenance"),
+        F.count_if(F.coalesce("_status", F.lit("UNKNOWN_CERTIFICATE")) == "UNKNOWN_CERTIFICATE").alias("_unknown"), F.count_if(F.col("_status") == "INVALID_PARENT_GRAPH").alias("_invalid"))
+    empty = F.coalesce((F.size("capabilities") == 0) | (F.size("fields") == 0) | (F.size("purposes") == 0) | (F.size("consumers") == 0)
+                       | (F.col("period_from") >= F.col("period_to")) | (F.col("valid_from") >= F.col("valid_to")), F.lit(True))
+    status = (F.when(F.col("parents") > MAX_PARENTS, F.lit("INVALID_PARENTS")).when(F.col("_unknown") > 0, F.lit("UNKNOWN_CERTIFICATE")).when(F.col("_invalid") > 0, F.lit("INVALID_PARENT_GRAPH"))
+               .when((F.col("_i") > 1) | (F.col("_p") > 1), F.lit("CROSS_TRACK_OR_CONTEXT_JOIN")).when(empty, F.lit("EMPTY_PERMISSION_INTERSECTION")).otherwise(F.lit("DERIVED")))
+    return out.withColumn("status", status).drop("_i", "_p", "_unknown", "_invalid")
+
+
+def parent_violations(edges: DataFrame, certificates: DataFrame) -> DataFrame:
+    """(child, parent, violations): where a certificate grants what its parent does not."""
+    child, parent = (certificates.select(*[F.col(c).alias(f"_{side}_{c}") for c in certificates.columns]) for side in ("c", "p"))
+    rows = edges.join(child, F.col("child") == F.col("_c_id")).join(parent, F.col("parent") == F.col("_p_id"), "left")
+
+    def inside(span: str) -> Column:
+        return (F.col(f"_p_{span}_from") <= F.col(f"_c_{span}_from")) & (F.col(f"_c_{span}_to") <= F.col(f"_p_{span}_to"))
+    checks = [("PARENT_SCOPE_MISMATCH", (F.col("_c_instrument") == F.col("_p_instrument")) & (F.col("_c_partition") == F.col("_p_partition"))),
+              *[(f"DERIVATION_EXPANDS_{name.upper()}", F.size(F.array_except(f"_c_{name}", f"_p_{name}")) == 0) for name in SETS],
+              ("DERIVATION_EXPANDS_PERIOD", inside("period")), ("DERIVATION_EXPANDS_VALIDITY", inside("valid")),
+              ("PARENT_PROVENANCE_LOST", F.size(F.array_except("_p_provenance", "_c_provenance")) == 0)]
+    unknown = F.array(F.lit("UNKNOWN_CERTIFICATE"))
+    return rows.select("child", "parent", F.when(F.col("_p_id").isNull(), unknown).otherwise(failed_names(checks)).alias("violations"))
 
 
 def usable_at(closure: DataFrame, certificates: DataFrame, now: Column) -> DataFrame:
-    """State of each certificate at a time: any revoked, expired or future ancestor disables it."""
-    rows = closure.select("id", "ancestor").distinct().join(certificates.select(F.col("id").alias("ancestor"), "revoked", "valid_from", "valid_to"), "ancestor")
-    facts = rows.groupBy("id").agg(F.max("revoked").alias("_r"), F.max("valid_from").alias("_f"), F.min("valid_to").alias("_t"))
-    return facts.select("id", F.when(F.col("_r"), F.lit("REVOKED_CERTIFICATE")).when(now < F.col("_f"), F.lit("NOT_YET_VALID"))
+    """State of each certificate at a time: an unsound graph or any revoked, expired or future ancestor disables it."""
+    facts = certificates.select(F.col("id").alias("ancestor"), "revoked", "valid_from", "valid_to", F.lit(True).alias("_known"))
+    facts = closure.join(facts, "ancestor", "left").groupBy("id").agg(
+        graph_status().alias("_s"), F.max("revoked").alias("_r"), F.max("valid_from").alias("_f"), F.min("valid_to").alias("_t"))
+    return facts.select("id", F.when(F.col("_s") != "OK", F.col("_s")).when(F.col("_r"), F.lit("REVOKED_CERTIFICATE")).when(now < F.col("_f"), F.lit("NOT_YET_VALID"))
                         .when(now >= F.col("_t"), F.lit("EXPIRED_CERTIFICATE")).otherwise(F.lit("ACTIVE")).alias("state"))

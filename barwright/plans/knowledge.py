@@ -127,8 +127,11 @@ CERT = """WITH RECURSIVE c AS MATERIALIZED (SELECT s_suppkey AS k, 'SC1-' || s_s
  list_filter(['open', 'close', CASE WHEN s_suppkey % 4 <> 0 THEN 'spread' END], lambda x: x IS NOT NULL) AS fields, list_filter(['DISCOVERY', CASE WHEN s_suppkey % 5 <> 0 THEN 'MODELING' END, CASE WHEN s_suppkey % 6 <> 0 THEN 'AUDIT' END], lambda x: x IS NOT NULL) AS purposes,
  list_filter(['desk', CASE WHEN s_suppkey % 3 <> 0 THEN 'lab' END], lambda x: x IS NOT NULL) AS consumers, CASE WHEN s_suppkey % 11 = 10 THEN 'ALT' ELSE 'EVT' END AS instrument, CASE WHEN s_suppkey % 29 = 28 THEN 'VALIDATION' ELSE 'DEV' END AS partition,
  TIMESTAMP '2024-01-01' + to_days(s_nationkey) AS period_from, TIMESTAMP '2024-06-01' - to_days(s_nationkey) AS period_to, TIMESTAMP '2024-01-01' + to_days(s_nationkey * 2) AS valid_from, TIMESTAMP '2024-05-01' - to_days(s_nationkey * 2) AS valid_to, s_acctbal < -500 AS revoked,
- ['fixture:' || (s_suppkey % 13)] AS provenance FROM supplier), ed AS (SELECT id AS child, 'SC1-' || (k // 2) AS parent FROM c WHERE k > 1 UNION SELECT id, 'SC1-' || (k // 3) FROM c WHERE k > 2),
- cl AS (SELECT id, id AS ancestor, 0 AS depth FROM c UNION SELECT cl.id, ed.parent, cl.depth + 1 FROM cl JOIN ed ON ed.child = cl.ancestor WHERE cl.depth < 32)"""
+ ['fixture:' || (s_suppkey % 13)] AS provenance FROM supplier), ed AS (SELECT id AS child, 'SC1-' || (k // 2) AS parent FROM c WHERE k > 1 UNION SELECT id, 'SC1-' || (k // 3) FROM c WHERE k > 2
+  UNION SELECT id, 'SC1-' || (k - 1) FROM c WHERE k % 100 BETWEEN 51 AND 95 UNION SELECT id, 'SC1-missing-' || k FROM c WHERE k % 100 = 49 UNION SELECT id, id FROM c WHERE k % 100 = 97 UNION SELECT id, 'SC1-' || (k * 2) FROM c WHERE k % 100 = 48),
+ walk AS (SELECT id, id AS ancestor, 0 AS depth FROM c UNION SELECT walk.id, ed.parent, walk.depth + 1 FROM walk JOIN ed ON ed.child = walk.ancestor WHERE walk.depth < 120),
+ cl AS MATERIALIZED (SELECT id, ancestor, least(max(depth), 32) AS depth FROM walk GROUP BY ALL),
+ gs AS MATERIALIZED (SELECT id, CASE WHEN count(*) FILTER (ancestor NOT IN (SELECT id FROM c)) > 0 THEN 'UNKNOWN_CERTIFICATE' WHEN max(depth) >= 32 OR bool_or(depth > 0 AND id = ancestor) THEN 'INVALID_PARENT_GRAPH' ELSE 'OK' END AS status FROM cl GROUP BY id)"""
 
 
 def certificates(t: Tables) -> DataFrame:
@@ -148,8 +151,11 @@ def certificates(t: Tables) -> DataFrame:
 
 
 def parent_edges(c: DataFrame) -> DataFrame:
-    parents = F.array_distinct(F.array_compact(F.array(F.when(F.col("k") > 1, F.floor(F.col("k") / 2)), F.when(F.col("k") > 2, F.floor(F.col("k") / 3)))))
-    return c.select(F.col("id").alias("child"), F.explode(parents).alias("_p")).select("child", F.concat(F.lit("SC1-"), F.col("_p").cast("string")).alias("parent"))
+    """Halves and thirds, and per hundred a chain that is too deep, an unknown parent, a certificate that is its own parent, and two that are each other's."""
+    k, tail = F.col("k"), F.pmod("k", F.lit(100))
+    numbers = [F.when(k > 1, F.floor(k / 2)), F.when(k > 2, F.floor(k / 3)), F.when(tail.between(51, 95), k - 1), F.when(tail == 97, k), F.when(tail == 48, k * 2)]
+    parents = F.array_distinct(F.array_compact(F.array(*[n.cast("string") for n in numbers], F.when(tail == 49, F.concat(F.lit("missing-"), k.cast("string"))))))
+    return c.select(F.col("id").alias("child"), F.explode(parents).alias("_p")).select("child", F.concat(F.lit("SC1-"), F.col("_p")).alias("parent"))
 
 
 def closure(t: Tables) -> DataFrame:
@@ -168,13 +174,13 @@ def graph_problems(t: Tables) -> DataFrame:
 
 REQ = """, rq AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, 'SC1-' || l_suppkey AS certificate, CASE l_returnflag WHEN 'A' THEN 'PRICE' WHEN 'N' THEN 'FEATURES' ELSE 'LABELS' END AS capability, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'R' THEN 'DISCOVERY' WHEN l_returnflag = 'A' THEN 'DISCOVERY' WHEN l_returnflag = 'N' THEN 'MODELING' ELSE 'AUDIT' END AS purpose,
  CASE WHEN l_quantity < 40 THEN 'desk' ELSE 'lab' END AS consumer, 'EVT' AS instrument, 'DEV' AS partition, CASE WHEN l_discount > 0.05 THEN ['open', 'spread'] ELSE ['open'] END AS fields, TIMESTAMP '2024-01-25' AS period_from, TIMESTAMP '2024-05-08' + to_days((l_tax * 100)::INT) AS period_to FROM lineitem),
- anc AS MATERIALIZED (SELECT DISTINCT id, ancestor FROM cl), x AS (SELECT rq.*, c.*, CASE WHEN revoked THEN 2 WHEN TIMESTAMP '2024-03-15' < valid_from THEN 3 WHEN TIMESTAMP '2024-03-15' >= valid_to THEN 4 WHEN NOT list_contains(capabilities, capability) THEN 5
+ anc AS MATERIALIZED (SELECT DISTINCT id, ancestor, status FROM cl JOIN gs USING (id)), x AS (SELECT rq.*, c.*, CASE WHEN anc.status = 'UNKNOWN_CERTIFICATE' THEN 0 WHEN anc.status = 'INVALID_PARENT_GRAPH' THEN 1 WHEN revoked THEN 2 WHEN TIMESTAMP '2024-03-15' < valid_from THEN 3 WHEN TIMESTAMP '2024-03-15' >= valid_to THEN 4 WHEN NOT list_contains(capabilities, capability) THEN 5
   WHEN NOT (purpose = CASE capability WHEN 'PRICE' THEN 'DISCOVERY' WHEN 'FEATURES' THEN 'MODELING' ELSE 'AUDIT' END AND list_contains(purposes, purpose)) THEN 6 WHEN NOT list_contains(consumers, consumer) THEN 7 WHEN c.instrument <> rq.instrument THEN 8 WHEN c.partition <> rq.partition THEN 9
-  WHEN NOT list_has_all(c.fields, rq.fields) THEN 10 WHEN NOT (c.period_from <= rq.period_from AND rq.period_to <= c.period_to) THEN 11 ELSE 99 END AS bad FROM rq JOIN anc ON anc.id = rq.certificate JOIN c ON c.id = anc.ancestor),
+  WHEN NOT list_has_all(c.fields, rq.fields) THEN 10 WHEN NOT (c.period_from <= rq.period_from AND rq.period_to <= c.period_to) THEN 11 ELSE 99 END AS bad FROM rq JOIN anc ON anc.id = rq.certificate LEFT JOIN c ON c.id = anc.ancestor),
  w AS (SELECT rid, any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, min(bad) AS bad FROM x GROUP BY rid)"""
 
 
-@query("a02_authorisation", CERT + REQ + """ SELECT l_orderkey, l_linenumber, CASE WHEN bad = 99 THEN 'ALLOW' ELSE 'DENY' END AS decision, CASE bad WHEN 2 THEN 'REVOKED_CERTIFICATE' WHEN 3 THEN 'NOT_YET_VALID' WHEN 4 THEN 'EXPIRED_CERTIFICATE' WHEN 5 THEN 'CAPABILITY_NOT_CERTIFIED' WHEN 6 THEN 'PURPOSE_DENIED'
+@query("a02_authorisation", CERT + REQ + """ SELECT l_orderkey, l_linenumber, CASE WHEN bad = 99 THEN 'ALLOW' ELSE 'DENY' END AS decision, CASE bad WHEN 0 THEN 'UNKNOWN_CERTIFICATE' WHEN 1 THEN 'INVALID_PARENT_GRAPH' WHEN 2 THEN 'REVOKED_CERTIFICATE' WHEN 3 THEN 'NOT_YET_VALID' WHEN 4 THEN 'EXPIRED_CERTIFICATE' WHEN 5 THEN 'CAPABILITY_NOT_CERTIFIED' WHEN 6 THEN 'PURPOSE_DENIED'
  WHEN 7 THEN 'CONSUMER_DENIED' WHEN 8 THEN 'INSTRUMENT_DENIED' WHEN 9 THEN 'PARTITION_DENIED' WHEN 10 THEN 'FIELD_NOT_CERTIFIED' WHEN 11 THEN 'PERIOD_DENIED' ELSE 'FULL_SCOPE_VALIDATED' END AS reason FROM w""")
 def authorisation(t: Tables) -> DataFrame:
     li = t.read("lineitem")
@@ -195,16 +201,30 @@ def manifest_violations(t: Tables) -> DataFrame:
     return A.manifest_violations(certificates(t), PURPOSE, ALLOWED).withColumn("violations", F.concat_ws(",", "violations"))
 
 
-@query("a04_derivation", CERT + """, pr AS (SELECT ed.child, c.* FROM ed JOIN c ON c.id = ed.parent), g AS (SELECT child, count(*) AS parents, list_reduce(list(capabilities), lambda a, b: list_intersect(a, b)) AS capabilities, list_reduce(list(fields), lambda a, b: list_intersect(a, b)) AS fields, list_reduce(list(purposes), lambda a, b: list_intersect(a, b)) AS purposes,
- list_reduce(list(consumers), lambda a, b: list_intersect(a, b)) AS consumers, count(DISTINCT instrument) AS ni, count(DISTINCT partition) AS np, max(period_from) AS period_from, min(period_to) AS period_to, list_sort(list_distinct(flatten(list(provenance)))) AS provenance FROM pr GROUP BY child)
- SELECT child, parents, array_to_string(list_sort(capabilities), ',') AS capabilities, array_to_string(list_sort(fields), ',') AS fields, array_to_string(list_sort(purposes), ',') AS purposes, array_to_string(list_sort(consumers), ',') AS consumers, period_from, period_to, array_to_string(provenance, ',') AS provenance,
- CASE WHEN ni > 1 OR np > 1 THEN 'CROSS_TRACK_OR_CONTEXT_JOIN' WHEN len(capabilities) = 0 OR len(fields) = 0 OR len(purposes) = 0 OR len(consumers) = 0 OR period_from >= period_to THEN 'EMPTY_PERMISSION_INTERSECTION' ELSE 'DERIVED' END AS status FROM g""")
+@query("a04_derivation", CERT + """, pr AS (SELECT ed.child, coalesce(gs.status, 'UNKNOWN_CERTIFICATE') AS sound, c.* FROM ed LEFT JOIN c ON c.id = ed.parent LEFT JOIN gs ON gs.id = ed.parent),
+ g AS (SELECT child, count(*) AS parents, list_reduce(list(capabilities) FILTER (capabilities IS NOT NULL), lambda a, b: list_intersect(a, b)) AS capabilities, list_reduce(list(fields) FILTER (fields IS NOT NULL), lambda a, b: list_intersect(a, b)) AS fields, list_reduce(list(purposes) FILTER (purposes IS NOT NULL), lambda a, b: list_intersect(a, b)) AS purposes,
+ list_reduce(list(consumers) FILTER (consumers IS NOT NULL), lambda a, b: list_intersect(a, b)) AS consumers, count(DISTINCT instrument) AS ni, count(DISTINCT partition) AS np, max(period_from) AS period_from, min(period_to) AS period_to, max(valid_from) AS valid_from, min(valid_to) AS valid_to,
+ list_sort(list_distinct(flatten(list(provenance) FILTER (provenance IS NOT NULL)))) AS provenance, count(*) FILTER (sound = 'UNKNOWN_CERTIFICATE') AS nu, count(*) FILTER (sound = 'INVALID_PARENT_GRAPH') AS nb FROM pr GROUP BY child)
+ SELECT child, parents, array_to_string(list_sort(capabilities), ',') AS capabilities, array_to_string(list_sort(fields), ',') AS fields, array_to_string(list_sort(purposes), ',') AS purposes, array_to_string(list_sort(consumers), ',') AS consumers, period_from, period_to, valid_from, valid_to, array_to_string(provenance, ',') AS provenance,
+ CASE WHEN parents > 32 THEN 'INVALID_PARENTS' WHEN nu > 0 THEN 'UNKNOWN_CERTIFICATE' WHEN nb > 0 THEN 'INVALID_PARENT_GRAPH' WHEN ni > 1 OR np > 1 THEN 'CROSS_TRACK_OR_CONTEXT_JOIN'
+ WHEN len(capabilities) = 0 OR len(fields) = 0 OR len(purposes) = 0 OR len(consumers) = 0 OR period_from >= period_to OR valid_from >= valid_to THEN 'EMPTY_PERMISSION_INTERSECTION' ELSE 'DERIVED' END AS status FROM g""")
 def derivation(t: Tables) -> DataFrame:
     c = certificates(t)
-    d = A.derive(parent_edges(c).join(c.select(F.col("id").alias("parent")), "parent", "left_semi"), c.drop("k"))
-    return d.select("child", "parents", *[F.concat_ws(",", x).alias(x) for x in ("capabilities", "fields", "purposes", "consumers")], "period_from", "period_to", F.concat_ws(",", "provenance").alias("provenance"), "status")
+    d = A.derive(parent_edges(c), c.drop("k"), A.graph_problems(closure(t), c))
+    return d.select("child", "parents", *[F.concat_ws(",", x).alias(x) for x in A.SETS], "period_from", "period_to", "valid_from", "valid_to", F.concat_ws(",", "provenance").alias("provenance"), "status")
 
 
-@query("a05_state_at_time", CERT + """, anc AS (SELECT DISTINCT id, ancestor FROM cl) SELECT anc.id, CASE WHEN bool_or(revoked) THEN 'REVOKED_CERTIFICATE' WHEN TIMESTAMP '2024-03-15' < max(valid_from) THEN 'NOT_YET_VALID' WHEN TIMESTAMP '2024-03-15' >= min(valid_to) THEN 'EXPIRED_CERTIFICATE' ELSE 'ACTIVE' END AS state FROM anc JOIN c ON c.id = anc.ancestor GROUP BY anc.id""")
+@query("a04_narrower_than_parent", CERT + """ SELECT ed.child, ed.parent, CASE WHEN p.id IS NULL THEN 'UNKNOWN_CERTIFICATE' ELSE array_to_string(list_filter([CASE WHEN x.instrument <> p.instrument OR x.partition <> p.partition THEN 'PARENT_SCOPE_MISMATCH' END,
+ CASE WHEN NOT list_has_all(p.capabilities, x.capabilities) THEN 'DERIVATION_EXPANDS_CAPABILITIES' END, CASE WHEN NOT list_has_all(p.fields, x.fields) THEN 'DERIVATION_EXPANDS_FIELDS' END, CASE WHEN NOT list_has_all(p.purposes, x.purposes) THEN 'DERIVATION_EXPANDS_PURPOSES' END,
+ CASE WHEN NOT list_has_all(p.consumers, x.consumers) THEN 'DERIVATION_EXPANDS_CONSUMERS' END, CASE WHEN NOT (p.period_from <= x.period_from AND x.period_to <= p.period_to) THEN 'DERIVATION_EXPANDS_PERIOD' END,
+ CASE WHEN NOT (p.valid_from <= x.valid_from AND x.valid_to <= p.valid_to) THEN 'DERIVATION_EXPANDS_VALIDITY' END, CASE WHEN NOT list_has_all(x.provenance, p.provenance) THEN 'PARENT_PROVENANCE_LOST' END], lambda v: v IS NOT NULL), ',') END AS violations
+ FROM ed JOIN c AS x ON x.id = ed.child LEFT JOIN c AS p ON p.id = ed.parent""")
+def narrower(t: Tables) -> DataFrame:
+    c = certificates(t)
+    return A.parent_violations(parent_edges(c), c.drop("k")).withColumn("violations", F.concat_ws(",", "violations"))
+
+
+@query("a05_state_at_time", CERT + """ SELECT cl.id, CASE WHEN any_value(gs.status) <> 'OK' THEN any_value(gs.status) WHEN bool_or(revoked) THEN 'REVOKED_CERTIFICATE' WHEN TIMESTAMP '2024-03-15' < max(valid_from) THEN 'NOT_YET_VALID'
+ WHEN TIMESTAMP '2024-03-15' >= min(valid_to) THEN 'EXPIRED_CERTIFICATE' ELSE 'ACTIVE' END AS state FROM cl JOIN gs ON gs.id = cl.id LEFT JOIN c ON c.id = cl.ancestor GROUP BY cl.id""")
 def state_at(t: Tables) -> DataFrame:
     return A.usable_at(closure(t), certificates(t), F.lit(NOW).cast("timestamp"))

@@ -78,6 +78,34 @@ def test_scope_closure_detects_cycles(spark):
     assert got == {"a": "INVALID_PARENT_GRAPH", "b": "INVALID_PARENT_GRAPH", "c": "OK", "d": "UNKNOWN_CERTIFICATE"}
 
 
+def test_unsound_ancestries_are_denied(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(40)]
+    edges = spark.createDataFrame(chain + [("orphan", "nobody"), ("self", "self"), ("under", "self"), ("child", "root"), ("grandchild", "child")], "child string, parent string")
+    ids = [f"n{i}" for i in range(41)] + ["orphan", "self", "under", "root", "child", "grandchild", "free"]
+    day = "2024-01-01 00:00:00"
+    rows = [(i, ["PRICE"], ["open"], ["DISCOVERY"], ["desk"], "EVT", "DEV", day, "2025-01-01 00:00:00", day, "2025-01-01 00:00:00", i in ("n40", "root")) for i in ids]
+    certs = spark.createDataFrame(rows, "id string, capabilities array<string>, fields array<string>, purposes array<string>, consumers array<string>, instrument string, partition string, "
+                                  "period_from string, period_to string, valid_from string, valid_to string, revoked boolean")
+    certs = certs.withColumns({c: F.col(c).cast("timestamp") for c in ("period_from", "period_to", "valid_from", "valid_to")})
+    closure = A.ancestor_closure(certs, edges)
+    now = F.lit("2024-06-01").cast("timestamp")
+    wanted = spark.createDataFrame([(i, "PRICE", "DISCOVERY", "desk", "EVT", "DEV", ["open"]) for i in [*ids, "nobody"]],
+                                   "certificate string, capability string, purpose string, consumer string, instrument string, partition string, fields array<string>")
+    wanted = wanted.withColumns({"period_from": F.lit("2024-02-01").cast("timestamp"), "period_to": F.lit("2024-03-01").cast("timestamp")})
+    got = {r["certificate"]: r["reason"] for r in A.authorize(wanted, A.effective_scope(closure, certs), {"PRICE": "DISCOVERY"}, now).collect()}
+    state = {r["id"]: r["state"] for r in A.usable_at(closure, certs, now).collect()}
+    want = {"orphan": "UNKNOWN_CERTIFICATE", "self": "INVALID_PARENT_GRAPH", "under": "INVALID_PARENT_GRAPH", "n0": "INVALID_PARENT_GRAPH", "n20": "REVOKED_CERTIFICATE", "grandchild": "REVOKED_CERTIFICATE"}
+    assert all(got[i] == reason and state[i] == reason for i, reason in want.items())
+    assert got["free"] == "FULL_SCOPE_VALIDATED" and state["free"] == "ACTIVE" and got["nobody"] == "UNKNOWN_CERTIFICATE"
+
+
+def test_canonical_text_is_unambiguous(spark):
+    from barwright.functions.hashing import record_hash
+    rows = [("a|b", "c"), ("a", "b|c"), ("~", None), (None, "~"), (None, None), ("", "-"), ("-", "")]
+    found = spark.createDataFrame(rows, "x string, y string").select(record_hash("V", ["x", "y"]).alias("h")).distinct().count()
+    assert found == len(rows)
+
+
 def test_lexical_relevance_and_edges(spark):
     df = spark.createDataFrame([(1, "El precio sube RÁPIDO", ["oro"], 0.5), (2, "", None, None)], "id long, content string, tags array<string>, confidence double")
     got = {r["id"]: r["relevance"] for r in K.relevance(df, "precio rápido", "content", "tags", "confidence").collect()}
