@@ -80,25 +80,31 @@ def bootstrap_summary(distribution: DataFrame, observed: DataFrame, by: Sequence
 
 def _tail(null: DataFrame, observed: DataFrame, by: Sequence[str], direction: str, count: int) -> DataFrame:
     both = null.join(observed, list(by))
-    extreme = {"GREATER": F.col("mean") >= F.col("observed"), "LESS": F.col("mean") <= F.col("observed")}.get(
-        direction, F.abs("mean") >= F.abs("observed"))
+    # Resamples that repeat the observation count as extreme, whatever the order of summation did to the last digit.
+    near = F.lit(TIE)
+    extreme = {"GREATER": F.col("mean") >= F.col("observed") - near, "LESS": F.col("mean") <= F.col("observed") + near}.get(
+        direction, F.abs("mean") >= F.abs("observed") - near)
     return both.groupBy(*by).agg(F.max("observed").alias("observed"), F.percentile("mean", F.lit(0.5)).alias("null_median"),
                                  ((F.count_if(extreme) + 1) / F.lit(count + 1)).alias("p_value"))
 
 
 COINS = 32
+TIE = 1e-12
 
 
 def sign_flip_test(placed: DataFrame, by: Sequence[str], count: int, seed: Column, direction: str = "GREATER") -> DataFrame:
     """Paired permutation: every effect keeps or changes its sign by a hashed coin.
 
-    One hash yields 32 coins, so a row is hashed once per 32 resamples; sums are partial before the shuffle.
+    One hash yields 32 coins, so a row is repeated once per 32 resamples, whose means are 32 columns of one partial aggregate.
     """
-    tosses = placed.select(*by, "pos", "effect", seed.alias("_seed"), F.explode(F.sequence(F.lit(0), F.lit((count - 1) // COINS))).alias("_block"))
-    tosses = tosses.withColumn("_h", hashed_int("_seed", "_block", "pos")).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(COINS - 1))))
-    rows = tosses.withColumn("resample", F.col("_block") * COINS + F.col("_bit")).where(F.col("resample") < count)
-    tails = F.expr("shiftright(_h, _bit)").bitwiseAND(F.lit(1)) == 1
-    null = rows.groupBy(*by, "resample").agg(F.avg(F.when(tails, -F.col("effect")).otherwise(F.col("effect"))).alias("mean"))
+    tosses = placed.select(*by, "effect", F.explode(F.sequence(F.lit(0), F.lit((count - 1) // COINS))).alias("_block"), "pos", seed.alias("_seed"))
+    tosses = tosses.withColumn("_h", hashed_int("_seed", "_block", "pos"))
+
+    def flipped(bit: int) -> Column:
+        tails = F.shiftright("_h", bit).bitwiseAND(F.lit(1)) == 1
+        return F.avg(F.when(tails, -F.col("effect")).otherwise(F.col("effect")))
+    blocks = tosses.groupBy(*by, "_block").agg(F.array(*[flipped(bit) for bit in range(COINS)]).alias("_means"))
+    null = blocks.select(*by, "_block", F.posexplode("_means").alias("_bit", "mean")).where(F.col("_block") * COINS + F.col("_bit") < count)
     observed = placed.groupBy(*by).agg(F.avg("effect").alias("observed"))
     return _tail(null, observed, by, direction, count)
 

@@ -200,9 +200,23 @@ def derived_reads(t: Tables) -> DataFrame:
 
 # ---- streaming twins ---------------------------------------------------------------------------------
 
-def _stream(t: Tables) -> DataFrame:
-    schema = t.read("events").schema
-    return capture.tick_stream(t.spark, f"{t.dir}/events.parq*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+SLICES, DELAY = 8, "3 days"
+# Landing of the ticks in eight files in order of time; one in eleven comes a file later, one in thirty-seven three files later.
+LANDED = f"""WITH ev AS (SELECT *, least({SLICES - 1}, (epoch_us(ts) - epoch_us((SELECT min(ts) FROM events))) * {SLICES} // (epoch_us((SELECT max(ts) FROM events)) - epoch_us((SELECT min(ts) FROM events)) + 1)
+ + CASE WHEN event_id % 37 = 5 THEN 3 WHEN event_id % 11 = 4 THEN 1 ELSE 0 END)::INT AS slice FROM events)"""
+
+
+def landed(t: Tables, out: str, copies: int = 1) -> DataFrame:
+    """The events as they would land, one file after the other, read as a stream of one file per micro-batch."""
+    ends = t.events.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
+    home = F.floor((F.unix_micros("ts") - ends["a"]) * SLICES / (ends["b"] - ends["a"] + 1))
+    late = F.when(F.pmod("event_id", F.lit(37)) == 5, 3).when(F.pmod("event_id", F.lit(11)) == 4, 1).otherwise(0)
+    rows = t.events.withColumn("slice", F.least(F.lit(SLICES - 1), home + late).cast("int"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    for part in range(SLICES):
+        # Copies come a file later, as overlapping polls bring them.
+        rows.where(F.least(F.col("slice") + F.col("_copy"), F.lit(SLICES - 1)) == part).drop("_copy", "slice").coalesce(1).write.mode("append").parquet(f"{out}/landing")
+    return capture.tick_stream(t.spark, f"{out}/landing", t.events.schema, files_per_trigger=1)
 
 
 def _out(t: Tables) -> str:
@@ -212,40 +226,59 @@ def _out(t: Tables) -> str:
 @query("st01_stream_ingest", "SELECT event_id, ts, user_id FROM events")
 def stream_ingest(t: Tables) -> DataFrame:
     out = _out(t)
-    capture.ingest(_stream(t), f"{out}/data", f"{out}/journal")
+    capture.ingest(landed(t, out), f"{out}/data", f"{out}/journal")
     return t.spark.read.parquet(f"{out}/data").select("event_id", "ts", "user_id")
 
 
 @query("st04_stream_dedupe", "SELECT event_id FROM events")
 def stream_dedupe(t: Tables) -> DataFrame:
-    """Every tick arrives twice, as overlapping polls deliver it; one copy passes."""
+    """Every tick arrives twice, in two files, as overlapping polls deliver it, some long after their time; one copy passes."""
     out = _out(t)
-    twice = _stream(t).withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    capture.run_to_table(capture.deduplicated(twice, "ts", ["event_id"], "10 minutes"), f"{out}/data", f"{out}/journal")
+    capture.run_to_table(capture.deduplicated(landed(t, out, copies=2), ["event_id"], "1 hour"), f"{out}/data", f"{out}/journal")
     return t.spark.read.parquet(f"{out}/data").select("event_id")
 
 
-@query("st05_stream_late_split", "SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-02'")
+@query("st05_stream_late_split", "SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-02' THEN 'rejected' ELSE 'accepted' END AS status FROM events")
 def stream_late(t: Tables) -> DataFrame:
+    """Accepted and rejected ticks together are those received."""
     out = _out(t)
-    _, early = capture.split_late(_stream(t), ORIGIN)
-    capture.run_to_table(early.select("event_id", "ts"), f"{out}/data", f"{out}/journal")
-    return t.spark.read.parquet(f"{out}/data")
+    capture.split_by_origin(landed(t, out), f"{out}/data", f"{out}/journal", ORIGIN)
+    return t.spark.read.parquet(f"{out}/data").select("event_id", "ts", "status")
+
+
+LEDGER = EPI.replace("'EVT' AS symbol", "event_type AS symbol").replace("(ORDER BY batch", "(PARTITION BY symbol ORDER BY batch").replace("SELECT batch, lag_seconds, st = 1", "SELECT symbol, batch, lag_seconds, st = 1")
 
 
-@query("st07_stream_episodes", EPISODES.replace("WHERE episode IS NOT NULL GROUP BY episode", "WHERE episode IS NOT NULL GROUP BY episode HAVING max(CASE WHEN closes THEN batch END) IS NOT NULL"))
+@query("st07_stream_episodes", LEDGER + " SELECT symbol, episode, count(*) FILTER (child) AS children, count(*) AS batches, max(CASE WHEN closes THEN batch END) AS closed_batch FROM er WHERE episode IS NOT NULL GROUP BY symbol, episode")
 def stream_episodes(t: Tables) -> DataFrame:
-    """The batch ledger replayed as a stream through the stateful operator; open episodes are not emitted."""
+    """The batch ledger of each event type replayed in four files through the stateful operator, open episodes included."""
     out = _out(t)
-    batches(t).select("symbol", "batch", "lag_seconds").write.parquet(f"{out}/ledger")
-    source = capture.tick_stream(t.spark, f"{out}/ledger", t.spark.read.parquet(f"{out}/ledger").schema)
+    ledger = materialize(S.batch_table(S.assign_batches(raw(t).withColumn("symbol", F.col("event_type")), WIDTH, OVERLAP, "tick_id"), WIDTH).select("symbol", "batch", "lag_seconds"))
+    ends = ledger.agg(F.min("batch").alias("a"), F.max("batch").alias("b")).first()
+    for part in range(4):
+        ledger.where(F.floor((F.col("batch") - ends["a"]) * 4 / (ends["b"] - ends["a"] + 1)) == part).coalesce(1).write.mode("append").parquet(f"{out}/ledger")
+    source = capture.tick_stream(t.spark, f"{out}/ledger", ledger.schema, files_per_trigger=1)
     capture.run_to_table(capture.episodes(source, OPEN, CLOSE), f"{out}/data", f"{out}/journal")
-    return t.spark.read.schema(capture.EPISODE_OUTPUT).parquet(f"{out}/data").drop("symbol")
+    return capture.episode_table(t.spark.read.schema(capture.EPISODE_OUTPUT).parquet(f"{out}/data"))
 
 
-@query("st12_stream_heartbeat_sessions")
+@query("st12_stream_heartbeat_sessions", LANDED + f""", nw AS (SELECT slice, max(ts) AS newest FROM ev GROUP BY slice), wm AS (SELECT a.slice, max(b.newest) AS newest FROM nw a LEFT JOIN nw b ON b.slice < a.slice GROUP BY a.slice),
+ st AS (SELECT ev.*, coalesce(ts < newest - INTERVAL {DELAY}, false) AS late FROM ev JOIN wm USING (slice)), g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)) > 3600000000, true)::INT AS fresh FROM st WHERE NOT late),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
+ SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS beats FROM s GROUP BY event_type, n UNION ALL SELECT event_type || ':late', NULL, NULL, count(*) FROM st WHERE late GROUP BY event_type""")
 def stream_heartbeats(t: Tables) -> DataFrame:
-    """Sessions closed by the watermark; the last one of each key stays in state."""
+    """Sessions of the accepted beats, the open ones flushed, and how many beats of each type came too late."""
     out = _out(t)
-    capture.run_to_table(capture.heartbeat_sessions(_stream(t), "ts", "event_type", "60 minutes", "1 minute"), f"{out}/data", f"{out}/journal")
-    return t.spark.read.parquet(f"{out}/data")
+    capture.split_late(landed(t, out), f"{out}/split", f"{out}/split-journal", DELAY)
+    ticks = t.spark.read.parquet(f"{out}/split/ticks")
+    accepted = ticks.where("status = 'accepted'").select("event_type", "ts", "micro_batch")
+    beats = accepted.select("event_type", "ts")
+    for part in range(SLICES):
+        accepted.where(F.col("micro_batch") == part).select("event_type", "ts").coalesce(1).write.mode("append").parquet(f"{out}/beats")
+    # One beat of no type far behind the last one closes every session.
+    beats.agg(F.lit("flush").alias("event_type"), (F.max("ts") + F.expr("interval 30 days")).alias("ts")).coalesce(1).write.mode("append").parquet(f"{out}/beats")
+    stream = capture.tick_stream(t.spark, f"{out}/beats", beats.schema, files_per_trigger=1)
+    capture.run_to_table(capture.heartbeat_sessions(stream, "ts", "event_type", "60 minutes", DELAY), f"{out}/data", f"{out}/journal")
+    sessions = t.spark.read.parquet(f"{out}/data").where("event_type <> 'flush'")
+    late = ticks.where("status = 'rejected'").groupBy("event_type").agg(F.count(F.lit(1)).alias("beats"))
+    return sessions.unionByName(late.withColumn("event_type", F.concat("event_type", F.lit(":late"))), allowMissingColumns=True)

@@ -15,7 +15,9 @@ from barwright.session import materialize
 
 TARGET = "label_vol_5"
 HIGH_VOL = {"type": "quantile_gte", "field": "state_vol_short", "quantile": 0.75}
-DRAWS = 200
+# Bootstrap resamples, permutations, and permutations of the intraday windows.
+DRAWS, FLIPS, WINDOW_FLIPS = 2000, 4000, 1000
+MEAN_BLOCK = 20
 
 # A fixed catalogue of conditions: (id, family, condition, target, planned comparisons).
 CATALOGUE = [
@@ -296,6 +298,13 @@ def coin_sql(seed: str) -> str:
     return f"CASE WHEN ((('0x' || substr(md5({parts}), 1, 8))::BIGINT >> (r % 32)::INT) & 1) = 1 THEN -1 ELSE 1 END"
 
 
+def flips_sql(seed: str, count: int) -> str:
+    """Means of all resamples of `placed`: 32 columns of one aggregate per hash, then rows."""
+    coins = ", ".join(f"avg(CASE WHEN (h >> {bit}) & 1 = 1 THEN -effect ELSE effect END)" for bit in range(32))
+    return f"""SELECT hypothesis, b * 32 + bit AS r, mean FROM (SELECT hypothesis, b, unnest([{coins}]) AS mean, unnest(range(32)) AS bit FROM (SELECT hypothesis, effect, b, ('0x' || substr(md5({seed} || ':' || b || ':' || pos), 1, 8))::BIGINT AS h
+ FROM placed, (SELECT unnest(range({(count + 31) // 32})) AS b)) GROUP BY hypothesis, b) WHERE b * 32 + bit < {count}"""
+
+
 PLACED = ", placed AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY session_id, side) - 1 AS pos, count(*) OVER (PARTITION BY hypothesis) AS n FROM eff)"
 REP = f", reps AS (SELECT unnest(range({DRAWS})) AS r)"
 
@@ -320,8 +329,8 @@ _boot("r01_session_bootstrap", f"SELECT hypothesis, r, floor({u_sql(chr(39) + 'S
 _boot("r02_block_bootstrap", f"SELECT hypothesis, r, floor({u_sql(chr(39) + 'B' + chr(39), 'r', '(pos // ' + BLOCK + '::BIGINT)')} * (n - {BLOCK} + 1))::BIGINT + pos % {BLOCK}::BIGINT AS draw FROM placed, reps",
       lambda p: R.block_bootstrap(p, BY, DRAWS, F.lit("B"), R.block_size(F.col("n"))))
 _boot("r03_stationary_bootstrap", f"SELECT hypothesis, r, (floor({u_sql(chr(39) + 'T' + chr(39), chr(39) + 'draw' + chr(39), 'r', 'st')} * n)::BIGINT + pos - st) % n AS draw FROM segs",
-      lambda p: R.stationary_bootstrap(p, BY, DRAWS, F.lit("T"), F.lit(5.0)),
-      f", segs AS (SELECT *, max(CASE WHEN pos = 0 OR {u_sql(chr(39) + 'T' + chr(39), chr(39) + 'restart' + chr(39), 'r', 'pos')} < 0.2 THEN pos END) OVER (PARTITION BY hypothesis, r ORDER BY pos) AS st FROM placed, reps)")
+      lambda p: R.stationary_bootstrap(p, BY, DRAWS, F.lit("T"), F.lit(float(MEAN_BLOCK))),
+      f", segs AS (SELECT *, max(CASE WHEN pos = 0 OR {u_sql(chr(39) + 'T' + chr(39), chr(39) + 'restart' + chr(39), 'r', 'pos')} < {1 / MEAN_BLOCK} THEN pos END) OVER (PARTITION BY hypothesis, r ORDER BY pos) AS st FROM placed, reps)")
 
 
 @query("r01_two_sample_bootstrap", evidence_sql(UNPAIRED) + REP + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY session_id) - 1 AS pos, count(*) OVER (PARTITION BY side) AS n FROM eff),
@@ -342,30 +351,30 @@ def boot_summary(t: Tables) -> DataFrame:
     return rounded_all(out, [c for c in out.columns if c not in ("hypothesis", "resamples")])
 
 
-def _tail_sql(null: str, obs: str = "avg(effect)") -> str:
+def _tail_sql(null: str, obs: str = "avg(effect)", count: int = FLIPS) -> str:
     return f""", nulls AS ({null}), o AS (SELECT hypothesis, {obs} AS obs FROM placed GROUP BY 1)
-SELECT hypothesis, {oracle.r('max(obs)')} AS observed, {oracle.r('quantile_cont(mean, 0.5)')} AS null_median, {oracle.r(f'(count(*) FILTER (mean >= obs) + 1) / {DRAWS + 1}.0')} AS p_value FROM nulls JOIN o USING (hypothesis) GROUP BY hypothesis"""
+SELECT hypothesis, {oracle.r('max(obs)')} AS observed, {oracle.r('quantile_cont(mean, 0.5)')} AS null_median, {oracle.r(f'(count(*) FILTER (mean >= obs - 1e-12) + 1) / {count + 1}.0')} AS p_value FROM nulls JOIN o USING (hypothesis) GROUP BY hypothesis"""
 
 
-@query("r05_sign_flip", evidence_sql(MAIN) + PLACED + REP + _tail_sql(f"SELECT hypothesis, r, avg(effect * {coin_sql(chr(39) + 'P' + chr(39))}) AS mean FROM placed, reps GROUP BY ALL"))
+@query("r05_sign_flip", evidence_sql(MAIN) + PLACED + _tail_sql(flips_sql("'P'", FLIPS)))
 def sign_flip(t: Tables) -> DataFrame:
-    return rounded_all(R.sign_flip_test(placed(t), BY, DRAWS, F.lit("P")), ["observed", "null_median", "p_value"])
+    return rounded_all(R.sign_flip_test(placed(t), BY, FLIPS, F.lit("P")), ["observed", "null_median", "p_value"])
 
 
-@query("r06_label_permutation", evidence_sql(UNPAIRED) + PLACED + REP + f""", dealt AS (SELECT *, row_number() OVER (PARTITION BY hypothesis, r ORDER BY {u_sql(chr(39) + 'L' + chr(39), 'r', 'pos')}, pos) <= k AS f
+@query("r06_label_permutation", evidence_sql(UNPAIRED) + PLACED + f""", reps AS (SELECT unnest(range({FLIPS})) AS r), dealt AS (SELECT *, row_number() OVER (PARTITION BY hypothesis, r ORDER BY {u_sql(chr(39) + 'L' + chr(39), 'r', 'pos')}, pos) <= k AS f
   FROM (SELECT *, count(*) FILTER (side = 'CONDITIONED') OVER (PARTITION BY hypothesis) AS k FROM placed), reps)""" + _tail_sql("SELECT hypothesis, r, avg(CASE WHEN f THEN effect END) - avg(CASE WHEN NOT f THEN effect END) AS mean FROM dealt GROUP BY ALL",
                                                              "avg(CASE WHEN side = 'CONDITIONED' THEN effect END) - avg(CASE WHEN side <> 'CONDITIONED' THEN effect END)"))
 def label_permutation(t: Tables) -> DataFrame:
-    return rounded_all(R.label_permutation_test(placed(t, UNPAIRED), BY, DRAWS, F.lit("L")), ["observed", "null_median", "p_value"])
+    return rounded_all(R.label_permutation_test(placed(t, UNPAIRED), BY, FLIPS, F.lit("L")), ["observed", "null_median", "p_value"])
 
 
-@query("r07_trade_sign_flip", """WITH placed AS (SELECT l_returnflag AS hypothesis, l_orderkey * 8 + l_linenumber AS pos, l_extendedprice * (l_discount - 0.05) AS effect FROM lineitem), reps AS (SELECT unnest(range(20)) AS r)""" +
-       _tail_sql(f"SELECT hypothesis, r, avg(effect * {coin_sql(chr(39) + 'W' + chr(39))}) AS mean FROM placed, reps GROUP BY ALL").replace(f"{DRAWS + 1}.0", "21.0").replace(", 6) + 0.0::DOUBLE AS observed", ", 3) + 0.0::DOUBLE AS observed").replace(", 6) + 0.0::DOUBLE AS null_median", ", 3) + 0.0::DOUBLE AS null_median"))
+@query("r07_trade_sign_flip", """WITH placed AS (SELECT l_returnflag AS hypothesis, l_orderkey * 8 + l_linenumber AS pos, l_extendedprice * (l_discount - 0.05) AS effect FROM lineitem)""" +
+       _tail_sql(flips_sql("'W'", FLIPS)).replace(", 6) + 0.0::DOUBLE AS observed", ", 3) + 0.0::DOUBLE AS observed").replace(", 6) + 0.0::DOUBLE AS null_median", ", 3) + 0.0::DOUBLE AS null_median"))
 def trade_flip(t: Tables) -> DataFrame:
     """Sign flip over every trade: each row contributes to all resamples by partial aggregation, no join."""
     trades = t.read("lineitem").select(F.col("l_returnflag").alias("hypothesis"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
                                        (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("effect"))
-    out = R.sign_flip_test(trades, BY, 20, F.lit("W"))
+    out = R.sign_flip_test(trades, BY, FLIPS, F.lit("W"))
     return out.select("hypothesis", rounded("observed", 3).alias("observed"), rounded("null_median", 3).alias("null_median"), rounded("p_value").alias("p_value"))
 
 

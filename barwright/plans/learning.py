@@ -123,7 +123,7 @@ def climatology(t: Tables) -> DataFrame:
 
 
 @query("ml15_skeptic", PRED + ECON_SQL.format(m=2).replace("dc AS", "dc2 AS") + ECON_SQL.format(m=1) + f""", sh AS (SELECT pred, lag(label, 7) OVER (ORDER BY ts) AS label FROM sc), tr AS (SELECT net, row_number() OVER (ORDER BY net DESC, id) AS k, count(*) OVER () AS n FROM dc WHERE trade),
- pl AS (SELECT net, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM dc WHERE trade), dr AS (SELECT r, floor({u_sql("'K'", 'r', 'pos')} * n)::BIGINT AS draw FROM pl, (SELECT unnest(range(100)) AS r)),
+ pl AS (SELECT net, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM dc WHERE trade), dr AS (SELECT r, floor({u_sql("'K'", 'r', 'pos')} * n)::BIGINT AS draw FROM pl, (SELECT unnest(range(2000)) AS r)),
  bs AS (SELECT r, avg(pl.net) AS m FROM dr JOIN pl ON pl.pos = dr.draw GROUP BY r)
  SELECT (SELECT {r('list_avg(list_filter([avg(CASE WHEN label = 0 THEN (pred = 0)::INT END), avg(CASE WHEN label = 1 THEN (pred = 1)::INT END), avg(CASE WHEN label = 2 THEN (pred = 2)::INT END)], lambda x: x IS NOT NULL))')} FROM sh WHERE label IS NOT NULL) AS shifted_accuracy,
  (SELECT {r('avg(net)')} FROM dc2 WHERE trade) AS cost_2x_mean, (SELECT {r('avg(CASE WHEN k > greatest(1, ceil(n * 0.05)) THEN net END)')} FROM tr) AS after_best_removed, (SELECT {r('quantile_cont(m, 0.025)')} FROM bs) AS ci_low, (SELECT {r('quantile_cont(m, 0.975)')} FROM bs) AS ci_high""")
@@ -137,7 +137,7 @@ def ml_skeptic(t: Tables) -> DataFrame:
     traded = one.where("trade").select("scope", "id", F.col("net").alias("effect"))
     cut = traded.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("effect"), "id"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     best = cut.groupBy(*by).agg(rounded(F.avg(F.when(F.col("_k") > F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.05)), F.col("effect")))).alias("after_best_removed"))
-    boot = R.session_bootstrap(R.positions(traded, by, ["id"]), by, 100, F.lit("K")).groupBy(*by).agg(
+    boot = R.session_bootstrap(R.positions(traded, by, ["id"]), by, 2000, F.lit("K")).groupBy(*by).agg(
         rounded(F.percentile("mean", F.lit(0.025))).alias("ci_low"), rounded(F.percentile("mean", F.lit(0.975))).alias("ci_high"))
     return accuracy.join(double, by).join(best, by).join(boot, by).drop("scope")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from barwright.functions.numeric import rounded
 from barwright.operators import conditions as C, effects as E, resampling as R, stability as S
 from barwright.plans.bindings import QUARTER, Tables, rounded_all
-from barwright.plans.evidence import (BY, CATALOGUE, DRAWS, HIGH_VOL, MAIN, MEANS_SQL, PLACED, QSQL, TARGET, coin_sql, condition_sql, effect_sample,
+from barwright.plans.evidence import (BY, CATALOGUE, WINDOW_FLIPS, HIGH_VOL, MAIN, MEANS_SQL, PLACED, QSQL, TARGET, flips_sql, condition_sql, effect_sample,
                                       evidence_sql, stacked, states)
 from barwright.plans.features import ESQL, experiences
 from barwright.plans.oracle import r
@@ -222,8 +222,8 @@ STARTS = list(range(0, 270, 15))
 WIN = QSQL + ", hyp AS (" + " UNION ALL ".join(f"SELECT 'W{s:03d}' AS hypothesis, session_id, minute BETWEEN {s} AND {s + 14} AS c, {TARGET} AS v FROM states WHERE minute BETWEEN 0 AND 270 AND {TARGET} IS NOT NULL" for s in STARTS) + f""")
 , means AS (SELECT hypothesis, session_id, avg(CASE WHEN c THEN v END) AS a, avg(CASE WHEN NOT c THEN v END) AS b FROM hyp GROUP BY ALL), eff AS (SELECT hypothesis, session_id, a - b AS effect FROM means WHERE a IS NOT NULL AND b IS NOT NULL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY session_id) - 1 AS pos FROM eff), o AS (SELECT hypothesis, avg(effect) AS obs, count(*) AS sessions FROM eff GROUP BY 1),
-nulls AS (SELECT hypothesis, r, avg(effect * {coin_sql('hypothesis')}) AS mean FROM placed, (SELECT unnest(range({DRAWS})) AS r) GROUP BY ALL),
-pv AS (SELECT hypothesis, max(obs) AS obs, max(sessions) AS sessions, (count(*) FILTER (abs(mean) >= abs(obs)) + 1) / {DRAWS + 1}.0 AS p FROM nulls JOIN o USING (hypothesis) GROUP BY 1),
+nulls AS ({flips_sql('hypothesis', WINDOW_FLIPS)}),
+pv AS (SELECT hypothesis, max(obs) AS obs, max(sessions) AS sessions, (count(*) FILTER (abs(mean) >= abs(obs) - 1e-12) + 1) / {WINDOW_FLIPS + 1}.0 AS p FROM nulls JOIN o USING (hypothesis) GROUP BY 1),
 rk AS (SELECT *, row_number() OVER (ORDER BY p, hypothesis) AS k, count(*) OVER () AS m FROM pv)
 SELECT hypothesis, sessions, {r('obs')} AS effect, {r('p')} AS p_value, {r('least(1.0, min(p * m / k) OVER (ORDER BY k DESC))')} AS fdr_p FROM rk"""
 
@@ -234,7 +234,7 @@ def intraday(t: Tables) -> DataFrame:
     inside = states(t).where(F.col("minute").between(0, 270))
     rows = E.stack_hypotheses(inside, [(f"W{s:03d}", F.col("minute").between(s, s + 14), F.col(TARGET)) for s in STARTS], ["session_id"])
     eff = materialize(R.positions(E.paired_effects(E.session_means(rows, BY), BY), BY, ["session_id"]))
-    tests = R.sign_flip_test(eff, BY, DRAWS, F.col("hypothesis"), "TWO_SIDED")
+    tests = R.sign_flip_test(eff, BY, WINDOW_FLIPS, F.col("hypothesis"), "TWO_SIDED")
     sizes = eff.groupBy(*BY).agg(F.count(F.lit(1)).alias("sessions"))
     out = R.benjamini_hochberg(tests.join(sizes, BY).withColumn("_all", F.lit(1)), "p_value", ["_all"], "hypothesis", "fdr_p")
     return out.select("hypothesis", "sessions", rounded("observed").alias("effect"), rounded("p_value").alias("p_value"), rounded("fdr_p").alias("fdr_p"))

@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables not present")
 SAMPLE = ("q10_exact_duplicate", "dx01_gap_morphology", "f06_regime", "f19_forward_quote", "h02_fingerprint", "e07_clustered_mean", "m02_holm", "w03_temporal_parts",
-          "t05_period_means", "ml11_metrics", "k01_lexical_relevance", "a04_derivation", "st03_duplicate_response", "st11_contract_intervals")
+          "t05_period_means", "ml11_metrics", "k01_lexical_relevance", "a04_derivation", "st03_duplicate_response", "st11_contract_intervals",
+          "a02_authorisation", "x04_partition_guard", "q17_price_jump", "st04_stream_dedupe", "st07_stream_episodes", "st12_stream_heartbeat_sessions")
 
 
 def test_entry(spark):
