@@ -6,8 +6,10 @@ bundle: one-vs-rest gradient-boosted trees, a random forest and multinomial logi
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -171,21 +173,29 @@ def out_of_fold(tagged: DataFrame, features: Sequence[str], folds: Sequence[int]
     `tagged` carries fold, role, part (for TRAIN rows), id, label and the features, without missing values.
     """
     ready = assemble(tagged, features)
-    tables, models = [], []
-    for fold in folds:
+
+    def fit(task: tuple[int, int, str]) -> tuple[object, DataFrame]:
+        fold, i, name = task
         here = ready.where(F.col("fold") == fold)
-        train, test = here.where(F.col("role") == "TRAIN"), here.where(F.col("role") == "TEST")
-        for i, name in enumerate(names):
-            model, calibrator = fit_calibrated(train, name, seed + i, classes, trees)
-            models.append((fold, name, model))
-            scored = calibrated_probabilities(model, calibrator, test, classes)
-            tables.append(scored.select("id", "label", "fold", *keep, F.lit(name).alias("learner"), "p"))
-    out = tables[0]
-    for table in tables[1:]:
+        model, calibrator = fit_calibrated(here.where(F.col("role") == "TRAIN"), name, seed + i, classes, trees)
+        scored = calibrated_probabilities(model, calibrator, here.where(F.col("role") == "TEST"), classes)
+        return model, scored.select("id", "label", "fold", *keep, F.lit(name).alias("learner"), "p")
+
+    tasks = [(fold, i, name) for fold in folds for i, name in enumerate(names)]
+    done = side_by_side(fit, tasks, tagged)
+    models = [(fold, name, model) for (fold, _, name), (model, _) in zip(tasks, done)]
+    out = done[0][1]
+    for _, table in done[1:]:
         out = out.unionByName(table)
     return out, models
 
 
+def side_by_side(task: Callable, items: Sequence, df: DataFrame) -> list:
+    """Results of independent fits, submitted together: each is a chain of small jobs that leaves most of a cluster idle."""
+    with ThreadPool(min(len(items), 12)) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(task), items)
+
+
 def ensemble(predictions: DataFrame, keys: Sequence[str], classes: int = 3) -> DataFrame:
     """Mean probability and population spread per class over learners."""
     return predictions.groupBy(*keys).agg(
