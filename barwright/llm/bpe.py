@@ -35,7 +35,31 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-class Ranks:
+class Merges:
+    """Ranks of pairs of tokens, and the token that a merge of each rank makes."""
+
+    #: None: the rank is the token's number.
+    made: np.ndarray | None = None
+
+    def index(self, pairs: dict[int, int]) -> None:
+        """pairs: rank of each pair, keyed by left << 32 | right."""
+        self.pairs = pairs
+        keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], NONE)
+        self.merged = np.append(np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order], NONE)
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.merged[at], NONE)
+
+    def first_tokens(self, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of the single bytes of pieces (rows) of the given sizes."""
+        raise NotImplementedError
+
+
+class Ranks(Merges):
     """The vocabulary of one rank file and the ranks of all pairs of its tokens."""
 
     def __init__(self, lines: list[bytes], pattern: str):
@@ -51,17 +75,11 @@ class Ranks:
                 left, right = self.rank.get(token[:cut]), self.rank.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = number
-        self.pairs = pairs
-        keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], NONE)
-        self.merged = np.append(np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order], NONE)
+        self.index(pairs)
         self.known = Memory(REMEMBERED)
 
-    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.merged[at], NONE)
+    def first_tokens(self, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.of_byte[raw]
 
 
 @lru_cache(maxsize=4)
@@ -70,12 +88,12 @@ def load_ranks(path: str, pattern: str) -> Ranks:
         return Ranks(file.readlines(), pattern)
 
 
-def merge_short(pieces: list[bytes], ranks: Ranks, leaves: int) -> list[bytes]:
+def merge_short(pieces: list[bytes], ranks: Merges, leaves: int) -> list[bytes]:
     """All pieces of at most `leaves` (a power of two) bytes; per piece its ids as little-endian 32-bit integers."""
     n = len(pieces)
     size = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
     raw = np.frombuffer(b"".join(piece.ljust(leaves, b"\0") for piece in pieces), dtype=np.uint8).reshape(n, leaves)
-    token = ranks.of_byte[raw]
+    token = ranks.first_tokens(raw, size)
     column = np.arange(leaves)
     following = np.broadcast_to(column + 1, (n, leaves)).copy()
     before = np.broadcast_to(column - 1, (n, leaves)).copy()
@@ -94,7 +112,8 @@ def merge_short(pieces: list[bytes], ranks: Ranks, leaves: int) -> list[bytes]:
         at = root & ((1 << POSITION_BITS) - 1)
         gone = following[rows, at]
         after = following[rows, gone]
-        token[rows, at] = root >> POSITION_BITS
+        rank = root >> POSITION_BITS
+        token[rows, at] = rank if ranks.made is None else ranks.made[rank]
         live[rows, gone] = False
         following[rows, at] = after
         inside = after < size[rows]
@@ -118,11 +137,11 @@ def merge_short(pieces: list[bytes], ranks: Ranks, leaves: int) -> list[bytes]:
     return [packed[start:end] for start, end in zip(np.concatenate([[0], ends[:-1]]), ends)]
 
 
-def merge_long(piece: bytes, ranks: Ranks) -> bytes:
+def merge_long(piece: bytes, ranks: Merges) -> bytes:
     """One piece of any length on the same tree, kept in lists."""
     n = len(piece)
     leaves = 1 << max(1, (n - 1).bit_length())
-    token = [ranks.rank[bytes([b])] for b in piece]
+    token = ranks.first_tokens(np.frombuffer(piece, dtype=np.uint8)[None], np.array([n]))[0].tolist()
     following, before = list(range(1, n + 1)), list(range(-1, n - 1))
     none, pairs = int(NONE), ranks.pairs
     tree = [none] * (2 * leaves)
@@ -150,7 +169,8 @@ def merge_long(piece: bytes, ranks: Ranks) -> bytes:
         at = tree[1] & ((1 << POSITION_BITS) - 1)
         gone = following[at]
         after = following[gone]
-        token[at] = tree[1] >> POSITION_BITS
+        rank = tree[1] >> POSITION_BITS
+        token[at] = rank if ranks.made is None else int(ranks.made[rank])
         following[at] = after
         if after < n:
             before[after] = at
@@ -165,15 +185,12 @@ def merge_long(piece: bytes, ranks: Ranks) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-def merge_pieces(pieces: list[bytes], ranks: Ranks) -> dict[bytes, bytes]:
-    """Ids of each distinct piece; a piece that is itself a token keeps its own id, as the public library does."""
+def merge_all(pieces: list[bytes], ranks: Merges) -> dict[bytes, bytes]:
+    """Ids of distinct pieces of any lengths."""
     out: dict[bytes, bytes] = {}
     classes: dict[int, list[bytes]] = {}
-    for piece in dict.fromkeys(pieces):
-        whole = ranks.rank.get(piece)
-        if whole is not None:
-            out[piece] = whole.to_bytes(4, "little")
-        elif len(piece) > SHORT:
+    for piece in pieces:
+        if len(piece) > SHORT:
             out[piece] = merge_long(piece, ranks)
         else:
             classes.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(piece)
@@ -184,6 +201,13 @@ def merge_pieces(pieces: list[bytes], ranks: Ranks) -> dict[bytes, bytes]:
     return out
 
 
+def merge_pieces(pieces: list[bytes], ranks: Ranks) -> dict[bytes, bytes]:
+    """Ids of each distinct piece; a piece that is itself a token keeps its own id, as the public library does."""
+    distinct = dict.fromkeys(pieces)
+    out = {piece: ranks.rank[piece].to_bytes(4, "little") for piece in distinct if piece in ranks.rank}
+    return out | merge_all([piece for piece in distinct if piece not in out], ranks)
+
+
 def encode_texts(texts: list[str], ranks: Ranks) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers. Chunks met before in this worker are looked up."""
     chunks = [CHUNK.findall(text) for text in texts]

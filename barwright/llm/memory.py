@@ -17,9 +17,9 @@ class Memory:
             self.now, self.before = {}, self.now
         now, before = self.now, self.before
         new = keys.difference(now)
-        old = new.intersection(before)
-        now.update((key, before[key]) for key in old)
-        new -= old
+        old = [key for key in new if key in before]
+        now.update(zip(old, map(before.__getitem__, old)))
+        new.difference_update(old)
         if new:
             now.update(make(list(new)))
         return now

@@ -8,6 +8,8 @@ emptiest bins of the group are dissolved and poured, cut where needed, into the
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from barwright.llm import bpe
 from barwright.llm.common import batch_of, map_arrow
 from barwright.llm.memory import Memory
 
@@ -24,11 +27,9 @@ CAPACITY, CLOSING = 4096, 2
 GROUP_TOKENS, GROUP_DOCS = 4 << 20, 4096
 # Text bytes that a randomised group gets on average.
 GROUP_BYTES = 6 << 20
-# Words and parts of words that a Python worker remembers, twice; words encoded in one call.
-WORDS, PARTS, JOINT = 300_000, 300_000, 2000
+# Words and parts of words that a Python worker remembers, twice.
+WORDS, PARTS = 400_000, 500_000
 _ODD = re.compile("[\x1c-\x1f]")
-# Stands between words that are encoded together; one token of its own.
-_MARK = "\x01"
 # Words of these characters lower their case and split alike here and in the vocabulary's own rules (fixed values).
 _SIMPLE = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u017e]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -102,49 +103,60 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int
     return pieces
 
 
+class WordMerges(bpe.Merges):
+    """The merges of a vocabulary of words: every byte is a character, and the last of a word carries a mark of the word's end."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        numbers, end = model["vocab"], model["end_of_word_suffix"]
+        # The public rule for bytes as characters: printable ones stand for themselves, the others follow from 256 on.
+        plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+        others = [b for b in range(256) if b not in plain]
+        char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.inner, self.last = (np.array([numbers[char[b] + suffix] for b in range(256)], dtype=np.int64) for suffix in ("", end))
+        merges = [tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in model["merges"]]
+        self.made = np.array([numbers[a + b] for a, b in merges], dtype=np.int64)
+        self.index({numbers[a] << 32 | numbers[b]: rank for rank, (a, b) in enumerate(merges)})
+
+    def first_tokens(self, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+        token = self.inner[raw]
+        rows = np.arange(len(raw))
+        token[rows, size - 1] = self.last[raw[rows, size - 1]]
+        return token
+
+
 @lru_cache(maxsize=2)
 def load_tokenizer(path: str):
-    import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer, Memory(WORDS), Memory(PARTS)
-
-
-def encode_joint(words: list[str], tokenizer) -> list[tuple[str, bytes]]:
-    """Ids of words without white space. Many are encoded at once, parted by a mark, which costs far less than one call each."""
-    mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
-    out, alone = [], [word for word in words if _MARK in word]
-    plain = [word for word in words if _MARK not in word]
-    for start in range(0, len(plain), JOINT):
-        some = plain[start:start + JOINT]
-        ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == mark[0])
-        if len(mark) == 1 and len(cuts) == len(some) - 1:
-            ends, starts = (np.append(cuts, len(ids)) * 4).tolist(), (np.concatenate([[0], cuts + 1]) * 4).tolist()
-            raw = ids.tobytes()
-            out += [(word, raw[a:b]) for word, a, b in zip(some, starts, ends)]
-        else:
-            alone += some
-    return out + [(word, np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()) for word in alone]
+    return tokenizer, WordMerges(path), Memory(WORDS), Memory(PARTS)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts. The vocabulary drops white space and never merges across it, so ids are looked up word by word, and
-    unknown words part by part."""
-    tokenizer, known_words, known_parts = load_tokenizer(path)
+    """Ids of whole texts, as the public library gives them. The vocabulary drops white space and never merges across it, so ids
+    are looked up word by word, and unknown words part by part; words beyond plain Latin letters are left to the library."""
+    tokenizer, merges, known_words, known_parts = load_tokenizer(path)
+
+    def library(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def merge(parts: list[str]) -> list[tuple[str, bytes]]:
+        raw = [part.encode() for part in parts]
+        ids = bpe.merge_all(raw, merges)
+        return list(zip(parts, map(ids.__getitem__, raw)))
 
     def encode_words(words: list[str]) -> list[tuple[str, bytes]]:
         split = {word: _PARTS.findall(word.lower()) for word in words if _SIMPLE.fullmatch(word)}
-        parts = known_parts.fill(set().union(*split.values()), lambda new: encode_joint(new, tokenizer))
-        return [(word, b"".join(map(parts.__getitem__, own))) for word, own in split.items()] + encode_joint([word for word in words if word not in split], tokenizer)
+        parts = known_parts.fill(set().union(*split.values()), merge)
+        return [(word, b"".join(map(parts.__getitem__, own))) for word, own in split.items()] + [(word, library(word)) for word in words if word not in split]
 
     words = [None if _ODD.search(text) else text.split() for text in texts]
     known = known_words.fill(set().union(*[own for own in words if own]), encode_words)
     # ASCII separators that Python takes for white space and the vocabulary does not.
-    return [np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if own is None else b"".join(map(known.__getitem__, own))
-            for text, own in zip(texts, words)]
+    return [library(text) if own is None else b"".join(map(known.__getitem__, own)) for text, own in zip(texts, words)]
 
 
 def tokenise(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
