@@ -12,6 +12,7 @@ from barwright.operators.sequence import CHUNK, CORE, chunk_window, with_row_hal
 from barwright.plans import oracle
 from barwright.plans.bindings import POINT, Tables, day_chunk
 from barwright.plans.registry import query
+from barwright.sources import files
 
 KEYS = ["dataset"]
 META = {"symbol": "EVT", "point": POINT, "broker": "HOME", "source_id": "EVENTS"}
@@ -140,7 +141,7 @@ def _series_query(name: str, code: str):
 @query("q01_bronze_source_order", "SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS source_row, event_id, ts, value FROM events")
 def bronze_source_order(t: Tables) -> DataFrame:
     """Source position as stored in the file, with strict casts."""
-    from_file = t.spark.read.parquet(f"{t.dir}/events.parquet").select("*", F.col("_metadata.row_index").alias("source_row"))
+    from_file = files.source_rows(t.spark.read.parquet(f"{t.dir}/events.parquet"))
     return from_file.select("source_row", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
 
 

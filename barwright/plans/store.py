@@ -116,7 +116,7 @@ def _target(t: Tables) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/publish-{uuid.uuid4().hex}"
 
 
-@query("snk01_idempotent_publish")
+@query("snk01_idempotent_publish", oracle.bars(60) + " SELECT count(*) AS bars, 'PUBLISHED' AS first, 'UNCHANGED' AS again, 'CONFLICT' AS other FROM bars")
 def idempotent_publish(t: Tables) -> DataFrame:
     """Publish, publish the same content again, then try other content under the same name."""
     path, bars = _target(t), t.bars(60)

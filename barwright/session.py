@@ -36,12 +36,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts. The cluster names it; a private one is made only where unset."""
+    """Shared folder for lineage cuts. The cluster names it; a private one is made only in local mode, as in tests."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return named

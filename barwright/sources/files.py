@@ -113,6 +113,18 @@ def parse_text_bars(df: DataFrame, offset: str = "GMT-05:00", year: Column | Non
                      *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume_raw")])
 
 
+def source_rows(df: DataFrame, name: str = "source_row") -> DataFrame:
+    """Rows of a file scan with their position in the whole source: files in order of their paths, rows as stored.
+
+    A row's position in its file comes from the reader; the offsets of the files are sums over one row per file.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = placed.groupBy("_file").agg((F.max("_row") + 1).alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, "_file").withColumn(name, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def month_ranges(df: DataFrame, time: str) -> DataFrame:
     """Month-long half-open acquisition ranges that cover a table's time span."""
     span = df.agg(F.min(time).alias("_a"), F.max(time).alias("_b"))

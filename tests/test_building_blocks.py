@@ -141,3 +141,23 @@ def test_numeric_expressions(spark):
                                 failed_names([("x", F.lit(True)), ("y", F.lit(False)), ("n", F.lit(None).cast("boolean"))]).alias("f")).first()
     assert abs(row["a"] - 0.8413447) < 1e-6 and abs(row["b"] - 0.0249979) < 1e-6
     assert (row["c"], row["d"]) == (0.0, 1.0) and math.copysign(1, row["z"]) == 1.0 and row["f"] == ["y", "n"]
+
+
+def test_source_rows_over_several_files(spark, tmp_path):
+    from barwright.sources.files import source_rows
+    rows = [(i, i * 7 % 13) for i in range(1000)]
+    for part in range(4):
+        spark.createDataFrame(rows[part * 250:(part + 1) * 250], "id long, v long").coalesce(1).write.parquet(str(tmp_path / f"t/part={part}"))
+    got = source_rows(spark.read.parquet(str(tmp_path / "t"))).select("source_row", "id").collect()
+    assert sorted((r["source_row"], r["id"]) for r in got) == [(i, i) for i in range(1000)]
+
+
+def test_publish_replaces_what_a_failed_write_left(spark, tmp_path):
+    from barwright.sources import sinks
+    path, df = str(tmp_path / "out"), spark.range(50).withColumn("k", F.col("id") % 3)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "part-half.parquet").write_bytes(b"half")
+    assert sinks.publish(df, path, ["k"]) == "PUBLISHED" and sinks.publish(df.orderBy(F.desc("id")), path, ["k"]) == "UNCHANGED"
+    assert spark.read.parquet(path).count() == 50
+    with pytest.raises(sinks.PublishConflict):
+        sinks.publish(df.limit(49), path, ["k"])
