@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barwright.functions.numeric import rounded
-from barwright.session import materialize
+from barwright.session import ensure_checkpoint_dir
 from barwright.operators.features import FeatureSpec, build_frame
+from barwright.sources import sinks
 from barwright.sources.bars import build_bars
 
 POINT = 0.01
@@ -19,10 +22,6 @@ QUARTER = FeatureSpec(minutes=15, lags=(1, 3, 5, 10, 15), atr=5, vol_short=5, vo
                       warmup=10, horizons=(1, 3, 5, 10))
 
 
-# Derived tables written once per application and read by every query that needs them.
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
-
-
 class Tables:
     """Lazy access to the tables of one scale directory."""
 
@@ -32,12 +31,20 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def stored(self, name: str, build) -> DataFrame:
-        """A derived table that is materialised on first use, as a published dataset would be."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
-        if key not in _STORED:
-            _STORED[key] = materialize(build())
-        return _STORED[key]
+    def stored(self, name: str, build, partition_by: Sequence[str] = ()) -> DataFrame:
+        """A derived table, published as Parquet in the shared folder of this application on first use and read from there.
+
+        Readers prune its columns and push their filters into its scan; a half-written table does not count as published.
+        """
+        path = self.stored_path(name)
+        if not sinks.is_published(self.spark, path):
+            sinks.publish(build(), path, partition_by)
+        return self.spark.read.parquet(path)
+
+    def stored_path(self, name: str) -> str:
+        # One folder per application and table directory: no run reads what another made of other data.
+        root, source = ensure_checkpoint_dir(self.spark).rstrip("/"), hashlib.md5(self.dir.encode()).hexdigest()[:12]
+        return f"{root}/stored/{self.spark.sparkContext.applicationId}/{source}/{name}"
 
     @cached_property
     def events(self) -> DataFrame:
