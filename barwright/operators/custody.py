@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.functions.hashing import fingerprint
+from barwright.functions.hashing import canonical, fingerprint
 from barwright.functions.numeric import count_where
 from barwright.operators.asof import next_tick
 from barwright.operators.sequence import CHUNK, CORE, carry_forward, chunk_window, with_row_halo
@@ -184,19 +186,35 @@ def cursor_after(outcomes: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def build_ledger(events: DataFrame, ledger: str, order: Sequence[str], content: Sequence[str]) -> DataFrame:
-    """Hash-chained ledger segments. A chain is sequential by definition, so segments (at most ROW_LIMIT events
-    by rule) are chained side by side, one segment never waiting for another."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in content])
-    listed = events.groupBy(ledger).agg(F.sort_array(F.collect_list(F.struct(*order, text.alias("_content")))).alias("_rows"))
-    link = "struct<sequence:bigint,content:string,previous:string,hash:string>"
+    """Hash-chained ledger segments: (ledger, sequence, content, previous, hash).
 
-    def chain(acc, row):
-        last = F.get(acc, F.size(acc) - 1)
-        prior = F.coalesce(last["hash"], F.lit(""))
-        n = (F.size(acc) + 1).cast("bigint")
-        digest = F.sha2(F.concat_ws("|", n.cast("string"), prior, row["_content"]), 256)
-        return F.concat(acc, F.array(F.struct(n.alias("sequence"), row["_content"].alias("content"), prior.alias("previous"), digest.alias("hash"))))
-    return listed.select(ledger, F.inline(F.aggregate("_rows", F.array().cast(f"array<{link}>"), chain)))
+    A chain is sequential by definition: the rows of a segment (at most ROW_LIMIT by rule) stream through one task in order, one
+    digest each, and segments go side by side.
+    """
+    kind = events.schema[ledger].dataType.simpleString()
+    rows = events.select(ledger, *order, canonical(content).alias("_content")).repartition(ledger).sortWithinPartitions(ledger, *order).select(ledger, "_content")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, sequence, previous_hash = object(), 0, ""
+        for batch in batches:
+            out: list[tuple] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != segment:
+                    segment, sequence, previous_hash = key, 0, ""
+                sequence += 1
+                digest = hashlib.sha256(f"{sequence}|{previous_hash}|{text}".encode()).hexdigest()
+                out.append((key, sequence, text, previous_hash, digest))
+                previous_hash = digest
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string()))],
+                                             names=[ledger, "sequence", "content", "previous", "hash"])
+    return rows.mapInArrow(chain, f"`{ledger}` {kind}, sequence bigint, content string, previous string, hash string")
+
+
+def link_segments(chained: DataFrame, ledger: str, chunk: Column) -> DataFrame:
+    """One row per segment: its events and head, and the name and head of the segment before, so that no segment can be left out."""
+    heads = chained.groupBy(ledger).agg(F.count(F.lit(1)).alias("events"), F.max_by("hash", "sequence").alias("head")).withColumn("_one", F.lit(1))
+    return previous(heads, ["_one"], [ledger], chunk, {"previous_ledger": ledger, "previous_head": "head"}).drop("_one")
 
 
 def verify_ledger(chained: DataFrame, ledger: str) -> DataFrame:
@@ -207,15 +225,39 @@ def verify_ledger(chained: DataFrame, ledger: str) -> DataFrame:
     return chained.withColumn("_bad", bad).groupBy(ledger).agg(F.count(F.lit(1)).alias("events"), F.min(F.when(F.col("_bad"), F.col("sequence"))).alias("first_violation"))
 
 
-def reconcile_commits(manifests: DataFrame, commits: DataFrame, checkpoints: DataFrame, key: str = "batch") -> DataFrame:
-    """Batches by what exists of them: one union and one aggregate over all three tables."""
-    def tag(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(key, F.lit(kind).alias("_kind"))
-    both = tag(manifests, "m").unionByName(tag(commits, "c")).unionByName(tag(checkpoints, "k"))
-    facts = both.groupBy(key).agg(*[count_where(F.col("_kind") == k).alias(k) for k in ("m", "c", "k")])
-    status = (F.when(F.col("m") > 1, F.lit("FORK")).when((F.col("m") == 0) & (F.col("c") + F.col("k") > 0), F.lit("ORPHAN"))
-               .when(F.col("c") == 0, F.lit("UNCOMMITTED")).when(F.col("k") == 0, F.lit("MISSING_CHECKPOINT")).otherwise(F.lit("RECONCILED")))
-    return facts.select(key, status.alias("status"))
+def verify_links(segments: DataFrame, ledger: str, chunk: Column) -> DataFrame:
+    """Whether each segment follows the one it names, with the head it names."""
+    seen = previous(segments.withColumn("_one", F.lit(1)), ["_one"], [ledger], chunk, {"_ledger": ledger, "_head": "head"})
+    sound = F.col("previous_ledger").eqNullSafe(F.col("_ledger")) & F.col("previous_head").eqNullSafe(F.col("_head"))
+    return seen.select(ledger, F.when(sound, F.lit("LINKED")).otherwise(F.lit("EVENT_LEDGER_INTEGRITY")).alias("link"))
+
+
+def commit_digest(columns: Sequence[str] = ("batch", "cursor")) -> Column:
+    """Hash of the commit that a manifest calls for: the link that `build_ledger` makes of it."""
+    return F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), F.col("previous"), canonical(columns)), 256)
+
+
+def reconcile_commits(manifests: DataFrame, commits: DataFrame, checkpoints: DataFrame, chunk: Column, key: str = "batch") -> DataFrame:
+    """Status of every batch of a journal, by existence and by content.
+
+    manifests: batch, sequence, previous (hash of the commit before, empty for the first), cursor; commits: batch, hash;
+    checkpoints: batch, sequence, commit_hash, cursor. Each table is reduced to one row per batch before they meet.
+    """
+    m = manifests.groupBy(key).agg(F.count(F.lit(1)).alias("_m"), *[F.max(c).alias(c) for c in ("sequence", "previous", "cursor")])
+    c = commits.groupBy(key).agg(F.count(F.lit(1)).alias("_c"), F.max("hash").alias("hash"))
+    k = checkpoints.groupBy(key).agg(F.count(F.lit(1)).alias("_k"), F.max("sequence").alias("_k_sequence"), F.max("commit_hash").alias("_k_hash"), F.max("cursor").alias("_k_cursor"))
+    both = m.join(c, key, "full").join(k, key, "full").withColumn("_one", F.lit(1))
+    # The commit before, or the one that the manifest before calls for where it is missing.
+    both = both.withColumn("_link", F.coalesce("hash", commit_digest()))
+    seen = previous(both, ["_one"], [key], chunk, {"_before": "_link", "_before_sequence": "sequence", "_before_batch": key})
+    first = F.col("_before_batch").isNull()
+    wrong_chain = F.when(first, (F.col("sequence") != 1) | (F.col("previous") != "")).otherwise(
+        F.coalesce(F.col("sequence") != F.col("_before_sequence") + 1, F.lit(False)) | F.coalesce(F.col("previous") != F.col("_before"), F.lit(False)))
+    wrong_checkpoint = (F.col("_k_sequence") != F.col("sequence")) | (F.col("_k_hash") != F.col("hash")) | (F.col("_k_cursor") != F.col("cursor"))
+    status = (F.when(F.coalesce("_m", F.lit(0)) > 1, F.lit("FORK")).when(F.col("_m").isNull(), F.lit("ORPHAN")).when(F.col("_c").isNull(), F.lit("UNCOMMITTED"))
+               .when(F.col("hash") != commit_digest(), F.lit("COMMIT_HASH_INCONSISTENT")).when(wrong_chain, F.lit("COMMIT_CHAIN_FORK")).when(F.col("_k").isNull(), F.lit("MISSING_CHECKPOINT"))
+               .when(wrong_checkpoint, F.lit("CHECKPOINT_WITHOUT_VALID_COMMIT")).otherwise(F.lit("RECONCILED")))
+    return seen.select(key, status.alias("status"))
 
 
 def identity_changes(sessions: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, fields: Sequence[str]) -> DataFrame:

@@ -153,22 +153,45 @@ def retries(t: Tables) -> DataFrame:
 @query("st15_ledger_verification", BATCH + f", q AS (SELECT epoch_us(ts) // {WIDTH} AS ledger, event_type, row_number() OVER (PARTITION BY epoch_us(ts) // {WIDTH} ORDER BY tick_id) AS seq FROM ev) SELECT ledger, count(*) AS events, min(CASE WHEN event_type = 'error' THEN seq END) AS first_violation FROM q GROUP BY ledger")
 def ledger(t: Tables) -> DataFrame:
     """Chained hourly segments in which the content of error events was altered afterwards."""
-    ev = raw(t).withColumn("ledger", F.floor(F.unix_micros("ts") / F.lit(WIDTH)).cast("bigint"))
-    chain = materialize(S.build_ledger(ev, "ledger", ["tick_id"], ["tick_id", "event_type", "user_id"]))
-    altered = chain.withColumn("content", F.when(F.col("content").contains("|error|"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    chain = hourly_chain(t)
+    altered = chain.withColumn("content", F.when(F.col("content").contains(":error"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     return S.verify_ledger(altered, "ledger")
 
 
+def hourly_chain(t: Tables) -> DataFrame:
+    ev = raw(t).withColumn("ledger", F.floor(F.unix_micros("ts") / F.lit(WIDTH)).cast("bigint"))
+    return materialize(S.build_ledger(ev, "ledger", ["tick_id"], ["tick_id", "event_type", "user_id"]))
+
+
+def week_of_ledger():
+    return F.floor(F.col("ledger") / 168).cast("bigint")
+
+
+@query("st15_segment_links", f"""WITH a AS (SELECT DISTINCT epoch_us(ts) // {WIDTH} AS ledger FROM events), l AS (SELECT ledger, lag(ledger) OVER (ORDER BY ledger) AS named FROM a), k AS (SELECT *, lag(ledger) OVER (ORDER BY ledger) AS found FROM l WHERE ledger % 23 <> 7)
+ SELECT ledger, CASE WHEN named IS DISTINCT FROM found THEN 'EVENT_LEDGER_INTEGRITY' ELSE 'LINKED' END AS link FROM k""")
+def segment_links(t: Tables) -> DataFrame:
+    """The chain of segments after some of them were removed as a whole."""
+    segments = materialize(S.link_segments(hourly_chain(t), "ledger", week_of_ledger()))
+    return S.verify_links(segments.where(F.pmod("ledger", F.lit(23)) != 7), "ledger", week_of_ledger())
+
+
 H = "('0x' || substr(md5('c:' || batch), 1, 8))::BIGINT % 16"
 
 
-@query("st16_commit_reconcile", BATCH + f", h AS (SELECT batch, {H} AS s FROM b) SELECT batch, CASE WHEN s = 4 THEN 'FORK' WHEN s = 3 THEN 'ORPHAN' WHEN s = 1 THEN 'UNCOMMITTED' WHEN s = 2 THEN 'MISSING_CHECKPOINT' ELSE 'RECONCILED' END AS status FROM h")
+@query("st16_commit_reconcile", BATCH + f""", h AS (SELECT batch, {H} AS s, lag({H}) OVER (ORDER BY batch) AS p FROM b)
+ SELECT batch, CASE WHEN s = 4 THEN 'FORK' WHEN s = 3 THEN 'ORPHAN' WHEN s = 1 THEN 'UNCOMMITTED' WHEN s = 5 THEN 'COMMIT_HASH_INCONSISTENT' WHEN s = 6 OR coalesce(p IN (5, 6), false) THEN 'COMMIT_CHAIN_FORK' WHEN s = 2 THEN 'MISSING_CHECKPOINT' WHEN s = 7 THEN 'CHECKPOINT_WITHOUT_VALID_COMMIT' ELSE 'RECONCILED' END AS status FROM h""")
 def commit_reconcile(t: Tables) -> DataFrame:
-    """A journal in which hashes decide which record of a batch was lost or forked."""
-    from barwright.functions.hashing import hashed_int
-    s = batches(t).select("batch").withColumn("s", F.pmod(hashed_int(F.lit("c"), "batch"), F.lit(16)))
-    manifests = s.where("s <> 3").unionByName(s.where("s = 4"))
-    return S.reconcile_commits(manifests, s.where("s <> 1"), s.where("s <> 2"))
+    """A journal in which hashes decide which record of a batch was lost, forked or altered."""
+    from barwright.functions.hashing import canonical, hashed_int
+    polls = batches(t).select("symbol", "batch", "cursor")
+    chain = S.build_ledger(polls, "symbol", ["batch"], ["batch", "cursor"])
+    made = chain.join(polls.withColumn("content", canonical(["batch", "cursor"])), ["symbol", "content"]).withColumn("s", F.pmod(hashed_int(F.lit("c"), "batch"), F.lit(16)))
+    # A branch of its own: consistent in itself, but not with the commits around it.
+    made = materialize(made.withColumn("previous", F.when(F.col("s") == 6, F.lit("another branch")).otherwise(F.col("previous"))).withColumn("hash", S.commit_digest()))
+    manifests = made.where("s <> 3").unionByName(made.where("s = 4")).select("batch", "sequence", "previous", "cursor")
+    commits = made.where("s <> 1").select("batch", F.when(F.col("s") == 5, F.reverse("hash")).otherwise(F.col("hash")).alias("hash"))
+    checkpoints = made.where("s <> 2").select("batch", "sequence", F.col("hash").alias("commit_hash"), F.when(F.col("s") == 7, F.col("cursor") + F.expr("interval 1 second")).otherwise(F.col("cursor")).alias("cursor"))
+    return S.reconcile_commits(manifests, commits, checkpoints, week_of_batch())
 
 
 @query("st17_identity_change", BATCH + """, d AS (SELECT strftime(ts, '%Y-%m-%d') AS session, arg_min(event_type, tick_id) AS server, arg_min(user_id % 2, tick_id) AS account FROM ev GROUP BY 1)
