@@ -80,10 +80,15 @@ def forward_only(ticks: DataFrame, origin: str) -> DataFrame:
     return ticks.withColumn("status", F.when(F.col("ts") < F.lit(origin).cast("timestamp"), F.lit("REJECTED_BEFORE_ORIGIN")).otherwise(F.lit("ACCEPTED")))
 
 
-def lag_status(batches: DataFrame, backlog: float, stop: float) -> DataFrame:
+def lag_status(batches: DataFrame, backlog: float, stop: float, patience: float, chunk: Column) -> DataFrame:
+    """Status of each poll: behind its own clock, too far behind or without a new cursor for `patience` seconds, late, or normal."""
     lag = F.col("lag_seconds")
-    return batches.withColumn("status", F.when(lag < 0, F.lit("CLOCK_REGRESSION")).when(lag > stop, F.lit("STOP_REVIEW"))
-                              .when(lag > backlog, F.lit("BACKLOG_EXCEEDED")).otherwise(F.lit("NORMAL")))
+    seen = previous(batches, ["symbol"], ["batch"], chunk, {"_cursor": "cursor"})
+    moved = F.coalesce(F.col("cursor") > F.col("_cursor"), F.lit(True))
+    seen = carry_forward(seen, ["symbol"], ["batch"], chunk, F.when(moved, F.col("receipt")), "_progress")
+    idle = seconds(F.col("receipt"), F.col("_progress"))
+    return seen.withColumn("status", F.when(lag < 0, F.lit("CLOCK_REGRESSION")).when((lag > stop) | (idle >= patience), F.lit("STOP_REVIEW"))
+                              .when(lag > backlog, F.lit("BACKLOG_EXCEEDED")).otherwise(F.lit("NORMAL"))).drop("_cursor", "_progress")
 
 
 def episode_rows(batches: DataFrame, keys: Sequence[str], chunk: Column, open_above: float, close_at: float) -> DataFrame:

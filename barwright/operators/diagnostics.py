@@ -122,7 +122,7 @@ def clock_offset_scan(ours: DataFrame, other: DataFrame, minutes: int, hours: Se
     """Compare two sources under every whole-hour clock shift, overall and per month.
 
     The hours are an array on our side (no cross join); the shifted clock is an equi-join key that is
-    unique per side and shift. All candidates are kept: nothing is corrected or selected.
+    unique per side and shift. The result scores every shift; which one holds is for the reader to judge.
     """
     per_hour = 60 // minutes if minutes <= 60 else 1 / (minutes / 60)
     a = (ours.select("bar_index", month.alias("month"), *[F.col(c).alias(f"a_{c}") for c in ("open", "high", "low", "close")])

@@ -243,10 +243,6 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def feature_stages(features: Sequence[str]) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")])
-
-
 # ---- metrics ---------------------------------------------------------------------------------------
 
 def with_prediction(df: DataFrame, p: str = "p") -> DataFrame:

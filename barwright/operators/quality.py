@@ -66,17 +66,17 @@ def row_checks(meta: Mapping[str, object], minutes: int, columns: Sequence[str])
     grid = F.pmod(F.unix_micros("ts"), F.lit(minutes * MICROS_PER_MINUTE))
     wide = unbounded_ratio(F.col("spread") * F.lit(float(meta["point"])), c) > WIDE_LIMIT
     checks = [
-        finding(bad_number, "NONFINITE_OR_NULL", REJECT, "nonfinite numeric observation"),
-        finding(F.col("ts").isNull(), "INVALID_TIME", REJECT, "missing timestamp"),
-        finding(F.least(o, h, l, c) <= 0, "NONPOSITIVE_PRICE", REJECT, "prices must be positive"),
-        finding((h < F.greatest(o, c, l)) | (l > F.least(o, c, h)), "INVALID_OHLC", REJECT, "bounds violated"),
-        finding(F.col("spread") < 0, "NEGATIVE_SPREAD", REJECT, "negative spread"),
-        finding(F.col("spread") == 0, "ZERO_SPREAD", KEEP, "no proof of zero cost"),
-        finding((F.col("tick_volume") < 0) | (F.col("real_volume") < 0), "NEGATIVE_VOLUME", REJECT, "negative volume"),
-        finding(F.col("tick_volume") == 0, "NO_TICK_VOLUME", KEEP, "tick coverage absent"),
-        finding(~F.col("symbol").eqNullSafe(F.lit(meta["symbol"])), "SYMBOL_CHANGE", REJECT, "mixed instrument"),
-        finding(grid != 0, "OFF_GRID_TIME", REVIEW, "clock not aligned to timeframe"),
-        finding(wide, "WIDE_SPREAD", KEEP, "spread above fixed share of price"),
+        finding(bad_number, "NONFINITE_OR_NULL", REJECT, "a number is absent, infinite or undefined"),
+        finding(F.col("ts").isNull(), "INVALID_TIME", REJECT, "no time"),
+        finding(F.least(o, h, l, c) <= 0, "NONPOSITIVE_PRICE", REJECT, "a price at or below zero"),
+        finding((h < F.greatest(o, c, l)) | (l > F.least(o, c, h)), "INVALID_OHLC", REJECT, "high or low inside the body"),
+        finding(F.col("spread") < 0, "NEGATIVE_SPREAD", REJECT, "ask below bid"),
+        finding(F.col("spread") == 0, "ZERO_SPREAD", KEEP, "free trading is unlikely"),
+        finding((F.col("tick_volume") < 0) | (F.col("real_volume") < 0), "NEGATIVE_VOLUME", REJECT, "fewer than no trades"),
+        finding(F.col("tick_volume") == 0, "NO_TICK_VOLUME", KEEP, "nobody quoted"),
+        finding(~F.col("symbol").eqNullSafe(F.lit(meta["symbol"])), "SYMBOL_CHANGE", REJECT, "another symbol than declared"),
+        finding(grid != 0, "OFF_GRID_TIME", REVIEW, "does not start on a bar boundary"),
+        finding(wide, "WIDE_SPREAD", KEEP, "spread is more than a hundredth of the price"),
     ]
     for field in ("broker", "source_id", "point"):
         if field in columns:
@@ -129,10 +129,10 @@ def add_neighbour_facts(silver: DataFrame, keys: Sequence[str], minutes: int) ->
 
 def series_checks(minutes: int) -> list[Column]:
     return [
-        finding(F.col("elapsed") > minutes, "GAP", REVIEW, "closure or missing bars, not filled"),
-        finding((F.col("elapsed") > 0) & (F.col("elapsed") < minutes), "IRREGULAR_INTERVAL", REJECT, "shorter than timeframe"),
-        finding(F.abs(F.col("change")) > JUMP_LIMIT, "PRICE_JUMP", KEEP, "fixed alert, no clipping"),
-        finding(F.col("is_stale"), "STALE_RUN", KEEP, "five unchanged closes"),
+        finding(F.col("elapsed") > minutes, "GAP", REVIEW, "bars are missing before this one"),
+        finding((F.col("elapsed") > 0) & (F.col("elapsed") < minutes), "IRREGULAR_INTERVAL", REJECT, "bars overlap"),
+        finding(F.abs(F.col("change")) > JUMP_LIMIT, "PRICE_JUMP", KEEP, "close moved by more than a fiftieth"),
+        finding(F.col("is_stale"), "STALE_RUN", KEEP, "the close has not moved for five bars"),
     ]
 
 
@@ -141,18 +141,18 @@ def row_findings(df: DataFrame, meta: Mapping[str, object], minutes: int, keys:
 
 
 def duplicate_findings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    check = finding(F.col("is_duplicate"), "EXACT_DUPLICATE", FIX, "removed from silver, kept in bronze")
+    check = finding(F.col("is_duplicate"), "EXACT_DUPLICATE", FIX, "an earlier row says the same")
     return explode_findings(mark_duplicates(df, keys), [check], keys)
 
 
 def conflict_findings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     unique = mark_duplicates(df, keys).where(~F.col("is_duplicate"))
-    check = finding(F.col("is_conflict"), "CONFLICTING_TIMESTAMP", REJECT, "no arbitration")
+    check = finding(F.col("is_conflict"), "CONFLICTING_TIMESTAMP", REJECT, "several rows claim this time")
     return explode_findings(mark_conflicts(unique, keys), [check], keys)
 
 
 def disorder_findings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    check = finding(F.col("is_disorder"), "OUT_OF_ORDER", FIX, "stable chronological sort")
+    check = finding(F.col("is_disorder"), "OUT_OF_ORDER", FIX, "earlier than the row before")
     return explode_findings(mark_disorder(df, keys), [check], keys)
 
 
@@ -181,9 +181,9 @@ def certify(df: DataFrame, meta: Mapping[str, object], minutes: int, keys: Seque
     copies = marked.where(F.col("is_duplicate"))
     whole = unique.unionByName(copies, allowMissingColumns=True)
     checks = row_checks(meta, minutes, df.columns) + series_checks(minutes) + [
-        finding(F.col("is_duplicate"), "EXACT_DUPLICATE", FIX, "removed from silver, kept in bronze"),
-        finding(F.coalesce("is_conflict", F.lit(False)), "CONFLICTING_TIMESTAMP", REJECT, "no arbitration"),
-        finding(F.col("is_disorder"), "OUT_OF_ORDER", FIX, "stable chronological sort")]
+        finding(F.col("is_duplicate"), "EXACT_DUPLICATE", FIX, "an earlier row says the same"),
+        finding(F.coalesce("is_conflict", F.lit(False)), "CONFLICTING_TIMESTAMP", REJECT, "several rows claim this time"),
+        finding(F.col("is_disorder"), "OUT_OF_ORDER", FIX, "earlier than the row before")]
     listed = F.array_compact(F.array(*checks))
     return whole.withColumn("findings", listed).select(*df.columns, "is_duplicate", "findings")
 

@@ -113,17 +113,17 @@ def policy_folds(t: Tables) -> DataFrame:
     return rounded_all(W.fold_results(entries(t), SP), ["expected_net"])
 
 
-RESULT_DOUBLES = ["expected_net", "break_even_cost", "expected_cost", "hit_rate", "payoff", "mfe", "mae", "stress_1_0", "stress_1_5", "stress_2_0", "entry_rate", "cost_to_gross"]
+RESULT_DOUBLES = ["expected_net", "break_even_cost", "expected_cost", "hit_rate", "payoff", "mfe", "mae", "stress_0_75", "stress_1_0", "stress_1_25", "stress_1_5", "stress_2_0", "entry_rate", "cost_to_gross"]
 RESULTS = ENT + """, res AS (SELECT signal, policy, count(*) AS eligible, count(*) FILTER (entered) AS entered, avg(CASE WHEN entered THEN net END) AS expected_net, avg(CASE WHEN entered THEN gross END) AS break_even_cost,
  avg(CASE WHEN entered THEN cost END) AS expected_cost, avg(CASE WHEN entered THEN (net > 0)::INT END) AS hit_rate, avg(CASE WHEN entered AND net > 0 THEN net END) / nullif(abs(avg(CASE WHEN entered AND net < 0 THEN net END)), 0) AS payoff,
- avg(CASE WHEN entered THEN mfe END) AS mfe, avg(CASE WHEN entered THEN mae END) AS mae, avg(CASE WHEN entered THEN gross - cost END) AS stress_1_0, avg(CASE WHEN entered THEN gross - 1.5 * cost END) AS stress_1_5, avg(CASE WHEN entered THEN gross - 2 * cost END) AS stress_2_0,
+ avg(CASE WHEN entered THEN mfe END) AS mfe, avg(CASE WHEN entered THEN mae END) AS mae, avg(CASE WHEN entered THEN gross - 0.75 * cost END) AS stress_0_75, avg(CASE WHEN entered THEN gross - cost END) AS stress_1_0, avg(CASE WHEN entered THEN gross - 1.25 * cost END) AS stress_1_25, avg(CASE WHEN entered THEN gross - 1.5 * cost END) AS stress_1_5, avg(CASE WHEN entered THEN gross - 2 * cost END) AS stress_2_0,
  count(DISTINCT CASE WHEN entered THEN session_id END) AS sessions, count(DISTINCT CASE WHEN entered THEN year(ts) END) AS years, count(*) FILTER (NOT entered) AS waited, count(*) FILTER (entered) / count(*) AS entry_rate FROM ent GROUP BY ALL),
  py AS (SELECT signal, policy, count(*) FILTER (m > 0) AS positive_years FROM (SELECT signal, policy, year(ts) AS y, avg(net) AS m FROM ent WHERE entered GROUP BY ALL) GROUP BY ALL),
  full_ AS (SELECT res.*, coalesce(positive_years, 0) AS positive_years, expected_cost / nullif(abs(break_even_cost), 0) AS cost_to_gross, years >= 3 AND coalesce(positive_years, 0) >= greatest(2, years - 1) AS stable FROM res LEFT JOIN py USING (signal, policy))"""
 
 
 def results(t: Tables) -> DataFrame:
-    return W.policy_results(entries(t), SP, "ts", (1.0, 1.5, 2.0))
+    return W.policy_results(entries(t), SP, "ts", (0.75, 1.0, 1.25, 1.5, 2.0))
 
 
 @query("w05_policy_results", RESULTS + " SELECT signal, policy, eligible, entered, sessions, years, positive_years, waited, stable, " + ", ".join(f"{r(c)} AS {c}" for c in RESULT_DOUBLES) + " FROM full_")

@@ -74,9 +74,14 @@ def forward_only(t: Tables) -> DataFrame:
     return S.forward_only(raw(t), ORIGIN).groupBy("status").agg(F.count(F.lit(1)).alias("ticks"), F.min("ts").alias("first_ts"))
 
 
-@query("st06_lag_status", BATCH + f" SELECT batch, {r('lag_seconds')} AS lag_seconds, CASE WHEN lag_seconds < 0 THEN 'CLOCK_REGRESSION' WHEN lag_seconds > {STOP} THEN 'STOP_REVIEW' WHEN lag_seconds > {OPEN} THEN 'BACKLOG_EXCEEDED' ELSE 'NORMAL' END AS status FROM b")
+# Every seventh poll brings no new tick.
+@query("st06_lag_status", BATCH + f""", p AS (SELECT batch, receipt, lag_seconds, CASE WHEN batch % 7 = 3 THEN coalesce(lag(cursor) OVER (ORDER BY batch), cursor) ELSE cursor END AS cursor FROM b),
+ m AS (SELECT *, coalesce(cursor > lag(cursor) OVER (ORDER BY batch), true) AS moved FROM p), i AS (SELECT *, epoch(receipt) - epoch(last_value(CASE WHEN moved THEN receipt END IGNORE NULLS) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING)) AS idle FROM m)
+ SELECT batch, {r('lag_seconds')} AS lag_seconds, CASE WHEN lag_seconds < 0 THEN 'CLOCK_REGRESSION' WHEN lag_seconds > {STOP} OR idle >= 900 THEN 'STOP_REVIEW' WHEN lag_seconds > {OPEN} THEN 'BACKLOG_EXCEEDED' ELSE 'NORMAL' END AS status FROM i""")
 def lag_status(t: Tables) -> DataFrame:
-    return S.lag_status(batches(t), OPEN, STOP).select("batch", rounded("lag_seconds").alias("lag_seconds"), "status")
+    polls = S.previous(batches(t), SYM, ["batch"], week_of_batch(), {"before": "cursor"})
+    polls = polls.withColumn("cursor", F.when(F.pmod("batch", F.lit(7)) == 3, F.coalesce("before", "cursor")).otherwise(F.col("cursor")))
+    return S.lag_status(polls, OPEN, STOP, 900.0, week_of_batch()).select("batch", rounded("lag_seconds").alias("lag_seconds"), "status")
 
 
 EPI = BATCH + f""", m AS (SELECT *, CASE WHEN lag_seconds > {OPEN} THEN 1 WHEN lag_seconds <= {CLOSE} THEN 0 END AS mk FROM b), s AS (SELECT *, coalesce(last_value(mk IGNORE NULLS) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING), 0) AS st FROM m),

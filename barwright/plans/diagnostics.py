@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from barwright.functions.hashing import hashed_int
@@ -11,7 +13,7 @@ from barwright.plans import oracle
 from barwright.plans.bindings import POINT, Tables, day_chunk, rounded_all
 from barwright.plans.quality import META, TAU, TICKS_SQL
 from barwright.plans.registry import query
-from barwright.session import materialize
+from barwright.session import ensure_checkpoint_dir, materialize
 from barwright.sources import files
 from barwright.sources.bars import build_bars, normalize_feed
 
@@ -191,7 +193,8 @@ def bar_contract(t: Tables) -> DataFrame:
     """Bars are admitted only under a complete declaration; the counts of violations ride along."""
     meta = {"source_id": "E", "broker": "B", "symbol_exact": "EVT", "symbol_international": "EVT", "timeframe": "M5", "timezone": "UTC",
             "point": POINT, "digits": 2, "timestamp_semantics": "BAR_OPEN"}
-    bars = t.bars(5)
+    t.stored("bars_5", lambda: t.bars(5))
+    bars = files.read_bars(t.spark, t.stored_path("bars_5"), meta)
     lacking = {k: v for k, v in meta.items() if k != "timeframe"}
     good, bad = files.contract_problems(meta, bars.columns), files.contract_problems(lacking, bars.columns)
     return bars.agg(F.count(F.lit(1)).alias("bars"), F.lit(len(good)).alias("problems"),
@@ -207,19 +210,30 @@ def projection(t: Tables) -> DataFrame:
   CASE WHEN min(ts) >= TIMESTAMP '2024-01-08' AND max(ts) + INTERVAL 15 MINUTE < TIMESTAMP '2024-01-24' THEN 'ADMIT'
        WHEN max(ts) + INTERVAL 15 MINUTE <= TIMESTAMP '2024-01-08' OR min(ts) >= TIMESTAMP '2024-01-24' THEN 'OUTSIDE' ELSE 'DENY_STRADDLE' END AS decision FROM bars GROUP BY 1""")
 def partition_admission(t: Tables) -> DataFrame:
-    """Storage units here are ISO weeks of bars; on stored files use `files.file_unit()`."""
+    """Bars stored in one folder per ISO week; a folder is admitted by the times of the rows its files hold."""
     week = F.concat(F.extract(F.lit("YEAROFWEEK"), "ts"), F.lit("-W"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
-    return files.admission(t.bars(TAU), week, "ts", "2024-01-08 00:00:00", "2024-01-24 00:00:00", TAU)
+    stored = t.stored("bars_by_week", lambda: t.bars(TAU).withColumn("week", week), ["week"])
+    unit = F.regexp_extract(F.col("_metadata.file_path"), "week=([^/]+)/", 1)
+    return files.admission(stored, unit, "ts", "2024-01-08 00:00:00", "2024-01-24 00:00:00", TAU)
+
+
+@query("src03_admitted_scan", oracle.bars(TAU) + """, u AS (SELECT strftime(ts, '%G-W%V') AS unit, min(ts) >= TIMESTAMP '2024-01-08' AND max(ts) + INTERVAL 15 MINUTE < TIMESTAMP '2024-01-24' AS ok FROM bars GROUP BY 1)
+ SELECT ts, round(close, 6) AS close FROM bars JOIN u ON u.unit = strftime(bars.ts, '%G-W%V') WHERE ok""")
+def admitted_scan(t: Tables) -> DataFrame:
+    """The bars of admitted folders only: the partition filter keeps the others from being opened."""
+    units = partition_admission(t).where("decision = 'ADMIT'").select(F.col("unit").alias("week"))
+    return t.spark.read.parquet(t.stored_path("bars_by_week")).join(units, "week", "left_semi").select("ts", rounded("close").alias("close"))
 
 
 @query("src05_text_bars", oracle.bars(TAU) + """ SELECT strftime(ts - INTERVAL 5 HOUR, '%Y%m%d %H%M%S') AS timestamp_raw, ts, round(open, 6) AS open,
   round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, tick_volume AS volume_raw FROM bars""")
 def text_bars(t: Tables) -> DataFrame:
-    """Bars rendered as provider text in a fixed UTC-5 clock and parsed back strictly."""
+    """Bars written as provider text in a fixed UTC-5 clock, read from the files and parsed back strictly."""
     line = F.concat_ws(";", F.date_format(F.col("ts") - F.expr("interval 5 hours"), "yyyyMMdd HHmmss"),
                        *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "tick_volume")])
-    parts = F.split(line, ";", -1)
-    text = t.bars(TAU).select(*[parts[i].alias(f.name) for i, f in enumerate(files.TEXT_SCHEMA.fields)])
+    path = f"{ensure_checkpoint_dir(t.spark)}/text-{uuid.uuid4().hex}"
+    t.bars(TAU).select(line.alias("value")).write.text(path)
+    text = files.read_text_bars(t.spark, path).select(*files.TEXT_SCHEMA.names)
     return rounded_all(files.parse_text_bars(text), ["open", "high", "low", "close"])
 
 

@@ -243,7 +243,7 @@ def importance(t: Tables) -> DataFrame:
 
 @query("ml16_adversarial_controls")
 def adversarial(t: Tables) -> DataFrame:
-    """Permuted label blocks, features lagged seven sessions and shifted seeds: fixed checks that select nothing."""
+    """How the ensemble scores where it should find nothing (dealt labels, stale features) and under other seeds."""
     base = tagged(t)
     segments = base.withColumn("_seg", F.coalesce("part", F.lit("TEST")))
     shuffled = L.permuted_labels(segments.where(F.col("role") == "TRAIN"), "label", "ts", ["fold", "_seg"], 10, SEED)

@@ -63,10 +63,6 @@ def admission(df: DataFrame, unit: Column, time: str, start: str, end: str, minu
     return spans.withColumn("decision", decision)
 
 
-def file_unit() -> Column:
-    return F.col("_metadata.file_path")
-
-
 def store_query(df: DataFrame, columns: Sequence[str], *, action: str | None = None, session: str | None = None,
                 regime: str | None = None, ids: Sequence[str] | DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Filtered retrieval; literal predicates reach the scan, a table of ids becomes a semi join."""
