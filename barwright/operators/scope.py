@@ -98,23 +98,54 @@ def authorize(requests: DataFrame, scopes: DataFrame, capability_purpose: Mappin
                       F.when(F.size("_why") == 0, F.lit("FULL_SCOPE_VALIDATED")).otherwise(F.get("_why", 0)).alias("reason"))
 
 
-def manifest_violations(certificates: DataFrame, capability_purpose: Mapping[str, str], capability_fields: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Every rule a certificate breaks on its own, before any ancestry is looked at."""
+# Vocabularies of a manifest: fixed values.
+KINDS = ("dataset", "features", "labels", "cache", "experiences", "model")
+DERIVATIONS = ("select", "union", "concat", "copy", "rename", "cache", "features", "labels", "experiences", "model")
+ENVIRONMENTS = ("RESEARCH", "PAPER", "DEMO", "LIVE")
+TRACK_PARTITIONS = {"A": "DEV", "B": "FORWARD_EXECUTION"}
+
+
+def manifest_violations(manifests: DataFrame, capability_purpose: Mapping[str, str], capability_fields: Mapping[str, Sequence[str]], capability_track: Mapping[str, str],
+                        dev_from: str, dev_to: str, forward_floor: str) -> DataFrame:
+    """Every rule a manifest breaks on its own, before any ancestry is looked at: (id, violations).
+
+    Beside the columns of a certificate: schema_version, revision, status, track, environment, revocation_status, derivation, parents
+    (array<string>), and artifact_path, artifact_kind, artifact_sha256, artifact_from, artifact_to, artifact_fields.
+    """
+    def mapped(values: Mapping[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+    def named(column: str) -> Column:
+        """A set of names: at least one, none empty, padded or repeated."""
+        return (F.size(column) > 0) & (F.size(F.array_distinct(column)) == F.size(column)) & F.forall(column, lambda name: (name != "") & (F.trim(name) == name))
     known = F.array(*[F.lit(c) for c in capability_purpose])
-    purposes = F.create_map(*[F.lit(x) for pair in capability_purpose.items() for x in pair])
+    purposes, tracks, partitions = mapped(capability_purpose), mapped(capability_track), mapped(TRACK_PARTITIONS)
     allowed = F.create_map(*[x for c, f in capability_fields.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in f]))])
     granted = F.flatten(F.transform("capabilities", lambda c: F.coalesce(F.element_at(allowed, c), F.array().cast("array<string>"))))
     bound = F.array_sort(F.array_distinct(F.transform("capabilities", lambda c: F.element_at(purposes, c))))
+    root, track = F.size("parents") == 0, F.col("track")
+    low, high, floor = (F.lit(x).cast("timestamp") for x in (dev_from, dev_to, forward_floor))
     checks = [
-        ("INVALID_IDENTIFIER", F.col("id").rlike("^SC1-[A-Za-z0-9_-]{1,80}$")),
-        ("INVALID_NAME_SET", (F.size("capabilities") > 0) & (F.size("fields") > 0) & (F.size("consumers") > 0)
-         & (F.size(F.array_distinct("fields")) == F.size("fields"))),
+        ("UNKNOWN_MANIFEST_VERSION", F.col("schema_version") == 1), ("INVALID_IDENTIFIER", F.col("id").rlike("^SC1-[A-Za-z0-9_-]{1,80}$")),
+        ("INVALID_REVISION", F.col("revision") == 1), ("NOT_SHADOW_ELIGIBLE", F.col("status") == "SHADOW_ELIGIBLE"),
+        ("INVALID_NAME_SET", named("capabilities") & named("fields") & named("consumers") & named("purposes") & named("provenance")),
         ("UNKNOWN_CAPABILITY", F.size(F.array_except("capabilities", known)) == 0),
-        ("FIELD_SEMANTICS_NOT_CERTIFIED", F.size(F.array_except("fields", granted)) == 0),
-        ("CAPABILITY_PURPOSE_MISMATCH", F.array_sort("purposes") == bound),
+        ("CROSS_TRACK", track.isin("A", "B") & F.forall("capabilities", lambda c: F.coalesce(F.element_at(tracks, c) == track, F.lit(False)))),
+        ("PARTITION_DENIED", (F.col("partition") == F.element_at(partitions, track)) & ((track != "A") | (F.col("period_from") >= low) & (F.col("period_to") <= high))),
         ("EMPTY_OR_REVERSED_INTERVAL", (F.col("period_from") < F.col("period_to")) & (F.col("valid_from") < F.col("valid_to"))),
-        ("PARTITION_DENIED", F.col("partition") == "DEV")]
-    return certificates.select("id", failed_names(checks).alias("violations"))
+        ("FORWARD_CANNOT_RELABEL_HISTORICAL_PARTITIONS", (track != "B") | (F.col("period_from") >= floor)),
+        ("FIELD_SEMANTICS_NOT_CERTIFIED", F.size(F.array_except("fields", granted)) == 0), ("CAPABILITY_PURPOSE_MISMATCH", F.array_sort("purposes") == bound),
+        ("INVALID_INSTRUMENT", F.col("instrument") != ""), ("INVALID_ENVIRONMENT", F.col("environment").isin(*ENVIRONMENTS)),
+        ("CROSS_TRACK_ENVIRONMENT", (track == "A") == (F.col("environment") == "RESEARCH")), ("INVALID_REVOCATION_STATUS", F.col("revocation_status").isin("ACTIVE", "REVOKED")),
+        ("INVALID_PARENTS", F.size("parents") <= MAX_PARENTS),
+        ("INVALID_PARENT_REFERENCE", (F.size(F.array_distinct("parents")) == F.size("parents")) & F.forall("parents", lambda parent: parent.rlike("^SC1-[A-Za-z0-9_-]{1,80}$"))),
+        ("UNKNOWN_DERIVATION", root | F.col("derivation").isin(*DERIVATIONS)),
+        ("ROOTS_ARE_TRUSTED_FIXTURES_ONLY", ~root | (F.col("derivation") == "SYNTHETIC_FIXTURE") & F.forall("provenance", lambda name: name.startswith("fixture:"))),
+        ("ARTIFACT_PATH_DENIED", F.col("artifact_path") == F.concat(F.lit("data/engine/shadow/"), F.col("id"), F.lit("/artifact.parquet"))),
+        ("DERIVED_ARTIFACT_REQUIRES_PARENTS", F.col("artifact_kind").isin(*KINDS) & ((F.col("artifact_kind") == "dataset") | ~root)),
+        ("INVALID_ARTIFACT_DIGEST", F.col("artifact_sha256").rlike("^[0-9a-f]{64}$")),
+        ("ARTIFACT_EXCEEDS_SCOPE", (F.col("period_from") <= F.col("artifact_from")) & (F.col("artifact_to") <= F.col("period_to")) & (F.size(F.array_except("artifact_fields", "fields")) == 0))]
+    return manifests.select("id", failed_names(checks).alias("violations"))
 
 
 def derive(edges: DataFrame, certificates: DataFrame, problems: DataFrame) -> DataFrame:

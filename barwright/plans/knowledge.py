@@ -194,11 +194,66 @@ def authorisation(t: Tables) -> DataFrame:
     return A.authorize(rq, scopes, PURPOSE, F.lit(NOW).cast("timestamp")).select("l_orderkey", "l_linenumber", "decision", "reason")
 
 
-@query("a03_manifest_violations", CERT + """ SELECT id, array_to_string(list_filter([CASE WHEN k % 4 <> 0 AND k % 5 = 0 AND k % 7 = 0 THEN 'FIELD_SEMANTICS_NOT_CERTIFIED' END,
- CASE WHEN list_sort(purposes) <> list_sort(list_transform(capabilities, lambda x: CASE x WHEN 'PRICE' THEN 'DISCOVERY' WHEN 'FEATURES' THEN 'MODELING' ELSE 'AUDIT' END)) THEN 'CAPABILITY_PURPOSE_MISMATCH' END, CASE WHEN NOT (period_from < period_to AND valid_from < valid_to) THEN 'EMPTY_OR_REVERSED_INTERVAL' END,
- CASE WHEN partition <> 'DEV' THEN 'PARTITION_DENIED' END], lambda x: x IS NOT NULL), ',') AS violations FROM c""")
+TRACKS = {"PRICE": "A", "FEATURES": "A", "LABELS": "A", "QUOTES": "B"}
+DEV_FROM, DEV_TO, FORWARD_FLOOR = "2024-01-02 00:00:00", "2024-05-31 00:00:00", "2024-01-20 00:00:00"
+# Manifests of the certificates; every rule but the broken ones of a certificate holds.
+MANIFEST = CERT + """, pa AS (SELECT child, list(parent) AS parents FROM ed GROUP BY child),
+ mf AS (SELECT c.* EXCLUDE (capabilities, provenance), CASE WHEN k % 31 = 4 THEN list_append(capabilities, 'QUOTES') WHEN k % 31 = 5 THEN list_append(capabilities, 'ORDERS') ELSE capabilities END AS capabilities, CASE WHEN k % 37 = 6 THEN ['feed:x'] WHEN k % 37 = 7 THEN ['fixture:a', ' pad'] ELSE provenance END AS provenance,
+  CASE WHEN k % 19 = 3 THEN 2 ELSE 1 END AS schema_version, CASE WHEN k % 23 = 2 THEN 0 ELSE 1 END AS revision, CASE WHEN k % 21 = 8 THEN 'DRAFT' ELSE 'SHADOW_ELIGIBLE' END AS status, CASE WHEN k % 17 = 9 THEN 'B' WHEN k % 17 = 10 THEN 'C' ELSE 'A' END AS track,
+  CASE WHEN k % 13 = 5 THEN 'DEMO' WHEN k % 13 = 6 THEN 'HOME' ELSE 'RESEARCH' END AS environment, CASE WHEN k % 27 = 1 THEN 'MAYBE' WHEN revoked THEN 'REVOKED' ELSE 'ACTIVE' END AS revocation_status, CASE WHEN parents IS NULL THEN CASE WHEN k % 2 = 0 THEN 'copy' ELSE 'SYNTHETIC_FIXTURE' END WHEN k % 22 = 7 THEN 'guess' ELSE 'select' END AS derivation,
+  CASE WHEN k % 41 = 3 THEN list_concat(parents, parents) ELSE coalesce(parents, []) END AS parents, 'data/engine/shadow/' || id || CASE WHEN k % 26 = 9 THEN '/../artifact.parquet' ELSE '/artifact.parquet' END AS artifact_path, CASE WHEN k % 9 = 1 THEN 'model' WHEN k % 33 = 5 THEN 'table' ELSE 'dataset' END AS artifact_kind,
+  CASE WHEN k % 29 = 3 THEN upper(md5(id)) || md5(id) ELSE md5(id) || md5(id) END AS artifact_sha256, CASE WHEN k % 34 = 2 THEN period_from - INTERVAL 1 DAY ELSE period_from END AS artifact_from, period_to AS artifact_to, CASE WHEN k % 35 = 4 THEN ['close', 'volume'] ELSE ['close'] END AS artifact_fields
+  FROM c LEFT JOIN pa ON pa.child = c.id)"""
+
+
+def manifests(t: Tables) -> DataFrame:
+    c = certificates(t)
+    parents = parent_edges(c).groupBy(F.col("child").alias("id")).agg(F.collect_list("parent").alias("parents"))
+    k = F.col("k")
+
+    def at(modulus: int, rest: int, new, old):
+        return F.when(F.pmod(k, F.lit(modulus)) == rest, new).otherwise(old)
+    digest, none = F.md5("id"), F.array().cast("array<string>")
+    j = c.join(parents, "id", "left")
+    return j.withColumns({
+        "capabilities": F.when(F.pmod(k, F.lit(31)) == 4, F.array_append("capabilities", "QUOTES")).when(F.pmod(k, F.lit(31)) == 5, F.array_append("capabilities", "ORDERS")).otherwise(F.col("capabilities")),
+        "provenance": F.when(F.pmod(k, F.lit(37)) == 6, F.array(F.lit("feed:x"))).when(F.pmod(k, F.lit(37)) == 7, F.array(F.lit("fixture:a"), F.lit(" pad"))).otherwise(F.col("provenance")),
+        "schema_version": at(19, 3, 2, 1), "revision": at(23, 2, 0, 1), "status": at(21, 8, "DRAFT", "SHADOW_ELIGIBLE"), "track": at(17, 9, "B", at(17, 10, "C", "A")),
+        "environment": at(13, 5, "DEMO", at(13, 6, "HOME", "RESEARCH")), "revocation_status": at(27, 1, "MAYBE", F.when(F.col("revoked"), "REVOKED").otherwise("ACTIVE")),
+        "derivation": F.when(F.col("parents").isNull(), at(2, 0, "copy", "SYNTHETIC_FIXTURE")).otherwise(at(22, 7, "guess", "select")),
+        "parents": at(41, 3, F.concat("parents", "parents"), F.coalesce("parents", none)), "artifact_path": F.concat(F.lit("data/engine/shadow/"), F.col("id"), at(26, 9, "/../artifact.parquet", "/artifact.parquet")),
+        "artifact_kind": at(9, 1, "model", at(33, 5, "table", "dataset")), "artifact_sha256": F.concat(at(29, 3, F.upper(digest), digest), digest),
+        "artifact_from": at(34, 2, F.col("period_from") - F.expr("interval 1 day"), F.col("period_from")), "artifact_to": F.col("period_to"),
+        "artifact_fields": at(35, 4, F.array(F.lit("close"), F.lit("volume")), F.array(F.lit("close")))})
+
+
+def _rule(name: str, holds: str) -> str:
+    return f"CASE WHEN NOT coalesce({holds}, false) THEN '{name}' END"
+
+
+def _names(column: str) -> str:
+    return f"(len({column}) > 0 AND len(list_distinct({column})) = len({column}) AND len(list_filter({column}, lambda x: x = '' OR trim(x) <> x)) = 0)"
+
+
+RULES = [("UNKNOWN_MANIFEST_VERSION", "schema_version = 1"), ("INVALID_IDENTIFIER", "regexp_matches(id, '^SC1-[A-Za-z0-9_-]{1,80}$')"), ("INVALID_REVISION", "revision = 1"), ("NOT_SHADOW_ELIGIBLE", "status = 'SHADOW_ELIGIBLE'"),
+         ("INVALID_NAME_SET", " AND ".join(map(_names, ("capabilities", "fields", "consumers", "purposes", "provenance")))), ("UNKNOWN_CAPABILITY", "list_has_all(['PRICE', 'FEATURES', 'LABELS', 'QUOTES'], capabilities)"),
+         ("CROSS_TRACK", "track IN ('A', 'B') AND len(list_filter(capabilities, lambda x: CASE WHEN x IN ('PRICE', 'FEATURES', 'LABELS') THEN 'A' WHEN x = 'QUOTES' THEN 'B' ELSE '' END <> track)) = 0"),
+         ("PARTITION_DENIED", f"partition = CASE track WHEN 'A' THEN 'DEV' WHEN 'B' THEN 'FORWARD_EXECUTION' END AND (track <> 'A' OR period_from >= TIMESTAMP '{DEV_FROM}' AND period_to <= TIMESTAMP '{DEV_TO}')"),
+         ("EMPTY_OR_REVERSED_INTERVAL", "period_from < period_to AND valid_from < valid_to"), ("FORWARD_CANNOT_RELABEL_HISTORICAL_PARTITIONS", f"track <> 'B' OR period_from >= TIMESTAMP '{FORWARD_FLOOR}'"),
+         ("FIELD_SEMANTICS_NOT_CERTIFIED", "list_has_all(CASE WHEN list_has_any(capabilities, ['FEATURES', 'LABELS']) THEN ['open', 'close', 'spread'] ELSE ['open', 'close'] END, fields)"),
+         ("CAPABILITY_PURPOSE_MISMATCH", "list_sort(purposes) = list_sort(list_distinct(list_transform(capabilities, lambda x: CASE x WHEN 'PRICE' THEN 'DISCOVERY' WHEN 'FEATURES' THEN 'MODELING' WHEN 'LABELS' THEN 'AUDIT' WHEN 'QUOTES' THEN 'EXECUTION' ELSE '' END)))"),
+         ("INVALID_INSTRUMENT", "instrument <> ''"), ("INVALID_ENVIRONMENT", "environment IN ('RESEARCH', 'PAPER', 'DEMO', 'LIVE')"), ("CROSS_TRACK_ENVIRONMENT", "(track = 'A') = (environment = 'RESEARCH')"), ("INVALID_REVOCATION_STATUS", "revocation_status IN ('ACTIVE', 'REVOKED')"),
+         ("INVALID_PARENTS", "len(parents) <= 32"), ("INVALID_PARENT_REFERENCE", "len(list_distinct(parents)) = len(parents)"),
+         ("UNKNOWN_DERIVATION", "len(parents) = 0 OR derivation IN ('select', 'union', 'concat', 'copy', 'rename', 'cache', 'features', 'labels', 'experiences', 'model')"),
+         ("ROOTS_ARE_TRUSTED_FIXTURES_ONLY", "len(parents) > 0 OR derivation = 'SYNTHETIC_FIXTURE' AND len(list_filter(provenance, lambda x: NOT starts_with(x, 'fixture:'))) = 0"), ("ARTIFACT_PATH_DENIED", "artifact_path = 'data/engine/shadow/' || id || '/artifact.parquet'"),
+         ("DERIVED_ARTIFACT_REQUIRES_PARENTS", "artifact_kind IN ('dataset', 'features', 'labels', 'cache', 'experiences', 'model') AND (artifact_kind = 'dataset' OR len(parents) > 0)"), ("INVALID_ARTIFACT_DIGEST", "regexp_matches(artifact_sha256, '^[0-9a-f]{64}$')"),
+         ("ARTIFACT_EXCEEDS_SCOPE", "period_from <= artifact_from AND artifact_to <= period_to AND list_has_all(fields, artifact_fields)")]
+
+
+@query("a03_manifest_violations", MANIFEST + " SELECT id, array_to_string(list_filter([" + ", ".join(_rule(*rule) for rule in RULES) + "], lambda x: x IS NOT NULL), ',') AS violations FROM mf")
 def manifest_violations(t: Tables) -> DataFrame:
-    return A.manifest_violations(certificates(t), PURPOSE, ALLOWED).withColumn("violations", F.concat_ws(",", "violations"))
+    found = A.manifest_violations(manifests(t), PURPOSE | {"QUOTES": "EXECUTION"}, ALLOWED, TRACKS, DEV_FROM, DEV_TO, FORWARD_FLOOR)
+    return found.withColumn("violations", F.concat_ws(",", "violations"))
 
 
 @query("a04_derivation", CERT + """, pr AS (SELECT ed.child, coalesce(gs.status, 'UNKNOWN_CERTIFICATE') AS sound, c.* FROM ed LEFT JOIN c ON c.id = ed.parent LEFT JOIN gs ON gs.id = ed.parent),
