@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.hashing import fingerprint, record_hash
 from barwright.functions.numeric import count_where, ratio
@@ -50,6 +52,35 @@ def nearest_vectors(df: DataFrame, query: DataFrame, vector: str, size: int, k:
     return scored.select(*df.columns, "distance").orderBy("distance", tiebreak).limit(k)
 
 
+def nearest_vectors_of(df: DataFrame, queries: DataFrame, vector: str, key: str, k: int, rows_per_cell: int = 4096, queries_per_cell: int = 256) -> DataFrame:
+    """(query, key, distance, rank): for each query row the k rows nearest to it, distances as in `nearest_vectors`.
+
+    Rows and queries are cut into blocks that meet once per pair of blocks; a cell hands on at most k rows per query, so neither
+    side is ever broadcast and what is ranked at the end is k rows per query and block.
+    """
+    size = df.select(F.size(vector)).first()[0]
+    spans = np.array(df.agg(F.array(*[(F.max(F.col(vector)[i]) - F.min(F.col(vector)[i])).cast("double") for i in range(size)]).alias("_s")).first()[0])
+    spans = np.where(spans > 0, spans, 1.0)
+    rows_, asked_ = max(1, df.count() // rows_per_cell), max(1, queries.count() // queries_per_cell)
+
+    def dealt(table: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
+        return table.select(F.col(key), F.col(vector), F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(left) and len(right):
+            x, ids = np.stack(left[vector].to_numpy()).astype(float), left[key].to_numpy()
+            for q, v in zip(right[key].tolist(), right[vector]):
+                distance = (np.abs(x - np.asarray(v, dtype=float)) / spans).mean(axis=1)
+                best = np.lexsort((ids, distance))[:k]
+                parts.append(pd.DataFrame({"query": q, key: ids[best], "distance": distance[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query": pd.Series(dtype="int64"), key: pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+
+    near = dealt(df, "_r", rows_, "_q", asked_).groupBy("_r", "_q").cogroup(dealt(queries, "_q", asked_, "_r", rows_).groupBy("_r", "_q")).applyInPandas(cell, f"query bigint, `{key}` bigint, distance double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)))
+    return ranked.where(F.col("rank") <= k)
+
+
 def with_record_hash(df: DataFrame, version: str, columns: Sequence[str], name: str = "record_hash") -> DataFrame:
     return df.withColumn(name, record_hash(version, columns))
 

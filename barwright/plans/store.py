@@ -49,6 +49,14 @@ def nearest_vectors(t: Tables) -> DataFrame:
     return R.nearest_vectors(e, first, "embedding", 64, 10, "vec_id").select("vec_id", rounded("distance").alias("distance"))
 
 
+@query("x02_nearest_vectors_batch", """WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT i, max(x) - min(x) AS span FROM u GROUP BY i),
+d AS (SELECT a.vec_id AS query, b.vec_id, avg(abs(b.x - a.x) / CASE WHEN span > 0 THEN span ELSE 1 END) AS distance FROM u a JOIN u b USING (i) JOIN s USING (i) WHERE a.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id)::INT AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 10""")
+def nearest_vectors_batch(t: Tables) -> DataFrame:
+    e = t.read("embeddings")
+    return R.nearest_vectors_of(e, e.where(F.pmod("vec_id", F.lit(100)) == 0), "embedding", "vec_id", 10).withColumn("distance", rounded("distance"))
+
+
 FIELDS = ["state_vol_short", "state_vol_long", "state_atr", "state_dist_high", "state_dist_low", "state_return_5", "state_spread_points", "minute"]
 
 
