@@ -150,15 +150,22 @@ def held_out(key: Column) -> Column:
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Network:
     """Train on at most `per_language` labelled passages of each language, chosen by a hash of the key, held-out rows excluded.
 
-    The rank limit is applied before the shuffle, so the driver receives a bounded sample: per_language x PASSAGE characters for
-    at most MOST_LANGUAGES languages, the frequent ones first.
+    What is shuffled and what the driver receives is bounded: a few times per_language passages of PASSAGE characters for each of at
+    most MOST_LANGUAGES languages, the frequent ones first.
     """
     rows = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    start = F.pmod(F.xxhash64(F.lit(2), F.col(key)), F.greatest(F.length(text) - PASSAGE + 1, F.lit(1))) + 1
-    rows = rows.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(F.col(text), start.cast("int"), F.lit(PASSAGE)).alias("passage"))
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "key"), "key", "passage"))).where(F.col("n") <= per_language)
-    common = [row["lang"] for row in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    sample = ranked.where(F.col("lang").isin(common)).select("lang", "passage", "n").collect() if common else []
+    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if counts:
+        # Of a frequent language only a share by hash, four times what is wanted, is ranked; a rare one is ranked whole.
+        shares = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], min(1.0, 4 * per_language / row["count"]))])
+        draw = F.pmod(F.xxhash64(F.lit(1), F.col(key), F.col(text)), F.lit(1 << 30)) / (1 << 30)
+        start = F.pmod(F.xxhash64(F.lit(2), F.col(key)), F.greatest(F.length(text) - PASSAGE + 1, F.lit(1))) + 1
+        rows = rows.where(draw <= F.element_at(shares, F.col(lang)))
+        rows = rows.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(F.col(text), start.cast("int"), F.lit(PASSAGE)).alias("passage"))
+        ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "key"), "key", "passage")))
+        sample = ranked.where(F.col("n") <= per_language).select("lang", "passage", "n").collect()
+    else:
+        sample = []
     sample = sorted((row["lang"], row["n"], row["passage"]) for row in sample)
     if not sample:
         return Network([], np.zeros((256, DIMENSIONS)), [np.zeros((w, DIMENSIONS, FILTERS)) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS)), np.zeros((FILTERS * len(WIDTHS), 0)), np.zeros(0))
