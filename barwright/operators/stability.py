@@ -98,6 +98,16 @@ def skeptic(effects: DataFrame, by: Sequence[str], effect: str = "effect", direc
     return facts.withColumn("effect_attacks_survived", sum((s.cast("int") for s in survived), F.lit(0)))
 
 
+def skeptic_survival(facts: DataFrame, temporal_share: Column, cost_2x: Column, blocking: Column) -> DataFrame:
+    """The whole battery: the effect attacks of `skeptic`, concentration in time (at least 0.6 of the periods agree), double cost where
+    cost applies (NULL: it does not), blocking data errors, and gaps, which are survived because outcomes across gaps are left out."""
+    applies = cost_2x.isNotNull()
+    more = [F.coalesce(temporal_share >= 0.6, F.lit(False)), F.coalesce(cost_2x, F.lit(False)), ~F.coalesce(blocking, F.lit(True)), F.lit(True)]
+    survived = F.col("effect_attacks_survived") + sum((m.cast("int") for m in more), F.lit(0))
+    attempted = F.lit(4) + 3 + applies.cast("int")
+    return facts.withColumns({"attempted": attempted, "survived": survived, "survival": survived / attempted})
+
+
 def negative_control_limit(effect: Column) -> Column:
     return 0.5 * F.greatest(F.abs(effect), F.lit(1e-12))
 

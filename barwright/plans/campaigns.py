@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barwright.functions.numeric import count_where, p_positive, rounded
+from barwright.functions.numeric import count_where, failed_names, p_positive, rounded
 from barwright.operators import conditions as C, effects as E, resampling as R, stability as S, walkforward as W
 from barwright.operators.quantiles import exact_quantiles
 from barwright.plans.bindings import Tables, rounded_all
@@ -235,21 +235,37 @@ def opportunity_results(t: Tables) -> DataFrame:
 T12_SQL = OPF.replace("WITH led AS", "WITH led AS", 1) + ", e AS (SELECT * FROM sel WHERE chosen)" + attack_sql("hypothesis", "surplus", "mx")
 
 
-@query("t12_opportunity_skeptic", T12_SQL + f""", st AS (SELECT hypothesis, avg(mx - 3.0 * cost) AS cost_1_5x, avg(mx - 4.0 * cost) AS cost_2x FROM e GROUP BY 1), nb AS (SELECT hypothesis, avg(CASE WHEN weaker THEN surplus END) AS weaker_surplus, avg(CASE WHEN stronger THEN surplus END) AS stronger_surplus,
-  avg(CASE WHEN ('0x' || substr(md5('rand:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT / 4294967296.0 < 0.25 THEN large::INT END) AS random_rate, avg(CASE WHEN chosen THEN large::INT END) AS selected_rate FROM sel GROUP BY 1)
- SELECT hypothesis, {', '.join(f'{r(c)} AS {c}' for c in ['mean', 'remove_best_5pct', 'remove_best_sessions', 'winsorised', 'cost_1_5x', 'cost_2x', 'weaker_surplus', 'stronger_surplus', 'random_rate', 'selected_rate'])} FROM att JOIN st USING (hypothesis) JOIN nb USING (hypothesis)""")
+REQUIRED = ("remove_best_5pct", "remove_best_sessions", "winsorised", "cost_1_5x", "weaker_surplus", "stronger_surplus")
+
+
+@query("t12_opportunity_skeptic", T12_SQL + f""", st AS (SELECT hypothesis, avg(mx - 3.0 * cost) AS cost_1_5x, avg(mx - 4.0 * cost) AS cost_2x, avg((mx IS NULL)::INT) AS gap_share FROM e GROUP BY 1), sr AS (SELECT hypothesis, avg(chosen::INT) AS selected_share FROM sel GROUP BY 1),
+ nb AS (SELECT hypothesis, avg(CASE WHEN weaker THEN surplus END) AS weaker_surplus, avg(CASE WHEN stronger THEN surplus END) AS stronger_surplus,
+  avg(CASE WHEN ('0x' || substr(md5('rand:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT / 4294967296.0 < selected_share THEN large::INT END) AS random_rate, avg(CASE WHEN chosen THEN large::INT END) AS selected_rate FROM sel JOIN sr USING (hypothesis) GROUP BY 1),
+ ym AS (SELECT hypothesis, year(ts) AS y, avg(surplus) AS m FROM e GROUP BY ALL), yr AS (SELECT hypothesis, count(*) AS years, count(*) FILTER (m > 0) AS positive_years FROM ym GROUP BY 1), rm AS (SELECT hypothesis, min(m) AS worst_regime FROM (SELECT hypothesis, state_regime, avg(surplus) AS m FROM e GROUP BY ALL) GROUP BY 1),
+ al AS (SELECT * FROM att JOIN st USING (hypothesis) JOIN nb USING (hypothesis) JOIN yr USING (hypothesis) JOIN rm USING (hypothesis))
+ SELECT hypothesis, {', '.join(f'{r(c)} AS {c}' for c in ['mean', 'remove_best_5pct', 'remove_best_sessions', 'winsorised', 'cost_1_5x', 'cost_2x', 'weaker_surplus', 'stronger_surplus', 'random_rate', 'selected_rate', 'worst_regime'])}, years, positive_years,
+ array_to_string(list_filter([{', '.join(f"CASE WHEN NOT coalesce({c} > 0, false) THEN '{c}' END" for c in REQUIRED)}, CASE WHEN positive_years < greatest(2, years - 1) THEN 'year_concentration' END, CASE WHEN gap_share > 0.01 THEN 'gaps' END], lambda x: x IS NOT NULL), ',') AS failures FROM al""")
 def opportunity_skeptic(t: Tables) -> DataFrame:
+    """Attacks on each large-move hypothesis, its means by year and regime, and the attacks that it fails."""
     from barwright.functions.hashing import uniform
     rows = large_rows(t)
     chosen = rows.where("chosen")
     base = S.attacks(chosen, HYP, "surplus", trim="mx")
-    stress = chosen.groupBy(*HYP).agg(F.avg(F.col("mx") - 3.0 * F.col("cost")).alias("cost_1_5x"), F.avg(F.col("mx") - 4.0 * F.col("cost")).alias("cost_2x"))
-    coin = uniform(F.lit("rand"), F.col("l_orderkey"), F.col("l_linenumber")) < 0.25
+    stress = chosen.groupBy(*HYP).agg(F.avg(F.col("mx") - 3.0 * F.col("cost")).alias("cost_1_5x"), F.avg(F.col("mx") - 4.0 * F.col("cost")).alias("cost_2x"), F.avg(F.col("mx").isNull().cast("double")).alias("_gaps"))
+    # A random condition as frequent as the chosen one.
+    share = rows.groupBy(*HYP).agg(F.avg(F.col("chosen").cast("double")).alias("_share"))
+    coin = uniform(F.lit("rand"), F.col("l_orderkey"), F.col("l_linenumber")) < F.col("_share")
     hit = F.col("large").cast("double")
-    near = rows.groupBy(*HYP).agg(F.avg(F.when(F.col("weaker"), F.col("surplus"))).alias("weaker_surplus"), F.avg(F.when(F.col("stronger"), F.col("surplus"))).alias("stronger_surplus"),
-                                  F.avg(F.when(coin, hit)).alias("random_rate"), F.avg(F.when(F.col("chosen"), hit)).alias("selected_rate"))
-    out = base.drop("temporal_concentration", "sample_concentration").join(stress, HYP).join(near, HYP)
-    return rounded_all(out, [c for c in out.columns if c != "hypothesis"])
+    near = rows.join(share, HYP).groupBy(*HYP).agg(F.avg(F.when(F.col("weaker"), F.col("surplus"))).alias("weaker_surplus"), F.avg(F.when(F.col("stronger"), F.col("surplus"))).alias("stronger_surplus"),
+                                                   F.avg(F.when(coin, hit)).alias("random_rate"), F.avg(F.when(F.col("chosen"), hit)).alias("selected_rate"))
+    years = chosen.groupBy(*HYP, F.year("ts").alias("_y")).agg(F.avg("surplus").alias("_m")).groupBy(*HYP).agg(F.count(F.lit(1)).alias("years"), F.count_if(F.col("_m") > 0).alias("positive_years"))
+    regimes = chosen.groupBy(*HYP, "state_regime").agg(F.avg("surplus").alias("_m")).groupBy(*HYP).agg(F.min("_m").alias("worst_regime"))
+    out = base.drop("temporal_concentration", "sample_concentration")
+    for part in (stress, near, years, regimes):
+        out = out.join(part, HYP)
+    checks = [(c, F.col(c) > 0) for c in REQUIRED] + [("year_concentration", F.col("positive_years") >= F.greatest(F.lit(2), F.col("years") - 1)), ("gaps", F.col("_gaps") <= 0.01)]
+    out = out.withColumn("failures", F.concat_ws(",", failed_names(checks))).drop("_gaps")
+    return rounded_all(out, [c for c in out.columns if c not in ("hypothesis", "years", "positive_years", "failures")])
 
 
 @query("w09_direction_test", OPF + f""", e AS (SELECT *, hypothesis || '-' || a AS id, CASE a WHEN 'LONG' THEN g ELSE -g END AS gross, CASE a WHEN 'LONG' THEN g ELSE -g END - cost AS net FROM sel CROSS JOIN (VALUES ('LONG'), ('SHORT')) v(a) WHERE chosen)""" + attack_sql("id") + f""",

@@ -11,7 +11,7 @@ from barwright.plans.evidence import (BY, CATALOGUE, WINDOW_FLIPS, HIGH_VOL, MAI
                                       evidence_sql, stacked, states)
 from barwright.plans.features import ESQL, experiences
 from barwright.plans.oracle import r
-from barwright.plans.registry import query
+from barwright.plans.registry import REGISTRY, query
 from barwright.session import materialize
 
 # Orders as a dated fact of seven years: urgent orders against the others, per order date.
@@ -135,9 +135,29 @@ SKEPTIC_SQL = """, k AS (SELECT *, count(*) OVER (PARTITION BY hypothesis) AS n,
   sum(CASE WHEN big <= greatest(1, floor(n * 0.05)) THEN abs(effect) END) / sum(abs(effect)) AS outlier_share FROM k JOIN l USING (hypothesis) GROUP BY hypothesis)"""
 
 
-@query("t10_skeptic_battery", evidence_sql(MAIN) + SKEPTIC_SQL + f" SELECT hypothesis, {r('winsorised')} AS winsorised, {r('drop_best')} AS drop_best, {r('drop_worst')} AS drop_worst, {r('outlier_share')} AS outlier_share, ((winsorised > 0)::INT + (drop_best > 0)::INT + (drop_worst > 0)::INT + (outlier_share <= 0.5)::INT) AS effect_attacks_survived FROM sk")
+def _battery_sql(direction: str, sign: str) -> str:
+    good = [f"({c} {sign} 0)::INT" for c in ("winsorised", "drop_best", "drop_worst")] + ["(outlier_share <= 0.5)::INT"]
+    return f"""SELECT '{direction}' AS direction, sk.*, {' + '.join(good)} AS effect_attacks_survived, 8 AS attempted,
+ {' + '.join(good)} + ((SELECT avg((m {sign} 0)::INT) FROM wk WHERE wk.hypothesis = sk.hypothesis) >= 0.6)::INT + (SELECT (effect {sign} 0)::INT FROM cs WHERE multiplier = 2) + (SELECT (NOT blocking)::INT FROM dq) + 1 AS survived FROM sk"""
+
+
+@query("t10_skeptic_battery", evidence_sql(MAIN) + SKEPTIC_SQL + f""", wk AS (SELECT hypothesis, strftime(session_id::DATE, '%G-W%V') AS week, avg(effect) AS m FROM eff GROUP BY ALL), cs AS ({REGISTRY.sql['t06_cost_stress']}),
+ dq AS (SELECT count(*) FILTER (least(open, high, low, close) <= 0) > 0 AS blocking FROM states), both_ AS ({_battery_sql('GREATER', '>')} UNION ALL {_battery_sql('LESS', '<')})
+ SELECT direction, hypothesis, {r('winsorised')} AS winsorised, {r('drop_best')} AS drop_best, {r('drop_worst')} AS drop_worst, {r('outlier_share')} AS outlier_share, effect_attacks_survived, attempted, survived, {r('survived / attempted')} AS survival FROM both_""")
 def skeptic(t: Tables) -> DataFrame:
-    return rounded_all(S.skeptic(materialize(effect_sample(t, MAIN)), BY), ["winsorised", "drop_best", "drop_worst", "outlier_share"])
+    """All eight attacks on the volatility hypothesis, for either direction."""
+    sample = materialize(effect_sample(t, MAIN))
+    day = F.to_date("session_id")
+    weeks = sample.groupBy(*BY, F.extract(F.lit("YEAROFWEEK"), day).alias("_y"), F.weekofyear(day).alias("_w")).agg(F.avg("effect").alias("_m"))
+    stressed = cost_stress(t).where("multiplier = 2").select(F.col("effect").alias("_cost"))
+    prices = states(t).agg((F.count_if(F.least("open", "high", "low", "close") <= 0) > 0).alias("_blocking"))
+    out = None
+    for direction, favourable in (("GREATER", lambda c: F.col(c) > 0), ("LESS", lambda c: F.col(c) < 0)):
+        periods = weeks.groupBy(*BY).agg(F.avg(favourable("_m").cast("double")).alias("_periods"))
+        facts = S.skeptic(sample, BY, direction=direction).join(periods, BY).join(stressed).join(prices)
+        done = S.skeptic_survival(facts, F.col("_periods"), favourable("_cost"), F.col("_blocking")).withColumn("direction", F.lit(direction))
+        out = done if out is None else out.unionByName(done)
+    return rounded_all(out.drop("_periods", "_cost", "_blocking"), ["winsorised", "drop_best", "drop_worst", "outlier_share", "survival"])
 
 
 # Line items as trades: the flag is the regime, the ship date the session.
