@@ -148,14 +148,21 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         ids = bpe.merge_all(raw, merges)
         return list(zip(parts, map(ids.__getitem__, raw)))
 
-    def encode_words(words: list[str]) -> list[tuple[str, bytes]]:
-        split = {word: _PARTS.findall(word.lower()) for word in words if _SIMPLE.fullmatch(word)}
-        parts = known_parts.fill(set().union(*split.values()), merge)
-        return [(word, b"".join(map(parts.__getitem__, own))) for word, own in split.items()] + [(word, library(word)) for word in words if word not in split]
+    def encode_words(words: list[str]) -> Iterator[tuple[str, bytes]]:
+        plain = words if _SIMPLE.fullmatch("".join(words)) else [word for word in words if _SIMPLE.fullmatch(word)]
+        low = " ".join(plain).lower().split(" ") if plain else []
+        # A word of letters is one part; only the others have to be split.
+        whole = [word.isalpha() for word in low]
+        split = [None if one else _PARTS.findall(word) for word, one in zip(low, whole)]
+        wanted = {word for word, one in zip(low, whole) if one}.union(*[own for own in split if own])
+        parts = known_parts.fill(wanted, merge)
+        yield from ((name, parts[word] if own is None else b"".join(map(parts.__getitem__, own))) for name, word, own in zip(plain, low, split))
+        if len(plain) < len(words):
+            yield from ((word, library(word)) for word in set(words).difference(plain))
 
     words = [None if _ODD.search(text) else text.split() for text in texts]
     known = known_words.fill(set().union(*[own for own in words if own]), encode_words)
-    # ASCII separators that Python takes for white space and the vocabulary does not.
+    # Some ASCII separators are white space for Python and not for the vocabulary: such texts go to the library whole.
     return [library(text) if own is None else b"".join(map(known.__getitem__, own)) for text, own in zip(texts, words)]
 
 
