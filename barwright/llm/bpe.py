@@ -40,6 +40,8 @@ class Merges:
 
     #: None: the rank is the token's number.
     made: np.ndarray | None = None
+    #: How a token's number is written.
+    kind = "<u4"
 
     def index(self, pairs: dict[int, int]) -> None:
         """pairs: rank of each pair, keyed by left << 32 | right."""
@@ -132,8 +134,8 @@ def merge_short(pieces: list[bytes], ranks: Merges, leaves: int) -> list[bytes]:
         while leaves > 1 and node[0] > 1:
             node = node >> 1
             tree[touched, node] = np.minimum(tree[touched, 2 * node], tree[touched, 2 * node + 1])
-    ends = np.cumsum(live.sum(axis=1)) * 4
-    packed = token[live].astype("<u4").tobytes()
+    ends = np.cumsum(live.sum(axis=1)) * int(ranks.kind[-1])
+    packed = token[live].astype(ranks.kind).tobytes()
     return [packed[start:end] for start, end in zip(np.concatenate([[0], ends[:-1]]), ends)]
 
 
@@ -182,7 +184,7 @@ def merge_long(piece: bytes, ranks: Merges) -> bytes:
     while at < n:
         ids.append(token[at])
         at = following[at]
-    return np.array(ids, dtype="<u4").tobytes()
+    return np.array(ids, dtype=ranks.kind).tobytes()
 
 
 def merge_all(pieces: list[bytes], ranks: Merges) -> dict[bytes, bytes]:

@@ -23,6 +23,8 @@ from barwright.llm.common import batch_of, map_arrow
 from barwright.llm.memory import Memory
 
 CAPACITY, CLOSING = 4096, 2
+# Between the tokeniser and the packer an id takes 16 bits; a larger vocabulary is refused.
+KIND, WIDTH = "<u2", 2
 # Ids and documents of one group; a group larger than that is packed in several runs.
 GROUP_TOKENS, GROUP_DOCS = 4 << 20, 4096
 # Text bytes that a randomised group gets on average.
@@ -106,10 +108,14 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int
 class WordMerges(bpe.Merges):
     """The merges of a vocabulary of words: every byte is a character, and the last of a word carries a mark of the word's end."""
 
+    kind = KIND
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         numbers, end = model["vocab"], model["end_of_word_suffix"]
+        if max(numbers.values()) >= 1 << (8 * WIDTH):
+            raise ValueError("ids of this vocabulary need more than 16 bits")
         # The public rule for bytes as characters: printable ones stand for themselves, the others follow from 256 on.
         plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
         others = [b for b in range(256) if b not in plain]
@@ -141,7 +147,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     tokenizer, merges, known_words, known_parts = load_tokenizer(path)
 
     def library(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=KIND).tobytes()
 
     def merge(parts: list[str]) -> list[tuple[str, bytes]]:
         raw = [part.encode() for part in parts]
@@ -167,8 +173,8 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
 
 
 def tokenise(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, ids): little-endian 32-bit ids of the whole text and the closing id; a null or empty text has the closing id only."""
-    closing = CLOSING.to_bytes(4, "little")
+    """Rows (key, ids): little-endian 16-bit ids of the whole text and the closing id; a null or empty text has the closing id only."""
+    closing = CLOSING.to_bytes(WIDTH, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +185,7 @@ def tokenise(df: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
 
 def pack(tokens: DataFrame, groups: int, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """Pieces (key, start, length, ids, doc_tokens, sequence_id, offset) of rows (key, ids).
+    """Pieces (key, start, length, ids, doc_tokens, sequence_id, offset) of rows (key, ids); the ids of pieces are little-endian 32-bit.
 
     Each id lies in exactly one piece, offsets are gapless, no sequence exceeds the capacity. Repeated and null keys are documents
     of their own. A group is read in order of the key and packed whenever it holds GROUP_TOKENS ids or GROUP_DOCS documents, so a
@@ -195,11 +201,11 @@ def pack(tokens: DataFrame, groups: int, key: str = "doc_id", capacity: int = CA
         group, base, keys, rows, held = None, 0, [], [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            pieces = pack_lengths([len(row) // 4 for row in rows], capacity)
+            pieces = pack_lengths([len(row) // WIDTH for row in rows], capacity)
             for start in range(0, len(pieces), 512):
                 some = pieces[start:start + 512]
-                columns = ([keys[n] for n, *_ in some], [s for _, s, *_ in some], [size for _, _, size, *_ in some], [rows[n][4 * s:4 * (s + size)] for n, s, size, *_ in some],
-                           [len(rows[n]) // 4 for n, *_ in some], [group * (1 << 24) + base + b for *_, b, _ in some], [o for *_, o in some])
+                columns = ([keys[n] for n, *_ in some], [s for _, s, *_ in some], [size for _, _, size, *_ in some], [np.frombuffer(rows[n], KIND, size, WIDTH * s).astype("<u4").tobytes() for n, s, size, *_ in some],
+                           [len(rows[n]) // WIDTH for n, *_ in some], [group * (1 << 24) + base + b for *_, b, _ in some], [o for *_, o in some])
                 yield batch_of(names, [pa.array(column, type=kind) for column, kind in zip(columns, kinds)])
 
         for batch in batches:
@@ -214,7 +220,7 @@ def pack(tokens: DataFrame, groups: int, key: str = "doc_id", capacity: int = CA
                 group = number
                 keys.append(one)
                 rows.append(ids)
-                held += len(ids) // 4
+                held += len(ids) // WIDTH
         if rows:
             yield from packed()
 

@@ -50,7 +50,7 @@ def test_short_and_long_pieces_merge_alike():
 def test_tokens_equal_the_public_library():
     tokenizer = packing.load_tokenizer(WORDS)[0]
     texts = [t or "" for t in ODD] + noise(400, 2)
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(texts, WORDS)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, packing.KIND).tolist() for x in packing.encode_texts(texts, WORDS)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("lengths", [[], [1], [4096], [4097], [1] * 50, [3000] * 20, [random.Random(3).randint(1, 9000) for _ in range(500)]])
