@@ -84,10 +84,10 @@ def test_rows(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("test_folds") > 0).select(*kept, F.get("test_folds", 0).alias("fold"))
 
 
-def policy_entries(fired: DataFrame, signals: Sequence[Mapping], policies: Sequence[str] = POLICIES) -> DataFrame:
-    """Test rows of every (signal, policy) with the decision ENTER or WAIT, thresholds learned per signal and fold.
+def policy_flags(fired: DataFrame, signals: Sequence[Mapping], policies: Sequence[str] = POLICIES) -> DataFrame:
+    """Test rows of every signal with one flag per policy, ENTER or WAIT, thresholds learned per signal and fold.
 
-    One job for all policies: thresholds are a table of (signals x folds) rows, which is broadcast.
+    One row per (row, signal), however many policies there are: `by_policy` spreads them where they are aggregated. One job for all policies: thresholds are a table of (signals x folds) rows, which is broadcast.
     """
     learned = learn_thresholds(fired, POLICY_NEEDS, by=["signal"], fan="train_folds")
     test = test_rows(fired).join(F.broadcast(learned), ["signal", "fold"], "left")
@@ -100,9 +100,14 @@ def policy_entries(fired: DataFrame, signals: Sequence[Mapping], policies: Seque
         for sid, s in by_signal.items():
             out = F.when(F.col("signal") == sid, policy(name, s)).otherwise(out)
         return out
-    listed = F.array(*[F.struct(F.lit(p).alias("policy"), entered(p).alias("entered")) for p in policies])
     thresholds = [c for c in learned.columns if c not in ("signal", "fold")]
-    return test.select("*", F.inline(listed)).drop(*thresholds)
+    return test.withColumn("flags", F.array(*[entered(p) for p in policies])).drop(*thresholds)
+
+
+def by_policy(flags: DataFrame, policies: Sequence[str] = POLICIES) -> DataFrame:
+    """One row per policy, for an aggregate to consume in the same stage."""
+    listed = F.array(*[F.struct(F.lit(p).alias("policy"), F.get("flags", F.lit(i)).alias("entered")) for i, p in enumerate(policies)])
+    return flags.select(*[c for c in flags.columns if c != "flags"], F.inline(listed))
 
 
 def fold_results(entries: DataFrame, by: Sequence[str]) -> DataFrame:

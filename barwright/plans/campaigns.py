@@ -101,8 +101,8 @@ def entries(t: Tables) -> DataFrame:
         roled = W.fold_roles(sided, "ts", FIRST, PURGE, EMBARGO)
         needed = ["ts", "session_id", "state_spread_points", "state_vol_short", "cost_atr", "minute", "state_regime", "cost", "signal", "stronger",
                   *OUTCOME, *{s["field"] for s in SIGNALS}, "train_folds", "test_folds"]
-        return W.policy_entries(W.signal_rows(roled, SIGNALS, OUTCOME).select(*needed), SIGNALS)
-    return t.stored("policy_entries", build)
+        return W.policy_flags(W.signal_rows(roled, SIGNALS, OUTCOME).select(*needed), SIGNALS)
+    return W.by_policy(t.stored("policy_flags", build))
 
 
 SP = ["signal", "policy"]
