@@ -1,8 +1,10 @@
 """The driver contract and a sample of queries against their comparison SQL."""
 
 import glob
+import numbers
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -36,7 +38,7 @@ def test_against_sql(spark, name):
     assert columns == sorted(want.columns)
 
     def rows(frame):
-        return sorted(str([None if v != v or v is None else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r]) for r in frame[columns].itertuples(index=False))
+        return sorted(str([None if pd.isna(v) else float(v) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v) for v in r]) for r in frame[columns].itertuples(index=False))
     assert rows(got) == rows(want)
 
 
