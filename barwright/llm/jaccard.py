@@ -29,6 +29,8 @@ VALUES = BANDS * DEPTH
 TOLERANCE = 1e-6
 # Rows of one part of a bucket, of one part of a candidate group; bytes of text hashed together; columns of one product.
 BUCKET_PART, GROUP_PART, SLICE, COLUMNS = 1024, 256, 1 << 20, 4096
+# Marks (8 bytes each) of documents to verify that are sent to all tasks at most.
+FILTERED = 500_000
 _rng = np.random.default_rng(20240607)
 _SCALE = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -231,6 +233,10 @@ def with_sets(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFram
             yield batch_of(("bucket", "number", "copies", "values", "set"), (*batch.columns[1:], pa.array(sets, type=pa.binary())))
 
     rows = df.select(F.col(key).cast("bigint").alias("_key"), F.xxhash64(F.lit(1), F.col(text)).alias("_mark"), F.col(text).alias("_text"))
+    marks = wanted.select("mark")
+    if marks.limit(FILTERED + 1).count() <= FILTERED:
+        # So few marks fit every task: other texts stay where they are. With more of them all texts are dealt by mark.
+        rows = rows.join(F.broadcast(marks), F.col("_mark") == F.col("mark"), "left_semi")
     found = rows.join(wanted, (F.col("_mark") == F.col("mark")) & F.col("_key").eqNullSafe(F.col("first")))
     # Repeated rows of the document that stands for a class would give it twice.
     found = found.select("_text", "bucket", "number", "copies", "values").dropDuplicates(["number"])

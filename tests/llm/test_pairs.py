@@ -138,7 +138,9 @@ def brute_texts(rows):
     return count, groups_of(len(rows), links)
 
 
-def test_documents_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("filtered", [0, 500_000])
+def test_documents_against_brute_force(spark, monkeypatch, filtered):
+    monkeypatch.setattr(jaccard, "FILTERED", filtered)
     monkeypatch.setattr(jaccard, "GROUP_PART", 2)
     monkeypatch.setattr(jaccard, "BUCKET_PART", 2)
     rows = texts()
