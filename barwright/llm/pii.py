@@ -1,9 +1,10 @@
 """Surrogates for personal data.
 
 Method: detected entities get keyed replacements of the same kind, format, script and gender. A replacement depends on the secret
-key, the kind and the entity alone, so one entity has one replacement wherever it stands (coreference); names are replaced part by
-part. Over the distinct entities of the whole table a check looks for two entities with one replacement, and for replacements
-that are entities themselves; those draw again until none is left (distinctness).
+key, the kind and the entity alone, so one entity has one replacement wherever it stands (coreference). Names are replaced part by
+part: the text of a part gives the stem, and the gender, settled per person over the whole document, its ending. Over the distinct
+entities of the whole table a check looks for two entities with one replacement, and for replacements that are entities themselves,
+all kinds of names together; those draw again until none is left (distinctness).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +33,8 @@ SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:o
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 PHONE = re.compile(r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\(?\d{1,8}\)?){1,6}|\+\d{9,15})(?![\w])")
+# Forms without marks: ten digits in blanks or bare, and national numbers with a leading zero. Parts of longer numbers, decimals, paths and ids do not count.
+PLAIN_PHONE = re.compile(r"(?<![\w+.,$€£#/-])(?<!\w\d\d[ .-])(?:\d{3} \d{3} \d{4}|[2-9]\d{9}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|0\d{9,10})(?!\w|[.,]\d|[ -]\d{3})")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 ADDRESS = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
 # Titles and the gender they tell (fixed values).
@@ -37,6 +42,7 @@ MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Signor|господин|г-н|κύ
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Signora|госпожа|г-жа|κυρία"
 EITHER = "Dr|Prof|Professor|Доктор"
 PERSON = re.compile(rf"\b({MALE}|{FEMALE}|{EITHER})\.? ((?:[^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)?)(?: [^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)?){{0,2}})")
+POSSESSIVE = re.compile("['’]s$")
 _MALE, _FEMALE = set(MALE.split("|")), set(FEMALE.split("|"))
 # Syllables and endings of invented names (fixed values).
 SYLLABLES = {
@@ -46,7 +52,7 @@ SYLLABLES = {
 }
 ENDINGS = {
     "latin": {"m": ["nus", "ldo", "rik", "ton"], "f": ["na", "lia", "rina", "tte"], "n": ["lin", "ril", "ren"], "family": ["rman", "lson", "ndez", "rtin", "lli"]},
-    "cyrillic": {"m": ["слав", "мир", "тон"], "f": ["на", "ла", "рина"], "n": ["лин", "рен"], "family": ["нов", "рин", "ленко"], "family_f": ["нова", "рина", "ленко"]},
+    "cyrillic": {"m": ["слав", "мир", "тон"], "f": ["на", "ла", "рина"], "n": ["лин", "рен"], "family": ["нов", "рин", "ленко"], "family_f": ["нова", "рина", "ленко"], "family_n": ["ленко"]},
     "greek": {"m": ["νος", "ρης"], "f": ["να", "ρία"], "n": ["λι", "ρι"], "family": ["πουλος", "ίδης"]},
 }
 
@@ -106,7 +112,7 @@ def fill(shape: str, digits: str) -> str:
 
 def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The replacement of one entity; other attempts give others. Formats too small for their entities grow after eight attempts."""
-    draw, more = Draw(key, kind, entity, attempt), attempt // 8
+    draw, more = Draw(key, "name" if kind.startswith("name") else kind, entity, attempt), attempt // 8
     if kind == "email":
         local, _, domain = entity.partition("@")
         host, dot, top = domain.rpartition(".")
@@ -128,7 +134,11 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         country = re.match(r"\+\d{1,3}(?=[ .(-])", entity)
         start = country.end() if country else 0
         digits = re.sub(r"\D", "", entity[start:])
-        drawn = [str(1 + draw.below(9))] + [str(draw.below(10)) for _ in digits[1:]]
+        # A bare number starts with 2 to 9; a leading zero stays.
+        least = 2 if entity.isdecimal() and digits[0] != "0" else 1
+        drawn = [str(least + draw.below(10 - least))] + [str(draw.below(10)) for _ in digits[1:]]
+        if not country and digits[0] == "0":
+            drawn = ["0", *drawn[:-1]]
         if not more and len(digits) == 10 and digits[3:6] == "555":
             drawn[3:6] = "555"
         return entity[:start] + fill(entity[start:], "".join(drawn))
@@ -150,23 +160,57 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
 
 
 def people(text: str) -> list[tuple[int, int, str, str]]:
-    """Parts of names after a title, and the same family names elsewhere in the text."""
-    found, families = [], {}
+    """Parts of names after a title, and the same names, first and family, elsewhere in the text.
+
+    A name has one kind in the document as long as the titles do not tell two genders; then each person has its own. A name that
+    stands alone belongs to the person named last before it, or else to the first.
+    """
+    mentions = []
     for match in PERSON.finditer(text):
-        gender = "m" if match[1] in _MALE else "f" if match[1] in _FEMALE else "n"
-        parts = list(re.finditer(r"[^ ]+", match[2]))
-        for part in parts:
-            last = part is parts[-1]
-            suffix = "_family_f" if last and gender == "f" and script_of(part[0]) == "cyrillic" else "_family" if last else f"_{gender}"
-            start = match.start(2) + part.start()
-            found.append((start, start + len(part[0]), "name" + suffix, part[0]))
-            if last:
-                families[part[0]] = "name" + suffix
+        parts = []
+        for part in re.finditer(r"[^ ]+", match[2]):
+            word = POSSESSIVE.sub("", part[0])
+            if word[0].islower():
+                break
+            parts.append((match.start(2) + part.start(), word))
+            if word != part[0]:
+                break
+        if parts:
+            mentions.append(("m" if match[1] in _MALE else "f" if match[1] in _FEMALE else "n", parts))
+    if not mentions:
+        return []
+    families = {parts[-1][1] for _, parts in mentions if len(parts) > 1}
+    firsts = {word for _, parts in mentions for _, word in parts[:-1]}
+    rows, told = [], defaultdict(list)
+    for gender, parts in mentions:
+        alone, whole = len(parts) == 1, parts[-1][1]
+        for i, (start, word) in enumerate(parts):
+            # After a title alone, a name is a family name unless the document knows it as a first name only.
+            family = word in families or word not in firsts if alone else i == len(parts) - 1
+            rows.append((start, word, family, gender, None if alone else whole))
+            if gender != "n":
+                told[word, family].append(gender)
+                told[word, family, rows[-1][-1]].append(gender)
+    found, places = [], defaultdict(list)
+    for start, word, family, gender, whole in rows:
+        every = told.get((word, family), [])
+        if family:
+            kind = "name_family" if script_of(word) != "cyrillic" or "f" not in every else "name_family_n" if "m" in every else "name_family_f"
+        elif len(set(every)) < 2:
+            kind = f"name_{every[0] if every else 'n'}"
+        elif gender != "n":
+            kind = f"name_{gender}"
+        elif whole is not None:
+            kind = f"name_{told.get((word, family, whole), ['n'])[0]}"
+        else:
+            kind = places[word][-1][1] if places[word] else f"name_{every[0]}"
+        found.append((start, start + len(word), kind, word))
+        places[word].append((start, kind))
     taken = {start for start, *_ in found}
-    if families:
-        for match in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(families, key=len, reverse=True))) + r")\b", text):
-            if match.start() not in taken:
-                found.append((match.start(), match.end(), families[match[0]], match[0]))
+    for match in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(places, key=len, reverse=True))) + r")\b", text):
+        if match.start() not in taken:
+            own = places[match[0]]
+            found.append((*match.span(), own[max(bisect_left(own, (match.start(),)) - 1, 0)][1], match[0]))
     return found
 
 
@@ -182,7 +226,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((*match.span(group), "secret", match[group]))
         found += [(*m.span(), "iban", m[0]) for m in IBAN.finditer(text) if remainder97(m[0].replace(" ", "")) == 1]
         found += [(*m.span(), "card", m[0]) for m in CARD.finditer(text) if luhn(re.sub(r"\D", "", m[0])) == 0]
-        found += [(*m.span(), "phone", m[0]) for m in PHONE.finditer(text) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
+        found += [(*m.span(), "phone", m[0]) for form in (PHONE, PLAIN_PHONE) for m in form.finditer(text) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
         found += [(*m.span(), "ssn", m[0]) for m in SSN.finditer(text)]
         found += [(*m.span(), "address", m[0]) for m in ADDRESS.finditer(text)]
     found += people(text)
@@ -227,9 +271,11 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
     drawn = materialize(map_arrow(found.select("kind", "entity", F.lit(0).alias("attempt")), run, schema))
     while True:
         # Among equals the one that was there first keeps it; replacements of an earlier round are never taken away.
-        rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity"))
-        real = drawn.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        marked = drawn.withColumn("place", rank).join(real, ["kind", "surrogate"], "left")
+        # Names of all kinds are one group.
+        grouped = drawn.withColumn("group", F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind")))
+        rank = F.row_number().over(Window.partitionBy("group", "surrogate").orderBy("attempt", "entity", "kind"))
+        real = grouped.select("group", F.col("entity").alias("surrogate"), F.lit(True).alias("real")).distinct()
+        marked = grouped.withColumn("place", rank).join(real, ["group", "surrogate"], "left")
         clash = materialize(marked.where((F.col("place") > 1) | F.col("real")).select("kind", "entity", F.col("attempt") + 1))
         if clash.isEmpty():
             return drawn.where("attempt > 0").select("kind", "entity", "attempt")

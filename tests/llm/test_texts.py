@@ -289,3 +289,48 @@ def test_surrogates_with_redraws_joined(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in many.collect()} == few and many.columns == df.columns
     assert pii.pseudonymise(df.limit(0)).count() == 0
     assert Counter(few.values())[None] == 1
+
+
+def renamed(texts, spark):
+    """(new texts, {(doc, old): set of new}) by walking both texts along their finds."""
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(table(spark, texts)).collect()}
+    new = defaultdict(set)
+    for i, text in enumerate(texts):
+        at, shift = 0, 0
+        for start, end, kind, old in pii.detect(text):
+            rest = re.escape(text[end:end + 1]) or "$"
+            one = re.compile(rf".+?(?={rest})", re.S).match(got[i], start + shift)[0]
+            new[i, old].add(one)
+            shift += len(one) - (end - start)
+    return got, new
+
+
+def test_one_person_has_one_surrogate(spark):
+    texts = ["Mr. Alex Smith met Dr. Alex Smith; Mr. Alex left.", "Mrs. Ana Lopez came, later Ana called; Lopez too.", "Mrs. Ana's dog saw Ana.",
+             "Mr. Alex Smith and Mrs. Alex Jones spoke, Alex left.", "г-н Шевченко, г-жа Шевченко; Шевченко.", "Dr. Kim Hale, Mrs. Kim Hale.", "г-жа Анна пришла домой; домой."]
+    got, new = renamed(texts, spark)
+    for i, old in ((0, "Alex"), (0, "Smith"), (1, "Ana"), (1, "Lopez"), (2, "Ana"), (4, "Шевченко"), (5, "Kim"), (5, "Hale")):
+        assert len(new[i, old]) == 1, (i, old, new[i, old])
+    assert not any(re.search(rf"\b{old}\b", got[i]) for i, old in new)
+    # Two genders are two persons; the name alone is that of the last.
+    first, second, last = re.match(r"Mr\. (\w+) \w+ and Mrs\. (\w+) \w+ spoke, (\w+) left", got[3]).groups()
+    assert first != second == last and got[6].endswith(" пришла домой; домой.")
+
+
+def test_names_of_all_kinds_are_distinct_together(spark, monkeypatch):
+    # One syllable and one ending make collisions certain.
+    monkeypatch.setattr(pii, "surrogate", lambda kind, entity, attempt=0, key=b"": f"Same{'x' * attempt}" if kind.startswith("name") else entity)
+    found = spark.createDataFrame([("name_m", "Alex"), ("name_f", "Maria"), ("name_family", "Smith"), ("name_n", "Samex")], "kind string, entity string")
+    attempts = {(r["kind"], r["entity"]): r["attempt"] for r in pii.redrawn(found).collect()}
+    drawn = [attempts.get((r["kind"], r["entity"]), 0) for r in found.collect()]
+    assert len(set(drawn)) == 4 and 1 not in drawn
+
+
+def test_phones_with_blanks_and_bare(spark):
+    phones = ["555 123 4567", "5551234567", "020 7946 0958", "02079460958"]
+    others = ["1700000000", "0.5551234567", "12 555 123 4567 890", "DE00 0044 0532 0130 00", "x5551234567", "/5551234567"]
+    for phone in phones:
+        assert [(kind, old) for *_, kind, old in pii.detect(f"call {phone}, or")] == [("phone", phone)]
+        new = pii.surrogate("phone", phone)
+        assert [(kind, old) for *_, kind, old in pii.detect(new)] == [("phone", new)] and new != phone and (new[0] == "0") == (phone[0] == "0")
+    assert not any(pii.detect(f"see {other} there") for other in others)
