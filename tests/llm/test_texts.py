@@ -179,6 +179,12 @@ def test_shared_passages_are_always_found():
         assert set(winnow.fingerprint_of(one)[0].tolist()) & set(winnow.fingerprint_of(other)[0].tolist())
 
 
+def test_short_documents_that_keep_half_are_alike(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(45 + i)) for i in range(100)]
+    assert all(r["near_edited"] > 0 for r in winnow.fingerprint_edits(table(spark, texts)).collect())
+
+
 @pytest.mark.parametrize("bucket_bytes", [1 << 30, 300])
 def test_edits_take_the_next_document(spark, monkeypatch, bucket_bytes):
     monkeypatch.setattr(winnow, "BUCKET_BYTES", bucket_bytes)
