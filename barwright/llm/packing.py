@@ -137,14 +137,16 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, WordMerges(path), Memory(WORDS), Memory(PARTS)
+    added = tokenizer.get_added_tokens_decoder().values()
+    if any(token.normalized for token in added):
+        raise ValueError("added tokens of this vocabulary are found in normalised text")
+    return tokenizer, WordMerges(path), Memory(WORDS), Memory(PARTS), tuple(token.content for token in added)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts, as the public library gives them. The vocabulary drops white space and never merges across it, so ids
     are looked up word by word, and unknown words part by part; words beyond plain Latin letters are left to the library."""
-    tokenizer, merges, known_words, known_parts = load_tokenizer(path)
+    tokenizer, merges, known_words, known_parts, added = load_tokenizer(path)
 
     def library(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=KIND).tobytes()
@@ -166,9 +168,10 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         if len(plain) < len(words):
             yield from ((word, library(word)) for word in set(words).difference(plain))
 
-    words = [None if _ODD.search(text) else text.split() for text in texts]
+    words = [None if _ODD.search(text) or any(token in text for token in added) else text.split() for text in texts]
     known = known_words.fill(set().union(*[own for own in words if own]), encode_words)
-    # Some ASCII separators are white space for Python and not for the vocabulary: such texts go to the library whole.
+    # Some ASCII separators are white space for Python and not for the vocabulary, and added tokens are cut out of the text before
+    # anything else: such texts go to the library whole.
     return [library(text) if own is None else b"".join(map(known.__getitem__, own)) for text, own in zip(texts, words)]
 
 

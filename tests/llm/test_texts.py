@@ -53,6 +53,14 @@ def test_tokens_equal_the_public_library():
     assert [np.frombuffer(x, packing.KIND).tolist() for x in packing.encode_texts(texts, WORDS)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_equal_a_fresh_library():
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(WORDS)
+    texts = ["a<|startoftext|>b", "x <|endoftext|>", "<|ENDOFTEXT|> <|endoftext| >", "don't<|endoftext|><|startoftext|>é\n", "plain"] + [t or "" for t in ODD] + noise(100, 5)
+    assert [np.frombuffer(x, packing.KIND).tolist() for x in packing.encode_texts(texts, WORDS)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(packing.encode_texts(texts[:1], WORDS)[0], packing.KIND).tolist() == [320, 49406, 321]
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [4096], [4097], [1] * 50, [3000] * 20, [random.Random(3).randint(1, 9000) for _ in range(500)]])
 def test_packing_covers_every_id_once_without_waste(lengths):
     pieces = packing.pack_lengths(lengths)
