@@ -6,13 +6,14 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barwright.llm import bpe, caps, chat, jaccard, langid, licenses, packing, pii, shards, winnow
+from barwright.llm import automaton, bpe, caps, chat, codes, jaccard, langid, lexical, licenses, packing, pii, shards, winnow
 from barwright.llm.common import ship, table
 from barwright.llm.sql import SQL
 from barwright.session import prepare
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +77,32 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, count="n_entities")
 
 
+def op11_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by the tokenization automaton and the text they decode to, as digests."""
+    ids = automaton.encode(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, public_tokenizers.PATTERN)
+    both = automaton.decode(ids, BYTE_TOKENIZER, public_tokenizers.PATTERN)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_blocked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, their errors, and the digest of the codebooks."""
+    coded, book = codes.compress(table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_errors(coded)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(codes.book_digest(book)).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, near-duplicates, surrogates, packing, one after the other."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
 NAMED = (op1_cap_filters, op2_label_propagation, op3_bayesian_jaccard, op4_prefix_targets, op5_license_blocks, op6_tournament_packing, op7_byte_network,
-         op8_segment_tree_bpe, op9_winnowing, op10_surrogates, pipeline)
+         op8_segment_tree_bpe, op9_winnowing, op10_surrogates, op11_merge_automaton, op12_blocked_products, op13_resident_lloyd, pipeline)
 
 
 def queries() -> dict:

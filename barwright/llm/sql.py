@@ -3,7 +3,9 @@
 The pairs are found by comparing everything with everything, the components by walking the links.
 """
 
+from barwright.llm.codes import ENTRIES, PARTS, ROUNDS, SCALE
 from barwright.llm.jaccard import THRESHOLD, WORDS
+from barwright.llm.lexical import BEST
 from barwright.llm.licenses import BLOCK, PHRASES, STEP, TEMPLATES
 from barwright.llm.licenses import THRESHOLD as CONTAINED
 
@@ -62,4 +64,46 @@ LICENSES = f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_i
  SELECT doc_id, len(words)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
  array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels, CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0) END AS score FROM q LEFT JOIN m USING (rid)"""
 
-SQL: dict[str, str] = {"op1_cap_filters": CAPS, "op3_bayesian_jaccard": JACCARD, "op4_prefix_targets": CHAT, "op5_license_blocks": LICENSES}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def terms_sql(column: str) -> str:
+    return f"regexp_extract_all(translate({column}, '{UPPER}', '{LOWER}'), '{TERM}')"
+
+
+LEXICAL = f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {terms_sql('text')} AS words FROM documents WHERE text IS NOT NULL),
+ d AS (SELECT rid, doc_id, len(words) AS n FROM t WHERE len(words) > 0), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+ i AS MATERIALIZED (SELECT DISTINCT item_id, unnest({terms_sql('text')}) AS term FROM benchmark WHERE text IS NOT NULL),
+ f AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(words) AS term FROM t) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+ g AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, docs),
+ z AS (SELECT item_id, doc_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total)))))::BIGINT AS score
+  FROM i JOIN f USING (term) JOIN g USING (term) JOIN d USING (rid), s GROUP BY ALL),
+ o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM z WHERE score > 0)
+ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= {BEST}"""
+
+
+def lloyd_sql() -> str:
+    """The rounds written out one after the other; products of these whole numbers are exact in doubles."""
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (SELECT rid, p, min(d * {ENTRIES} + e) % {ENTRIES} AS e, min(d) AS d FROM (SELECT rid, x.p, e, (x.q - 2 * list_inner_product(x.v, b.v) + b.q)::BIGINT AS d
+  FROM x JOIN b{n} b ON x.p = b.p) GROUP BY rid, p)"""
+
+    def updated(n: int) -> str:
+        return f"""m{n} AS (SELECT p, e, list(((s - ((s % c) + c) % c) // c)::DOUBLE ORDER BY j) AS v FROM (SELECT p, e, j, sum(c)::BIGINT AS s, count(*) AS c
+  FROM (SELECT x.p, a.e, unnest(range(len(v))) AS j, unnest(v)::BIGINT AS c FROM x JOIN a{n} a USING (rid, p)) GROUP BY p, e, j) GROUP BY p, e),
+ b{n + 1} AS MATERIALIZED (SELECT *, list_inner_product(v, v) AS q FROM (SELECT p, e, coalesce(m{n}.v, b{n}.v) AS v FROM b{n} LEFT JOIN m{n} USING (p, e)))"""
+
+    rounds = ",\n ".join(step for n in range(ROUNDS) for step in (assigned(n), updated(n)))
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda c: floor({SCALE} * c::DOUBLE)) AS v, len(embedding) // {PARTS} AS width
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ x AS MATERIALIZED (SELECT *, list_inner_product(v, v) AS q FROM (SELECT rid, vec_id, p, list_slice(v, p * width + 1, (p + 1) * width) AS v FROM k, range({PARTS}) t(p))),
+ b0 AS MATERIALIZED (SELECT p, e, v, q FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id NULLS LAST, rid) - 1 AS e, v, q FROM x) WHERE e < {ENTRIES}),
+ {rounds},
+ {assigned(ROUNDS)},
+ c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY rid),
+ h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda c: c::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{ROUNDS})
+ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (rid), h"""
+
+
+SQL: dict[str, str] = {"op1_cap_filters": CAPS, "op3_bayesian_jaccard": JACCARD, "op4_prefix_targets": CHAT, "op5_license_blocks": LICENSES,
+                       "op12_blocked_products": LEXICAL, "op13_resident_lloyd": lloyd_sql()}
