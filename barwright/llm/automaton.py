@@ -219,10 +219,10 @@ class Automaton:
         return out
 
 
-class Tokenizer:
-    """A tokenizer file: its automaton, the split into words ahead of it, and added tokens, which are cut out of a text first."""
+class TokenizerFile:
+    """What a tokenizer file says: labels (bytes) per token number, numbers of single bytes, merges, and added tokens."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         model, added = said["model"], said["added_tokens"]
@@ -234,14 +234,23 @@ class Tokenizer:
         others = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
         numbers = model["vocab"]
-        special = {token["content"]: token["id"] for token in added}
-        labels = {number: bytes(map(byte.__getitem__, token)) for token, number in numbers.items() if token not in special}
+        self.special = {token["content"]: token["id"] for token in added}
+        self.arcs = {number: bytes(map(byte.__getitem__, token)) for token, number in numbers.items() if token not in self.special}
+        self.labels = self.arcs | {number: token.encode() for token, number in self.special.items()}
+        self.singles = [numbers[char] for char in byte]
         pairs = [tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in model["merges"]]
-        self.automaton = Automaton(labels, [numbers[char] for char in byte], [(numbers[a], numbers[b], numbers[a + b]) for a, b in pairs])
-        self.labels = labels | {number: token.encode() for token, number in special.items()}
-        self.special = {token: np.array([number], dtype="<u4").tobytes() for token, number in special.items()}
+        self.merges = [(numbers[a], numbers[b], numbers[a + b]) for a, b in pairs]
+
+
+class Tokenizer:
+    """The automaton of a tokenizer file, the split into words ahead of it, and added tokens, which are cut out of a text first."""
+
+    def __init__(self, path: str, pattern: str):
+        file = TokenizerFile(path)
+        self.automaton = Automaton(file.arcs, file.singles, file.merges)
+        self.special = {token: np.array([number], dtype="<u4").tobytes() for token, number in file.special.items()}
         # The longest of the added tokens that begin at one place is cut out.
-        self.cuts = regex.compile("|".join(regex.escape(token) for token in sorted(special, key=len, reverse=True))) if special else None
+        self.cuts = regex.compile("|".join(regex.escape(token) for token in sorted(file.special, key=len, reverse=True))) if file.special else None
         self.pattern = regex.compile(pattern.replace("[^\\s", f"[^{WHITE}").replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]"))
         self.known = Memory(REMEMBERED)
 
@@ -271,16 +280,22 @@ class Tokenizer:
             out.append(ids[0] + b"".join(self.special[token] + after for token, after in zip(own[1::2], ids[1:])))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """The labels of the arcs, joined. Bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def load_labels(path: str) -> dict[int, bytes]:
+    return TokenizerFile(path).labels
+
+
+def spell(ids: bytes, labels: dict[int, bytes]) -> str:
+    """The labels of the arcs, joined. Bytes that are no UTF-8 become replacement characters."""
+    return b"".join(map(labels.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, ids): ids are the token numbers of the whole text as little-endian unsigned 32-bit integers.
 
@@ -298,12 +313,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
     return map_arrow(df.select(key, text), run, f"`{key}` {kind}, ids binary")
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
     """Rows (key, ids, decoded): the text that the tokens spell. Null ids decode to nothing; an id outside the vocabulary fails."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path, pattern)
+        labels = load_labels(path)
         for batch in batches:
-            texts = [tokenizer.decode(value or b"") for value in batch.column(1).to_pylist()]
+            texts = [spell(value or b"", labels) for value in batch.column(1).to_pylist()]
             yield batch_of((key, "ids", "decoded"), (batch.column(0), batch.column(1), pa.array(texts, type=pa.string())))
 
     kind = df.schema[key].dataType.simpleString()

@@ -80,7 +80,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the tokenization automaton and the text they decode to, as digests."""
     ids = automaton.encode(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, public_tokenizers.PATTERN)
-    both = automaton.decode(ids, BYTE_TOKENIZER, public_tokenizers.PATTERN)
+    both = automaton.decode(ids, BYTE_TOKENIZER)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
