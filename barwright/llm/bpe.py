@@ -22,7 +22,8 @@ from barwright.llm.common import batch_of, map_arrow
 from barwright.llm.memory import Memory
 
 NONE = np.int64(1) << 62
-POSITION_BITS = 24
+# Ranks take the bits above; 40 bits of positions leave 22 for ranks.
+POSITION_BITS = 40
 # Pieces up to this many bytes are merged in arrays; longer ones alone.
 SHORT = 64
 # Chunks that a Python worker remembers, twice.
@@ -47,6 +48,8 @@ class Merges:
         """pairs: rank of each pair, keyed by left << 32 | right."""
         self.pairs = pairs
         keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
+        if max(pairs.values(), default=0) >= 1 << (62 - POSITION_BITS):
+            raise ValueError("more merges than ranks fit beside positions")
         order = np.argsort(keys)
         self.keys = np.append(keys[order], NONE)
         self.merged = np.append(np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order], NONE)
@@ -142,6 +145,8 @@ def merge_short(pieces: list[bytes], ranks: Merges, leaves: int) -> list[bytes]:
 def merge_long(piece: bytes, ranks: Merges) -> bytes:
     """One piece of any length on the same tree, kept in lists."""
     n = len(piece)
+    if n > 1 << POSITION_BITS:
+        raise ValueError("a piece longer than its positions can say")
     leaves = 1 << max(1, (n - 1).bit_length())
     token = ranks.first_tokens(np.frombuffer(piece, dtype=np.uint8)[None], np.array([n]))[0].tolist()
     following, before = list(range(1, n + 1)), list(range(-1, n - 1))

@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name like `name` that is not taken, in any case of its letters."""
+    used = {other.lower() for other in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Python workers see texts a few hundred at a time, so their memory follows the batch, not the partition."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH)
@@ -25,6 +33,9 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    if any("." in name or "`" in name for name in df.columns):
+        # Spark looks the columns up by name here; functions look at their places.
+        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return small_batches(df).mapInArrow(function, schema)
 
 

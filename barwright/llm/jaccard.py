@@ -224,7 +224,7 @@ def verified(dealt: DataFrame) -> DataFrame:
 
 
 def with_sets(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """The shingle sets of the wanted classes (number, bucket, copies, values, set_key, first), from the row that stands for each."""
+    """The shingle sets of the wanted classes (number, bucket, copies, values, first, mark), from the row that stands for each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [value or "" for value in batch.column(0).to_pylist()]
@@ -263,7 +263,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     met = banded.join(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket")
     met = met.join(classes.select("number", "values"), "number").select("bucket", "number", "values")
     groups = materialize(connected_components(candidate_edges(deal(met, "bucket", "number", BUCKET_PART, parts))))
-    wanted = groups.join(classes, F.col("node") == F.col("number")).select(F.col("root").alias("bucket"), "number", "copies", "values", "first", "mark")
+    wanted = materialize(groups.join(classes, F.col("node") == F.col("number")).select(F.col("root").alias("bucket"), "number", "copies", "values", "first", "mark"))
     links = materialize(verified(deal(with_sets(df, wanted, text, key), "bucket", "number", GROUP_PART, parts)))
     roots_of = connected_components(links.select(F.col("number").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("number").agg(F.sum("links").alias("links"))
@@ -280,10 +280,20 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def distinct_documents(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of df, all columns, with one document of each group of near-duplicates. Of repeated rows one stays; documents without words stay."""
-    found = near_duplicates(df, text, key)
-    kept = found.where("kept").select(F.col(key).alias("_key"), F.col("mark").alias("_mark")).distinct()
-    names = df.columns
-    rows = df.withColumn("__own_mark", F.xxhash64(F.lit(1), F.col(text))).alias("d")
-    stay = rows.join(kept, (F.col("__own_mark") == F.col("_mark")) & F.col(f"d.{key}").eqNullSafe(F.col("_key")), "left_semi")
-    return stay.dropDuplicates([key, "__own_mark"]).select(*names)
+    """The rows of df, all columns whatever their names, with one document of each group of near-duplicates.
+
+    Documents without words stay; of repeated rows (equal key and text) one stays. Texts move at most once: rows that go are taken
+    away by an anti join on narrow keys, and only rows that are repeated are brought together.
+    """
+    found = materialize(near_duplicates(df, text, key).select(F.col(key).alias("key"), "mark", "kept"))
+    gone = found.where("NOT kept").select("key", "mark").distinct()
+    repeated = found.where("kept").groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "mark")
+    rows = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("row"), F.col(key).cast("bigint").alias("own_key"), F.xxhash64(F.lit(1), F.col(text)).alias("own_mark"))
+
+    def meet(marks: DataFrame, how: str) -> DataFrame:
+        if marks.limit(FILTERED + 1).count() <= FILTERED:
+            marks = F.broadcast(marks)
+        return rows.join(marks, F.col("own_key").eqNullSafe(F.col("key")) & (F.col("own_mark") == F.col("mark")), how)
+
+    once = meet(repeated, "left_semi").dropDuplicates(["own_key", "own_mark"])
+    return meet(gone.union(repeated), "left_anti").select("row.*").union(once.select("row.*"))

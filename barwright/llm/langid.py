@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barwright.llm.common import batch_of, map_arrow
+from barwright.llm.common import batch_of, fresh, map_arrow
 
 WIDTHS, FILTERS, DIMENSIONS = (2, 3, 4), 16, 8
 # Bytes of one window; windows sent through the network together.
@@ -172,17 +172,19 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     return train([row[2] for row in sample], [row[0] for row in sample])
 
 
-def identify(df: DataFrame, network: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows (*keep, lang_pred, score), one per input row in full; only `text` is looked at.
+def identify(df: DataFrame, network: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Rows (*keep, lang, score), one per input row in full; only `text` is looked at. `lang` and `score` must be new names.
 
     Null texts and texts without a letter are `und` with score 0, and so is everything if nothing was learned. Repeated rows stay;
-    other columns are not read.
+    other columns are not read, and columns of `keep` pass through whatever their names.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables()
         for batch in batches:
             names, scores = predict(batch.column(0).to_pylist(), network, tables)
-            yield batch_of((*keep, "lang_pred", "score"), (*batch.columns[1:], pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())))
+            yield batch_of((*keep, lang, score), (*batch.columns[1:], pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())))
 
     kinds = ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in keep)
-    return map_arrow(df.select(F.col(text).alias("_text"), *keep), run, f"{kinds}, lang_pred string, score double")
+    # The text comes first, under a name that no kept column has.
+    own = fresh("text", keep)
+    return map_arrow(df.select(F.col(text).alias(own), *[F.col(f"`{name}`") for name in keep]), run, f"{kinds}, `{lang}` string, `{score}` double")

@@ -196,7 +196,7 @@ def pack(tokens: DataFrame, groups: int, key: str = "doc_id", capacity: int = CA
     """
     names = (key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    dealt = tokens.select(F.pmod(F.xxhash64(F.lit("pack"), F.col(key)), F.lit(groups)).alias("group"), key, F.substring("ids", 1, 1 << 30).alias("ids"))
+    dealt = tokens.select(F.pmod(F.xxhash64(F.lit("pack"), F.col(key)), F.lit(groups)).alias("group"), key, "ids")
     parts = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups // 4, 8192), 1)
     dealt = dealt.repartition(parts, "group").sortWithinPartitions("group", key)
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barwright.llm.common import batch_of, map_arrow
+from barwright.llm.common import batch_of, fresh, map_arrow
 from barwright.session import materialize
 
 KEY = b"surrogates of this corpus"
@@ -324,6 +324,8 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = "doc_id", secret:
 
     rows = df
     if not small:
-        marks = entities(df, text, key).withColumnRenamed(key, "_key").join(redraws, ["kind", "entity"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_redraws"))
-        rows = df.join(marks, F.col(key).eqNullSafe(F.col("_key")), "left").select(*[df[name] for name in names], "_redraws")
+        drawn = fresh("redraws", names)
+        marks = entities(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "key").join(redraws, ["kind", "entity"]).groupBy("key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("drawn"))
+        rows = df.select(F.struct(*[F.col(f"`{name}`") for name in names]).alias("row"), F.col(key).alias("own_key")).join(marks, F.col("own_key").eqNullSafe(F.col("key")), "left")
+        rows = rows.select("row.*", F.col("drawn").alias(drawn))
     return map_arrow(rows, run, schema)

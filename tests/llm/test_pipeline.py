@@ -8,7 +8,7 @@ import public_tokenizers
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from barwright.llm import packing, pii
+from barwright.llm import jaccard, packing, pii
 
 from test_pairs import brute_texts
 from test_texts import language_rows
@@ -62,4 +62,36 @@ def test_stages_on_an_empty_table(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 14)) and "pipeline" in names
+
+
+def test_stages_keep_columns_whatever_their_names(spark, tmp_path):
+    """Names that the operators use themselves, and one with a dot."""
+    names = ["lang_pred", "score", "_text", "_key", "_mark", "__own_mark", "row", "key", "mark", "own_key", "own_mark", "kept", "_redraws", "redraws", "drawn", "a.b", "number", "bucket"]
+    plain = rows()[:40] + [rows()[3], rows()[3]] + rows()[120:]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{name}` string" for name in names)
+    docs = spark.createDataFrame([(*row, *[f"{name}-{row[0]}" for name in names]) for row in plain], schema)
+    expected = spark.createDataFrame(plain, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, expected = stage(spark, docs, str(tmp_path)), stage(spark, expected, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        found = docs.collect()
+        assert all(row[other] == f"{other}-{row['doc_id']}" for row in found for other in names)
+        assert sorted(tuple(row)[:5] for row in found) == sorted(map(tuple, expected.collect()))
+    assert len(found) == len({row["doc_id"] for row in found})
+
+
+def test_joined_redraws_keep_columns(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CARRIED", -1)
+    docs = spark.createDataFrame([(i, f"call +1 (743) 555-38{i:02d} now", f"x{i}") for i in range(30)] + [(None, None, "n")], "doc_id bigint, text string, _redraws string")
+    found = pii.pseudonymise(docs).collect()
+    assert sorted((row["doc_id"] or -1, row["_redraws"]) for row in found) == sorted([(i, f"x{i}") for i in range(30)] + [(-1, "n")])
+
+
+def test_marks_beyond_the_carried_number_give_the_same_rows(spark, monkeypatch):
+    docs = spark.createDataFrame(rows() + rows()[:5] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    plain = sorted((r["doc_id"], r["text"] or "") for r in jaccard.distinct_documents(docs).collect())
+    monkeypatch.setattr(jaccard, "FILTERED", 0)
+    assert sorted((r["doc_id"], r["text"] or "") for r in jaccard.distinct_documents(docs).collect()) == plain

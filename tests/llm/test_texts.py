@@ -47,6 +47,19 @@ def test_short_and_long_pieces_merge_alike():
     assert bpe.merge_short(pieces, ranks, 64) == [bpe.merge_long(piece, ranks) for piece in pieces]
 
 
+def test_positions_beyond_their_bits_are_refused(monkeypatch):
+    """With few position bits a longer piece fails instead of giving wrong ids; a piece that fits is merged as always."""
+    ranks = bpe.load_ranks(RANKS, public_tokenizers.PATTERN)
+    expected = bpe.merge_long(b"the and " * 30, ranks)
+    monkeypatch.setattr(bpe, "POSITION_BITS", 8)
+    assert bpe.merge_long(b"the and " * 30, ranks) == expected
+    with pytest.raises(ValueError):
+        bpe.merge_long(b"the and " * 40, ranks)
+    monkeypatch.setattr(bpe, "POSITION_BITS", 47)
+    with pytest.raises(ValueError):
+        bpe.Ranks(open(RANKS, "rb").readlines(), public_tokenizers.PATTERN)
+
+
 def test_tokens_equal_the_public_library():
     tokenizer = packing.load_tokenizer(WORDS)[0]
     texts = [t or "" for t in ODD] + noise(400, 2)
