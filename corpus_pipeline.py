@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barwright.llm import jaccard, langid, packing, pii
+from barwright.llm.common import fresh
 from barwright.session import ensure_checkpoint_dir
 
 # Texts of known language score far above this; a text that no language explains goes.
@@ -19,9 +20,10 @@ ORACLE_SQL = None
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a recognised language; a missing `lang` is filled in. Null texts and texts without letters go."""
     network = langid.fit(docs)
-    found = langid.identify(docs, network, keep=tuple(docs.columns))
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = langid.identify(docs, network, keep=tuple(docs.columns), lang=lang, score=score)
+    kept = found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
