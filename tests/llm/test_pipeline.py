@@ -87,7 +87,7 @@ def test_joined_redraws_keep_columns(spark, monkeypatch):
     monkeypatch.setattr(pii, "CARRIED", -1)
     docs = spark.createDataFrame([(i, f"call +1 (743) 555-38{i:02d} now", f"x{i}") for i in range(30)] + [(None, None, "n")], "doc_id bigint, text string, _redraws string")
     found = pii.pseudonymise(docs).collect()
-    assert sorted((row["doc_id"] or -1, row["_redraws"]) for row in found) == sorted([(i, f"x{i}") for i in range(30)] + [(-1, "n")])
+    assert sorted((-1 if row["doc_id"] is None else row["doc_id"], row["_redraws"]) for row in found) == sorted([(i, f"x{i}") for i in range(30)] + [(-1, "n")])
 
 
 def test_marks_beyond_the_carried_number_give_the_same_rows(spark, monkeypatch):
