@@ -30,7 +30,7 @@ GROUP_TOKENS, GROUP_DOCS = 4 << 20, 4096
 # Text bytes that a randomised group gets on average.
 GROUP_BYTES = 6 << 20
 # Words and parts of words that a Python worker remembers, twice.
-WORDS, PARTS = 400_000, 500_000
+WORDS, PARTS = 100_000, 100_000
 _ODD = re.compile("[\x1c-\x1f]")
 # Words of these characters lower their case and split alike here and in the vocabulary's own rules (fixed values).
 _SIMPLE = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u017e]+")
