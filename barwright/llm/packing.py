@@ -30,7 +30,7 @@ GROUP_TOKENS, GROUP_DOCS = 4 << 20, 4096
 # Text bytes that a randomised group gets on average.
 GROUP_BYTES = 6 << 20
 # Words and parts of words that a Python worker remembers, twice.
-WORDS, PARTS = 100_000, 100_000
+WORDS, PARTS = 400_000, 500_000
 _ODD = re.compile("[\x1c-\x1f]")
 # Words of these characters lower their case and split alike here and in the vocabulary's own rules (fixed values).
 _SIMPLE = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u017e]+")
@@ -133,20 +133,20 @@ class WordMerges(bpe.Merges):
 
 
 @lru_cache(maxsize=2)
-def load_tokenizer(path: str):
+def load_tokenizer(path: str, words: int = WORDS, parts: int = PARTS):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     added = tokenizer.get_added_tokens_decoder().values()
     if any(token.normalized for token in added):
         raise ValueError("added tokens of this vocabulary are found in normalised text")
-    return tokenizer, WordMerges(path), Memory(WORDS), Memory(PARTS), tuple(token.content for token in added)
+    return tokenizer, WordMerges(path), Memory(words), Memory(parts), tuple(token.content for token in added)
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
+def encode_texts(texts: list[str], path: str, words: int = WORDS, parts: int = PARTS) -> list[bytes]:
     """Ids of whole texts, as the public library gives them. The vocabulary drops white space and never merges across it, so ids
     are looked up word by word, and unknown words part by part; words beyond plain Latin letters are left to the library."""
-    tokenizer, merges, known_words, known_parts, added = load_tokenizer(path)
+    tokenizer, merges, known_words, known_parts, added = load_tokenizer(path, words, parts)
 
     def library(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=KIND).tobytes()
@@ -175,13 +175,16 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     return [library(text) if own is None else b"".join(map(known.__getitem__, own)) for text, own in zip(texts, words)]
 
 
-def tokenise(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, ids): little-endian 16-bit ids of the whole text and the closing id; a null or empty text has the closing id only."""
+def tokenise(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", words: int = WORDS, parts: int = PARTS) -> DataFrame:
+    """Rows (key, ids): little-endian 16-bit ids of the whole text and the closing id; a null or empty text has the closing id only.
+
+    `words` and `parts` are how many of them a Python worker remembers: fewer take less memory and more time, results are the same.
+    """
     closing = CLOSING.to_bytes(WIDTH, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [own + closing for own in encode_texts([value or "" for value in batch.column(1).to_pylist()], path)]
+            ids = [own + closing for own in encode_texts([value or "" for value in batch.column(1).to_pylist()], path, words, parts)]
             yield batch_of((key, "ids"), (batch.column(0), pa.array(ids, type=pa.binary())))
 
     return map_arrow(df.select(F.col(key).cast("bigint").alias(key), text), run, f"`{key}` bigint, ids binary")
