@@ -13,6 +13,8 @@ from barwright.session import ensure_checkpoint_dir
 
 # Texts of known language score far above this; a text that no language explains goes.
 LEAST_SCORE = 0.3
+# Words and parts that a Python worker of the packing stage remembers: executors keep the workers of all stages.
+REMEMBERED = 100_000
 # Rows and result have no SQL: a trained network and a tokenizer take part.
 ORACLE_SQL = None
 
@@ -38,7 +40,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their place in a sequence."""
-    tokens = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"))
+    tokens = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"), words=REMEMBERED, parts=REMEMBERED)
     return packing.pack(tokens, packing.group_count(docs)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
