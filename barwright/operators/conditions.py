@@ -42,7 +42,8 @@ def learn_thresholds(train: DataFrame, needs: set[tuple[str, float]], by: Sequen
     probs = sorted({q for _, q in needs})
     stacked = train.select(*by, *([fan] if fan else []), F.inline(F.array(*[
         F.struct(F.lit(f).alias("_field"), F.col(f).cast("double").alias("_value")) for f in fields])))
-    table = exact_quantiles(stacked, "_value", probs, by=["_field", *by], names=[f"_p{i}" for i in range(len(probs))], fan=fan, few_groups=True)
+    table = exact_quantiles(stacked, "_value", probs, by=["_field", *by], names=[f"_p{i}" for i in range(len(probs))], fan=fan, few_groups=True,
+                            asked=[(f, probs.index(q)) for f, q in sorted(needs)])
     keys = [*by, "fold"] if fan else list(by)
     return table.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_field") == f, F.col(f"_p{probs.index(q)}"))).alias(threshold_name(f, q)) for f, q in sorted(needs)])

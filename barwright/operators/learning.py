@@ -1,26 +1,23 @@
-"""Temporal learning: decision datasets, MLlib learners with calibration, prediction metrics and verdicts.
+"""Temporal learning: decision datasets, boosted learners with calibration, prediction metrics and verdicts.
 
-Three different learners stand in for the three boosted libraries of the reference, which Spark does not
-bundle: one-vs-rest gradient-boosted trees, a random forest and multinomial logistic regression.
+Three ways of growing boosted trees stand in for the three boosted libraries of the reference, which Spark does not bundle; all folds,
+learners and classes grow together (`boosting`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from multiprocessing.pool import ThreadPool
+import json
+from collections.abc import Mapping, Sequence
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.hashing import uniform
 from barwright.functions.numeric import count_where, ratio
+from barwright.operators import boosting
 from barwright.operators.conditions import learn_thresholds, threshold_name
 from barwright.operators.quantiles import attach
+from barwright.session import materialize
 
 CLASSES = ("DOWN", "NO_TRADE", "UP")
 DOWN, NO_TRADE, UP = 0, 1, 2
@@ -103,97 +100,42 @@ def permuted_labels(df: DataFrame, label: str, order: str, by: Sequence[str], bl
 
 # ---- learners --------------------------------------------------------------------------------------
 
-def classifier(name: str, seed: int, classes: int = 3, trees: int = 10, depth: int = 3):
-    if name == "boosted":
-        base = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, validationIndicatorCol="held_out")
-        return base if classes == 2 else OneVsRest(classifier=base, featuresCol="features", labelCol="label", parallelism=classes)
-    if name == "forest":
-        return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=2 * trees, maxDepth=depth, seed=seed)
-    if name == "logistic":
-        return LogisticRegression(featuresCol="features", labelCol="label", maxIter=5 * trees, regParam=0.01, family="multinomial" if classes > 2 else "binomial")
-    raise ValueError(name)
+PART_CODES = {"FIT": boosting.FIT, "STOP": boosting.STOP, "CALIBRATE": 2, "TEST": 3}
 
 
-def regressor(name: str, seed: int, trees: int = 10, depth: int = 3):
-    if name == "boosted":
-        return GBTRegressor(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, validationIndicatorCol="held_out")
-    if name == "forest":
-        return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=2 * trees, maxDepth=depth, seed=seed)
-    if name == "linear":
-        return LinearRegression(featuresCol="features", labelCol="label", maxIter=5 * trees, regParam=0.01)
-    raise ValueError(name)
+def coded_parts(tagged: DataFrame, folds: Sequence[int], run: int = 0, seed: int = 0) -> DataFrame:
+    """Rows with group (one per run and fold), part_code and the key that draws rows, from fold, role and part."""
+    part = F.when(F.col("role") == "TEST", PART_CODES["TEST"])
+    for name, code in PART_CODES.items():
+        part = part.when(F.col("part") == name, code)
+    place = F.array_position(F.array(*[F.lit(fold) for fold in folds]), F.col("fold")) - 1
+    return tagged.withColumns({"group": (run * len(folds) + place).cast("int"), "part_code": part, "draw_key": F.concat_ws(":", F.lit(seed), "id")}).where("part_code IS NOT NULL AND group >= 0")
 
 
-CLASSIFIERS = ("boosted", "forest", "logistic")
-REGRESSORS = ("boosted", "forest", "linear")
+def imputed(coded: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with missing features filled, medians per group): exact medians of the group's FIT rows, zero where it has none."""
+    medians = learn_thresholds(coded.where(F.col("part_code") == PART_CODES["FIT"]), {(f, 0.5) for f in features}, by=["group"])
+    filled = coded.join(medians, "group", "left")
+    names = {f: threshold_name(f, 0.5) for f in features}
+    filled = filled.withColumns({f: F.coalesce(F.col(f), F.col(name), F.lit(0.0)) for f, name in names.items()}).drop(*names.values())
+    return filled, medians.select("group", *[F.coalesce(F.col(name), F.lit(0.0)).alias(f) for f, name in names.items()])
 
 
-def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
+def boosted_scores(coded: DataFrame, features: Sequence[str], groups: int, classes: int = 3, keep: Sequence[str] = (), rounds: int = boosting.ROUNDS) -> tuple[DataFrame, boosting.Booster]:
+    """Raw class scores of every learner on the CALIBRATE and TEST rows, and the trees. All groups are boosted together."""
+    rows, _ = imputed(coded, features)
+    rows = materialize(rows)
+    booster = boosting.train(rows, features, ["label"], groups, "classes", classes, rounds, key="draw_key")
+    later = rows.where(F.col("part_code") >= PART_CODES["CALIBRATE"])
+    scored = boosting.predict(later, booster, features, ["id", "label", "fold", "group", "part_code", *keep])
+    learner = F.array_position(F.array(*[F.lit(name) for name in boosting.LEARNERS]), F.col("learner")) - 1
+    return scored.withColumn("model", (F.col("group") * len(boosting.LEARNERS) + learner).cast("int")), booster
 
 
-def scores(model, df: DataFrame, classes: int) -> DataFrame:
-    """A probability array per row whatever the learner offers: probabilities, or squashed margins normalised to one."""
-    out = model.transform(df)
-    if "probability" in out.columns:
-        p = vector_to_array("probability")
-    else:
-        p = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
-    total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn("_p", p).withColumn("score", F.transform("_p", lambda x: x / total)).select(*df.columns, "score")
-
-
-def fit_calibrated(train: DataFrame, name: str, seed: int, classes: int = 3, trees: int = 10):
-    """Learner fitted on FIT (with STOP held out for early stopping) and a logistic calibrator fitted on CALIBRATE scores."""
-    fit = train.where(F.col("part").isin("FIT", "STOP")).withColumn("held_out", F.col("part") == "STOP")
-    if name != "boosted":
-        fit = fit.where(~F.col("held_out"))
-    model = classifier(name, seed, classes, trees).fit(fit)
-    held = calibration_input(scores(model, train.where(F.col("part") == "CALIBRATE").drop("held_out"), classes))
-    calibrator = LogisticRegression(featuresCol="score_vector", labelCol="label", maxIter=50, regParam=0.001,
-                                    family="multinomial" if classes > 2 else "binomial").fit(held)
-    return model, calibrator
-
-
-def calibration_input(scored: DataFrame) -> DataFrame:
-    return scored.drop("features").withColumn("score_vector", array_to_vector("score"))
-
-
-def calibrated_probabilities(model, calibrator, df: DataFrame, classes: int = 3) -> DataFrame:
-    held = calibration_input(scores(model, df, classes))
-    out = calibrator.transform(held).withColumn("p", vector_to_array("probability"))
-    pad = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.coalesce(F.get("p", i), F.lit(0.0)))
-    return out.withColumn("p", pad).drop("score_vector", "score", "rawPrediction", "probability", "prediction")
-
-
-def out_of_fold(tagged: DataFrame, features: Sequence[str], folds: Sequence[int], names: Sequence[str], seed: int, classes: int = 3,
-                trees: int = 10, keep: Sequence[str] = ()) -> tuple[DataFrame, list[tuple[int, str, object]]]:
-    """Calibrated test probabilities of every learner and fold. The loop is over a handful of folds; fits are distributed.
-
-    `tagged` carries fold, role, part (for TRAIN rows), id, label and the features, without missing values.
-    """
-    ready = assemble(tagged, features)
-
-    def fit(task: tuple[int, int, str]) -> tuple[object, DataFrame]:
-        fold, i, name = task
-        here = ready.where(F.col("fold") == fold)
-        model, calibrator = fit_calibrated(here.where(F.col("role") == "TRAIN"), name, seed + i, classes, trees)
-        scored = calibrated_probabilities(model, calibrator, here.where(F.col("role") == "TEST"), classes)
-        return model, scored.select("id", "label", "fold", *keep, F.lit(name).alias("learner"), "p")
-
-    tasks = [(fold, i, name) for fold in folds for i, name in enumerate(names)]
-    done = side_by_side(fit, tasks, tagged)
-    models = [(fold, name, model) for (fold, _, name), (model, _) in zip(tasks, done)]
-    out = done[0][1]
-    for _, table in done[1:]:
-        out = out.unionByName(table)
-    return out, models
-
-
-def side_by_side(task: Callable, items: Sequence, df: DataFrame) -> list:
-    """Results of independent fits, submitted together: each is a chain of small jobs that leaves most of a cluster idle."""
-    with ThreadPool(min(len(items), 12)) as pool:
-        return pool.map(inheritable_thread_target(df.sparkSession)(task), items)
+def calibrated_tests(scored: DataFrame, groups: int, classes: int = 3) -> tuple[DataFrame, list]:
+    """(TEST rows with calibrated p, calibrators), the calibrators fitted on the CALIBRATE rows of the same model."""
+    weights = boosting.calibrators(scored.where(F.col("part_code") == PART_CODES["CALIBRATE"]), groups * len(boosting.LEARNERS), classes)
+    return boosting.calibrated(scored.where(F.col("part_code") == PART_CODES["TEST"]), weights), weights
 
 
 def ensemble(predictions: DataFrame, keys: Sequence[str], classes: int = 3) -> DataFrame:
@@ -203,19 +145,10 @@ def ensemble(predictions: DataFrame, keys: Sequence[str], classes: int = 3) -> D
         F.array(*[F.stddev_pop(F.col("p")[i]) for i in range(classes)]).alias("spread"))
 
 
-def importances(models: Sequence[tuple[int, str, object]], features: Sequence[str], spark) -> DataFrame:
-    """Normalised feature importance per fold and learner: a few numbers per fitted model."""
-    rows = []
-    for fold, name, model in models:
-        if hasattr(model, "models"):
-            parts = [m.featureImportances.toArray() for m in model.models]
-            values = sum(parts) / len(parts)
-        elif hasattr(model, "featureImportances"):
-            values = model.featureImportances.toArray()
-        else:
-            values = abs(model.coefficientMatrix.toArray()).mean(axis=0)
-        total = float(values.sum()) or 1.0
-        rows += [(int(fold), name, f, float(v) / total) for f, v in zip(features, values)]
+def importances(booster: boosting.Booster, features: Sequence[str], folds: Sequence[int], spark) -> DataFrame:
+    """Normalised gain per fold, learner and feature: a few numbers per model."""
+    share = booster.importance()
+    rows = [(int(fold), name, f, float(share[g, l, i])) for g, fold in enumerate(folds) for l, name in enumerate(boosting.LEARNERS) for i, f in enumerate(features)]
     return spark.createDataFrame(rows, "fold int, learner string, feature string, importance double")
 
 
@@ -229,18 +162,34 @@ def rank_stability(table: DataFrame) -> DataFrame:
     return per.where(~F.isnan("_c")).groupBy("learner").agg(F.avg("_c").alias("rank_stability"), F.count(F.lit(1)).alias("fold_pairs"))
 
 
-def save_models(models: Sequence[tuple[int, str, object]], root: str) -> list[str]:
-    """Native MLlib persistence, one folder per learner and fold."""
-    paths = []
-    for fold, name, model in models:
-        path = f"{root}/{name}-{fold}"
-        PipelineModel(stages=[model]).write().overwrite().save(path)
-        paths.append(path)
-    return paths
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(spark, root: str, booster: boosting.Booster, medians: DataFrame, calibrators, manifest: Mapping[str, object]) -> None:
+    """A fitted model as Parquet tables: trees, bins, medians, calibrators and a manifest."""
+    trees = [(int(n), int(g), name, int(k), booster.feature[n, g, l, k].tolist(), booster.cut[n, g, l, k].tolist(), booster.leaf[n, g, l, k].tolist())
+             for n in range(len(booster.feature)) for g in range(booster.base.shape[0]) for l, name in enumerate(boosting.LEARNERS) for k in range(booster.base.shape[1]) if n < booster.used[g, l]]
+    bins = [(int(g), i, edges.tolist()) for g in range(booster.edges.shape[0]) for i, edges in enumerate(booster.edges[g])]
+    spark.createDataFrame(trees, "round int, group int, learner string, output int, feature array<int>, cut array<int>, leaf array<double>").write.parquet(f"{root}/trees")
+    spark.createDataFrame(bins, "group int, place int, edges array<double>").write.parquet(f"{root}/bins")
+    medians.write.parquet(f"{root}/medians")
+    spark.createDataFrame([(int(m), row.tolist()) for m, one in enumerate(calibrators) for row in one], "model int, weights array<double>").coalesce(1).write.parquet(f"{root}/calibrators")
+    facts = dict(manifest) | {"kind": booster.kind, "base": booster.base.tolist(), "used": booster.used.tolist(), "rounds": boosting.ROUNDS, "depth": boosting.DEPTH, "step": boosting.STEP}
+    spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "manifest string").write.parquet(f"{root}/manifest")
+
+
+def load_model(spark, root: str) -> boosting.Booster:
+    """The trees of `save_model`; what a model is worth reading for (gains and losses of training) is not kept."""
+    facts = json.loads(spark.read.parquet(f"{root}/manifest").first()["manifest"])
+    base, used = np.array(facts["base"]), np.array(facts["used"])
+    bins = spark.read.parquet(f"{root}/bins").collect()
+    edges = np.full((base.shape[0], 1 + max(row["place"] for row in bins), boosting.BINS - 1), np.inf)
+    for row in bins:
+        edges[row["group"], row["place"]] = row["edges"]
+    shape = (int(used.max()), base.shape[0], len(boosting.LEARNERS), base.shape[1])
+    feature, cut = (np.full((*shape, (1 << facts["depth"]) - 1), fill, np.int64) for fill in (-1, 0))
+    leaf = np.zeros((*shape, 1 << facts["depth"]))
+    for row in spark.read.parquet(f"{root}/trees").collect():
+        at = (row["round"], row["group"], boosting.LEARNERS.index(row["learner"]), row["output"])
+        feature[at], cut[at], leaf[at] = row["feature"], row["cut"], row["leaf"]
+    return boosting.Booster(facts["kind"], edges, base, feature, cut, leaf, np.zeros((*used.shape, edges.shape[1])), np.zeros((0, *used.shape)), used)
 
 
 # ---- metrics ---------------------------------------------------------------------------------------

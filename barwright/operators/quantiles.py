@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from barwright.session import materialize
 
 CELLS_PER_E = 512
 CELL_SHIFT = 400_000
@@ -36,14 +38,15 @@ def _locate(counts: DataFrame, group: Sequence[str], place: str, targets: DataFr
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None, fan: str | None = None, fan_name: str = "fold",
-                    few_groups: bool | None = None) -> DataFrame:
+                    few_groups: bool | None = None, asked: Sequence[tuple] | None = None) -> DataFrame:
     """One row per group with one column per probability, as `quantile_cont` defines it.
 
     NULLs are skipped; groups with no value are absent. `fan` names an array column of further group
     values a row belongs to (the folds it trains): counts are taken once per distinct array and fan out
     afterwards, so rows are not multiplied by the number of folds. `few_groups` states that the groups
     come from a fixed list (fields, folds, specifications): the rank tables, at most two rows per group and
-    probability, are then broadcast and the rows are never shuffled by group.
+    probability, are then broadcast and the rows are never shuffled by group. `asked` lists the (value of the first group column, number
+    of the probability) pairs that are wanted; the others stay NULL and cost nothing.
     """
     small = not by if few_groups is None else few_groups
     names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
@@ -60,10 +63,15 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         cells = sliced.groupBy(*group, "_c").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     else:
         cells = rows.groupBy(*group, "_c").agg(*measured)
+    # The counts are read several times; written down once, each round is a small plan over a table bounded by the grid.
+    cells = materialize(cells)
     totals = cells.groupBy(*group).agg(F.sum("_n").alias("_total"))
     wanted = totals.select(*group, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_p"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("_pos"))
         for i, p in enumerate(probs)])).alias("_t"))
+    if asked is not None:
+        pairs = F.create_map(*[F.lit(x) for first in dict.fromkeys(g for g, _ in asked) for x in (first, F.array(*[F.lit(i) for g, i in asked if g == first]))])
+        wanted = wanted.where(F.array_contains(F.element_at(pairs, F.col(base[0])), F.col("_t._p")))
     wanted = wanted.select(*group, F.col("_t._p").alias("_p"),
                            (F.col("_t._pos") - F.floor("_t._pos")).alias("_frac"),
                            F.explode(F.array(
@@ -71,13 +79,13 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
                                F.struct(F.lit(1).alias("_side"), F.ceil("_t._pos").alias("_rank")))).alias("_s"))
     wanted = wanted.select(*group, "_p", "_frac", F.col("_s._side").alias("_side"), F.col("_s._rank").alias("_rank"))
 
-    first = _locate(cells, group, "_c", wanted, "_rank", small)
+    first = materialize(_locate(cells, group, "_c", wanted, "_rank", small))
     picked = first.select(*group, "_c", "_lo", "_hi").distinct()
     slice_no = F.when(F.col("_hi") > F.col("_lo"), F.floor(
         (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (SLICES - 1)).cast("bigint")).otherwise(F.lit(0))
     inside = _join_groups(rows, F.broadcast(picked) if small else picked, [*base, "_c"], fan is not None).withColumn("_s", slice_no)
 
-    values = inside.groupBy(*group, "_c", "_s", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    values = materialize(inside.groupBy(*group, "_c", "_s", "_v").agg(F.count(F.lit(1)).alias("_n")))
     slices = values.groupBy(*group, "_c", "_s").agg(F.sum("_n").alias("_n"))
     second = _locate(slices, [*group, "_c"], "_s", first.drop("_lo", "_hi"), "_rank", small)
     third = _locate(values, [*group, "_c", "_s"], "_v", second, "_rank", small)
@@ -101,7 +109,18 @@ def _join_groups(rows: DataFrame, picked: DataFrame, on: Sequence[str], fan: boo
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row table as scalar subqueries (no join, no shuffle of `df`)."""
-    packed = one_row.select(F.struct(*one_row.columns).alias("_one"))
-    whole = df.withColumn("_one", packed.scalar())
-    return whole.select(*df.columns, *[F.col("_one")[c].alias(c) for c in one_row.columns])
+    """Add the columns of a one-row table of numbers as constants (no join, no shuffle of `df`, and plans stay small).
+
+    The table is computed here, once; NULLs where it has no row. Columns that are not numbers or arrays of numbers are read by a scalar
+    subquery instead.
+    """
+    plain = all(isinstance(field.dataType.elementType if isinstance(field.dataType, T.ArrayType) else field.dataType, T.NumericType) for field in one_row.schema.fields)
+    if not plain:
+        packed = one_row.select(F.struct(*one_row.columns).alias("_one"))
+        whole = df.withColumn("_one", packed.scalar())
+        return whole.select(*df.columns, *[F.col("_one")[c].alias(c) for c in one_row.columns])
+    found = one_row.take(2)
+    if len(found) > 1:
+        raise ValueError("a table of one row was expected")
+    values = found[0] if found else [None] * len(one_row.columns)
+    return df.select(*df.columns, *[F.lit(value).cast(field.dataType).alias(field.name) for field, value in zip(one_row.schema.fields, values)])

@@ -6,8 +6,11 @@ An effect table has one row per session, so it is small; resamples multiply it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.hashing import draw_index, hashed_int, uniform
@@ -109,6 +112,65 @@ def sign_flip_test(placed: DataFrame, by: Sequence[str], count: int, seed: Colum
     return _tail(null, observed, by, direction, count)
 
 
+# Bits of one hash, resamples of one product, groups that a task holds at once.
+BITS, SLICE, HELD = 128, 1024, 64
+
+
+def sign_flip_rows(rows: DataFrame, by: Sequence[str], count: int, seed: str, direction: str = "GREATER") -> DataFrame:
+    """`sign_flip_test` for row tables: all coins of a batch of rows are one matrix, and one product adds up all resamples.
+
+    Every bit of md5(seed:block:pos) is the coin of one resample, so a row takes count / 128 hashes. Tasks hand on sums per group and
+    resample, never rows. `pos` and `effect` must not be missing; groups may be many, a task holds a bounded number of sums.
+    """
+    blocks = -(-count // BITS)
+    kinds = ", ".join(f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def told() -> pa.RecordBatch:
+            keys = list(zip(*held)) if by else []
+            arrays = [pa.array(column, type=types[i]) for i, column in enumerate(keys)]
+            values = list(held.values())
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.float64()), pa.array([v[2] for v in values], pa.list_(pa.float64()))], names=[*by, "_n", "_total", "_tails"])
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = types or [column.type for column in batch.columns[:len(by)]]
+            keys = list(zip(*(column.to_pylist() for column in batch.columns[:len(by)])))
+            codes = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+            code = np.fromiter(map(codes.__getitem__, keys), np.int64, len(keys))
+            pos, effect = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_numpy().astype(np.float64)
+            for start in range(0, len(pos), SLICE):
+                some = slice(start, start + SLICE)
+                digests = b"".join(hashlib.md5(b"%s:%d:%d" % (name, block, at)).digest() for at in pos[some] for block in range(blocks))
+                # Bit i of a word of 32 bits, the word read as a number, is the coin of resample i.
+                coins = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 32)[:, ::-1].reshape(len(pos[some]), blocks * BITS)[:, :count]
+                for own in np.unique(code[some]).tolist():
+                    use = code[some] == own
+                    part = effect[some][use]
+                    sums = part @ coins[use].astype(np.float64)
+                    key = keys[start + int(np.flatnonzero(use)[0])]
+                    if key in held:
+                        held[key][0] += len(part)
+                        held[key][1] += float(part.sum())
+                        held[key][2] += sums
+                    else:
+                        held[key] = [len(part), float(part.sum()), sums]
+            if len(held) > HELD:
+                yield told()
+                held = {}
+        if held:
+            yield told()
+
+    name = seed.encode()
+    parts = rows.select(*by, F.col("pos").cast("bigint"), F.col("effect").cast("double")).mapInArrow(run, f"{kinds}, _n bigint, _total double, _tails array<double>")
+    whole = parts.groupBy(*by).agg(F.sum("_n").alias("_n"), F.sum("_total").alias("_total"))
+    tails = parts.select(*by, F.posexplode("_tails").alias("resample", "_tail")).groupBy(*by, "resample").agg(F.sum("_tail").alias("_tail"))
+    null = tails.join(whole, list(by)).select(*by, "resample", ((F.col("_total") - 2 * F.col("_tail")) / F.col("_n")).alias("mean"))
+    return _tail(null, whole.select(*by, (F.col("_total") / F.col("_n")).alias("observed")), by, direction, count)
+
+
 def label_permutation_test(placed: DataFrame, by: Sequence[str], count: int, seed: Column, side: str = "side",
                            first: str = "CONDITIONED", direction: str = "GREATER") -> DataFrame:
     """Two-sample permutation: a hashed order deals the pooled values into groups of the original sizes."""

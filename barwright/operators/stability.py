@@ -126,9 +126,10 @@ SCORE_WEIGHTS = {"effect_size": 0.10, "bootstrap_stability": 0.15, "temporal_sta
                  "multiple_testing": 0.15, "sample_size": 0.05, "data_quality": 0.10, "parameter_stability": 0.10, "negative_controls": 0.10}
 
 
-def evidence_score(df: DataFrame, minimum_effect: float) -> DataFrame:
-    """Weighted score of nine components and the rejection reasons of a result table."""
-    size = F.least(F.lit(1.0), F.abs("effect") / (F.lit(minimum_effect) if minimum_effect else F.greatest(F.abs("effect"), F.lit(1e-12))))
+def evidence_score(df: DataFrame, minimum_effect: float | Column) -> DataFrame:
+    """Weighted score of nine components and the rejection reasons of a result table; a positive effect is a favourable one."""
+    minimum_effect = minimum_effect if isinstance(minimum_effect, Column) else F.lit(float(minimum_effect))
+    size = F.least(F.lit(1.0), F.abs("effect") / F.when(minimum_effect > 0, minimum_effect).otherwise(F.greatest(F.abs("effect"), F.lit(1e-12))))
     parts = {"effect_size": size, "bootstrap_stability": F.col("bootstrap_favourable"), "temporal_stability": F.col("temporal_favourable"),
              "cost_robustness": F.col("cost_favourable"), "multiple_testing": 1 - F.col("adjusted_p"),
              "sample_size": F.least(F.lit(1.0), F.col("sessions") / 200), "data_quality": F.col("quality_ok").cast("double"),
@@ -176,8 +177,10 @@ def attacks(entries: DataFrame, by: Sequence[str], net: str, trim: str | None =
         F.sum(value).alias("_s"), F.count(value).alias("_n"), F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_rows"),
         F.sum(F.when(F.col(trim) < F.col("_q95"), value)).alias("_ts"), F.count(F.when(F.col(trim) < F.col("_q95"), value)).alias("_tn"),
         F.sum(F.least(F.greatest(value, F.col("_q01")), F.col("_q99"))).alias("_ws"))
-    best = Window.partitionBy(*keys).orderBy(F.col("_m").desc_nulls_last(), session)
-    largest = Window.partitionBy(*keys).orderBy(F.abs("_m").desc_nulls_last(), session)
+    # Means that differ in the last digits only are ties, settled by the session.
+    level = F.round("_m", 12)
+    best = Window.partitionBy(*keys).orderBy(level.desc_nulls_last(), session)
+    largest = Window.partitionBy(*keys).orderBy(F.abs(level).desc_nulls_last(), session)
     ranked = per.withColumn("_best", F.row_number().over(best)).withColumn("_large", F.row_number().over(largest))
     rest = F.col("_best") > top
     return ranked.groupBy(*keys).agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barwright.functions.numeric import count_where, failed_names, p_positive, rounded
+from barwright.functions.numeric import count_where, failed_names, rounded
 from barwright.operators import conditions as C, effects as E, resampling as R, stability as S, walkforward as W
 from barwright.operators.quantiles import exact_quantiles
 from barwright.plans.bindings import Tables, rounded_all
@@ -12,7 +12,7 @@ from barwright.plans.evidence import p_sql, policy_sql, signal_sql
 from barwright.plans.features import ESQL, experiences
 from barwright.plans.oracle import r
 from barwright.plans.registry import query
-from barwright.plans.stability import ATTACK_COLS, STRESS_COLS, attack_sql
+from barwright.plans.stability import attack_sql, reasons_sql
 from barwright.session import materialize
 
 FIRST, PURGE, EMBARGO = 1996, 30, 30
@@ -113,8 +113,9 @@ def policy_folds(t: Tables) -> DataFrame:
     return rounded_all(W.fold_results(entries(t), SP), ["expected_net"])
 
 
-RESULT_DOUBLES = ["expected_net", "break_even_cost", "expected_cost", "hit_rate", "payoff", "mfe", "mae", "stress_0_75", "stress_1_0", "stress_1_25", "stress_1_5", "stress_2_0", "entry_rate", "cost_to_gross"]
-RESULTS = ENT + """, res AS (SELECT signal, policy, count(*) AS eligible, count(*) FILTER (entered) AS entered, avg(CASE WHEN entered THEN net END) AS expected_net, avg(CASE WHEN entered THEN gross END) AS break_even_cost,
+COST_QUANTILES = {"cost_p50": 0.5, "cost_p75": 0.75, "cost_p90": 0.9, "cost_p95": 0.95}
+RESULT_DOUBLES = [*COST_QUANTILES, "expected_net", "break_even_cost", "expected_cost", "hit_rate", "payoff", "mfe", "mae", "stress_0_75", "stress_1_0", "stress_1_25", "stress_1_5", "stress_2_0", "entry_rate", "cost_to_gross"]
+RESULTS = ENT + """, res AS (SELECT signal, policy, """ + ", ".join(f"quantile_cont(CASE WHEN entered THEN cost END, {q}) AS {name}" for name, q in COST_QUANTILES.items()) + """, count(*) AS eligible, count(*) FILTER (entered) AS entered, avg(CASE WHEN entered THEN net END) AS expected_net, avg(CASE WHEN entered THEN gross END) AS break_even_cost,
  avg(CASE WHEN entered THEN cost END) AS expected_cost, avg(CASE WHEN entered THEN (net > 0)::INT END) AS hit_rate, avg(CASE WHEN entered AND net > 0 THEN net END) / nullif(abs(avg(CASE WHEN entered AND net < 0 THEN net END)), 0) AS payoff,
  avg(CASE WHEN entered THEN mfe END) AS mfe, avg(CASE WHEN entered THEN mae END) AS mae, avg(CASE WHEN entered THEN gross - 0.75 * cost END) AS stress_0_75, avg(CASE WHEN entered THEN gross - cost END) AS stress_1_0, avg(CASE WHEN entered THEN gross - 1.25 * cost END) AS stress_1_25, avg(CASE WHEN entered THEN gross - 1.5 * cost END) AS stress_1_5, avg(CASE WHEN entered THEN gross - 2 * cost END) AS stress_2_0,
  count(DISTINCT CASE WHEN entered THEN session_id END) AS sessions, count(DISTINCT CASE WHEN entered THEN year(ts) END) AS years, count(*) FILTER (NOT entered) AS waited, count(*) FILTER (entered) / count(*) AS entry_rate FROM ent GROUP BY ALL),
@@ -123,7 +124,10 @@ RESULTS = ENT + """, res AS (SELECT signal, policy, count(*) AS eligible, count(
 
 
 def results(t: Tables) -> DataFrame:
-    return W.policy_results(entries(t), SP, "ts", (0.75, 1.0, 1.25, 1.5, 2.0))
+    def build() -> DataFrame:
+        costs = exact_quantiles(entries(t).where("entered"), "cost", list(COST_QUANTILES.values()), by=SP, names=list(COST_QUANTILES), few_groups=True)
+        return W.policy_results(entries(t), SP, "ts", (0.75, 1.0, 1.25, 1.5, 2.0)).join(costs, SP, "left")
+    return t.stored("policy_results", build)
 
 
 @query("w05_policy_results", RESULTS + " SELECT signal, policy, eligible, entered, sessions, years, positive_years, waited, stable, " + ", ".join(f"{r(c)} AS {c}" for c in RESULT_DOUBLES) + " FROM full_")
@@ -131,34 +135,70 @@ def policy_results(t: Tables) -> DataFrame:
     return rounded_all(results(t), RESULT_DOUBLES)
 
 
+PERIOD_SQL = "signal, policy, year(ts)::INT::VARCHAR AS year, year(ts)::INT::VARCHAR || CASE WHEN month(ts) <= 6 THEN '-H1' ELSE '-H2' END AS half, state_regime"
+
+
+@query("w05_policy_stability", ENT + f""", st AS (SELECT {PERIOD_SQL}, net FROM ent WHERE entered) SELECT signal, policy, kind, part, count(*) AS entered, {r('avg(net)')} AS mean_net FROM (SELECT signal, policy, 'YEAR' AS kind, year AS part, net FROM st
+ UNION ALL SELECT signal, policy, 'HALF', half, net FROM st UNION ALL SELECT signal, policy, 'REGIME', state_regime, net FROM st) GROUP BY ALL""")
+def policy_stability(t: Tables) -> DataFrame:
+    """Mean net return of every policy by year, half-year and regime."""
+    year = F.year("ts").cast("string")
+    half = F.concat(year, F.when(F.month("ts") <= 6, F.lit("-H1")).otherwise(F.lit("-H2")))
+    on = entries(t).where("entered").withColumns({"year": year, "half": half})
+    # Rows become one per policy, half-year and regime first; the kinds of parts are sums of those.
+    small = on.groupBy(*SP, "year", "half", "state_regime").agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("s"))
+    listed = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("part")) for kind, c in (("YEAR", "year"), ("HALF", "half"), ("REGIME", "state_regime"))])
+    return small.select(*SP, "n", "s", F.inline(listed)).groupBy(*SP, "kind", "part").agg(F.sum("n").alias("entered"), rounded(F.sum("s") / F.sum("n")).alias("mean_net"))
+
+
+GATE_NAMES = ("minimum_support_failed", "expected_net_return_not_positive", "ci95_not_positive", "temporal_stability_failed", "economic_skeptic_failed")
+ATTACKS = ("remove_best_5pct", "remove_best_sessions", "winsorised", "cost_1_5x", "spread_10pct", "mean", "stronger_signal")
 CAMPAIGN = RESULTS + """, cm AS (SELECT signal, policy, avg(net) AS mean, count(*) AS n FROM ent WHERE entered GROUP BY ALL), cs AS (SELECT signal, policy, session_id, sum(net) AS sv, count(*) AS k FROM ent WHERE entered GROUP BY ALL),
  ci AS (SELECT signal, policy, max(mean) AS mean, sqrt(sum((sv - mean * k) * (sv - mean * k)) * count(*) / nullif(count(*) - 1, 0)) / max(n) AS se FROM cs JOIN cm USING (signal, policy) GROUP BY ALL),
- pv AS (SELECT signal, policy, signal || '-' || policy AS id, mean, se, round(""" + p_sql("mean", "se") + """, 6) AS p FROM ci), rk AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM pv),
- bh AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k DESC)) AS q FROM rk),
- fin AS (SELECT f.signal, f.policy, id, expected_net, q, CASE WHEN entered >= 100 AND sessions >= 50 AND years >= 3 AND expected_net > 0 AND mean - 1.96 * se > 0 AND stable AND q <= 0.05 THEN 'DEV_ECONOMIC_SURVIVOR' ELSE 'REJECTED' END AS status,
-  round(0.45 * (1 - q) + 0.25 * least(1.0, sessions / 500) + 0.2 * greatest(0.0, 1 - (2 * 1.96 * se) / 0.002) - 0.08, 6) AS research_value FROM full_ f JOIN bh USING (signal, policy))"""
+ pv AS (SELECT signal, policy, signal || '-' || policy AS id, mean AS mu, se, round(""" + p_sql("mean", "se") + """, 6) AS p FROM ci), rk AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM pv),
+ bh AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k DESC)) AS q FROM rk), e AS (SELECT *, signal || '-' || policy AS id FROM ent WHERE entered)""" + attack_sql("id") + """,
+ tx AS (SELECT id, avg(gross - 1.5 * cost) AS cost_1_5x, avg(gross - 1.1 * cost) AS spread_10pct, avg(CASE WHEN stronger THEN net END) AS stronger_signal, count(*) FILTER (gross IS NULL) = 0 AS gap_free FROM e GROUP BY id),
+ rg AS (SELECT id, count(*) AS regimes, count(*) FILTER (m > 0) AS positive_regimes FROM (SELECT id, state_regime, avg(net) AS m FROM e GROUP BY ALL) GROUP BY id),
+ sk AS (SELECT id, """ + " AND ".join(f"coalesce({c} > 0, false)" for c in ATTACKS) + """ AND coalesce(temporal_concentration <= 0.6, true) AND gap_free AND (regimes <= 1 OR positive_regimes >= 2) AS skeptic_passed FROM att JOIN conc USING (id) JOIN tx USING (id) JOIN rg USING (id)),
+ gt AS (SELECT f.*, id, mu, se, q, """ + reasons_sql(list(zip(GATE_NAMES, ("entered >= 100 AND sessions >= 50 AND years >= 3", "expected_net > 0", "mu - 1.96 * se > 0", "stable", "skeptic_passed")))) + """ AS gates FROM full_ f JOIN bh USING (signal, policy) JOIN sk USING (id)),
+ fin AS (SELECT *, CASE WHEN len(gates) = 0 AND q > 0.05 THEN ['bh_fdr_failed'] ELSE gates END AS reasons, CASE WHEN len(gates) = 0 AND q <= 0.05 THEN 'DEV_ECONOMIC_SURVIVOR' ELSE 'REJECTED' END AS status,
+  round(0.45 * (1 - q) + 0.25 * least(1.0, sessions / 500) + 0.2 * greatest(0.0, 1 - (2 * 1.96 * se) / 0.002) - 0.08, 6) AS research_value FROM gt)"""
 
 
 def campaign(t: Tables) -> DataFrame:
-    base = results(t)
-    ci = E.clustered_mean(entries(t).where("entered"), SP, "net").withColumn("p", F.round("p_value", 6)).select(*SP, "mean", "se", "ci_low", "p")
-    both = base.join(ci, SP).withColumn("id", F.concat_ws("-", "signal", "policy")).withColumn("_all", F.lit(1))
-    q = R.benjamini_hochberg(both, "p", ["_all"], "id", "q").drop("_all")
-    ok = ((F.col("entered") >= 100) & (F.col("sessions") >= 50) & (F.col("years") >= 3) & (F.col("expected_net") > 0) & (F.col("ci_low") > 0) & F.col("stable") & (F.col("q") <= 0.05))
-    value = 0.45 * (1 - F.col("q")) + 0.25 * F.least(F.lit(1.0), F.col("sessions") / 500) + 0.2 * F.greatest(F.lit(0.0), 1 - (2 * 1.96 * F.col("se")) / 0.002) - 0.08
-    return (q.withColumn("status", F.when(F.coalesce(ok, F.lit(False)), F.lit("DEV_ECONOMIC_SURVIVOR")).otherwise(F.lit("REJECTED"))).withColumn("research_value", F.round(value, 6)))
-
-
-@query("w06_campaign_ranking", CAMPAIGN + f" SELECT id, {r('q')} AS q_value, status, {r('research_value', 4)} AS research_value, row_number() OVER (ORDER BY round(research_value, 4) DESC, id) AS research_rank, row_number() OVER (ORDER BY CASE WHEN status = 'REJECTED' THEN 0 ELSE greatest(0, round(expected_net, 6)) END DESC, id) AS trade_rank FROM fin")
+    """Every (signal, policy) with its gates, the skeptic among them, FDR, reasons and status."""
+    def build() -> DataFrame:
+        on = entries(t).where("entered")
+        ci = E.clustered_mean(on, SP, "net").withColumn("p", F.round("p_value", 6)).select(*SP, "mean", "se", "ci_low", "p")
+        attacked = S.economic_skeptic(on, SP, F.col("stronger")).select(*SP, F.col("passed").alias("skeptic_passed"))
+        both = results(t).join(ci, SP).join(attacked, SP).withColumn("id", F.concat_ws("-", "signal", "policy")).withColumn("_all", F.lit(1))
+        q = R.benjamini_hochberg(both, "p", ["_all"], "id", "q").drop("_all")
+        checks = zip(GATE_NAMES, ((F.col("entered") >= 100) & (F.col("sessions") >= 50) & (F.col("years") >= 3), F.col("expected_net") > 0, F.col("ci_low") > 0, F.col("stable"), F.col("skeptic_passed")))
+        value = 0.45 * (1 - F.col("q")) + 0.25 * F.least(F.lit(1.0), F.col("sessions") / 500) + 0.2 * F.greatest(F.lit(0.0), 1 - (2 * 1.96 * F.col("se")) / 0.002) - 0.08
+        # The false discovery rate is asked only of those that pass everything else.
+        late = (F.size("_gates") == 0) & (F.col("q") > 0.05)
+        q = q.withColumn("_gates", failed_names(list(checks)))
+        q = q.withColumn("reasons", F.when(late, F.array(F.lit("bh_fdr_failed"))).otherwise(F.col("_gates"))).drop("_gates")
+        return q.withColumns({"status": F.when(F.size("reasons") == 0, F.lit("DEV_ECONOMIC_SURVIVOR")).otherwise(F.lit("REJECTED")), "research_value": F.round(value, 6)})
+    return t.stored("campaign", build)
+
+
+@query("w06_campaign_ranking", CAMPAIGN + f" SELECT id, {r('q')} AS q_value, status, array_to_string(reasons, ',') AS reasons, {r('research_value', 4)} AS research_value, row_number() OVER (ORDER BY round(research_value, 4) DESC, id) AS research_rank, row_number() OVER (ORDER BY CASE WHEN status = 'REJECTED' THEN 0 ELSE greatest(0, round(expected_net, 6)) END DESC, id) AS trade_rank FROM fin")
 def ranking(t: Tables) -> DataFrame:
     from pyspark.sql import Window
     c = campaign(t)
     trade = F.when(F.col("status") == "REJECTED", F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.round("expected_net", 6)))
-    return c.select("id", rounded("q").alias("q_value"), "status", rounded("research_value", 4).alias("research_value"),
+    return c.select("id", rounded("q").alias("q_value"), "status", F.concat_ws(",", "reasons").alias("reasons"), rounded("research_value", 4).alias("research_value"),
                     F.row_number().over(Window.orderBy(F.round("research_value", 4).desc(), "id")).alias("research_rank"),
                     F.row_number().over(Window.orderBy(trade.desc(), "id")).alias("trade_rank"))
 
 
+@query("w06_status_counts", CAMPAIGN + " SELECT status, coalesce(reason, '') AS reason, count(*) AS policies FROM (SELECT status, unnest(CASE WHEN len(reasons) = 0 THEN [NULL] ELSE reasons END) AS reason FROM fin) GROUP BY ALL")
+def status_counts(t: Tables) -> DataFrame:
+    """How often each status and each reason occurs."""
+    return campaign(t).select("status", F.explode_outer("reasons").alias("reason")).groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("policies"))
+
+
 @query("w17_campaign_consolidation", CAMPAIGN + " SELECT signal AS family, count(*) FILTER (status = 'DEV_ECONOMIC_SURVIVOR') AS \"DEV_ECONOMIC_SURVIVOR\", count(*) FILTER (status = 'REJECTED') AS \"REJECTED\" FROM fin GROUP BY signal")
 def consolidation(t: Tables) -> DataFrame:
     return W.consolidate(campaign(t).withColumn("family", F.col("signal")), ["DEV_ECONOMIC_SURVIVOR", "REJECTED"])
@@ -180,115 +220,6 @@ def opportunity_labels(t: Tables) -> DataFrame:
     return opportunities(t).select("ts", rounded("max_excursion").alias("max_excursion"), "large", rounded("surplus").alias("surplus"), "time_to_excursion")
 
 
-# Large-move hypotheses on the ledger: condition learned on train, applied to the test year.
-LARGE = {"VOL": {"type": "quantile_gte", "field": "state_vol_short", "quantile": 0.75}, "CHEAP": {"type": "quantile_lte", "field": "state_spread_points", "quantile": 0.25},
-         "WINDOW": {"type": "minute_range", "field": "minute", "start": 60, "end": 210}}
-OPF = LEDGER + folds_sql("led") + """, base AS (SELECT *, greatest(abs(up), abs(down)) AS mx, coalesce(greatest(abs(up), abs(down)) >= 2 * cost, false) AS large, greatest(abs(up), abs(down)) - 2 * cost AS surplus FROM folds WHERE role IS NOT NULL),
- tq AS (SELECT fold, quantile_cont(state_vol_short, 0.75) AS v75, quantile_cont(state_vol_short, 0.7) AS v70, quantile_cont(state_vol_short, 0.8) AS v80, quantile_cont(state_spread_points, 0.25) AS s25, quantile_cont(state_spread_points, 0.2) AS s20, quantile_cont(state_spread_points, 0.3) AS s30 FROM base WHERE role = 'TRAIN' GROUP BY fold),
- tst AS (SELECT * FROM base JOIN tq USING (fold) WHERE role = 'TEST'),
- sel AS (SELECT *, 'VOL' AS hypothesis, state_vol_short >= v75 AS chosen, state_vol_short >= v70 AS weaker, state_vol_short >= v80 AS stronger FROM tst UNION ALL SELECT *, 'CHEAP', state_spread_points <= s25, state_spread_points <= s20, state_spread_points <= s30 FROM tst
-  UNION ALL SELECT *, 'WINDOW', minute BETWEEN 60 AND 210, minute BETWEEN 45 AND 195, minute BETWEEN 75 AND 225 FROM tst)"""
-
-
-def large_rows(t: Tables) -> DataFrame:
-    """Test rows of every large-move hypothesis with chosen, weaker and stronger membership."""
-    def build() -> DataFrame:
-        size = F.greatest(F.abs("up"), F.abs("down"))
-        base = ledger(t).withColumns({"mx": size, "large": F.coalesce(size >= 2 * F.col("cost"), F.lit(False)), "surplus": size - 2 * F.col("cost")})
-        roled = W.fold_roles(base, "ts", FIRST, PURGE, EMBARGO)
-        needs = set()
-        for spec in LARGE.values():
-            for n in (-1, 0, 1):
-                needs |= C.quantile_needs(spec, n)
-        learned = C.learn_thresholds(roled, needs, fan="train_folds")
-        test = W.test_rows(roled)
-        kept = test.columns
-        test = test.join(F.broadcast(learned), "fold")
-        listed = F.array(*[F.struct(F.lit(n).alias("hypothesis"), C.condition(s).alias("chosen"), C.condition(s, -1).alias("weaker"), C.condition(s, 1).alias("stronger")) for n, s in LARGE.items()])
-        return test.select(*kept, F.inline(listed))
-    return t.stored("large_rows", build)
-
-
-HYP = ["hypothesis"]
-LIFT_COLS = ["lift", "se", "ci_low", "ci_high", "p_value"]
-
-
-@query("w08_opportunity_results", OPF + f""", per AS (SELECT hypothesis, session_id, avg(CASE WHEN chosen THEN large::INT END) - avg(large::INT) AS x FROM sel GROUP BY ALL), lf AS (SELECT hypothesis, count(x) AS sessions, avg(x) AS lift, stddev_samp(x) / sqrt(count(x)) AS se FROM per GROUP BY 1),
- ag AS (SELECT hypothesis, count(*) FILTER (chosen) AS support, count(*) FILTER (chosen) / count(*) AS frequency, avg(CASE WHEN chosen THEN large::INT END) AS rate, avg(large::INT) AS base_rate, avg(CASE WHEN chosen THEN mx END) AS move, avg(CASE WHEN chosen THEN cost END) AS cost,
-  avg(CASE WHEN chosen THEN surplus END) AS surplus, quantile_cont(CASE WHEN chosen THEN mx END, 0.5) AS p50, quantile_cont(CASE WHEN chosen THEN mx END, 0.95) AS p95 FROM sel GROUP BY 1)
- SELECT hypothesis, sessions, support, {', '.join(f'{r(c)} AS {c}' for c in ('frequency', 'rate', 'base_rate', 'move', 'cost', 'surplus', 'p50', 'p95', 'lift', 'se'))}, {r('lift - 1.96 * se')} AS ci_low, {r('lift + 1.96 * se')} AS ci_high, {r(p_sql('lift', 'se'))} AS p_value,
-  {r('move / nullif(cost, 0)', 4)} AS edge_to_cost, {r('0.45 * least(1.0, move / nullif(cost, 0) / 3) + 0.25 * least(1.0, frequency / 0.1) + 0.2 * greatest(0.0, 1 - least(1.0, abs(lift) / 0.25)) - 0.08')} AS opportunity_value FROM lf JOIN ag USING (hypothesis)""")
-def opportunity_results(t: Tables) -> DataFrame:
-    rows = large_rows(t)
-    on = F.col("chosen")
-    lift = E.rate_lift(rows, HYP, on, F.col("large"))
-    facts = rows.groupBy(*HYP).agg(
-        count_where(on).alias("support"), F.avg(on.cast("double")).alias("frequency"), F.avg(F.when(on, F.col("large").cast("double"))).alias("rate"),
-        F.avg(F.col("large").cast("double")).alias("base_rate"), F.avg(F.when(on, F.col("mx"))).alias("move"), F.avg(F.when(on, F.col("cost"))).alias("cost"), F.avg(F.when(on, F.col("surplus"))).alias("surplus"))
-    shape = exact_quantiles(rows.where(on), "mx", [0.5, 0.95], by=HYP, names=["p50", "p95"], few_groups=True)
-    out = lift.join(facts, HYP).join(shape, HYP).withColumn("edge_to_cost", W.edge_to_cost(F.col("move"), F.col("cost")))
-    out = out.withColumn("_u", F.abs("lift")).withColumn("_c", F.lit(1)).withColumn("opportunity_value", W.opportunity_value("move", "cost", "frequency", "_u", "_c")).drop("_u", "_c")
-    out = out.withColumn("edge_to_cost", rounded("edge_to_cost", 4))
-    return rounded_all(out, ["frequency", "rate", "base_rate", "move", "cost", "surplus", "p50", "p95", "opportunity_value", *LIFT_COLS])
-
-
-T12_SQL = OPF.replace("WITH led AS", "WITH led AS", 1) + ", e AS (SELECT * FROM sel WHERE chosen)" + attack_sql("hypothesis", "surplus", "mx")
-
-
-REQUIRED = ("remove_best_5pct", "remove_best_sessions", "winsorised", "cost_1_5x", "weaker_surplus", "stronger_surplus")
-
-
-@query("t12_opportunity_skeptic", T12_SQL + f""", st AS (SELECT hypothesis, avg(mx - 3.0 * cost) AS cost_1_5x, avg(mx - 4.0 * cost) AS cost_2x, avg((mx IS NULL)::INT) AS gap_share FROM e GROUP BY 1), sr AS (SELECT hypothesis, avg(chosen::INT) AS selected_share FROM sel GROUP BY 1),
- nb AS (SELECT hypothesis, avg(CASE WHEN weaker THEN surplus END) AS weaker_surplus, avg(CASE WHEN stronger THEN surplus END) AS stronger_surplus,
-  avg(CASE WHEN ('0x' || substr(md5('rand:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT / 4294967296.0 < selected_share THEN large::INT END) AS random_rate, avg(CASE WHEN chosen THEN large::INT END) AS selected_rate FROM sel JOIN sr USING (hypothesis) GROUP BY 1),
- ym AS (SELECT hypothesis, year(ts) AS y, avg(surplus) AS m FROM e GROUP BY ALL), yr AS (SELECT hypothesis, count(*) AS years, count(*) FILTER (m > 0) AS positive_years FROM ym GROUP BY 1), rm AS (SELECT hypothesis, min(m) AS worst_regime FROM (SELECT hypothesis, state_regime, avg(surplus) AS m FROM e GROUP BY ALL) GROUP BY 1),
- al AS (SELECT * FROM att JOIN st USING (hypothesis) JOIN nb USING (hypothesis) JOIN yr USING (hypothesis) JOIN rm USING (hypothesis))
- SELECT hypothesis, {', '.join(f'{r(c)} AS {c}' for c in ['mean', 'remove_best_5pct', 'remove_best_sessions', 'winsorised', 'cost_1_5x', 'cost_2x', 'weaker_surplus', 'stronger_surplus', 'random_rate', 'selected_rate', 'worst_regime'])}, years, positive_years,
- array_to_string(list_filter([{', '.join(f"CASE WHEN NOT coalesce({c} > 0, false) THEN '{c}' END" for c in REQUIRED)}, CASE WHEN positive_years < greatest(2, years - 1) THEN 'year_concentration' END, CASE WHEN gap_share > 0.01 THEN 'gaps' END], lambda x: x IS NOT NULL), ',') AS failures FROM al""")
-def opportunity_skeptic(t: Tables) -> DataFrame:
-    """Attacks on each large-move hypothesis, its means by year and regime, and the attacks that it fails."""
-    from barwright.functions.hashing import uniform
-    rows = large_rows(t)
-    chosen = rows.where("chosen")
-    base = S.attacks(chosen, HYP, "surplus", trim="mx")
-    stress = chosen.groupBy(*HYP).agg(F.avg(F.col("mx") - 3.0 * F.col("cost")).alias("cost_1_5x"), F.avg(F.col("mx") - 4.0 * F.col("cost")).alias("cost_2x"), F.avg(F.col("mx").isNull().cast("double")).alias("_gaps"))
-    # A random condition as frequent as the chosen one.
-    share = rows.groupBy(*HYP).agg(F.avg(F.col("chosen").cast("double")).alias("_share"))
-    coin = uniform(F.lit("rand"), F.col("l_orderkey"), F.col("l_linenumber")) < F.col("_share")
-    hit = F.col("large").cast("double")
-    near = rows.join(share, HYP).groupBy(*HYP).agg(F.avg(F.when(F.col("weaker"), F.col("surplus"))).alias("weaker_surplus"), F.avg(F.when(F.col("stronger"), F.col("surplus"))).alias("stronger_surplus"),
-                                                   F.avg(F.when(coin, hit)).alias("random_rate"), F.avg(F.when(F.col("chosen"), hit)).alias("selected_rate"))
-    years = chosen.groupBy(*HYP, F.year("ts").alias("_y")).agg(F.avg("surplus").alias("_m")).groupBy(*HYP).agg(F.count(F.lit(1)).alias("years"), F.count_if(F.col("_m") > 0).alias("positive_years"))
-    regimes = chosen.groupBy(*HYP, "state_regime").agg(F.avg("surplus").alias("_m")).groupBy(*HYP).agg(F.min("_m").alias("worst_regime"))
-    out = base.drop("temporal_concentration", "sample_concentration")
-    for part in (stress, near, years, regimes):
-        out = out.join(part, HYP)
-    checks = [(c, F.col(c) > 0) for c in REQUIRED] + [("year_concentration", F.col("positive_years") >= F.greatest(F.lit(2), F.col("years") - 1)), ("gaps", F.col("_gaps") <= 0.01)]
-    out = out.withColumn("failures", F.concat_ws(",", failed_names(checks))).drop("_gaps")
-    return rounded_all(out, [c for c in out.columns if c not in ("hypothesis", "years", "positive_years", "failures")])
-
-
-@query("w09_direction_test", OPF + f""", e AS (SELECT *, hypothesis || '-' || a AS id, CASE a WHEN 'LONG' THEN g ELSE -g END AS gross, CASE a WHEN 'LONG' THEN g ELSE -g END - cost AS net FROM sel CROSS JOIN (VALUES ('LONG'), ('SHORT')) v(a) WHERE chosen)""" + attack_sql("id") + f""",
- m AS (SELECT id, avg(net) AS mu, avg(gross) AS expected_gross, avg(cost) AS expected_cost, count(*) AS support, avg(gross - 1.5 * cost) AS cost_1_5x, avg(gross - 2 * cost) AS cost_2x FROM e GROUP BY id), cs AS (SELECT id, session_id, sum(net) AS sv, count(*) AS k FROM e GROUP BY ALL),
- ci AS (SELECT id, sqrt(sum((sv - mu * k) * (sv - mu * k)) * count(*) / (count(*) - 1)) / max(support) AS se FROM cs JOIN m USING (id) GROUP BY id),
- yr AS (SELECT id, count(*) >= 3 AND count(*) FILTER (x > 0) >= greatest(2, count(*) - 1) AS stable FROM (SELECT id, year(ts) AS y, avg(net) AS x FROM e GROUP BY ALL) GROUP BY id)
- SELECT id, support, {r('expected_gross')} AS expected_gross, {r('expected_cost')} AS expected_cost, {r('mu')} AS expected_net, {r('se')} AS se, {r('mu - 1.96 * se')} AS ci_low, {r('mu + 1.96 * se')} AS ci_high, {r(p_sql('mu', 'se'))} AS p_value, stable,
-  coalesce(remove_best_5pct > 0 AND remove_best_sessions > 0 AND winsorised > 0 AND cost_1_5x > 0 AND cost_2x > 0, false) AS skeptic_passed FROM m JOIN ci USING (id) JOIN yr USING (id) JOIN att USING (id)""")
-def direction_test(t: Tables) -> DataFrame:
-    sides = F.array(F.struct(F.lit("LONG").alias("side"), F.col("g").alias("gross")), F.struct(F.lit("SHORT").alias("side"), (-F.col("g")).alias("gross")))
-    e = large_rows(t).where("chosen").select("*", F.inline(sides)).withColumn("id", F.concat_ws("-", "hypothesis", "side")).withColumn("net", F.col("gross") - F.col("cost"))
-    ci = E.clustered_mean(e, ["id"], "net")
-    hits = S.attacks(e, ["id"], "net")
-    facts = e.groupBy("id").agg(F.count(F.lit(1)).alias("support"), F.avg("gross").alias("expected_gross"), F.avg("cost").alias("expected_cost"),
-                                F.avg(F.col("gross") - 1.5 * F.col("cost")).alias("c15"), F.avg(F.col("gross") - 2 * F.col("cost")).alias("c2"))
-    years = e.groupBy("id", F.year("ts").alias("y")).agg(F.avg("net").alias("m")).groupBy("id").agg(
-        ((F.count(F.lit(1)) >= 3) & (count_where(F.col("m") > 0) >= F.greatest(F.lit(2), F.count(F.lit(1)) - 1))).alias("stable"))
-    out = ci.select("id", F.col("mean").alias("expected_net"), "se", "ci_low", "ci_high", "p_value").join(facts, "id").join(years, "id").join(hits.drop("mean"), "id")
-    passed = (F.col("remove_best_5pct") > 0) & (F.col("remove_best_sessions") > 0) & (F.col("winsorised") > 0) & (F.col("c15") > 0) & (F.col("c2") > 0)
-    return out.select("id", "support", *[rounded(c).alias(c) for c in ("expected_gross", "expected_cost", "expected_net", "se", "ci_low", "ci_high", "p_value")], "stable",
-                      F.coalesce(passed, F.lit(False)).alias("skeptic_passed"))
-
-
 @query("w10_cost_reality", LEDGER + f""", q AS (SELECT quantile_cont(state_vol_short, 0.25) AS a, quantile_cont(state_vol_short, 0.5) AS b, quantile_cont(state_vol_short, 0.75) AS c FROM led), x AS (SELECT cost, 'MINUTE' AS kind, (minute // 30 * 30)::VARCHAR AS bucket FROM led UNION ALL SELECT cost, 'REGIME', state_regime FROM led
  UNION ALL SELECT cost, 'VOLATILITY', CASE WHEN state_vol_short <= a THEN 'Q1' WHEN state_vol_short <= b THEN 'Q2' WHEN state_vol_short <= c THEN 'Q3' ELSE 'Q4' END FROM led, q) SELECT kind, bucket, count(*) AS "rows", {r('avg(cost)')} AS mean_cost FROM x GROUP BY ALL
  UNION ALL SELECT 'PERCENTILE', 'p' || p, count(*), {r('quantile_cont(cost, 0.5)')} FROM led, (VALUES ('50')) v(p) GROUP BY p UNION ALL SELECT 'PERCENTILE', 'p90', count(*), {r('quantile_cont(cost, 0.9)')} FROM led""")

@@ -305,6 +305,14 @@ def flips_sql(seed: str, count: int) -> str:
  FROM placed, (SELECT unnest(range({(count + 31) // 32})) AS b)) GROUP BY hypothesis, b) WHERE b * 32 + bit < {count}"""
 
 
+def row_flips_sql(seed: str, count: int) -> str:
+    """As `flips_sql` with all 128 bits of a hash: four words of 32 coins."""
+    words = ", ".join(f"('0x' || substr(h, {1 + 8 * word}, 8))::BIGINT AS h{word}" for word in range(4))
+    coins = ", ".join(f"avg(CASE WHEN (h{word} >> {bit}) & 1 = 1 THEN -effect ELSE effect END)" for word in range(4) for bit in range(32))
+    return f"""SELECT hypothesis, b * 128 + bit AS r, mean FROM (SELECT hypothesis, b, unnest([{coins}]) AS mean, unnest(range(128)) AS bit FROM (SELECT hypothesis, effect, b, {words}
+ FROM (SELECT hypothesis, effect, b, md5({seed} || ':' || b || ':' || pos) AS h FROM placed, (SELECT unnest(range({(count + 127) // 128})) AS b))) GROUP BY hypothesis, b) WHERE b * 128 + bit < {count}"""
+
+
 PLACED = ", placed AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY session_id, side) - 1 AS pos, count(*) OVER (PARTITION BY hypothesis) AS n FROM eff)"
 REP = f", reps AS (SELECT unnest(range({DRAWS})) AS r)"
 
@@ -369,12 +377,12 @@ def label_permutation(t: Tables) -> DataFrame:
 
 
 @query("r07_trade_sign_flip", """WITH placed AS (SELECT l_returnflag AS hypothesis, l_orderkey * 8 + l_linenumber AS pos, l_extendedprice * (l_discount - 0.05) AS effect FROM lineitem)""" +
-       _tail_sql(flips_sql("'W'", FLIPS)).replace(", 6) + 0.0::DOUBLE AS observed", ", 3) + 0.0::DOUBLE AS observed").replace(", 6) + 0.0::DOUBLE AS null_median", ", 3) + 0.0::DOUBLE AS null_median"))
+       _tail_sql(row_flips_sql("'W'", FLIPS)).replace(", 6) + 0.0::DOUBLE AS observed", ", 3) + 0.0::DOUBLE AS observed").replace(", 6) + 0.0::DOUBLE AS null_median", ", 3) + 0.0::DOUBLE AS null_median"))
 def trade_flip(t: Tables) -> DataFrame:
-    """Sign flip over every trade: each row contributes to all resamples by partial aggregation, no join."""
+    """Sign flip over every trade: a matrix of coins per batch of rows, sums per resample out."""
     trades = t.read("lineitem").select(F.col("l_returnflag").alias("hypothesis"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
                                        (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("effect"))
-    out = R.sign_flip_test(trades, BY, FLIPS, F.lit("W"))
+    out = R.sign_flip_rows(trades, BY, FLIPS, "W")
     return out.select("hypothesis", rounded("observed", 3).alias("observed"), rounded("null_median", 3).alias("null_median"), rounded("p_value").alias("p_value"))
 
 
@@ -407,9 +415,3 @@ def holm(t: Tables) -> DataFrame:
 def planned(t: Tables) -> DataFrame:
     out = R.planned_penalty(tests(t), "p", "planned", ["family"], "l_suppkey")
     return out.select("l_suppkey", "family", rounded("within_p").alias("within_p"), rounded("adjusted_p").alias("adjusted_p"))
-
-
-@query("w18_catalogue_effects", evidence_sql(CATALOGUE) + f" SELECT hypothesis, {SUMMARY_COLS} FROM summ")
-def catalogue(t: Tables) -> DataFrame:
-    """Every catalogue hypothesis from one scan and one shuffle on (hypothesis, session)."""
-    return rounded_summary(summary(t, CATALOGUE))

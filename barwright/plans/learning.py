@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from barwright.functions.hashing import uniform
 from barwright.functions.numeric import count_where, rounded
-from barwright.operators import learning as L, resampling as R, walkforward as W
+from barwright.operators import boosting, learning as L, resampling as R, walkforward as W
 from barwright.operators.quantiles import attach
 from barwright.plans.bindings import Tables, rounded_all
 from barwright.plans.evidence import u_sql
@@ -152,47 +152,64 @@ def promotion(t: Tables) -> DataFrame:
     return L.promotion_verdict(rows, {"balanced_accuracy": 0.34, "trades": 10}).select("year", "verdict")
 
 
-# ---- learners (randomised training: rows only) --------------------------------------------------------
+# ---- learners (trained: rows only, beside what is determined) ------------------------------------------
 
 DAILY = ["quantity", "price", "tax", "items", "discount"]
-# Rounds of boosting; a forest has twice as many trees. Learners of daily rows need no more to be compared.
-FOLDS, SEED, TREES = (1996, 1997, 1998, 1999, 2000, 2001), 17, 10
+FOLDS, SEED = (1996, 1997, 1998, 1999, 2000, 2001), 17
+MONEY = ["long_gross", "long_cost", "short_gross", "short_cost"]
+
+
+def yesterday(t: Tables) -> DataFrame:
+    """Daily rows with yesterday's features; the first day has none."""
+    return L.lagged_features(daily(t), DAILY, "ts", 1).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tagged(t: Tables) -> DataFrame:
-    """Daily rows with yesterday's features, fold roles and the fit, stop and calibrate parts of training."""
+    """Yesterday's features with fold roles and the fit, stop and calibrate parts of training."""
     def build() -> DataFrame:
-        d = L.complete_cases(L.lagged_features(daily(t), DAILY, "ts", 1), DAILY).withColumn("ts", F.col("ts").cast("timestamp"))
-        rows = W.tag_folds(d, "ts", FOLDS[0], 30, 30)
+        rows = W.tag_folds(yesterday(t), "ts", FOLDS[0], 30, 30)
         train = W.temporal_parts(rows.where(F.col("role") == "TRAIN"), "ts", ["fold"])
         return train.unionByName(rows.where(F.col("role") == "TEST"), allowMissingColumns=True)
     return t.stored("ml_tagged", build)
 
 
-_MODELS: dict[tuple, list] = {}
+_BOOSTERS: dict[tuple, object] = {}
 
 
-def oof(t: Tables) -> DataFrame:
+def scored(t: Tables) -> DataFrame:
+    """Raw scores of all learners and folds on calibration and test rows; the trees are remembered by the session."""
     def build() -> DataFrame:
-        table, models = L.out_of_fold(tagged(t), DAILY, FOLDS, L.CLASSIFIERS, SEED, trees=TREES, keep=["ts", "long_gross", "long_cost", "short_gross", "short_cost"])
-        _MODELS[(t.spark.sparkContext.applicationId, t.dir)] = models
+        table, booster = L.boosted_scores(L.coded_parts(tagged(t), FOLDS, seed=SEED), DAILY, len(FOLDS), keep=["ts", *MONEY])
+        _BOOSTERS[(t.spark.sparkContext.applicationId, t.dir)] = booster
         return table
-    return t.stored("ml_oof", build)
+    return t.stored("ml_scored", build)
 
 
-def models(t: Tables) -> list:
-    oof(t)
-    return _MODELS[(t.spark.sparkContext.applicationId, t.dir)]
+def oof(t: Tables) -> DataFrame:
+    return t.stored("ml_oof", lambda: L.calibrated_tests(scored(t), len(FOLDS))[0].select("id", "label", "fold", "ts", *MONEY, "learner", "p"))
+
+
+def booster(t: Tables):
+    scored(t)
+    return _BOOSTERS[(t.spark.sparkContext.applicationId, t.dir)]
 
 
 @query("ml07_classifiers")
 def classifiers(t: Tables) -> DataFrame:
-    """Raw class scores of the three learners on the last test year, before calibration."""
-    ready = L.assemble(tagged(t), DAILY)
-    test = ready.where((F.col("fold") == FOLDS[-1]) & (F.col("role") == "TEST"))
-    parts = [L.scores(m, test, 3).select("id", "label", F.lit(n).alias("learner"), F.col("score").alias("p")) for f, n, m in models(t) if f == FOLDS[-1]]
-    table = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return L.classification_metrics(table, ["learner"])
+    """Raw class scores of the three learners on all test years, before calibration."""
+    test = scored(t).where(F.col("part_code") == L.PART_CODES["TEST"]).withColumn("p", F.col("score"))
+    return L.classification_metrics(test, ["learner"])
+
+
+@query("ml07_rounds")
+def rounds(t: Tables) -> DataFrame:
+    """Rounds that count per fold and learner, and the held-out loss at the start, after 10 and 60 rounds, at the best and at the last."""
+    b = booster(t)
+
+    def at(n: int, g: int, l: int) -> float | None:
+        return float(b.loss[n, g, l]) if n < len(b.loss) else None
+    rows = [(fold, name, int(b.used[g, l]), len(b.loss) - 1, at(0, g, l), at(10, g, l), at(60, g, l), at(int(b.used[g, l]), g, l), at(len(b.loss) - 1, g, l)) for g, fold in enumerate(FOLDS) for l, name in enumerate(boosting.LEARNERS)]
+    return t.spark.createDataFrame(rows, "fold int, learner string, rounds_used int, rounds_grown int, loss_0 double, loss_10 double, loss_60 double, loss_best double, loss_last double")
 
 
 TARGETS = ("long_gross", "short_gross", "long_cost", "short_cost")
@@ -201,20 +218,11 @@ TARGETS = ("long_gross", "short_gross", "long_cost", "short_cost")
 @query("ml08_regressors")
 def regressors(t: Tables) -> DataFrame:
     """Mean absolute error of the regressors and their mean, for four targets on each test year."""
-    ready = L.assemble(tagged(t).withColumn("held_out", F.coalesce(F.col("part") == "STOP", F.lit(False))), DAILY)
-
-    def fit(task: tuple[str, int, int, str]) -> DataFrame:
-        target, fold, i, name = task
-        here = ready.where(F.col("fold") == fold).withColumn("label", F.col(target))
-        train = here.where((F.col("role") == "TRAIN") & (F.col("part") != "CALIBRATE"))
-        model = L.regressor(name, SEED + i, TREES).fit(train if name == "boosted" else train.where(~F.col("held_out")))
-        return model.transform(here.where(F.col("role") == "TEST")).select("id", "fold", F.lit(target).alias("target"), F.lit(name).alias("learner"), "label", "prediction")
-
-    tables = L.side_by_side(fit, [(target, fold, i, name) for target in TARGETS for fold in FOLDS for i, name in enumerate(L.REGRESSORS)], ready)
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    out = materialize(out)
+    rows = materialize(L.imputed(L.coded_parts(tagged(t), FOLDS, seed=SEED), DAILY)[0])
+    trees = boosting.train(rows, DAILY, TARGETS, len(FOLDS), "targets", key="draw_key")
+    found = boosting.predict(rows.where(F.col("part_code") == L.PART_CODES["TEST"]), trees, DAILY, ["id", "fold", *TARGETS])
+    listed = F.array(*[F.struct(F.lit(name).alias("target"), F.col(name).cast("double").alias("label"), F.col("score")[i].alias("prediction")) for i, name in enumerate(TARGETS)])
+    out = materialize(found.select("id", "fold", "learner", F.inline(listed)))
     mean = out.groupBy("id", "fold", "target", "label").agg(F.avg("prediction").alias("prediction")).withColumn("learner", F.lit("ensemble"))
     return out.unionByName(mean).groupBy("fold", "target", "learner").agg(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"), F.count(F.lit(1)).alias("rows"))
 
@@ -227,10 +235,25 @@ def calibration(t: Tables) -> DataFrame:
     return L.classification_metrics(oof(t), ["learner"]).join(sums, "learner")
 
 
+# What training cannot change: which rows are predicted, how often, and from which history.
+DAYS_SQL = "SELECT l_shipdate::DATE AS day FROM lineitem GROUP BY 1"
+LEARNER_SQL = ", ".join(f"('{name}')" for name in boosting.LEARNERS)
+
+
+@query("ml09_out_of_fold", f"""WITH d AS ({DAYS_SQL}) SELECT year(day)::INT AS fold, learner, count(*) AS "rows", count(DISTINCT day) AS days, 0::BIGINT AS bad_sums, 0::BIGINT AS outside_year, 0::BIGINT AS repeated, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day
+ FROM d, (VALUES {LEARNER_SQL}) v(learner) WHERE year(day) IN {FOLDS} AND day::TIMESTAMP >= make_timestamp(year(day), 1, 1, 0, 0, 0) + INTERVAL 30 MINUTE GROUP BY ALL""")
+def out_of_fold(t: Tables) -> DataFrame:
+    """Every test day once per fold and learner, with probabilities that sum to one."""
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    per = oof(t).groupBy("fold", "learner", "id").agg(F.count(F.lit(1)).alias("n"), count_where((F.abs(total - 1) > 1e-6) | total.isNull()).alias("bad"))
+    return per.groupBy("fold", "learner").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("days"), F.sum("bad").alias("bad_sums"), count_where(F.substring("id", 1, 4) != F.col("fold").cast("string")).alias("outside_year"),
+                                              count_where(F.col("n") > 1).alias("repeated"), F.min("id").alias("first_day"), F.max("id").alias("last_day"))
+
+
 @query("ml10_walk_forward_ensemble")
 def walk_forward(t: Tables) -> DataFrame:
     """Out-of-fold ensemble per test year with disagreement and abstention economics."""
-    e = L.ensemble(oof(t), ["id", "label", "fold", "ts", "long_gross", "long_cost", "short_gross", "short_cost"])
+    e = L.ensemble(oof(t), ["id", "label", "fold", "ts", *MONEY])
     m = L.classification_metrics(e, ["fold"])
     econ = L.economic_summary(L.economic_decision(e, 0.45, 0.2), ["fold"], "ts")
     return m.join(econ, "fold")
@@ -238,55 +261,65 @@ def walk_forward(t: Tables) -> DataFrame:
 
 @query("ml14_importance_stability")
 def importance(t: Tables) -> DataFrame:
-    return L.rank_stability(L.importances(models(t), DAILY, t.spark))
+    return L.rank_stability(L.importances(booster(t), DAILY, FOLDS, t.spark))
 
 
 @query("ml16_adversarial_controls")
 def adversarial(t: Tables) -> DataFrame:
-    """How the ensemble scores where it should find nothing (dealt labels, stale features) and under other seeds."""
+    """How the ensemble scores where it should find nothing (dealt labels, stale features) and under other seeds; all controls train together."""
     base = tagged(t)
     segments = base.withColumn("_seg", F.coalesce("part", F.lit("TEST")))
     shuffled = L.permuted_labels(segments.where(F.col("role") == "TRAIN"), "label", "ts", ["fold", "_seg"], 10, SEED)
     permuted = shuffled.unionByName(segments.where(F.col("role") == "TEST"), allowMissingColumns=True)
-    lagged = L.complete_cases(L.lagged_features(base, DAILY, "ts", 7, ["fold"]), DAILY)
+    lagged = L.lagged_features(base, DAILY, "ts", 7, ["fold"])
     runs = [("permuted_blocks", permuted, 0), ("lagged_7", lagged, 0), ("seed_plus_101", base, 101), ("seed_plus_202", base, 202)]
-    out = None
-    for name, rows, shift in runs:
-        table, _ = L.out_of_fold(materialize(rows), DAILY, FOLDS, L.CLASSIFIERS, SEED + shift, trees=TREES)
-        e = L.ensemble(table, ["id", "label"]).withColumn("control", F.lit(name))
-        out = e if out is None else out.unionByName(e)
-    return L.classification_metrics(out, ["control"])
+    rows = None
+    for number, (_, table, shift) in enumerate(runs):
+        own = L.coded_parts(table, FOLDS, number, SEED + shift).select("id", "label", "fold", "ts", "group", "part_code", "draw_key", *DAILY, *MONEY)
+        rows = own if rows is None else rows.unionByName(own)
+    groups = len(runs) * len(FOLDS)
+    found, _ = L.calibrated_tests(materialize(L.boosted_scores(rows, DAILY, groups, keep=["ts", *MONEY])[0]), groups)
+    control = F.array(*[F.lit(name) for name, *_ in runs])[F.floor(F.col("group") / len(FOLDS)).cast("int")]
+    e = L.ensemble(found.withColumn("control", control), ["id", "label", "control", "ts", *MONEY])
+    econ = L.economic_summary(L.economic_decision(e, 0.45, 0.2), ["control"], "ts").select("control", "trades", "cumulative_net")
+    return L.classification_metrics(e, ["control"]).join(econ, "control")
 
 
 @query("ml17_barrier_probabilities")
 def barrier(t: Tables) -> DataFrame:
-    """Binary probabilities that the long and that the short side clears its cost, per learner and ensemble."""
-    out = None
-    for task in ("long", "short"):
-        rows = tagged(t).withColumn("label", (F.col(f"{task}_gross") > F.col(f"{task}_cost") + 0.015).cast("int"))
-        table, _ = L.out_of_fold(rows, DAILY, FOLDS, L.CLASSIFIERS, SEED, classes=2, trees=TREES)
-        table = materialize(table)
-        mean = L.ensemble(table, ["id", "label"], 2).select("id", "label", F.lit("ensemble").alias("learner"), "p")
-        both = table.select("id", "label", "learner", "p").unionByName(mean).withColumns({"probability": F.col("p")[1], "task": F.lit(task)})
-        out = both if out is None else out.unionByName(both)
-    return L.binary_report(out, ["task", "learner"], "probability", "label")
-
-
-@query("ml18_model_persistence")
+    """Binary probabilities that the long and that the short side clears its cost, per learner and ensemble; both tasks train together."""
+    tasks = ("long", "short")
+    rows = None
+    for number, task in enumerate(tasks):
+        own = L.coded_parts(tagged(t).withColumn("label", (F.col(f"{task}_gross") > F.col(f"{task}_cost") + 0.015).cast("int")), FOLDS, number, SEED)
+        rows = own if rows is None else rows.unionByName(own)
+    groups = len(tasks) * len(FOLDS)
+    found, _ = L.calibrated_tests(materialize(L.boosted_scores(rows, DAILY, groups, classes=2)[0]), groups, 2)
+    table = materialize(found.withColumn("task", F.array(*[F.lit(x) for x in tasks])[F.floor(F.col("group") / len(FOLDS)).cast("int")]).select("id", "label", "task", "learner", "p"))
+    mean = L.ensemble(table, ["id", "label", "task"], 2).select("id", "label", "task", F.lit("ensemble").alias("learner"), "p")
+    return L.binary_report(table.unionByName(mean).withColumn("probability", F.col("p")[1]), ["task", "learner"], "probability", "label")
+
+
+@query("ml18_model_persistence", f"""WITH d AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM ({DAYS_SQL})) SELECT learner, count(*) AS "rows", 0::BIGINT AS different, (SELECT max(least(1, floor(n * 0.7))) FROM d)::BIGINT AS has_fit, 5::BIGINT AS tables FROM d, (VALUES {LEARNER_SQL}) v(learner) GROUP BY learner""")
 def persistence(t: Tables) -> DataFrame:
-    """Saved and reloaded models give the same scores."""
-    chosen = [m for m in models(t) if m[0] == FOLDS[-1]]
+    """The recipe fitted once more on all history, saved as tables, read back: the same scores for every day."""
+    parts = W.temporal_parts(yesterday(t).withColumn("fold", F.lit(0)), "ts", ["fold"]).withColumn("role", F.lit("TRAIN"))
+    coded = L.coded_parts(parts, (0,), seed=SEED)
+    rows, medians = L.imputed(coded, DAILY)
+    rows = materialize(rows)
+    trees = boosting.train(rows, DAILY, ["label"], 1, "classes", 3, key="draw_key")
+    model = F.array_position(F.array(*[F.lit(name) for name in boosting.LEARNERS]), F.col("learner")) - 1
+    held = boosting.predict(rows.where(F.col("part_code") == L.PART_CODES["CALIBRATE"]), trees, DAILY, ["id", "label"]).withColumn("model", model.cast("int"))
+    calibrators = boosting.calibrators(held, len(boosting.LEARNERS), 3)
     root = f"{ensure_checkpoint_dir(t.spark)}/models-{uuid.uuid4().hex}"
-    paths = L.save_models(chosen, root)
-    test = L.assemble(tagged(t), DAILY).where((F.col("fold") == FOLDS[-1]) & (F.col("role") == "TEST"))
-    out = None
-    for (_, name, model), path in zip(chosen, paths):
-        again = L.load_model(path).stages[0]
-        a = L.scores(model, test, 3).select("id", F.col("score").alias("_a"))
-        b = L.scores(again, test, 3).select("id", F.col("score").alias("_b"))
-        part = a.join(b, "id").select(F.lit(name).alias("learner"), (F.col("_a") == F.col("_b")).alias("same"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("learner").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("same")).alias("different"))
+    sizes = {row["part_code"]: row["count"] for row in rows.groupBy("part_code").count().collect()}
+    L.save_model(t.spark, root, trees, medians, calibrators, {"features": DAILY, "rows": {name: sizes.get(code, 0) for name, code in L.PART_CODES.items()}, "seed": SEED})
+    again = L.load_model(t.spark, root)
+    a = boosting.predict(rows, trees, DAILY, ["id"]).select("id", "learner", F.col("score").alias("_a"))
+    b = boosting.predict(rows, again, DAILY, ["id"]).select("id", "learner", F.col("score").alias("_b"))
+    tables = sum(bool(t.spark.read.parquet(f"{root}/{name}").columns) for name in ("trees", "bins", "medians", "calibrators", "manifest"))
+    return a.join(b, ["id", "learner"]).groupBy("learner").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_a") != F.col("_b")).alias("different"),
+                                                              F.lit(int(min(1, sizes.get(boosting.FIT, 0)))).cast("bigint").alias("has_fit"), F.lit(tables).cast("bigint").alias("tables"))
 
 
 @query("snk04_prediction_export")

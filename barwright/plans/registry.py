@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from barwright.session import prepare
 
-MODULES = ("quality", "diagnostics", "features", "store", "evidence", "stability", "campaigns", "learning", "knowledge", "custody")
+MODULES = ("quality", "diagnostics", "features", "store", "evidence", "stability", "verdicts", "campaigns", "opportunities", "learning", "knowledge", "custody")
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from barwright.functions.numeric import rounded
 from barwright.operators import conditions as C, effects as E, resampling as R, stability as S
 from barwright.plans.bindings import QUARTER, Tables, rounded_all
-from barwright.plans.evidence import (BY, CATALOGUE, WINDOW_FLIPS, HIGH_VOL, MAIN, MEANS_SQL, PLACED, QSQL, TARGET, flips_sql, condition_sql, effect_sample,
+from barwright.plans.evidence import (BY, WINDOW_FLIPS, HIGH_VOL, MAIN, MEANS_SQL, PLACED, QSQL, TARGET, flips_sql, condition_sql, effect_sample,
                                       evidence_sql, stacked, states)
 from barwright.plans.features import ESQL, experiences
 from barwright.plans.oracle import r
@@ -172,7 +172,7 @@ def trades(t: Tables) -> DataFrame:
 
 def attack_sql(by: str, net: str = "net", trim: str = "net", source: str = "e") -> str:
     return f""", qs AS (SELECT {by}, quantile_cont({net}, 0.01) AS q01, quantile_cont({net}, 0.99) AS q99, quantile_cont({trim}, 0.95) AS q95 FROM {source} GROUP BY {by}),
-ss AS (SELECT {by}, session_id, avg({net}) AS m, row_number() OVER (PARTITION BY {by} ORDER BY avg({net}) DESC NULLS LAST, session_id) AS best, row_number() OVER (PARTITION BY {by} ORDER BY abs(avg({net})) DESC NULLS LAST, session_id) AS large FROM {source} GROUP BY {by}, session_id),
+ss AS (SELECT {by}, session_id, avg({net}) AS m, row_number() OVER (PARTITION BY {by} ORDER BY round(avg({net}), 12) DESC NULLS LAST, session_id) AS best, row_number() OVER (PARTITION BY {by} ORDER BY abs(round(avg({net}), 12)) DESC NULLS LAST, session_id) AS large FROM {source} GROUP BY {by}, session_id),
 conc AS (SELECT {by}, sum(CASE WHEN large <= 10 THEN abs(m) END) / greatest(sum(abs(m)), 1e-15) AS temporal_concentration FROM ss GROUP BY {by}),
 att AS (SELECT {by}, avg({net}) AS mean, avg(CASE WHEN {trim} < q95 THEN {net} END) AS remove_best_5pct, avg(CASE WHEN best > 10 THEN {net} END) AS remove_best_sessions, avg(CASE WHEN {net} IS NOT NULL THEN least(greatest({net}, q01), q99) END) AS winsorised,
   count(*) FILTER (best <= 10) / count(*) AS sample_concentration FROM {source} JOIN qs USING ({by}) JOIN ss USING ({by}, session_id) GROUP BY {by})"""
@@ -270,23 +270,6 @@ def replication(t: Tables) -> DataFrame:
                     rounded(F.try_divide("validation_effect", "dev_effect"), 4).alias("replication_ratio"))
 
 
-# Result tables for the verdict expressions: one row per customer, built from orders.
-RESULTS_SQL = """WITH q AS (SELECT o_custkey AS hypothesis, avg(o_totalprice) / 1e6 - 0.15 AS effect, count(*)::DOUBLE * 10 AS sessions, (min(o_totalprice) / 1e6 + 0.5)::DOUBLE AS temporal_favourable, least(1.0, 0.5 + count(*) / 20.0)::DOUBLE AS bootstrap_favourable,
- 0.75::DOUBLE AS cost_favourable, least(1.0, min(o_totalprice) / 1e6)::DOUBLE AS adjusted_p, true AS quality_ok, least(1.0, count(*) / 10.0)::DOUBLE AS parameter_favourable, count(*) % 3 > 0 AS controls_passed, count(*) >= 3 AS support_passed, CASE WHEN count(*) % 4 = 0 THEN 0.7 ELSE 0.8 END::DOUBLE AS skeptic_survival,
- count(*) * 600 AS condition_rows, count(*) * 25 AS condition_sessions, count(DISTINCT year(o_orderdate)) AS condition_years, max(o_totalprice) / 1e6 - 0.4 AS net_return FROM orders GROUP BY o_custkey)"""
-
-
-def results(t: Tables) -> DataFrame:
-    n = F.count(F.lit(1))
-    price = F.col("o_totalprice")
-    return t.read("orders").groupBy(F.col("o_custkey").alias("hypothesis")).agg(
-        (F.avg(price) / 1e6 - 0.15).alias("effect"), (n.cast("double") * 10).alias("sessions"), (F.min(price) / 1e6 + 0.5).alias("temporal_favourable"),
-        F.least(F.lit(1.0), 0.5 + n / 20.0).alias("bootstrap_favourable"), F.lit(0.75).alias("cost_favourable"), F.least(F.lit(1.0), F.min(price) / 1e6).alias("adjusted_p"),
-        F.lit(True).alias("quality_ok"), F.least(F.lit(1.0), n / 10.0).alias("parameter_favourable"), (F.pmod(n, F.lit(3)) > 0).alias("controls_passed"), (n >= 3).alias("support_passed"),
-        F.when(F.pmod(n, F.lit(4)) == 0, 0.7).otherwise(0.8).alias("skeptic_survival"), (n * 600).alias("condition_rows"), (n * 25).alias("condition_sessions"), F.count_distinct(F.year("o_orderdate")).alias("condition_years"),
-        (F.max(price) / 1e6 - 0.4).alias("net_return"))
-
-
 def reasons_sql(checks: list[tuple[str, str]]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in checks) + "], lambda x: x IS NOT NULL)"
 
@@ -295,20 +278,5 @@ REASONS = reasons_sql([("effect_direction_failed", "effect > 0"), ("economic_mat
                        ("parameter_stability_failed", "parameter_favourable >= 0.6"), ("negative_control_failed", "controls_passed"), ("minimum_support_failed", "support_passed")])
 
 
-@query("t17_evidence_score", RESULTS_SQL + f""" SELECT hypothesis, {r('0.1 * least(1.0, abs(effect) / 0.01) + 0.15 * bootstrap_favourable + 0.15 * temporal_favourable + 0.1 * cost_favourable + 0.15 * (1 - adjusted_p) + 0.05 * least(1.0, sessions / 200) + 0.1 + 0.1 * parameter_favourable + 0.1 * controls_passed::INT')} AS score,
- array_to_string({REASONS}, ',') AS rejection_reasons, CASE WHEN len({REASONS}) = 0 AND bootstrap_favourable >= 0.9 AND skeptic_survival >= 0.65 AND sessions >= 50 THEN 'DEV_SURVIVOR' ELSE 'REJECTED' END AS verdict FROM q""")
-def evidence_score(t: Tables) -> DataFrame:
-    out = S.evidence_score(results(t), 0.01)
-    return out.select("hypothesis", rounded("score").alias("score"), F.concat_ws(",", "rejection_reasons").alias("rejection_reasons"), "verdict")
-
-
 GATES = reasons_sql([("same_direction", "effect > 0"), ("ci95_directional", "ci95_low > 0"), ("holm", "holm_p <= 0.05"), ("bootstrap_favourable", "favourable >= 0.90"), ("sign_stability", "sign_stability >= 0.90"),
                      ("support", "condition_rows >= 5000 AND condition_sessions >= 200 AND condition_years >= 3"), ("temporal", "temporal_favourable >= 0.6"), ("not_year_concentrated", "year_concentration <= 0.6"), ("skeptic", "skeptic_survival >= 0.75"), ("slow_structure", "slow_passed")])
-
-
-@query("t18_confirmation_verdict", RESULTS_SQL + f""", g AS (SELECT *, effect - 0.01 AS ci95_low, adjusted_p AS holm_p, bootstrap_favourable AS favourable, bootstrap_favourable AS sign_stability, 0.5 AS year_concentration, controls_passed AS slow_passed FROM q)
- SELECT hypothesis, array_to_string({GATES}, ',') AS failed_checks, CASE WHEN len({GATES}) > 0 THEN 'VALIDATION_FAILED' WHEN net_return > 0 THEN 'VALIDATED_ECONOMIC_CANDIDATE' ELSE 'VALIDATED_PREDICTIVE_RELATIONSHIP_NO_TRADE' END AS verdict FROM g""")
-def confirmation(t: Tables) -> DataFrame:
-    rows = results(t).withColumns({"ci95_low": F.col("effect") - 0.01, "holm_p": F.col("adjusted_p"), "favourable": F.col("bootstrap_favourable"), "sign_stability": F.col("bootstrap_favourable"),
-                                   "year_concentration": F.lit(0.5), "slow_passed": F.col("controls_passed")})
-    return S.confirmation_verdict(rows).select("hypothesis", F.concat_ws(",", "failed_checks").alias("failed_checks"), "verdict")
