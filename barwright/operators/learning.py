@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.hashing import uniform
-from barwright.functions.numeric import count_where, ratio
+from barwright.functions.numeric import count_where, failed_names, ratio
 from barwright.operators import boosting
 from barwright.operators.conditions import learn_thresholds, threshold_name
 from barwright.operators.quantiles import attach
@@ -249,6 +249,19 @@ def binary_report(df: DataFrame, by: Sequence[str], probability: str, label: str
                                F.avg(y).alias("observed_rate"), F.avg(probability).alias("mean_probability"))
 
 
+# Tests of the trained output and their limits: fixed values.
+LEAST_YEARS_SHARE, LEAST_GAIN, MOST_ECE = 0.75, 0.02, 0.10
+
+
+def skeptic_tests(facts: DataFrame, maximum_spread: float) -> DataFrame:
+    """Names of the tests that fail, from per-scope facts: ci_low of the mean traded return, positive_share of the periods, cost_2x_mean,
+    after_best_removed, balanced_accuracy beside shifted_accuracy, ece, mean_spread, and block_low, the low end of the block bootstrap of all days."""
+    checks = [("bootstrap_ci_lower_positive", F.col("ci_low") > 0), ("positive_in_at_least_75pct_periods", F.col("positive_share") >= LEAST_YEARS_SHARE), ("survives_cost_2x", F.col("cost_2x_mean") > 0),
+              ("survives_remove_best_5pct", F.col("after_best_removed") > 0), ("beats_label_shift", F.col("balanced_accuracy") > F.col("shifted_accuracy") + LEAST_GAIN), ("calibration_ece", F.col("ece") <= MOST_ECE),
+              ("mean_spread", F.col("mean_spread") <= maximum_spread), ("block_bootstrap_positive", F.col("block_low") > 0)]
+    return facts.withColumn("failed_tests", failed_names(checks)).withColumn("skeptic_survived", F.size("failed_tests") == 0)
+
+
 def promotion_verdict(df: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
     """REJECTED unless predictive and economic gates hold; RESEARCH_ONLY unless the skeptic and real costs agree."""
     predictive = (F.col("balanced_accuracy") >= thresholds["balanced_accuracy"]) & (F.col("log_loss") < F.col("baseline_log_loss"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barwright.functions.hashing import draw_index, hashed_int, uniform
+from barwright.operators.sequence import salted_join
+from barwright.session import materialize
 
 
 def positions(effects: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -112,59 +114,66 @@ def sign_flip_test(placed: DataFrame, by: Sequence[str], count: int, seed: Colum
     return _tail(null, observed, by, direction, count)
 
 
-# Bits of one hash, resamples of one product, groups that a task holds at once.
-BITS, SLICE, HELD = 128, 1024, 64
+# Bits of one hash, rows added up together, groups that a task holds at once.
+BITS, SLICE, HELD = 128, 512, 32
 
 
 def sign_flip_rows(rows: DataFrame, by: Sequence[str], count: int, seed: str, direction: str = "GREATER") -> DataFrame:
-    """`sign_flip_test` for row tables: all coins of a batch of rows are one matrix, and one product adds up all resamples.
+    """`sign_flip_test` for row tables: every bit of md5(seed:block:pos) is the coin of one resample, so a row takes count / 128 hashes.
 
-    Every bit of md5(seed:block:pos) is the coin of one resample, so a row takes count / 128 hashes. Tasks hand on sums per group and
-    resample, never rows. `pos` and `effect` must not be missing; groups may be many, a task holds a bounded number of sums.
+    A task adds the effects up per byte of the hashes and value of that byte; one product with the bits of all byte values then gives the sums
+    of all resamples. Tasks hand on sums per group and resample, never rows. `pos` and `effect` must not be missing; groups may be many, a task
+    holds a bounded number of sums.
     """
     blocks = -(-count // BITS)
     kinds = ", ".join(f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in by)
+    start_of = seed.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = [hashlib.md5(b"%s:%d:" % (start_of, block)) for block in range(blocks)]
+        bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
+        place = np.arange(blocks * BITS // 8) * 256
         held: dict[tuple, list] = {}
+        types: list[pa.DataType] = []
+
+        def digest(pos: int) -> bytes:
+            out, text = [], b"%d" % pos
+            for state in begun:
+                own = state.copy()
+                own.update(text)
+                out.append(own.digest())
+            return b"".join(out)
 
         def told() -> pa.RecordBatch:
-            keys = list(zip(*held)) if by else []
-            arrays = [pa.array(column, type=types[i]) for i, column in enumerate(keys)]
-            values = list(held.values())
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.float64()), pa.array([v[2] for v in values], pa.list_(pa.float64()))], names=[*by, "_n", "_total", "_tails"])
+            arrays = [pa.array(column, type=types[i]) for i, column in enumerate(zip(*held))] if by else []
+            # Bit i of a word of 32 bits, the word read as a number, is the coin of resample i.
+            tails = [(sums.reshape(-1, 256) @ bits).reshape(-1, 32)[:, ::-1].ravel()[:count] for _, _, sums in held.values()]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.float64()), pa.array(tails, pa.list_(pa.float64()))], names=[*by, "_n", "_total", "_tails"])
 
-        types: list[pa.DataType] = []
         for batch in batches:
             types = types or [column.type for column in batch.columns[:len(by)]]
-            keys = list(zip(*(column.to_pylist() for column in batch.columns[:len(by)])))
-            codes = {key: i for i, key in enumerate(dict.fromkeys(keys))}
-            code = np.fromiter(map(codes.__getitem__, keys), np.int64, len(keys))
-            pos, effect = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_numpy().astype(np.float64)
-            for start in range(0, len(pos), SLICE):
-                some = slice(start, start + SLICE)
-                digests = b"".join(hashlib.md5(b"%s:%d:%d" % (name, block, at)).digest() for at in pos[some] for block in range(blocks))
-                # Bit i of a word of 32 bits, the word read as a number, is the coin of resample i.
-                coins = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 32)[:, ::-1].reshape(len(pos[some]), blocks * BITS)[:, :count]
-                for own in np.unique(code[some]).tolist():
-                    use = code[some] == own
-                    part = effect[some][use]
-                    sums = part @ coins[use].astype(np.float64)
-                    key = keys[start + int(np.flatnonzero(use)[0])]
-                    if key in held:
-                        held[key][0] += len(part)
-                        held[key][1] += float(part.sum())
-                        held[key][2] += sums
-                    else:
-                        held[key] = [len(part), float(part.sum()), sums]
-            if len(held) > HELD:
-                yield told()
-                held = {}
+            keys = list(zip(*(column.to_pylist() for column in batch.columns[:len(by)]))) if by else [()] * batch.num_rows
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                groups.setdefault(key, []).append(i)
+            pos, effect = batch.column(len(by)).to_numpy(), batch.column(len(by) + 1).to_numpy().astype(np.float64)
+            for key, own in groups.items():
+                if key not in held and len(held) >= HELD:
+                    yield told()
+                    held.clear()
+                sums = held.setdefault(key, [0, 0.0, np.zeros(len(place) * 256)])
+                for start in range(0, len(own), SLICE):
+                    some = own[start:start + SLICE]
+                    drawn = np.frombuffer(b"".join(map(digest, pos[some].tolist())), np.uint8).reshape(len(some), -1)
+                    sums[2] += np.bincount((drawn + place).ravel(), np.repeat(effect[some], len(place)), len(place) * 256)
+                    sums[0] += len(some)
+                    sums[1] += float(effect[some].sum())
         if held:
             yield told()
 
-    name = seed.encode()
-    parts = rows.select(*by, F.col("pos").cast("bigint"), F.col("effect").cast("double")).mapInArrow(run, f"{kinds}, _n bigint, _total double, _tails array<double>")
+    parts = rows.select(*by, F.col("pos").cast("bigint"), F.col("effect").cast("double")).mapInArrow(run, f"{kinds}{', ' if by else ''}_n bigint, _total double, _tails array<double>")
+    # One row per task and group, written down so that rows are hashed once.
+    parts = materialize(parts)
     whole = parts.groupBy(*by).agg(F.sum("_n").alias("_n"), F.sum("_total").alias("_total"))
     tails = parts.select(*by, F.posexplode("_tails").alias("resample", "_tail")).groupBy(*by, "resample").agg(F.sum("_tail").alias("_tail"))
     null = tails.join(whole, list(by)).select(*by, "resample", ((F.col("_total") - 2 * F.col("_tail")) / F.col("_n")).alias("mean"))
@@ -187,8 +196,52 @@ def label_permutation_test(placed: DataFrame, by: Sequence[str], count: int, see
 
 # ---- multiple testing ------------------------------------------------------------------------------
 
+# Cells of a p-value: linear above, logarithmic below.
+CELLS, CELLS_PER_HALVING = 4096, 16
+
+
+def adjusted_scan(tests: DataFrame, p: str, family: Sequence[str], order: str, method: str, name: str) -> DataFrame:
+    """Step-up ("BH") or step-down ("HOLM") adjusted p-values of families of any size, without a window over a family.
+
+    Equal p-values get equal adjusted ones, so counts per distinct p-value suffice. They are cut into cells of p: a running count and a running
+    minimum (maximum) inside the cell, and one row per cell that carries the counts of the cells before and the extreme of the cells beyond.
+    Of a family only its cells, some twenty thousand at most, meet in one task. A missing p-value has no adjusted one.
+    """
+    keys = list(family)
+    value = F.col(p)
+    cell = F.when(value >= 1 / CELLS, F.floor(value * CELLS)).when(value > 0, F.floor(F.log2(value) * CELLS_PER_HALVING)).otherwise(F.lit(-100_000)).cast("bigint")
+    distinct = materialize(tests.where(value.isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k")).withColumnRenamed("_p", p).withColumn("_c", cell))
+    cells = distinct.groupBy(*keys, "_c").agg(F.sum("_k").alias("_in"))
+    whole = Window.partitionBy(*keys)
+    cells = cells.withColumn("_before", F.sum("_in").over(whole.orderBy("_c")) - F.col("_in")).withColumn("_n", F.sum("_in").over(whole))
+    inside = Window.partitionBy(*keys, "_c").orderBy(p)
+    ranked = distinct.join(cells.select(*keys, "_c", "_before", "_n"), [*keys, "_c"]).withColumn("_last", F.col("_before") + F.sum("_k").over(inside))
+    if method == "BH":
+        # The last of equal p-values has the least ratio.
+        ranked = ranked.withColumn("_v", value * F.col("_n") / F.col("_last"))
+        local = F.min("_v").over(Window.partitionBy(*keys, "_c").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+        extreme, beyond = F.min("_v"), F.min("_x").over(Window.partitionBy(*keys).orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1))
+        both = F.least
+    else:
+        # The first of equal p-values has the largest product.
+        ranked = ranked.withColumn("_v", value * (F.col("_n") - (F.col("_last") - F.col("_k"))))
+        local = F.max("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        extreme, beyond = F.max("_v"), F.max("_x").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+        both = F.greatest
+    ranked = materialize(ranked.withColumn("_local", local))
+    carry = ranked.groupBy(*keys, "_c").agg(extreme.alias("_x")).withColumn("_beyond", beyond).select(*keys, "_c", "_beyond")
+    table = ranked.join(carry, [*keys, "_c"]).select(*keys, p, F.least(F.lit(1.0), both(F.col("_local"), F.col("_beyond"))).alias(name))
+    return salted_join(tests, table, [*keys, p], order)
+
+
+def planned_scan(tests: DataFrame, p: str, planned: str, family: Sequence[str], order: str) -> DataFrame:
+    """`planned_penalty` for families of any size."""
+    within = tests.withColumn("within_p", F.least(F.lit(1.0), F.col(p) * F.col(planned)))
+    return adjusted_scan(within, "within_p", family, order, "BH", "adjusted_p")
+
+
 def benjamini_hochberg(tests: DataFrame, p: str, family: Sequence[str], order: str, name: str = "q_value") -> DataFrame:
-    """Step-up adjusted p-values within a family of hypotheses (one row per hypothesis)."""
+    """Step-up adjusted p-values within a registered family (one row per hypothesis of a fixed list); `adjusted_scan` takes any size."""
     up = Window.partitionBy(*family).orderBy(p, order)
     ranked = tests.withColumn("_r", F.row_number().over(up)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*family)))
     down = Window.partitionBy(*family).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)

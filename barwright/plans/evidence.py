@@ -402,16 +402,16 @@ def tests(t: Tables) -> DataFrame:
 
 @query("m01_benjamini_hochberg", TESTS_SQL + f" SELECT l_suppkey, family, {oracle.r('least(1.0, min(p * n / r) OVER (PARTITION BY family ORDER BY r DESC))')} AS q_value FROM ranked")
 def bh(t: Tables) -> DataFrame:
-    return R.benjamini_hochberg(tests(t), "p", ["family"], "l_suppkey").select("l_suppkey", "family", rounded("q_value").alias("q_value"))
+    return R.adjusted_scan(tests(t), "p", ["family"], "l_suppkey", "BH", "q_value").select("l_suppkey", "family", rounded("q_value").alias("q_value"))
 
 
 @query("m02_holm", TESTS_SQL + f" SELECT l_suppkey, family, {oracle.r('least(1.0, max(p * (n - r + 1)) OVER (PARTITION BY family ORDER BY r))')} AS holm_p FROM ranked")
 def holm(t: Tables) -> DataFrame:
-    return R.holm(tests(t), "p", ["family"], "l_suppkey").select("l_suppkey", "family", rounded("holm_p").alias("holm_p"))
+    return R.adjusted_scan(tests(t), "p", ["family"], "l_suppkey", "HOLM", "holm_p").select("l_suppkey", "family", rounded("holm_p").alias("holm_p"))
 
 
 @query("m03_planned_penalty", TESTS_SQL + f""", w AS (SELECT *, least(1.0, p * planned) AS wp FROM tests), x AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY wp, l_suppkey) AS r2, count(*) OVER (PARTITION BY family) AS n2 FROM w)
  SELECT l_suppkey, family, {oracle.r('wp')} AS within_p, {oracle.r('least(1.0, min(wp * n2 / r2) OVER (PARTITION BY family ORDER BY r2 DESC))')} AS adjusted_p FROM x""")
 def planned(t: Tables) -> DataFrame:
-    out = R.planned_penalty(tests(t), "p", "planned", ["family"], "l_suppkey")
+    out = R.planned_scan(tests(t), "p", "planned", ["family"], "l_suppkey")
     return out.select("l_suppkey", "family", rounded("within_p").alias("within_p"), rounded("adjusted_p").alias("adjusted_p"))

@@ -15,6 +15,7 @@ from barwright.plans.evidence import u_sql
 from barwright.plans.features import ESQL, experiences
 from barwright.plans.oracle import r
 from barwright.plans.registry import query
+from barwright.plans.stability import reasons_sql
 from barwright.session import ensure_checkpoint_dir, materialize
 
 MINUTE, H, ATR = 30, 5, 0.2
@@ -142,14 +143,63 @@ def ml_skeptic(t: Tables) -> DataFrame:
     return accuracy.join(double, by).join(best, by).join(boot, by).drop("scope")
 
 
-@query("ml19_promotion_verdict", PRED + METRICS_SQL + ECON_SQL.format(m=1) + """, y AS (SELECT year, coalesce(avg(CASE WHEN trade THEN net END), 0) AS mean_net, count(*) FILTER (trade) AS trades FROM dc GROUP BY year)
- SELECT year, CASE WHEN NOT (balanced_accuracy >= 0.34 AND log_loss < 1.5 AND mean_net > 0 AND trades >= 10) THEN 'REJECTED' WHEN NOT (year % 2 = 0 AND year % 3 = 0) THEN 'RESEARCH_ONLY' ELSE 'VALIDATION_READY' END AS verdict FROM mt JOIN y USING (year)""")
+FACTS_SQL = METRICS_SQL + ECON_SQL.format(m=1) + ECON_SQL.format(m=2).replace("dc AS", "dc2 AS") + f""", sh AS (SELECT year, pred, lag(label, 7) OVER (PARTITION BY year ORDER BY ts) AS label FROM sc),
+ sa AS (SELECT year, list_avg(list_filter([avg(CASE WHEN label = 0 THEN (pred = 0)::INT END), avg(CASE WHEN label = 1 THEN (pred = 1)::INT END), avg(CASE WHEN label = 2 THEN (pred = 2)::INT END)], lambda x: x IS NOT NULL)) AS shifted_accuracy FROM sh WHERE label IS NOT NULL GROUP BY year),
+ tr AS (SELECT year, net, row_number() OVER (PARTITION BY year ORDER BY net DESC, id) AS k, count(*) OVER (PARTITION BY year) AS n FROM dc WHERE trade), ab AS (SELECT year, avg(CASE WHEN k > greatest(1, ceil(n * 0.05)) THEN net END) AS after_best_removed FROM tr GROUP BY year),
+ c2 AS (SELECT year, avg(net) AS cost_2x_mean FROM dc2 WHERE trade GROUP BY year), mo AS (SELECT year, avg((x > 0)::INT) AS positive_share FROM (SELECT year, month(ts) AS m, sum(net) AS x FROM dc GROUP BY ALL) GROUP BY year),
+ y AS (SELECT year, coalesce(avg(CASE WHEN trade THEN net END), 0) AS mean_net, count(*) FILTER (trade) AS trades FROM dc GROUP BY year),
+ pl AS (SELECT year, net, row_number() OVER (PARTITION BY year ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY year) AS n FROM dc WHERE trade), reps AS (SELECT unnest(range(1000)) AS r),
+ bs AS (SELECT year, r, avg(pl.net) AS m FROM (SELECT year, r, floor({u_sql("'K'", 'r', 'pos')} * n)::BIGINT AS draw FROM pl, reps) d JOIN pl USING (year) WHERE pl.pos = d.draw GROUP BY ALL), cl AS (SELECT year, quantile_cont(m, 0.025) AS ci_low FROM bs GROUP BY year),
+ pa AS (SELECT year, net, row_number() OVER (PARTITION BY year ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY year) AS n FROM dc),
+ bb AS (SELECT year, r, avg(pa.net) AS m FROM (SELECT year, r, floor({u_sql("'L'", 'r', '(pos // 20)')} * (n - 20 + 1))::BIGINT + pos % 20 AS draw FROM pa, reps WHERE n >= 100) d JOIN pa USING (year) WHERE pa.pos = d.draw GROUP BY ALL), bl AS (SELECT year, quantile_cont(m, 0.025) AS block_low FROM bb GROUP BY year),
+ cf AS (SELECT avg((label = 0)::INT) AS q0, avg((label = 1)::INT) AS q1, avg((label = 2)::INT) AS q2 FROM d WHERE ts < TIMESTAMP '1996-01-01'), ba AS (SELECT year(ts)::INT AS year, avg(-ln(CASE label WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END)) AS baseline_log_loss FROM d, cf GROUP BY 1),
+ rc AS (SELECT year(l_shipdate)::INT AS year, bool_and(l_linestatus = 'F') AS real_costs FROM lineitem GROUP BY 1),
+ fa AS (SELECT * FROM mt JOIN ec USING (year) JOIN y USING (year) JOIN sa USING (year) JOIN ba USING (year) JOIN rc USING (year) JOIN mo USING (year) LEFT JOIN ab USING (year) LEFT JOIN c2 USING (year) LEFT JOIN cl USING (year) LEFT JOIN bl USING (year)),
+ te AS (SELECT *, {reasons_sql([("bootstrap_ci_lower_positive", "ci_low > 0"), ("positive_in_at_least_75pct_periods", "positive_share >= 0.75"), ("survives_cost_2x", "cost_2x_mean > 0"), ("survives_remove_best_5pct", "after_best_removed > 0"),
+                                ("beats_label_shift", "balanced_accuracy > shifted_accuracy + 0.02"), ("calibration_ece", "ece <= 0.10"), ("mean_spread", "true"), ("block_bootstrap_positive", "block_low > 0")])} AS failed FROM fa)"""
+FACTS = ["balanced_accuracy", "log_loss", "baseline_log_loss", "ece", "mean_net", "ci_low", "block_low", "positive_share", "cost_2x_mean", "after_best_removed", "shifted_accuracy"]
+
+
+def judged_years(t: Tables, p: DataFrame) -> DataFrame:
+    """Everything the verdict of a year reads, computed from its predictions: metrics, economics, the skeptic's tests, climatology, kinds of cost."""
+    by = ["year"]
+    p = materialize(p)
+    one, two = (materialize(L.economic_decision(p, 0.45, 0.2, m)) for m in (1.0, 2.0))
+    shifted = p.withColumn("label", F.lag("label", 7).over(Window.partitionBy("year").orderBy("ts"))).where("label IS NOT NULL")
+    accuracy = L.classification_metrics(shifted, by).select("year", F.col("balanced_accuracy").alias("shifted_accuracy"))
+    double = two.where("trade").groupBy(*by).agg(F.avg("net").alias("cost_2x_mean"))
+    traded = one.where("trade").select("year", "id", F.col("net").alias("effect"))
+    ranked = traded.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("effect"), "id"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    best = ranked.groupBy(*by).agg(F.avg(F.when(F.col("_k") > F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.05)), F.col("effect"))).alias("after_best_removed"))
+    low = R.session_bootstrap(R.positions(traded, by, ["id"]), by, 1000, F.lit("K")).groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"))
+    days = R.positions(one.select("year", "id", F.col("net").alias("effect")), by, ["id"]).where("n >= 100")
+    block = R.block_bootstrap(days, by, 1000, F.lit("L"), F.lit(20)).groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("block_low"))
+    months = one.groupBy(*by, F.month("ts")).agg(F.sum("net").alias("_x")).groupBy(*by).agg(F.avg((F.col("_x") > 0).cast("double")).alias("positive_share"))
+    spread = one.groupBy(*by).agg(F.avg(F.aggregate("spread", F.lit(0.0), lambda a, x: a + x) / F.size("spread")).alias("mean_spread"))
+    known = daily(t)
+    base = attach(known, L.class_frequencies(known.where(F.col("ts") < F.lit("1996-01-01").cast("timestamp_ntz")))).withColumn("year", F.year("ts"))
+    baseline = L.classification_metrics(base, by).select("year", F.col("log_loss").alias("baseline_log_loss"))
+    costs = t.read("lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.bool_and(F.col("l_linestatus") == "F").alias("real_costs"))
+    out = L.classification_metrics(p, by).join(L.economic_summary(one, by, "ts").select("year", "mean_net", "trades"), by)
+    for part in (accuracy, baseline, costs, months, spread):
+        out = out.join(part, by)
+    for part in (best, double, low, block):
+        out = out.join(part, by, "left")
+    return L.promotion_verdict(L.skeptic_tests(out, 0.2), {"balanced_accuracy": 0.34, "trades": 10})
+
+
+@query("ml19_promotion_verdict", PRED + FACTS_SQL + f""" SELECT year, trades, real_costs, {', '.join(f'{r(c)} AS {c}' for c in FACTS)}, array_to_string(failed, ',') AS failed_tests,
+ CASE WHEN NOT (balanced_accuracy >= 0.34 AND log_loss < baseline_log_loss AND mean_net > 0 AND trades >= 10) THEN 'REJECTED' WHEN len(failed) > 0 OR NOT real_costs THEN 'RESEARCH_ONLY' ELSE 'VALIDATION_READY' END AS verdict FROM te""")
 def promotion(t: Tables) -> DataFrame:
-    p = predictions(t)
-    m = L.classification_metrics(p, ["year"])
-    e = L.economic_summary(L.economic_decision(p, 0.45, 0.2), ["year"], "ts")
-    rows = m.join(e, "year").withColumns({"baseline_log_loss": F.lit(1.5), "skeptic_survived": F.col("year") % 2 == 0, "real_costs": F.col("year") % 3 == 0})
-    return L.promotion_verdict(rows, {"balanced_accuracy": 0.34, "trades": 10}).select("year", "verdict")
+    """The verdict of every year on hashed scores; all gates are computed."""
+    return judged_years(t, predictions(t)).select("year", "trades", "real_costs", *[rounded(c).alias(c) for c in FACTS], F.concat_ws(",", "failed_tests").alias("failed_tests"), "verdict")
+
+
+@query("ml19_trained_verdict")
+def trained_promotion(t: Tables) -> DataFrame:
+    """The same verdict on the out-of-fold ensemble of the trained models."""
+    e = L.ensemble(oof(t), ["id", "label", "fold", "ts", *MONEY]).withColumn("year", F.col("fold"))
+    return judged_years(t, e).select("year", "trades", "real_costs", *FACTS, F.concat_ws(",", "failed_tests").alias("failed_tests"), "verdict")
 
 
 # ---- learners (trained: rows only, beside what is determined) ------------------------------------------

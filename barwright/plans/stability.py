@@ -272,11 +272,3 @@ def replication(t: Tables) -> DataFrame:
 
 def reasons_sql(checks: list[tuple[str, str]]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in checks) + "], lambda x: x IS NOT NULL)"
-
-
-REASONS = reasons_sql([("effect_direction_failed", "effect > 0"), ("economic_materiality_failed", "abs(effect) >= 0.01"), ("multiple_testing_failed", "adjusted_p <= 0.05"), ("temporal_stability_failed", "temporal_favourable >= 0.6"),
-                       ("parameter_stability_failed", "parameter_favourable >= 0.6"), ("negative_control_failed", "controls_passed"), ("minimum_support_failed", "support_passed")])
-
-
-GATES = reasons_sql([("same_direction", "effect > 0"), ("ci95_directional", "ci95_low > 0"), ("holm", "holm_p <= 0.05"), ("bootstrap_favourable", "favourable >= 0.90"), ("sign_stability", "sign_stability >= 0.90"),
-                     ("support", "condition_rows >= 5000 AND condition_sessions >= 200 AND condition_years >= 3"), ("temporal", "temporal_favourable >= 0.6"), ("not_year_concentrated", "year_concentration <= 0.6"), ("skeptic", "skeptic_survival >= 0.75"), ("slow_structure", "slow_passed")])
