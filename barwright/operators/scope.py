@@ -18,24 +18,42 @@ MAX_PARENTS = 32
 SETS = ("capabilities", "fields", "purposes", "consumers")
 
 
+def _onward(ways: DataFrame, reach: DataFrame, max_depth: int) -> DataFrame:
+    """The ways continued by what their ends reach."""
+    more = reach.where("depth > 0").select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
+    return ways.join(more, "ancestor").select("id", F.col("_far").alias("ancestor"), F.least(F.col("depth") + F.col("_more"), F.lit(max_depth)).alias("depth"))
+
+
+def _longest(ways: DataFrame) -> DataFrame:
+    return materialize(ways.groupBy("id", "ancestor").agg(F.max("depth").alias("depth")))
+
+
 def ancestor_closure(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(id, ancestor, depth): every ancestor of every certificate, itself included, and the longest way there, at most max_depth.
 
-    Path doubling: each round joins the ways found so far end to end, so the rounds grow with the logarithm of the longest chain. No
-    ancestor is left out; a depth at the limit marks a cycle or a chain that is too deep.
+    Semi-naive doubling: a round continues only the ways as long as the round before could find, so a way is joined once, and the rounds
+    grow with the logarithm of the longest chain. No ancestor is left out; a depth at the limit marks a cycle or a chain that is too deep.
+    Lengths are followed up to a power of two. Beyond it only new pairs count, and one join at the end marks whatever ways of that length lead to.
     """
-    first = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(
-        edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    reach, size = materialize(first.groupBy("id", "ancestor").agg(F.max("depth").alias("depth"))), None
-    while True:
-        onward = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
-        longer = reach.join(onward, "ancestor").select("id", F.col("_far").alias("ancestor"), F.least(F.col("depth") + F.col("_more"), F.lit(max_depth)).alias("depth"))
-        reach = materialize(reach.unionByName(longer).groupBy("id", "ancestor").agg(F.max("depth").alias("depth")))
-        now = tuple(reach.agg(F.count(F.lit(1)), F.sum("depth")).first())
-        if now == size:
+    top = 1 << max(max_depth - 1, 0).bit_length()
+    reach = _longest(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(
+        edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))))
+    length = 1
+    # A way of up to twice the length is one of exactly this length and a rest; both are in `reach`.
+    ways = reach.where("depth = 1")
+    while length < top and not ways.isEmpty():
+        reach, length = _longest(reach.unionByName(_onward(ways, reach, top))), 2 * length
+        ways = reach.where(F.col("depth") == length)
+    deep = materialize(ways)
+    ways = deep
+    while not ways.isEmpty():
+        fresh = materialize(_onward(ways, reach, top).distinct().join(reach, ["id", "ancestor"], "left_anti"))
+        if fresh.isEmpty():
+            reach = _longest(reach.unionByName(_onward(deep, reach, top)))
             break
-        size = now
-    return reach
+        reach = reach.unionByName(fresh)
+        ways = materialize(_onward(ways, ways, top).distinct())
+    return reach.withColumn("depth", F.least("depth", F.lit(max_depth)))
 
 
 def graph_status(max_depth: int = MAX_DEPTH) -> Column:
