@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -229,22 +230,22 @@ def derived_reads(t: Tables) -> DataFrame:
 # ---- streaming twins ---------------------------------------------------------------------------------
 
 SLICES, DELAY = 8, "3 days"
-# Landing of the ticks in eight files in order of time; one in eleven comes a file later, one in thirty-seven three files later.
+# Landing of the ticks in eight slices in order of time; one in eleven comes a slice later, one in thirty-seven three slices later.
 LANDED = f"""WITH ev AS (SELECT *, least({SLICES - 1}, (epoch_us(ts) - epoch_us((SELECT min(ts) FROM events))) * {SLICES} // (epoch_us((SELECT max(ts) FROM events)) - epoch_us((SELECT min(ts) FROM events)) + 1)
  + CASE WHEN event_id % 37 = 5 THEN 3 WHEN event_id % 11 = 4 THEN 1 ELSE 0 END)::INT AS slice FROM events)"""
 
 
-def landed(t: Tables, out: str, copies: int = 1) -> DataFrame:
-    """The events as they would land, one file after the other, read as a stream of one file per micro-batch."""
+def landings(t: Tables, out: str, copies: int = 1) -> Iterator[DataFrame]:
+    """The events as they would land, one slice after the other; after each the stream of what has landed, to be drained before the next."""
     ends = t.events.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
     home = F.floor((F.unix_micros("ts") - ends["a"]) * SLICES / (ends["b"] - ends["a"] + 1))
     late = F.when(F.pmod("event_id", F.lit(37)) == 5, 3).when(F.pmod("event_id", F.lit(11)) == 4, 1).otherwise(0)
     rows = t.events.withColumn("slice", F.least(F.lit(SLICES - 1), home + late).cast("int"))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     for part in range(SLICES):
-        # Copies come a file later, as overlapping polls bring them.
-        rows.where(F.least(F.col("slice") + F.col("_copy"), F.lit(SLICES - 1)) == part).drop("_copy", "slice").coalesce(1).write.mode("append").parquet(f"{out}/landing")
-    return capture.tick_stream(t.spark, f"{out}/landing", t.events.schema, files_per_trigger=1)
+        # Copies come a slice later, as overlapping polls bring them.
+        capture.land(rows.where(F.least(F.col("slice") + F.col("_copy"), F.lit(SLICES - 1)) == part).drop("_copy", "slice"), f"{out}/landing", "event_id")
+        yield capture.tick_stream(t.spark, f"{out}/landing", t.events.schema, files_per_trigger=None)
 
 
 def _out(t: Tables) -> str:
@@ -254,15 +255,17 @@ def _out(t: Tables) -> str:
 @query("st01_stream_ingest", "SELECT event_id, ts, user_id FROM events")
 def stream_ingest(t: Tables) -> DataFrame:
     out = _out(t)
-    capture.ingest(landed(t, out), f"{out}/data", f"{out}/journal")
+    for stream in landings(t, out):
+        capture.ingest(stream, f"{out}/data", f"{out}/journal")
     return t.spark.read.parquet(f"{out}/data").select("event_id", "ts", "user_id")
 
 
 @query("st04_stream_dedupe", "SELECT event_id FROM events")
 def stream_dedupe(t: Tables) -> DataFrame:
-    """Every tick arrives twice, in two files, as overlapping polls deliver it, some long after their time; one copy passes."""
+    """Every tick arrives twice, in two slices, as overlapping polls deliver it, some long after their time; one copy passes."""
     out = _out(t)
-    capture.run_to_table(capture.deduplicated(landed(t, out, copies=2), ["event_id"], "1 hour"), f"{out}/data", f"{out}/journal")
+    for stream in landings(t, out, copies=2):
+        capture.run_to_table(capture.deduplicated(stream, ["event_id"], "1 hour"), f"{out}/data", f"{out}/journal")
     return t.spark.read.parquet(f"{out}/data").select("event_id")
 
 
@@ -270,7 +273,8 @@ def stream_dedupe(t: Tables) -> DataFrame:
 def stream_late(t: Tables) -> DataFrame:
     """Accepted and rejected ticks together are those received."""
     out = _out(t)
-    capture.split_by_origin(landed(t, out), f"{out}/data", f"{out}/journal", ORIGIN)
+    for stream in landings(t, out):
+        capture.split_by_origin(stream, f"{out}/data", f"{out}/journal", ORIGIN)
     return t.spark.read.parquet(f"{out}/data").select("event_id", "ts", "status")
 
 
@@ -279,14 +283,14 @@ LEDGER = EPI.replace("'EVT' AS symbol", "event_type AS symbol").replace("(ORDER
 
 @query("st07_stream_episodes", LEDGER + " SELECT symbol, episode, count(*) FILTER (child) AS children, count(*) AS batches, max(CASE WHEN closes THEN batch END) AS closed_batch FROM er WHERE episode IS NOT NULL GROUP BY symbol, episode")
 def stream_episodes(t: Tables) -> DataFrame:
-    """The batch ledger of each event type replayed in four files through the stateful operator, open episodes included."""
+    """The batch ledger of each event type replayed in four slices through the stateful operator, open episodes included."""
     out = _out(t)
     ledger = materialize(S.batch_table(S.assign_batches(raw(t).withColumn("symbol", F.col("event_type")), WIDTH, OVERLAP, "tick_id"), WIDTH).select("symbol", "batch", "lag_seconds"))
     ends = ledger.agg(F.min("batch").alias("a"), F.max("batch").alias("b")).first()
     for part in range(4):
-        ledger.where(F.floor((F.col("batch") - ends["a"]) * 4 / (ends["b"] - ends["a"] + 1)) == part).coalesce(1).write.mode("append").parquet(f"{out}/ledger")
-    source = capture.tick_stream(t.spark, f"{out}/ledger", ledger.schema, files_per_trigger=1)
-    capture.run_to_table(capture.episodes(source, OPEN, CLOSE), f"{out}/data", f"{out}/journal")
+        capture.land(ledger.where(F.floor((F.col("batch") - ends["a"]) * 4 / (ends["b"] - ends["a"] + 1)) == part), f"{out}/ledger", "symbol", "batch")
+        source = capture.tick_stream(t.spark, f"{out}/ledger", ledger.schema, files_per_trigger=None)
+        capture.run_to_table(capture.episodes(source, OPEN, CLOSE), f"{out}/data", f"{out}/journal")
     return capture.episode_table(t.spark.read.schema(capture.EPISODE_OUTPUT).parquet(f"{out}/data"))
 
 
@@ -297,16 +301,18 @@ def stream_episodes(t: Tables) -> DataFrame:
 def stream_heartbeats(t: Tables) -> DataFrame:
     """Sessions of the accepted beats, the open ones flushed, and how many beats of each type came too late."""
     out = _out(t)
-    capture.split_late(landed(t, out), f"{out}/split", f"{out}/split-journal", DELAY)
+    for stream in landings(t, out):
+        capture.split_late(stream, f"{out}/split", f"{out}/split-journal", DELAY)
     ticks = t.spark.read.parquet(f"{out}/split/ticks")
     accepted = ticks.where("status = 'accepted'").select("event_type", "ts", "micro_batch")
     beats = accepted.select("event_type", "ts")
-    for part in range(SLICES):
-        accepted.where(F.col("micro_batch") == part).select("event_type", "ts").coalesce(1).write.mode("append").parquet(f"{out}/beats")
     # One beat of no type far behind the last one closes every session.
-    beats.agg(F.lit("flush").alias("event_type"), (F.max("ts") + F.expr("interval 30 days")).alias("ts")).coalesce(1).write.mode("append").parquet(f"{out}/beats")
-    stream = capture.tick_stream(t.spark, f"{out}/beats", beats.schema, files_per_trigger=1)
-    capture.run_to_table(capture.heartbeat_sessions(stream, "ts", "event_type", "60 minutes", DELAY), f"{out}/data", f"{out}/journal")
+    flush = beats.agg(F.lit("flush").alias("event_type"), (F.max("ts") + F.expr("interval 30 days")).alias("ts"))
+    for part in [*range(SLICES), None]:
+        rows = flush if part is None else accepted.where(F.col("micro_batch") == part).select("event_type", "ts")
+        capture.land(rows, f"{out}/beats", "event_type", "ts")
+        stream = capture.tick_stream(t.spark, f"{out}/beats", beats.schema, files_per_trigger=None)
+        capture.run_to_table(capture.heartbeat_sessions(stream, "ts", "event_type", "60 minutes", DELAY), f"{out}/data", f"{out}/journal")
     sessions = t.spark.read.parquet(f"{out}/data").where("event_type <> 'flush'")
     late = ticks.where("status = 'rejected'").groupBy("event_type").agg(F.count(F.lit(1)).alias("beats"))
     return sessions.unionByName(late.withColumn("event_type", F.concat("event_type", F.lit(":late"))), allowMissingColumns=True)

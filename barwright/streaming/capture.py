@@ -13,12 +13,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def tick_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
-    """Files in the order they landed, a bounded number per micro-batch; `arrived_at` is when the file landed."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+def tick_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = 16) -> DataFrame:
+    """Files in the order they landed, a bounded number per micro-batch; `arrived_at` is when the file landed.
+
+    Without a number a micro-batch takes whatever has landed, as when one poll, of any number of files, is drained before the next.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path).withColumn("arrived_at", F.col("_metadata.file_modification_time"))
 
 
+def land(rows: DataFrame, path: str, *keys: str, records: int = 1_000_000) -> None:
+    """Append one poll as files of bounded size: dealt by a hash of `keys`, so its tasks are as many as its bytes need."""
+    rows.repartition(*keys).write.mode("append").option("maxRecordsPerFile", records).parquet(path)
+
+
 def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
