@@ -29,9 +29,10 @@ def build_session(app: str = "barwright", cores: str | None = None, shuffle_part
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings the semantics depend on: UTC clock and ANSI arithmetic."""
+    """Runtime settings the semantics depend on: UTC clock, ANSI arithmetic, and stored times whose footers hold statistics."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.ansi.enabled", "true")
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     return spark
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from barwright.operators.sequence import running_count
@@ -13,6 +16,8 @@ BAR_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "tick_volume", "s
 PROVENANCE_KEYS = ("source_id", "broker", "symbol_exact", "symbol_international", "timeframe", "timezone", "point",
                    "digits", "timestamp_semantics")
 TIMEFRAME_MINUTES = {"M1": 1, "M5": 5}
+SPAN_NAMES = ["file", "row_group", "first_ts", "last_ts", "rows"]
+SPAN_TYPES = [pa.string(), pa.int32(), pa.timestamp("us", tz="UTC"), pa.timestamp("us", tz="UTC"), pa.int64()]
 TEXT_PATTERN = r"^\d{8} \d{6}$"
 
 
@@ -49,20 +54,67 @@ def project(df: DataFrame, columns: Sequence[str], limit: int | None = None, ord
     return out
 
 
-def admission(df: DataFrame, unit: Column, time: str, start: str, end: str, minutes: int) -> DataFrame:
-    """Per storage unit (a file, a block): admitted only if it lies wholly inside the half-open partition.
+def decided(spans: DataFrame, start: str, end: str, minutes: int) -> DataFrame:
+    """Spans (first_ts, last_ts) with their decision: admitted only if wholly inside the half-open partition.
 
-    The end test is strict after adding the bar length; a unit that straddles a border is denied, a unit
-    wholly outside is ignored. One aggregate over the time column decides.
+    The end test is strict after adding the bar length; a span that straddles a border is denied, one wholly outside is ignored, and
+    one without times cannot be placed and is denied.
     """
     low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    spans = df.groupBy(unit.alias("unit")).agg(F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.count(F.lit(1)).alias("rows"))
     last_end = F.col("last_ts") + F.expr(f"interval {minutes} minutes")
-    decision = (F.when((F.col("first_ts") >= low) & (last_end < high), F.lit("ADMIT"))
+    decision = (F.when(F.col("first_ts").isNull() | F.col("last_ts").isNull(), F.lit("DENY_UNKNOWN"))
+                 .when((F.col("first_ts") >= low) & (last_end < high), F.lit("ADMIT"))
                  .when((last_end <= low) | (F.col("first_ts") >= high), F.lit("OUTSIDE")).otherwise(F.lit("DENY_STRADDLE")))
     return spans.withColumn("decision", decision)
 
 
+def admission(df: DataFrame, unit: Column, time: str, start: str, end: str, minutes: int) -> DataFrame:
+    """Decisions per storage unit (a file, a block) by one aggregate over the time column, for sources without Parquet footers."""
+    spans = df.groupBy(unit.alias("unit")).agg(F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.count(F.lit(1)).alias("rows"))
+    return decided(spans, start, end, minutes)
+
+
+def _footer(uri: str):
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pq.read_metadata("/" + rest.lstrip("/"))
+    system, path = pa.fs.FileSystem.from_uri(uri)
+    return pq.read_metadata(path, filesystem=system)
+
+
+def row_group_spans(spark: SparkSession, path: str, time: str) -> DataFrame:
+    """(file, row_group, first_ts, last_ts, rows) of every row group under a folder, from the footers alone.
+
+    Spark lists the files and deals them to tasks; a task opens footers and no data page. A row group without statistics of the time
+    column, or with times that name no zone, has null times.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uri in batch.column(0).to_pylist():
+                footer = _footer(uri)
+                # Columns of a footer are leaves: nested columns ahead of the time column shift its place.
+                leaf = next((i for i in range(footer.num_columns) if footer.schema.column(i).path == time), -1)
+                for group in range(footer.num_row_groups):
+                    part = footer.row_group(group)
+                    found = part.column(leaf).statistics if leaf >= 0 else None
+                    low, high = (found.min, found.max) if found is not None and found.has_min_max else (None, None)
+                    if getattr(low, "tzinfo", None) is None:
+                        low = high = None
+                    rows.append((uri, group, low, high, part.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(values, type=kind) for values, kind in zip(list(zip(*rows)) or [()] * 5, SPAN_TYPES)], names=SPAN_NAMES)
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return listed.mapInArrow(run, "file string, row_group int, first_ts timestamp, last_ts timestamp, rows bigint")
+
+
+def footer_admission(spans: DataFrame, unit: Column, start: str, end: str, minutes: int) -> DataFrame:
+    """Decisions per unit of the `row_group_spans`: one row group that cannot be placed leaves the unit without times."""
+    known = F.count_if(F.col("first_ts").isNull() & (F.col("rows") > 0)) == 0
+    units = spans.groupBy(unit.alias("unit")).agg(F.when(known, F.min("first_ts")).alias("first_ts"), F.when(known, F.max("last_ts")).alias("last_ts"), F.sum("rows").alias("rows"))
+    return decided(units, start, end, minutes)
+
+
 def store_query(df: DataFrame, columns: Sequence[str], *, action: str | None = None, session: str | None = None,
                 regime: str | None = None, ids: Sequence[str] | DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Filtered retrieval; literal predicates reach the scan, a table of ids becomes a semi join."""
