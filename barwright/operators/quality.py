@@ -7,6 +7,7 @@ else becomes a finding (source_row, ts, code, decision, detail).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -127,15 +128,19 @@ def add_neighbour_facts(silver: DataFrame, keys: Sequence[str], minutes: int) ->
                  .where(F.col(CORE)).drop(CHUNK, CORE, "_same", "_slab"))
 
 
-def series_checks(minutes: int) -> list[Column]:
+def series_rules(minutes: int) -> list[tuple[Column, str, str, str]]:
     return [
-        finding(F.col("elapsed") > minutes, "GAP", REVIEW, "bars are missing before this one"),
-        finding((F.col("elapsed") > 0) & (F.col("elapsed") < minutes), "IRREGULAR_INTERVAL", REJECT, "bars overlap"),
-        finding(F.abs(F.col("change")) > JUMP_LIMIT, "PRICE_JUMP", KEEP, "close moved by more than a fiftieth"),
-        finding(F.col("is_stale"), "STALE_RUN", KEEP, "the close has not moved for five bars"),
+        (F.col("elapsed") > minutes, "GAP", REVIEW, "bars are missing before this one"),
+        ((F.col("elapsed") > 0) & (F.col("elapsed") < minutes), "IRREGULAR_INTERVAL", REJECT, "bars overlap"),
+        (F.abs(F.col("change")) > JUMP_LIMIT, "PRICE_JUMP", KEEP, "close moved by more than a fiftieth"),
+        (F.col("is_stale"), "STALE_RUN", KEEP, "the close has not moved for five bars"),
     ]
 
 
+def series_checks(minutes: int) -> list[Column]:
+    return [finding(*rule) for rule in series_rules(minutes)]
+
+
 def row_findings(df: DataFrame, meta: Mapping[str, object], minutes: int, keys: Sequence[str]) -> DataFrame:
     return explode_findings(df, row_checks(meta, minutes, df.columns), keys)
 
@@ -172,20 +177,34 @@ def series_findings(df: DataFrame, minutes: int, keys: Sequence[str]) -> DataFra
 
 
 def certify(df: DataFrame, meta: Mapping[str, object], minutes: int, keys: Sequence[str] = ("dataset",)) -> DataFrame:
-    """Bronze with a findings array per row. The bronze table and its marks are each materialised once."""
-    df = materialize(df)
-    marked = materialize(mark_disorder(mark_duplicates(df, keys), keys))
-    unique = mark_conflicts(marked.where(~F.col("is_duplicate")), keys)
-    unique = materialize(unique)
-    unique = add_neighbour_facts(unique, keys, minutes)
-    copies = marked.where(F.col("is_duplicate"))
-    whole = unique.unionByName(copies, allowMissingColumns=True)
-    checks = row_checks(meta, minutes, df.columns) + series_checks(minutes) + [
-        finding(F.col("is_duplicate"), "EXACT_DUPLICATE", FIX, "an earlier row says the same"),
-        finding(F.coalesce("is_conflict", F.lit(False)), "CONFLICTING_TIMESTAMP", REJECT, "several rows claim this time"),
-        finding(F.col("is_disorder"), "OUT_OF_ORDER", FIX, "earlier than the row before")]
-    listed = F.array_compact(F.array(*checks))
-    return whole.withColumn("findings", listed).select(*df.columns, "is_duplicate", "findings")
+    """Bronze with a findings array per row.
+
+    Whatever needs other rows (copies, conflicts, order, neighbours) becomes a bit set per source row, for rows with a finding only,
+    joined once to the bronze rows; checks of the row itself ride along in that projection. The only table written down holds
+    time and close of the distinct rows. `df` is read several times, so it should be a stored table; rows are told apart by
+    (keys, source_row).
+    """
+    place, rules = [*keys, "source_row"], series_rules(minutes)
+    content = [c for c in df.columns if c not in place]
+    unique = materialize(df.groupBy(*keys, *content).agg(F.min("source_row").alias("source_row")).select(*place, "ts", "close"))
+
+    def flags(rows: DataFrame, first: int, conditions: Sequence[Column]) -> DataFrame:
+        bits = sum((F.when(condition, 1 << i).otherwise(0) for i, condition in enumerate(conditions, first)), F.lit(0))
+        return rows.select(*place, bits.alias("_bits")).where("_bits > 0")
+
+    copies = df.select(*place).join(unique.select(*place), place, "left_anti")
+    parts = [flags(copies, 0, [F.lit(True)]), flags(mark_conflicts(unique, keys), 1, [F.col("is_conflict")]),
+             flags(mark_disorder(df.select(*place, "ts"), keys), 2, [F.col("is_disorder")]),
+             flags(add_neighbour_facts(unique, keys, minutes), 3, [condition for condition, *_ in rules])]
+    bits = reduce(DataFrame.unionByName, parts).groupBy(*place).agg(F.bit_or("_bits").alias("_bits"))
+
+    def bit(i: int) -> Column:
+        return F.coalesce(F.col("_bits"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
+    checks = row_checks(meta, minutes, df.columns) + [finding(bit(i), *named) for i, (_, *named) in enumerate(rules, 3)] + [
+        finding(bit(0), "EXACT_DUPLICATE", FIX, "an earlier row says the same"),
+        finding(bit(1), "CONFLICTING_TIMESTAMP", REJECT, "several rows claim this time"),
+        finding(bit(2), "OUT_OF_ORDER", FIX, "earlier than the row before")]
+    return df.join(bits, place, "left").select(*df.columns, bit(0).alias("is_duplicate"), F.array_compact(F.array(*checks)).alias("findings"))
 
 
 def findings_of(certified: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:

@@ -73,8 +73,8 @@ def gap_morphology(t: Tables) -> DataFrame:
 
 def recorded(t: Tables) -> DataFrame:
     meta = {**META, "broker": None, "source_id": None}
-    bars = Q.bronze(steady(t).drop("bar_index"), "source_row")
-    return Q.findings_of(Q.certify(bars.withColumn("dataset", F.lit("D")), meta, TAU)).where(
+    bars = t.stored("bronze_steady", lambda: Q.bronze(steady(t).drop("bar_index"), "source_row").withColumn("dataset", F.lit("D")))
+    return Q.findings_of(Q.certify(bars, meta, TAU)).where(
         F.col("code").isin("ZERO_SPREAD", "GAP", "PRICE_JUMP", "STALE_RUN")).withColumn("symbol", F.lit("EVT"))
 
 

@@ -58,6 +58,10 @@ def raw(t: Tables) -> DataFrame:
     return Q.bronze(feed(t), "source_row")
 
 
+def certified(t: Tables) -> DataFrame:
+    return Q.certify(t.stored("bronze_feed", lambda: raw(t)), META, TAU)
+
+
 FEED_SQL = oracle.bars(TAU) + """, slots AS (
   SELECT *, ('0x' || substr(md5('feed:' || bar_index), 1, 8))::BIGINT % 48 AS slot,
          ('0x' || substr(md5('flat:' || (bar_index // 8)), 1, 8))::BIGINT % 12 = 0 AS flat FROM bars),
@@ -208,7 +212,7 @@ _row_query("q19_wide_spread", "WIDE_SPREAD")
 @query("q20_finding_counts", ALL_FINDINGS + """ SELECT 'code' AS kind, code AS name, count(*) AS findings FROM findings GROUP BY code
   UNION ALL SELECT 'decision', decision, count(*) FROM findings GROUP BY decision""")
 def counts(t: Tables) -> DataFrame:
-    return Q.finding_counts(Q.findings_of(Q.certify(raw(t), META, TAU)))
+    return Q.finding_counts(Q.findings_of(certified(t)))
 
 
 @query("q21_verdict", ALL_FINDINGS + """ SELECT (SELECT count(*) FROM feed) AS input_rows, (SELECT count(*) FROM silver) AS clean_rows,
@@ -217,7 +221,7 @@ def counts(t: Tables) -> DataFrame:
   CASE WHEN count(*) FILTER (decision = 'REJECT') > 0 THEN 'REJECTED' WHEN count(*) FILTER (decision = 'REVIEW') > 0
        THEN 'EXPLORATORY_ONLY' ELSE 'USABLE_WITH_LIMITATIONS' END AS status FROM findings""")
 def verdict(t: Tables) -> DataFrame:
-    return Q.verdict(Q.certify(raw(t), META, TAU)).select("input_rows", "clean_rows", "flagged_rows",
+    return Q.verdict(certified(t)).select("input_rows", "clean_rows", "flagged_rows",
                                                          rounded("quality_score", 4).alias("quality_score"), "status")
 
 
@@ -233,7 +237,7 @@ def coverage(t: Tables) -> DataFrame:
 @query("q23_silver_flagged", ALL_FINDINGS + """ SELECT source_row, ts, source_row IN (SELECT source_row FROM findings) AS quality_flagged
   FROM silver""")
 def flagged(t: Tables) -> DataFrame:
-    return Q.flagged_silver(Q.certify(raw(t), META, TAU)).select("source_row", "ts", "quality_flagged")
+    return Q.flagged_silver(certified(t)).select("source_row", "ts", "quality_flagged")
 
 
 @query("q24_bar_profile", FEED_SQL + """, o AS (SELECT *, lag(ts) OVER (ORDER BY source_row) AS pt,
