@@ -3,8 +3,9 @@
 Method of the join: a text is covered by overlapping blocks of BLOCK words, STEP apart, so every passage of up to STEP words lies
 whole in one block. Blocks and templates are sets of tokens, ordered by how rare a token is in all documents. A block can hold a
 share t of a template of n tokens only if it has one of the n - ceil(t n) + 1 rarest of them (prefix), at least ceil(t n)
-tokens (length), and enough tokens left behind the first common one (position). What passes is compared in full. Everything is
-DataFrame expressions; texts are never shuffled.
+tokens (length), and enough tokens left behind the first common one (position). What passes is compared in full. A match gives its
+label only if the words that tell the license from others are among the tokens found. Everything is DataFrame
+expressions; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -17,22 +18,25 @@ BLOCK, STEP, THRESHOLD = 64, 32, 0.8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases and the labels they give (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Passages of public licenses and their labels (fixed values); none is longer than STEP distinct words.
+# Passages of public licenses, their labels and the words that tell them from other licenses (fixed values); none is longer than STEP
+# distinct words.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "released under the mit license"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "charge"),
+    ("mit", "released under the mit license", "mit"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache"),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "general"),
+    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "binary"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "fee"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "nc"),
 )
 
 
+
+
 def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -60,27 +64,30 @@ def texts_array(values: list[str]) -> Column:
 
 def template_order(df: DataFrame, text: str, templates) -> dict[str, int]:
     """Documents that hold each template token: one row per token of the templates, so a bounded number reaches the driver."""
-    vocabulary = sorted({token for _, passage in templates for token in passage.split()})
+    vocabulary = sorted({token for _, passage, _ in templates for token in passage.split()})
     held = df.select(F.explode(F.array_intersect(words_of(F.col(text)), texts_array(vocabulary))).alias("token")).groupBy("token").count().collect()
     counts = {row["token"]: row["count"] for row in held}
     return {token: i for i, token in enumerate(sorted(vocabulary, key=lambda token: (counts.get(token, 0), token)))}
 
 
 def matches(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every block that holds the threshold's share of a template: (*keys, block, label, template, containment).
+    """Every block that holds the threshold's share of a template: (*keys, block, label, template, containment, told).
+
+    `told` says whether the block holds the template's telling words too: the share alone may be met without the one word that names
+    the license.
 
     Null and empty texts have no blocks; repeated rows give repeated matches; other columns are not read.
     """
     spark, order = df.sparkSession, template_order(df, text, templates)
     indexed, prefix, least = [], set(), BLOCK
-    for number, (label, passage) in enumerate(templates):
+    for number, (label, passage, telling) in enumerate(templates):
         tokens = sorted(set(passage.split()), key=order.__getitem__)
         need = math.ceil(threshold * len(tokens) - 1e-9)
         least = min(least, need)
         for i, token in enumerate(tokens[:len(tokens) - need + 1]):
             prefix.add(token)
-            indexed.append((token, number, label, i, len(tokens), need, tokens))
-    index = spark.createDataFrame(indexed, "token string, template int, label string, i int, n int, need int, tokens array<string>")
+            indexed.append((token, number, label, i, len(tokens), need, tokens, telling.split()))
+    index = spark.createDataFrame(indexed, "token string, template int, label string, i int, n int, need int, tokens array<string>, telling array<string>")
     ranked = texts_array(sorted(order, key=order.__getitem__))
     words = F.col("_words")
     split = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / STEP), F.lit(0))), lambda b: F.struct(b.alias("block"), F.array_intersect(ranked, F.slice(words, (b * STEP + 1).cast("int"), BLOCK)).alias("held")))
@@ -94,18 +101,19 @@ def matches(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
     # Of the tokens that block and template share, the first alone speaks for the pair.
     first = F.array_position(F.col("held"), F.get(F.array_intersect("held", "tokens"), F.lit(0))) - 1
     common = F.size(F.array_intersect("held", "tokens"))
-    return pairs.where((F.col("j") == first) & (common >= F.col("need"))).select(*keys, "block", "label", "template", (common / F.col("n")).alias("containment"))
+    return pairs.where((F.col("j") == first) & (common >= F.col("need"))).select(*keys, "block", "label", "template", (common / F.col("n")).alias("containment"),
+                                                                             (F.size(F.array_except("telling", "held")) == 0).alias("told"))
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: words, phrase places and the labels of phrases and templates.
+    """One row per input row: words, phrase places and the labels of phrases and of templates whose telling words are there.
 
     Null text counts as empty: no words, no labels, score 0. Rows are told apart by key and text, so repeated keys keep their own
     labels and repeated rows stay; a null key is a key like any other; extra columns are not read.
     """
     docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     identity = F.xxhash64(F.lit(1), "_key", "_text").alias("_mark")
-    found = matches(docs.select("_key", "_text", identity), "_text", ("_key", "_mark"), templates, threshold)
+    found = matches(docs.select("_key", "_text", identity), "_text", ("_key", "_mark"), templates, threshold).where("told")
     found = found.groupBy("_key", "_mark").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_best"))
     starts = docs.select("_key", identity, words_of(F.col("_text")).alias("_words"))
     at = {phrase: places(F.col("_words"), phrase) for phrase in PHRASES}
