@@ -52,14 +52,14 @@ def phrase_sql(phrase: str) -> str:
     return " AND ".join(f"words[i + {j + 1}] = '{part}'" for j, part in enumerate(phrase.split()))
 
 
-_TEMPLATES = ", ".join(f"('{label}', [{', '.join(repr(token) for token in dict.fromkeys(passage.split()))}], [{', '.join(map(repr, telling.split()))}])" for label, passage, telling in TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', [{', '.join(repr(token) for token in dict.fromkeys(passage.split()))}], ' {telling} ')" for label, passage, telling in TEMPLATES)
 _PLACES = ", ".join(f"list_filter(range(len(words)), lambda i: {phrase_sql(phrase)}) AS at{n}" for n, phrase in enumerate(PHRASES))
 _ALL = " || ".join(f"at{n}" for n in range(len(PHRASES)))
 _BASE = "list_filter([" + ", ".join(f"CASE WHEN len(at{n}) > 0 THEN '{label}' END" for n, label in enumerate(PHRASES.values())) + "], lambda x: x IS NOT NULL)"
 LICENSES = f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
  t(label, tokens, telling) AS (VALUES {_TEMPLATES}),
  b AS (SELECT rid, list_slice(words, place * {STEP} + 1, place * {STEP} + {BLOCK}) AS block FROM (SELECT rid, words, unnest(range(greatest(1, (len(words) + {STEP - 1}) // {STEP}))) AS place FROM w)),
- m AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS best FROM (SELECT rid, label, len(list_intersect(tokens, block))::DOUBLE / len(tokens) AS share FROM b, t WHERE len(list_intersect(telling, block)) = len(telling)) WHERE share >= {CONTAINED} GROUP BY rid),
+ m AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS best FROM (SELECT rid, label, len(list_intersect(tokens, block))::DOUBLE / len(tokens) AS share FROM b, t WHERE contains(' ' || array_to_string(block, ' ') || ' ', telling)) WHERE share >= {CONTAINED} GROUP BY rid),
  p AS (SELECT *, {_PLACES} FROM w), q AS (SELECT *, {_ALL} AS every, {_BASE} AS base FROM p)
  SELECT doc_id, len(words)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
  array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels, CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0) END AS score FROM q LEFT JOIN m USING (rid)"""

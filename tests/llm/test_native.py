@@ -74,11 +74,12 @@ def brute_scan(text):
         base |= {label} if own else set()
     labels, best = set(base), 0.0
     for start in range(0, max(len(words), 1), licenses.STEP):
-        block = set(words[start:start + licenses.BLOCK])
+        inside = words[start:start + licenses.BLOCK]
+        block = set(inside)
         for label, passage, telling in licenses.TEMPLATES:
             tokens = set(passage.split())
-            share = len(tokens & block) / len(tokens)
-            if share >= licenses.THRESHOLD and set(telling.split()) <= block:
+            share, phrase = len(tokens & block) / len(tokens), telling.split()
+            if share >= licenses.THRESHOLD and any(inside[i:i + len(phrase)] == phrase for i in range(len(inside))):
                 labels.add(label)
                 best = max(best, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else best
@@ -121,6 +122,25 @@ def test_license_lines_that_lack_the_telling_word(spark):
     assert [(r["label"], r["containment"], r["told"]) for r in found] == [("mit", 0.8, False)]
 
 
+def test_license_words_out_of_order_or_of_another_license(spark):
+    """A telling phrase must stand word after word; passages that licenses share give the label of the one that is told."""
+    lines = {"the mit was released; a license under it": "", "under the licensed 0 2 version apache, a license": "", "nc cc, by licensed under 4.0": "",
+             "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+             "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+             "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+             "redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation": "agpl,gpl",
+             "This is free and unencumbered software released into the public domain.": "unlicense"}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    assert {text: r["labels"] for text, r in zip(lines, licenses.scan(df).orderBy("doc_id").collect())} == lines
+
+
+def test_templates_hold_their_telling_phrase():
+    for label, passage, telling in licenses.TEMPLATES:
+        assert f" {telling} " in f" {passage} " and len(passage.split()) <= licenses.STEP and WORD.findall(passage) == passage.split(), label
+
+
 def test_licenses_repeated_keys_and_empty(spark):
     schema = "doc_id bigint, text string"
     rows = [(1, "MIT License"), (1, "plain"), (1, "plain"), (None, "Apache License")]
