@@ -5,24 +5,30 @@ key, the kind and the entity alone, so one entity has one replacement wherever i
 part: the text of a part gives the stem, and the gender, settled per person over the whole document, its ending. Over the distinct
 entities of the whole table a check looks for two entities with one replacement, and for replacements that are entities themselves,
 all kinds of names together; those draw again until none is left (distinctness).
+
+The secret key is the setting `spark.barwright.surrogateKey`; where it is not set, an application draws one of its own, so that nobody
+can rebuild the table of surrogates, and another application gives other ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barwright.llm.common import batch_of, fresh, map_arrow
 from barwright.session import materialize
 
-KEY = b"surrogates of this corpus"
+KEY_SETTING = "spark.barwright.surrogateKey"
+_drawn_keys: dict[str, bytes] = {}
 # So many redrawn entities travel with the program text of a task; more are joined to their documents.
 CARRIED = 10_000
 # The label that is set apart for examples stays.
@@ -37,6 +43,8 @@ PHONE = re.compile(r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.
 PLAIN_PHONE = re.compile(r"(?<![\w+.,$€£#/-])(?<!\w\d\d[ .-])(?:\d{3} \d{3} \d{4}|[2-9]\d{9}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|0\d{9,10})(?!\w|[.,]\d|[ -]\d{3})")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 ADDRESS = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
+# Groups between colons; what is an address is settled by reading it.
+ADDRESS6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4})?(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
 # Titles and the gender they tell (fixed values).
 MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Signor|господин|г-н|κύριος"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Signora|госпожа|г-жа|κυρία"
@@ -57,6 +65,12 @@ ENDINGS = {
 }
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, else one drawn for this application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _drawn_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 class Draw:
     """Numbers from a keyed hash, as many as needed."""
 
@@ -74,8 +88,8 @@ class Draw:
 
     def like(self, char: str, hexadecimal: bool = False) -> str:
         """A character of the same class, case and script."""
-        if hexadecimal and char in "abcdef":
-            return "abcdef"[self.below(6)]
+        if hexadecimal and char in "abcdefABCDEF":
+            return ("abcdef" if char.islower() else "ABCDEF")[self.below(6)]
         if char.isdecimal():
             return str(self.below(10))
         if char.isascii() and char.isalpha():
@@ -110,7 +124,22 @@ def fill(shape: str, digits: str) -> str:
     return "".join(next(digits) if c.isdecimal() else c for c in shape)
 
 
-def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
+def is_address6(text: str) -> bool:
+    """Whether these groups are an address: three groups at least and a digit, so that code and clock times are not."""
+    if len([group for group in text.split(":") if group]) < 3 or not re.search(r"\d", text):
+        return False
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
+def written(name: str) -> str:
+    """A name in capitals as it is written elsewhere, each part with one capital; other names as they are."""
+    return re.sub(r"[^\W\d_]+", lambda part: part[0].capitalize(), name) if name.isupper() and len(name) > 1 else name
+
+
+def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = b"") -> str:
     """The replacement of one entity; other attempts give others. Formats too small for their entities grow after eight attempts."""
     draw, more = Draw(key, "name" if kind.startswith("name") else kind, entity, attempt), attempt // 8
     if kind == "email":
@@ -144,6 +173,12 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         return entity[:start] + fill(entity[start:], "".join(drawn))
     if kind == "ssn":
         return f"{1 + draw.below(665):03d}-{1 + draw.below(99):02d}-{1 + draw.below(9999):04d}"
+    if kind == "address6":
+        # The first group tells the kind of network and stays; others keep their length until that leaves too few addresses.
+        first, *rest = entity.split(":")
+        if more:
+            return ":".join([first or "2001", *["".join("0123456789abcdef"[draw.below(16)] for _ in range(4)) for _ in range(7)]])
+        return ":".join([first, *["".join(draw.like(c, True) for c in group) for group in rest]])
     if kind == "address":
         parts = entity.split(".")
         private = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
@@ -162,7 +197,8 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
 def people(text: str) -> list[tuple[int, int, str, str]]:
     """Parts of names after a title, and the same names, first and family, elsewhere in the text.
 
-    A name has one kind in the document as long as the titles do not tell two genders; then each person has its own. A name that
+    A name in capitals is the name it spells, and is looked for in capitals too. In small letters only whole names are looked for,
+    first and family one after the other, as one small word may be any word. A name has one kind in the document as long as the titles do not tell two genders; then each person has its own. A name that
     stands alone belongs to the person named last before it, or else to the first.
     """
     mentions = []
@@ -179,6 +215,10 @@ def people(text: str) -> list[tuple[int, int, str, str]]:
             mentions.append(("m" if match[1] in _MALE else "f" if match[1] in _FEMALE else "n", parts))
     if not mentions:
         return []
+    # Capitals stand for the spelling of the document, if it has one.
+    spelled = {word.upper(): word for _, parts in mentions for _, word in parts if not word.isupper()}
+    whole_names = {tuple(spelled.get(word, written(word)) for _, word in parts) for _, parts in mentions if len(parts) > 1}
+    mentions = [(gender, [(start, spelled.get(word, written(word))) for start, word in parts]) for gender, parts in mentions]
     families = {parts[-1][1] for _, parts in mentions if len(parts) > 1}
     firsts = {word for _, parts in mentions for _, word in parts[:-1]}
     rows, told = [], defaultdict(list)
@@ -207,13 +247,31 @@ def people(text: str) -> list[tuple[int, int, str, str]]:
         found.append((start, start + len(word), kind, word))
         places[word].append((start, kind))
     taken = {start for start, *_ in found}
-    for match in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(places, key=len, reverse=True))) + r")\b", text):
-        if match.start() not in taken:
-            own = places[match[0]]
-            found.append((*match.span(), own[max(bisect_left(own, (match.start(),)) - 1, 0)][1], match[0]))
+
+    def again(start: int, end: int, name: str) -> None:
+        if start not in taken:
+            own = places[name]
+            found.append((start, end, own[max(bisect_left(own, (start,)) - 1, 0)][1], name))
+            taken.add(start)
+
+    forms = {name: name for name in places} | {name.upper(): name for name in places if len(name) > 2 and len(name.upper()) == len(name)}
+    for match in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(forms, key=len, reverse=True))) + r")\b", text):
+        again(*match.span(), forms[match[0]])
+    small = {" ".join(names).lower(): names for names in whole_names if len(" ".join(names).lower()) == len(" ".join(names))}
+    if small:
+        for match in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(small, key=len, reverse=True))) + r")\b", text):
+            start = match.start()
+            for name in small[match[0]]:
+                again(start, start + len(name), name)
+                start += len(name) + 1
     return found
 
 
+def in_case_of(name: str, form: str, entity: str) -> str:
+    """The surrogate of `entity`, which stands in the text as `form`, in the same case."""
+    return name if form == entity else name.upper() if form.isupper() else name.lower() if form.islower() else name
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Entities (start, end, kind, entity) in order, none overlapping; where finds overlap, the kind named first here wins."""
     found: list[tuple[int, int, str, str]] = []
@@ -229,6 +287,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         found += [(*m.span(), "phone", m[0]) for form in (PHONE, PLAIN_PHONE) for m in form.finditer(text) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
         found += [(*m.span(), "ssn", m[0]) for m in SSN.finditer(text)]
         found += [(*m.span(), "address", m[0]) for m in ADDRESS.finditer(text)]
+        if "::" in text or text.count(":") > 6:
+            found += [(*m.span(), "address6", m[0]) for m in ADDRESS6.finditer(text) if is_address6(m[0])]
     found += people(text)
     if len(found) < 2:
         return found
@@ -260,7 +320,7 @@ def entities(df: DataFrame, text: str = "text", key: str | None = None) -> DataF
     return map_arrow(df.select(text, *([key] if key else [])), run, own + "kind string, entity string").distinct()
 
 
-def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def redrawn(found: DataFrame, key: bytes = b"") -> DataFrame:
     """(kind, entity, attempt) of the entities whose first replacement collides, with the attempt that does not."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,17 +353,20 @@ def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes, known:
             new = surrogate(kind, entity, attempts.get(name, 0), key)
             if name not in attempts:
                 known[name] = new
-        out += [text[at:start], new]
+        out += [text[at:start], in_case_of(new, text[start:end], entity) if kind.startswith("name") else new]
         at = end
     return "".join(out) + text[at:], len(found)
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = "doc_id", secret: bytes = KEY, count: str | None = None) -> DataFrame:
+def pseudonymise(df: DataFrame, text: str = "text", key: str = "doc_id", secret: bytes | None = None, count: str | None = None) -> DataFrame:
     """The same rows and columns with the entities of `text` replaced; `count` names an added column of how many.
 
+    Without `secret` the key is the session's (`session_key`).
+
     Null stays null and an empty text empty; texts without entities are unchanged byte for byte. Repeated rows and keys get equal
     replacements. Extra columns pass through, whatever their names; `count` must be a new name.
     """
+    secret = session_key(df.sparkSession) if secret is None else secret
     redraws = materialize(redrawn(entities(df, text), secret))
     names = df.columns
     place, where = names.index(text), len(names)

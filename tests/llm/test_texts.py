@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import ipaddress
 import random
 import re
 import zlib
@@ -361,3 +362,66 @@ def test_phones_with_blanks_and_bare(spark):
         new = pii.surrogate("phone", phone)
         assert [(kind, old) for *_, kind, old in pii.detect(new)] == [("phone", new)] and new != phone and (new[0] == "0") == (phone[0] == "0")
     assert not any(pii.detect(f"see {other} there") for other in others)
+
+
+def test_known_names_in_other_cases(spark):
+    texts = ["Mr. John Smith signed. JOHN SMITH, john smith and SMITH agreed; a smith will john.", "Mrs. ANNA BELL wrote, then Anna Bell and anna bell left.", "Mr. John Smith alone."]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(table(spark, texts)).collect()}
+    first, family = re.match(r"Mr\. (\w+) (\w+) signed", got[0]).groups()
+    assert got[0] == f"Mr. {first} {family} signed. {first.upper()} {family.upper()}, {first.lower()} {family.lower()} and {family.upper()} agreed; a smith will john."
+    assert got[2] == f"Mr. {first} {family} alone." and {first, family} & {"John", "Smith"} == set()
+    other, bell = re.search(r"then (\w+) (\w+) and", got[1]).groups()
+    assert got[1] == f"Mrs. {other.upper()} {bell.upper()} wrote, then {other} {bell} and {other.lower()} {bell.lower()} left."
+
+
+def test_long_addresses(spark):
+    found = ["2001:db8:85a3::8a2e:370:7334", "fe80:0:0:0:204:61ff:fe9d:f156", "2001:DB8:0:1:1:1:1:1"]
+    others = ["12:30:45", "std::string", "a::b", "::1", "00:1A:2B:3C:4D:5E", "1:2:3:4:5:6:7:8:9", "cafe::bad:add"]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(table(spark, [f"at {a}, and x:: : : : : :" for a in found + others])).collect()}
+    for i, old in enumerate(found):
+        new = re.match(r"at (\S+), and", got[i])[1]
+        assert new != old and ipaddress.IPv6Address(new) and new.split(":")[0] == old.split(":")[0] and re.sub("[0-9a-fA-F]", "0", new) == re.sub("[0-9a-fA-F]", "0", old)
+    assert [got[len(found) + i] for i in range(len(others))] == [f"at {a}, and x:: : : : : :" for a in others]
+    few = [f"2001:1::{i % 10}" for i in range(10)]
+    assert len({r["text"] for r in pii.pseudonymise(table(spark, few)).collect()}) == 10
+
+
+def test_key_of_the_session(spark):
+    df = table(spark, ["Mr. John Smith, a.b@mail5.example"])
+    own = pii.pseudonymise(df).first()["text"]
+    assert own == pii.pseudonymise(df).first()["text"] and len(pii.session_key(spark)) == 32
+    spark.conf.set(pii.KEY_SETTING, "one")
+    try:
+        named = pii.pseudonymise(df).first()["text"]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert named == pii.pseudonymise(df, secret=b"one").first()["text"] != own
+
+
+def test_planted_entities_are_all_that_changes(spark):
+    """Texts put together from plain words and planted entities; the parts are known, no pattern of the operator is used."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(4, 8))).capitalize()
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    people = [(rng.choice(["Mr.", "Mrs."]), name() + "q", name() + "x") for _ in range(12)]
+    mails = [f"{name().lower()}.{digits(2)}@{name().lower()}.example" for _ in range(12)]
+    phones = [f"+1 ({rng.randint(200, 999)}) {digits(3)}-{digits(4)}" for _ in range(12)]
+    ssns = [f"{rng.randint(700, 999)}-{digits(2)}-{digits(4)}" for _ in range(12)]
+    plain = ["the", "cat", "12", "apples", "3.5", "Visit", "our", "place;", "no", "end"]
+    made = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            title, first, family = rng.choice(people)
+            parts += [(" ".join(rng.choice(plain) for _ in range(rng.randint(2, 9))) + ", ", None)]
+            parts += rng.choice([[(f"{title} ", None), (first, "name"), (" ", None), (family, "name")], [(rng.choice(mails), "mail")], [(rng.choice(phones), "phone")], [(rng.choice(ssns), "ssn")]]) + [(" , ", None)]
+        made.append(parts)
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(table(spark, ["".join(p for p, _ in parts) for parts in made])).collect()}
+    new, shapes = {}, {"name": r"[A-Z][a-z]+", "mail": r"[a-z]+\.\d\d@[a-z]+\.example", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "ssn": r"\d{3}-\d\d-\d{4}"}
+    for i, parts in enumerate(made):
+        match = re.fullmatch("".join(re.escape(text) if kind is None else f"({shapes[kind]})" for text, kind in parts), got[i])
+        assert match, (parts, got[i])
+        for (old, kind), now in zip([part for part in parts if part[1]], match.groups()):
+            assert new.setdefault((kind, old), now) == now != old
+    assert len(set(new.values())) == len(new) and not set(new.values()) & {old for _, old in new}
