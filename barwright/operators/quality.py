@@ -267,6 +267,7 @@ def bar_profile(bars: DataFrame, keys: Sequence[str], minutes: int) -> DataFrame
     facts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), count_where(F.col("_m") < 0).alias("out_of_order"),
         count_where(any_of([F.col(x).isNull() for x in NUMERIC])).alias("rows_with_null"),
+        *[count_where(F.col(x).isNull()).alias(f"null_{x}") for x in ("ts", *NUMERIC)],
         count_where(invalid).alias("invalid_ohlc"), count_where(F.least(o, h, l, c) <= 0).alias("nonpositive_prices"),
         count_where(F.col("spread") < 0).alias("negative_spread"), count_where(F.col("spread") == 0).alias("zero_spread"),
         count_where(F.col("tick_volume") < 0).alias("negative_tick_volume"),

@@ -243,7 +243,10 @@ def flagged(t: Tables) -> DataFrame:
 @query("q24_bar_profile", FEED_SQL + """, o AS (SELECT *, lag(ts) OVER (ORDER BY source_row) AS pt,
   (epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY source_row))) / 60000000 AS m FROM feed)
 SELECT count(*) AS "rows", count(*) - count(DISTINCT ts) AS duplicate_timestamps, count(*) FILTER (m < 0) AS out_of_order,
-  count(*) FILTER (close IS NULL) AS rows_with_null,
+  count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR tick_volume IS NULL OR spread IS NULL OR real_volume IS NULL) AS rows_with_null,
+  count(*) FILTER (ts IS NULL) AS null_ts, count(*) FILTER (open IS NULL) AS null_open, count(*) FILTER (high IS NULL) AS null_high,
+  count(*) FILTER (low IS NULL) AS null_low, count(*) FILTER (close IS NULL) AS null_close, count(*) FILTER (tick_volume IS NULL) AS null_tick_volume,
+  count(*) FILTER (spread IS NULL) AS null_spread, count(*) FILTER (real_volume IS NULL) AS null_real_volume,
   count(*) FILTER (NOT (low <= least(open, high, low, close) AND high >= greatest(open, high, low, close))) AS invalid_ohlc,
   count(*) FILTER (least(open, high, low, close) <= 0) AS nonpositive_prices, count(*) FILTER (spread < 0) AS negative_spread,
   count(*) FILTER (spread = 0) AS zero_spread, count(*) FILTER (tick_volume < 0) AS negative_tick_volume,
