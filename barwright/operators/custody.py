@@ -31,15 +31,21 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
 def assign_batches(ticks: DataFrame, width_micros: int, overlap_micros: int, order: str) -> DataFrame:
     """Overlapping polls: every tick in its own batch, ticks near the end again in the next. Order and multiplicity stay.
 
-    A batch holds at most ROW_LIMIT rows by rule (`limit_status` stops larger ones), which bounds the
-    numbering window.
+    A batch of any size is numbered in cells of ROW_LIMIT values of `order`, a whole number, and each cell adds what lies ahead of
+    it: batches beyond the limit are kept and numbered whole (`limit_status` names them), and no task orders more than a cell. Rows
+    without an order value come first.
     """
     us = F.unix_micros("ts")
     home = F.floor(us / F.lit(width_micros)).cast("bigint")
     again = F.when(F.pmod(us, F.lit(width_micros)) >= width_micros - overlap_micros, home + 1)
     rows = ticks.withColumn("batch", F.explode(F.array_compact(F.array(home, again))))
-    w = Window.partitionBy("symbol", "batch").orderBy(order)
-    return rows.withColumn("response_index", (F.row_number().over(w) - 1).cast("bigint"))
+    rows = rows.withColumn("_cell", F.coalesce(F.floor(F.col(order) / F.lit(ROW_LIMIT)), F.lit(-(1 << 62))))
+    cell = ["symbol", "batch", "_cell"]
+    ahead = F.sum("_n").over(Window.partitionBy("symbol", "batch").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_o{c}") for c in cell], F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*cell).orderBy(order)))
+    joined = placed.join(offsets, [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in cell])
+    return joined.select(*ticks.columns, "batch", (F.col("_ahead") + F.col("_place") - 1).cast("bigint").alias("response_index"))
 
 
 def batch_table(batched: DataFrame, width_micros: int) -> DataFrame:
