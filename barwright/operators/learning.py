@@ -153,13 +153,19 @@ def importances(booster: boosting.Booster, features: Sequence[str], folds: Seque
 
 
 def rank_stability(table: DataFrame) -> DataFrame:
-    """Mean Spearman correlation of importance ranks between consecutive folds (average ranks for ties)."""
+    """Mean Spearman correlation of importance ranks between consecutive folds (average ranks for ties).
+
+    A fold whose features all share one rank (trees without a split) has no correlation: its pairs are left out, and a learner without any pair has NULL.
+    """
     w = Window.partitionBy("fold", "learner").orderBy("importance")
     tied = Window.partitionBy("fold", "learner", "importance")
     ranked = table.withColumn("rank", F.rank().over(w) + (F.count(F.lit(1)).over(tied) - 1) / 2)
     before = ranked.select((F.col("fold") + 1).alias("fold"), "learner", "feature", F.col("rank").alias("_before"))
-    per = ranked.join(before, ["fold", "learner", "feature"]).groupBy("learner", "fold").agg(F.corr("rank", "_before").alias("_c"))
-    return per.where(~F.isnan("_c")).groupBy("learner").agg(F.avg("_c").alias("rank_stability"), F.count(F.lit(1)).alias("fold_pairs"))
+    x, y = F.col("rank"), F.col("_before")
+    spread = [F.var_pop(c) for c in (x, y)]
+    per = ranked.join(before, ["fold", "learner", "feature"]).groupBy("learner", "fold").agg(F.covar_pop(x, y).alias("_xy"), F.sqrt(spread[0] * spread[1]).alias("_s"))
+    per = table.select("learner").distinct().join(per.withColumn("_c", F.when(F.col("_s") > 0, F.try_divide("_xy", "_s"))), "learner", "left")
+    return per.groupBy("learner").agg(F.avg("_c").alias("rank_stability"), F.count("_c").alias("fold_pairs"))
 
 
 def save_model(spark, root: str, booster: boosting.Booster, medians: DataFrame, calibrators, manifest: Mapping[str, object]) -> None:
