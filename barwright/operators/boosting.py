@@ -1,9 +1,9 @@
 """Gradient boosting of many models at once by histograms.
 
 A model is a group of rows (a fold of a run) and a learner; the trees of all models, and of all classes or targets inside them, grow side by
-side. A round is one aggregate per level: every task adds up gradients per (group, learner, output, node, feature, bin), the sums of all tasks
-choose the splits, and the leaves follow from the sums of the last level. Jobs grow with rounds and depth, not with models, and what the driver
-sees is histograms, never rows. Rounds end for a model when its loss on the rows held out for stopping has not improved for a while.
+side. A round is one aggregate per level: every task adds up gradients per (group, learner, output, node, feature, bin), the sums of one output of
+one model meet in one task that chooses its splits, and the leaves follow from the sums of the last level. Jobs grow with rounds and depth, not
+with models, and what the driver sees is splits, never histograms or rows. Rounds end for a model when its loss on the rows held out for stopping has not improved for a while.
 
 Three learners differ in how they grow: `levelwise` splits every node by itself, `sampled` does so on a hashed four fifths of the rows of each
 round, `symmetric` gives all nodes of a level one split.
@@ -11,7 +11,7 @@ round, `symmetric` gives all nodes of a level one split.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,13 +116,43 @@ def added(rdd: RDD) -> np.ndarray | tuple:
     return rdd.treeReduce(both) if rdd.getNumPartitions() > 32 else rdd.reduce(both)
 
 
-def level_sums(state: RDD, kind: str, groups: int, outputs: int, features: int, depth: int, number: int, trees: list, current: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gradients and weights per group, learner, output, node, feature, bin; loss and number of the rows held out per group and learner)."""
+def best_splits(sums: np.ndarray, alike: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, gain, left sums, right sums) per node, for one output of one model; sums are 2 x node x feature x bin."""
+    left = np.cumsum(sums, axis=-1)
+    total = left[..., -1:]
+    right = total - left
+
+    def worth(part: np.ndarray) -> np.ndarray:
+        return part[0] ** 2 / (part[1] + RIDGE)
+    gain = worth(left) + worth(right) - worth(total)
+    gain = np.where((left[1] >= LEAST_WEIGHT) & (right[1] >= LEAST_WEIGHT), gain, 0.0)
+    gain[..., -1] = 0
+    flat = gain.reshape(len(gain), -1)
+    if alike:
+        # One split for all nodes of a level of the symmetric learner: the one of the largest gain in sum.
+        flat = np.broadcast_to(np.where(flat >= 0, flat, 0).sum(axis=0, keepdims=True), flat.shape)
+    chosen = flat.argmax(axis=-1)
+    won = np.take_along_axis(flat, chosen[..., None], axis=-1)[..., 0]
+    feature, cut = np.divmod(chosen, BINS)
+    feature = np.where(won > 1e-12, feature, -1)
+
+    def at(part: np.ndarray) -> np.ndarray:
+        return np.take_along_axis(part.reshape(*part.shape[:-2], -1), np.broadcast_to(chosen, part.shape[:-2])[..., None], axis=-1)[..., 0]
+    none = feature < 0
+    return feature, cut, np.maximum(won, 0), np.where(none, total[..., 0, 0], at(left)), np.where(none, 0.0, at(right))
+
+
+def level_splits(state: RDD, kind: str, groups: int, outputs: int, features: int, depth: int, number: int, trees: list, current: tuple[np.ndarray, np.ndarray]) -> tuple[list, np.ndarray, np.ndarray]:
+    """([(group, learner, output), what `best_splits` says] of all groups with rows; loss and number of the rows held out per group and learner, at depth 0).
+
+    The sums of one output of one model meet in one task, which adds them up in the order of the partitions and chooses the splits there: the driver
+    receives splits, never sums.
+    """
     nodes = 1 << depth
 
-    def run(blocks: Iterator[Rows]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def run(place: int, blocks: Iterator[Rows]) -> Iterator[tuple[tuple, tuple]]:
         sums = np.zeros((2, len(LEARNERS), outputs, features, groups * nodes * BINS))
-        loss, count = np.zeros((groups, len(LEARNERS))), np.zeros((groups, 1))
+        loss, count, seen = np.zeros((groups, len(LEARNERS))), np.zeros(groups), np.zeros(groups, bool)
         for g, p, x, y, mark, before in blocks:
             score = advanced(before, x, g, trees)
             if kind == "classes":
@@ -136,8 +166,10 @@ def level_sums(state: RDD, kind: str, groups: int, outputs: int, features: int,
             held = p == STOP
             np.add.at(loss, g[held], lost[held])
             np.add.at(count, g[held], 1)
+            seen[g] = True
             # A hash of row and round draws the rows of the sampled learner.
-            drawn = ((mark ^ (number * 0x9E3779B9)) * 0x9E3779B1 >> 16 & 0xFFFF) < SHARE * 0x10000
+            with np.errstate(over="ignore"):
+                drawn = ((mark ^ (number * 0x9E3779B9)) * 0x9E3779B1 >> 16 & 0xFFFF) < SHARE * 0x10000
             for l, name in enumerate(LEARNERS):
                 use = np.flatnonzero((p == FIT) & (drawn if name == "sampled" else True))
                 own, bins = g[use], x[use]
@@ -147,38 +179,26 @@ def level_sums(state: RDD, kind: str, groups: int, outputs: int, features: int,
                         at = node * BINS + bins[:, f]
                         for i, value in enumerate((slope, weight)):
                             sums[i, l, k, f] += np.bincount(at, value[use, l, k], minlength=groups * nodes * BINS)
-        yield sums, loss, count
-
-    with np.errstate(over="ignore"):
-        sums, loss, count = added(state.mapPartitions(run))
-    return sums.reshape(2, len(LEARNERS), outputs, features, groups, nodes, BINS).transpose(0, 4, 1, 2, 5, 3, 6), loss, count
-
-
-def best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, cut, gain, left sums, right sums) per group, learner, output, node; sums are 2 x group x learner x output x node x feature x bin."""
-    left = np.cumsum(sums, axis=-1)
-    total = left[..., -1:]
-    right = total - left
+        sums = sums.reshape(2, len(LEARNERS), outputs, features, groups, nodes, BINS)
+        for g in np.flatnonzero(seen).tolist():
+            for l in range(len(LEARNERS)):
+                for k in range(outputs):
+                    yield (g, l, k), (place, sums[:, l, k, :, g].transpose(0, 2, 1, 3).copy(), loss[g, l], count[g])
 
-    def worth(part: np.ndarray) -> np.ndarray:
-        return part[0] ** 2 / (part[1] + RIDGE)
-    gain = worth(left) + worth(right) - worth(total)
-    gain = np.where((left[1] >= LEAST_WEIGHT) & (right[1] >= LEAST_WEIGHT), gain, 0.0)
-    gain[..., -1] = 0
-    flat = gain.reshape(*gain.shape[:-2], -1)
-    same = LEARNERS.index("symmetric")
-    # One split for all nodes of a level of the symmetric learner: the one of the largest gain in sum.
-    flat[:, same] = np.broadcast_to(np.where(flat[:, same] >= 0, flat[:, same], 0).sum(axis=2, keepdims=True), flat[:, same].shape)
-    chosen = flat.argmax(axis=-1)
-    won = np.take_along_axis(flat, chosen[..., None], axis=-1)[..., 0]
-    feature, cut = np.divmod(chosen, BINS)
-    feature = np.where(won > 1e-12, feature, -1)
+    def chosen(item: tuple[tuple, Iterable]) -> tuple:
+        (g, l, k), parts = item
+        parts = sorted(parts, key=lambda part: part[0])
+        total, loss, count = parts[0][1:]
+        for _, sums, lost, rows in parts[1:]:
+            total, loss, count = total + sums, loss + lost, count + rows
+        return (g, l, k), best_splits(total, LEARNERS[l] == "symmetric"), loss, count
 
-    def at(part: np.ndarray) -> np.ndarray:
-        return np.take_along_axis(part.reshape(*part.shape[:-2], -1), np.broadcast_to(chosen, part.shape[:-2])[..., None], axis=-1)[..., 0]
-    none = feature < 0
-    whole = np.broadcast_to(total[..., 0, 0], (2, *chosen.shape))
-    return feature, cut, np.maximum(won, 0), np.where(none, whole, at(left)), np.where(none, 0.0, at(right))
+    tasks = max(1, min(state.getNumPartitions(), groups))
+    found = state.mapPartitionsWithIndex(run).groupByKey(tasks).map(chosen).collect()
+    loss, count = np.zeros((groups, len(LEARNERS))), np.zeros((groups, 1))
+    for (g, l, _), _, lost, rows in found:
+        loss[g, l], count[g, 0] = lost, rows
+    return [(key, splits) for key, splits, _, _ in found], loss, count
 
 
 def train(df: DataFrame, features: Sequence[str], targets: Sequence[str], groups: int, kind: str = "classes", classes: int = 3, rounds: int = ROUNDS,
@@ -207,7 +227,7 @@ def train(df: DataFrame, features: Sequence[str], targets: Sequence[str], groups
     for number in range(rounds + 1):
         feature, cut = np.full((*shape, (1 << DEPTH) - 1), -1, np.int64), np.zeros((*shape, (1 << DEPTH) - 1), np.int64)
         for depth in range(DEPTH if number < rounds else 1):
-            sums, loss, count = level_sums(state, kind, groups, outputs, width, depth, number, recent, (feature, cut))
+            found, loss, count = level_splits(state, kind, groups, outputs, width, depth, number, recent, (feature, cut))
             if depth == 0:
                 now = loss / np.maximum(count, 1)
                 losses.append(now)
@@ -216,7 +236,10 @@ def train(df: DataFrame, features: Sequence[str], targets: Sequence[str], groups
                 growing &= number - used < PATIENCE
             if number == rounds:
                 break
-            f, c, gain, left, right = best_splits(sums)
+            f, c = np.full((*shape, 1 << depth), -1, np.int64), np.zeros((*shape, 1 << depth), np.int64)
+            gain, left, right = np.zeros(f.shape), np.zeros((2, *f.shape)), np.zeros((2, *f.shape))
+            for at, splits in found:
+                f[at], c[at], gain[at], left[:, *at], right[:, *at] = splits
             f = np.where(growing[:, :, None, None], f, -1)
             at = slice((1 << depth) - 1, (1 << depth + 1) - 1)
             feature[..., at], cut[..., at] = f, c
