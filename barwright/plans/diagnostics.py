@@ -106,8 +106,8 @@ def reconciliation(t: Tables) -> DataFrame:
 
 
 @query("dx06_integrity_summary", STEADY_SQL + """ SELECT (SELECT count(*) FROM f) AS "rows", (SELECT count(*) FROM f WHERE spread = 0) AS zero_spread_rows,
-  (SELECT count(*) FROM gaps) AS gaps, (SELECT round(sum(absent_bars), 6) FROM gaps) AS absent_bars, (SELECT count(*) FROM episodes) AS stale_episodes,
-  (SELECT count(*) FROM episodes WHERE gap_edges > 0) AS stale_crossing_gaps, (SELECT sum(nonflat_bars)::BIGINT FROM episodes) AS stale_nonflat_bars""")
+  (SELECT count(*) FROM gaps) AS gaps, (SELECT coalesce(round(sum(absent_bars), 6), 0) FROM gaps) AS absent_bars, (SELECT count(*) FROM episodes) AS stale_episodes,
+  (SELECT count(*) FROM episodes WHERE gap_edges > 0) AS stale_crossing_gaps, (SELECT coalesce(sum(nonflat_bars), 0)::BIGINT FROM episodes) AS stale_nonflat_bars""")
 def summary(t: Tables) -> DataFrame:
     f = facts(t)
     out = D.integrity_summary(f, D.gap_table(f, TAU), D.stale_episodes(f, KEYS, day_chunk(), TAU))
