@@ -117,7 +117,7 @@ RANDOM = {"type": "session_hash_mod", "modulus": 10, "remainder": 3}
   UNION ALL SELECT 'RANDOM', session_id, {condition_sql(RANDOM)}, {TARGET} FROM lagged)""" + grouped_effect_sql("x", "hypothesis") + f""", w AS (SELECT max(CASE hypothesis WHEN 'MAIN' THEN effect END) AS effect,
   max(CASE hypothesis WHEN 'SHIFT7' THEN effect END) AS shift_effect, max(CASE hypothesis WHEN 'RANDOM' THEN effect END) AS random_effect FROM ge)
 SELECT {r('effect')} AS effect, {r('shift_effect')} AS shift_effect, {r('random_effect')} AS random_effect, {r('0.5 * greatest(abs(effect), 1e-12)')} AS control_limit,
-  abs(shift_effect) <= 0.5 * greatest(abs(effect), 1e-12) AND abs(random_effect) <= 0.5 * greatest(abs(effect), 1e-12) AS passed FROM w""")
+  coalesce(abs(shift_effect) <= 0.5 * greatest(abs(effect), 1e-12), false) AND coalesce(abs(random_effect) <= 0.5 * greatest(abs(effect), 1e-12), false) AS passed FROM w""")
 def negative_controls(t: Tables) -> DataFrame:
     framed = C.with_thresholds(lagged(t), states(t), [HIGH_VOL])
     rows = E.stack_hypotheses(framed, [("MAIN", C.condition(HIGH_VOL), F.col(TARGET)), ("SHIFT7", C.condition(HIGH_VOL), F.col("lagged_7")),
