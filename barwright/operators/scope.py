@@ -15,6 +15,8 @@ from barwright.session import materialize
 
 MAX_DEPTH = 32
 MAX_PARENTS = 32
+# Ways per certificate beyond which they are continued by short steps instead of by everything their ends reach.
+SPREAD = 8
 SETS = ("capabilities", "fields", "purposes", "consumers")
 
 
@@ -28,12 +30,40 @@ def _longest(ways: DataFrame) -> DataFrame:
     return materialize(ways.groupBy("id", "ancestor").agg(F.max("depth").alias("depth")))
 
 
+def _hops(reach: DataFrame, length: int, top: int) -> DataFrame:
+    """The closure from all ways of up to `length`, where many ways lead from a certificate to the same ancestors.
+
+    A round continues the ways found last by steps of up to `length`. Whatever lies on a loop is at the limit at once, and so is all that follows; such a
+    pair is continued only once, so that the rows joined stay a small multiple of the pairs found. Rounds grow with the longest chain over `length`.
+    """
+    ends = reach.select(F.col("id").alias("name")).union(reach.select("ancestor")).distinct()
+    numbers = materialize(ends.withColumn("number", F.monotonically_increasing_id()))
+
+    def renamed(df: DataFrame, old: str, new: str) -> DataFrame:
+        for end in ("id", "ancestor"):
+            df = df.join(numbers.select(F.col(old).alias(end), F.col(new).alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+        return df.select("id", "ancestor", "depth")
+    coded = materialize(renamed(reach, "name", "number"))
+    loops = coded.where("id = ancestor AND depth > 0").select("ancestor", F.lit(top).alias("_top"))
+    found = materialize(coded.join(loops, "ancestor", "left").select("id", "ancestor", F.coalesce("_top", "depth").alias("depth")))
+    step = found.where("depth > 0").select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("depth").alias("_more"))
+    ways, at = found.where(F.col("depth").isin(length, top)), length
+    while not ways.isEmpty():
+        at = min(at + length, top)
+        more = ways.select("id", "ancestor", "depth").join(step, "ancestor").select("id", F.col("_far").alias("ancestor"), F.least(F.col("depth") + F.col("_more"), F.lit(top)).alias("depth"))
+        both = found.select("id", "ancestor", "depth", F.col("depth").alias("_old")).unionByName(more.withColumn("_old", F.lit(-1)))
+        found = materialize(both.groupBy("id", "ancestor").agg(F.max("depth").alias("depth"), F.max("_old").alias("_old")))
+        ways = found.where((F.col("depth") > F.col("_old")) & F.col("depth").isin(at, top))
+    return renamed(found.select("id", "ancestor", "depth"), "number", "name")
+
+
 def ancestor_closure(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(id, ancestor, depth): every ancestor of every certificate, itself included, and the longest way there, at most max_depth.
 
     Semi-naive doubling: a round continues only the ways as long as the round before could find, so a way is joined once, and the rounds
     grow with the logarithm of the longest chain. No ancestor is left out; a depth at the limit marks a cycle or a chain that is too deep.
     Lengths are followed up to a power of two. Beyond it only new pairs count, and one join at the end marks whatever ways of that length lead to.
+    Once there are more than SPREAD ways of a length per certificate, doubling would join each of them to hundreds of ancestors: short steps go on.
     """
     top = 1 << max(max_depth - 1, 0).bit_length()
     reach = _longest(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(
@@ -42,6 +72,8 @@ def ancestor_closure(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DE
     # A way of up to twice the length is one of exactly this length and a rest; both are in `reach`.
     ways = reach.where("depth = 1")
     while length < top and not ways.isEmpty():
+        if ways.count() > SPREAD * ways.select("id").distinct().count():
+            return _hops(reach, length, top).withColumn("depth", F.least("depth", F.lit(max_depth)))
         reach, length = _longest(reach.unionByName(_onward(ways, reach, top))), 2 * length
         ways = reach.where(F.col("depth") == length)
     deep = materialize(ways)
