@@ -103,6 +103,44 @@ def graph_problems(closure: DataFrame, nodes: DataFrame, max_depth: int = MAX_DE
         F.count_if(F.col("_known").isNull()).alias("unknown_parents"), graph_status(max_depth).alias("status"))
 
 
+def folded(nodes: DataFrame, edges: DataFrame, merges: Mapping[str, Column] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, graph_status, *merges): what the certificates of an id and all its ancestors merge to, without the pairs of the closure.
+
+    `merges` are aggregates over columns of `nodes` for which repeated rows change nothing (largest, least, any, intersection, union). A round adds
+    what the parents know, one row per certificate and edge. A sound graph has no way of max_depth, so its merges are whole after as many rounds;
+    where the status is not OK only the status is (further rounds follow until unknown ancestors have reached all that descend from them).
+    """
+    merges = dict(merges or {})
+    links = materialize(edges.select("child", "parent").distinct())
+    state = materialize(nodes.select("id", F.lit(True).alias("_own"), F.lit(0).alias("_depth"), F.lit(False).alias("_unknown"), *merges))
+    known = None
+    while True:
+        parents = state.select(F.col("id").alias("parent"), *[c for c in state.columns if c != "id"])
+        above = links.join(parents, "parent", "left").select(
+            F.col("child").alias("id"), F.lit(False).alias("_own"), F.least(F.coalesce("_depth", F.lit(0)) + 1, F.lit(max_depth)).alias("_depth"),
+            (F.coalesce("_unknown", F.lit(False)) | ~F.coalesce("_own", F.lit(False))).alias("_unknown"), *merges)
+        state = materialize(state.unionByName(above).groupBy("id").agg(
+            F.max("_own").alias("_own"), F.max("_depth").alias("_depth"), F.max("_unknown").alias("_unknown"), *[merge.alias(name) for name, merge in merges.items()]))
+        now = tuple(state.agg(F.count(F.lit(1)), F.sum("_depth"), F.count_if("_unknown")).first())
+        if now == known:
+            break
+        known = now
+    status = F.when(F.col("_unknown"), F.lit("UNKNOWN_CERTIFICATE")).when(F.col("_depth") >= max_depth, F.lit("INVALID_PARENT_GRAPH")).otherwise(F.lit("OK"))
+    return state.select("id", status.alias("graph_status"), *merges)
+
+
+def united(column: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column))))
+
+
+def folded_scope(certificates: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """`effective_scope` without the closure."""
+    rows = certificates.withColumns({"instruments": F.array("instrument"), "partitions": F.array("partition")})
+    least, most = ("period_to", "valid_to"), ("period_from", "valid_from", "revoked")
+    return folded(rows, edges, {c: F.array_sort(common(c)) for c in SETS} | {c: united(c) for c in ("instruments", "partitions")}
+                  | {c: F.min(c) for c in least} | {c: F.max(c) for c in most}, max_depth)
+
+
 def common(column: str) -> Column:
     """Intersection of a string array over a group: members counted as often as there are rows.
 
@@ -238,5 +276,15 @@ def usable_at(closure: DataFrame, certificates: DataFrame, now: Column) -> DataF
     facts = certificates.select(F.col("id").alias("ancestor"), "revoked", "valid_from", "valid_to", F.lit(True).alias("_known"))
     facts = closure.join(facts, "ancestor", "left").groupBy("id").agg(
         graph_status().alias("_s"), F.max("revoked").alias("_r"), F.max("valid_from").alias("_f"), F.min("valid_to").alias("_t"))
+    return _state(facts, now)
+
+
+def folded_state(certificates: DataFrame, edges: DataFrame, now: Column, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """`usable_at` without the closure."""
+    facts = folded(certificates, edges, {"revoked": F.max("revoked"), "valid_from": F.max("valid_from"), "valid_to": F.min("valid_to")}, max_depth)
+    return _state(facts.toDF("id", "_s", "_r", "_f", "_t"), now)
+
+
+def _state(facts: DataFrame, now: Column) -> DataFrame:
     return facts.select("id", F.when(F.col("_s") != "OK", F.col("_s")).when(F.col("_r"), F.lit("REVOKED_CERTIFICATE")).when(now < F.col("_f"), F.lit("NOT_YET_VALID"))
                         .when(now >= F.col("_t"), F.lit("EXPIRED_CERTIFICATE")).otherwise(F.lit("ACTIVE")).alias("state"))
