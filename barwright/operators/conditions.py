@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barwright.functions.hashing import hashed_int
-from barwright.operators.quantiles import attach, exact_quantiles
+from barwright.operators.quantiles import attach, column_quantiles
 
 MINUTE_LIMIT = 270
 
@@ -40,13 +42,10 @@ def learn_thresholds(train: DataFrame, needs: set[tuple[str, float]], by: Sequen
         return None
     fields = sorted({f for f, _ in needs})
     probs = sorted({q for _, q in needs})
-    stacked = train.select(*by, *([fan] if fan else []), F.inline(F.array(*[
-        F.struct(F.lit(f).alias("_field"), F.col(f).cast("double").alias("_value")) for f in fields])))
-    table = exact_quantiles(stacked, "_value", probs, by=["_field", *by], names=[f"_p{i}" for i in range(len(probs))], fan=fan, few_groups=True,
-                            asked=[(f, probs.index(q)) for f, q in sorted(needs)])
+    table = column_quantiles(train, [(f, f, None) for f in fields], probs, [(f, probs.index(q)) for f, q in sorted(needs)], by=by, names=[f"_p{i}" for i in range(len(probs))], fan=fan)
     keys = [*by, "fold"] if fan else list(by)
     return table.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_field") == f, F.col(f"_p{probs.index(q)}"))).alias(threshold_name(f, q)) for f, q in sorted(needs)])
+        F.max(F.when(F.col("group") == f, F.col(f"_p{probs.index(q)}"))).alias(threshold_name(f, q)) for f, q in sorted(needs)])
 
 
 def condition(spec: Mapping, neighbour: float = 0.0, override: float | None = None) -> Column:
@@ -86,6 +85,57 @@ def condition(spec: Mapping, neighbour: float = 0.0, override: float | None = No
     return F.coalesce(out, F.lit(False))
 
 
+def bit_sets(rows: DataFrame, kept: Sequence[str], conditions: Sequence[Mapping], sets: Mapping[str, tuple[float, Mapping]], key: str) -> DataFrame:
+    """The kept columns and, per set, a bit for every one of up to 63 conditions, of quantile clauses and minute windows, that a row meets.
+
+    A set is (neighbour, thresholds by value of the integer column `key`, one of the kept ones). Written as one expression the conditions make a
+    method that the JVM refuses to compile; here each clause is one comparison of a batch, with the rules of `condition`.
+    """
+    fields = sorted({clause["field"] for spec in conditions for clause in (spec["clauses"] if spec["type"] == "all" else [spec])})
+    plan = []
+    for name, (n, limits) in sets.items():
+        tests = []
+        for spec in conditions:
+            clauses = []
+            for clause in spec["clauses"] if spec["type"] == "all" else [spec]:
+                if clause["type"] == "minute_range":
+                    shift = int(n * 15)
+                    clauses.append((clause["field"], max(0, clause["start"] + shift) if n else clause["start"], min(MINUTE_LIMIT, clause["end"] + shift) if n else clause["end"]))
+                elif clause["type"] in ("quantile_gte", "quantile_lte"):
+                    learned = threshold_name(clause["field"], clipped_quantile(clause["quantile"], n) if n else clause["quantile"])
+                    by_key = {k: np.nan if limit.get(learned) is None else limit[learned] for k, limit in limits.items()}
+                    clauses.append((clause["field"], by_key, None) if clause["type"] == "quantile_gte" else (clause["field"], None, by_key))
+                else:
+                    raise ValueError(f"unsupported condition {clause['type']}")
+            tests.append(clauses)
+        plan.append((name, tests))
+    source = rows.select(*kept, *[F.col(f).cast("double").alias(f"_{f}") for f in fields])
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:len(kept)]], *[f"{name} bigint" for name in sets]])
+    names, key_at, kept_count = [*kept, *sets], list(kept).index(key), len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, code = np.unique(batch.column(key_at).to_numpy(zero_copy_only=False), return_inverse=True)
+            states = {f: batch.column(kept_count + i).to_numpy(zero_copy_only=False) for i, f in enumerate(fields)}
+
+            def bound(limit):
+                return np.array([limit.get(k, np.nan) for k in found.tolist()], np.float64)[code] if isinstance(limit, dict) else limit
+            out = []
+            for _, tests in plan:
+                bits = np.zeros(batch.num_rows, np.int64)
+                for i, clauses in enumerate(tests):
+                    met = np.ones(batch.num_rows, bool)
+                    for field, low, high in clauses:
+                        if low is not None:
+                            met &= states[field] >= bound(low)
+                        if high is not None:
+                            met &= states[field] <= bound(high)
+                    bits |= met.astype(np.int64) << i
+                out.append(pa.array(bits))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept_count], *out], names=names)
+    return source.mapInArrow(run, schema)
+
+
 def with_thresholds(df: DataFrame, train: DataFrame, conditions: Sequence[Mapping], neighbours: Sequence[float] = (0.0,),
                     extra: set[tuple[str, float]] = frozenset()) -> DataFrame:
     """Attach every threshold the conditions need as scalars."""

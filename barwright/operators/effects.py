@@ -110,6 +110,11 @@ def clustered_mean(rows: DataFrame, by: Sequence[str], value: str, session: str
     group suffice and no global mean has to be sent back to the rows.
     """
     per = rows.where(F.col(value).isNotNull()).groupBy(*by, session).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return clustered_sessions(per, by)
+
+
+def clustered_sessions(per: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`clustered_mean` from one row per group and session with the sum and the count of the value (_s, _n)."""
     facts = per.groupBy(*by).agg(
         F.sum("_s").alias("_S"), F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("clusters"),
         F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.sum(F.col("_s") * F.col("_n")).alias("_sn"),

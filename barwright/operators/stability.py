@@ -177,6 +177,12 @@ def attacks(entries: DataFrame, by: Sequence[str], net: str, trim: str | None =
         F.sum(value).alias("_s"), F.count(value).alias("_n"), F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_rows"),
         F.sum(F.when(F.col(trim) < F.col("_q95"), value)).alias("_ts"), F.count(F.when(F.col(trim) < F.col("_q95"), value)).alias("_tn"),
         F.sum(F.least(F.greatest(value, F.col("_q01")), F.col("_q99"))).alias("_ws"))
+    return attacked_sessions(per, keys, session, top)
+
+
+def attacked_sessions(per: DataFrame, keys: Sequence[str], session: str = "session_id", top: int = 10) -> DataFrame:
+    """`attacks` from one row per group and session: sum, count and mean of the value (_s, _n, _m), all rows (_rows), sum and count below the
+    trim (_ts, _tn), and the winsorised sum (_ws)."""
     # Means that differ in the last digits only are ties, settled by the session.
     level = F.round("_m", 12)
     best = Window.partitionBy(*keys).orderBy(level.desc_nulls_last(), session)
@@ -202,7 +208,11 @@ def economic_skeptic(entries: DataFrame, by: Sequence[str], strong: Column, gros
         F.avg(F.when(strong, F.col(net))).alias("stronger_signal"), (count_where(g.isNull()) == 0).alias("gap_free"))
     per_regime = entries.groupBy(*keys, regime).agg(F.avg(net).alias("_m"))
     regimes = per_regime.groupBy(*keys).agg(F.count(F.lit(1)).alias("regimes"), count_where(F.col("_m") > 0).alias("positive_regimes"))
-    out = base.join(stress, keys).join(regimes, keys)
+    return economic_verdict(base.join(stress, keys).join(regimes, keys))
+
+
+def economic_verdict(out: DataFrame) -> DataFrame:
+    """The failure list of a table of attacked means, concentrations and regimes."""
     checks = [(n, F.col(n) > 0) for n in ("remove_best_5pct", "remove_best_sessions", "winsorised", "cost_1_5x", "spread_10pct", "mean", "stronger_signal")]
     checks += [("temporal_concentration", F.coalesce(F.col("temporal_concentration") <= 0.6, F.lit(True))), ("gap_sensitivity", F.col("gap_free")),
                ("regime_dependence", (F.col("regimes") <= 1) | (F.col("positive_regimes") >= 2))]

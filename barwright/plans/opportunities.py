@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barwright.functions.hashing import uniform
 from barwright.functions.numeric import failed_names, interval95, p_positive, ratio, rounded
 from barwright.operators import conditions as C, effects as E, resampling as R, stability as S, walkforward as W
-from barwright.operators.quantiles import attach, exact_quantiles
+from barwright.operators.quantiles import column_quantiles
+from barwright.operators.tallies import tallies
 from barwright.plans.bindings import Tables, rounded_all
 from barwright.plans.campaigns import EMBARGO, FIRST, PURGE, folds_sql
 from barwright.plans.evidence import p_sql
@@ -67,33 +68,26 @@ def ledger(t: Tables) -> DataFrame:
                                      *[F.expr(x).alias(name) for name, x in (STATES | OUTCOMES).items()])
 
 
-def bit_set(conditions: list[Column]) -> Column:
-    out = F.lit(0).cast("bigint")
-    for i, condition in enumerate(conditions):
-        out = out + F.when(condition, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-    return out
-
-
 def test_rows(t: Tables) -> DataFrame:
     """Test rows with three bit sets: the hypotheses that choose the row (thresholds of its own fold), and those whose weaker and stronger
     neighbours do (thresholds of the last fold's training rows). A row is one row, however many hypotheses there are."""
     def build() -> DataFrame:
         roled = W.fold_roles(ledger(t), "ts", FIRST, PURGE, EMBARGO)
         conditions = [condition for *_, condition in REGISTRY]
-        learned = C.learn_thresholds(roled, set().union(*[C.quantile_needs(c) for c in conditions]), fan="train_folds")
-        near = C.learn_thresholds(roled.where(F.array_contains("train_folds", last_fold(roled))), set().union(*[C.quantile_needs(c, n) for c in conditions for n in (-1, 1)]))
-        rows = W.test_rows(roled)
-        rows = rows.withColumns({f"size_{h}": share * F.greatest(F.abs("up"), F.abs("down")) for h, share in REACH.items()})
-        kept = [c for c in rows.columns if c not in STATES and c not in ("up", "down")]
+        learned = C.learn_thresholds(roled, set().union(*[C.quantile_needs(c, n) for c in conditions for n in (-1, 0, 1)]), fan="train_folds")
         # One row per fold: bounded by the years of the data.
-        rows = rows.join(F.broadcast(learned), "fold").withColumn("chosen", bit_set([C.condition(c) for c in conditions])).select(*kept, *STATES, "chosen")
-        rows = attach(rows, near)
-        return rows.withColumns({"weaker": bit_set([C.condition(c, -1) for c in conditions]), "stronger": bit_set([C.condition(c, 1) for c in conditions])}).select(*kept, "chosen", "weaker", "stronger")
+        limits = {row["fold"]: row.asDict() for row in learned.collect()}
+        last = limits.get(last_fold(roled), {})
+        rows = W.test_rows(roled).where(F.col("fold").isin(list(limits)))
+        rows = rows.withColumns({f"size_{h}": share * F.greatest(F.abs("up"), F.abs("down")) for h, share in REACH.items()})
+        kept = ["fold", "session_id", "state_regime", "coin", "cost", "g", *[f"size_{h}" for h in REACH]]
+        near = dict.fromkeys(limits, last)
+        return C.bit_sets(rows, kept, conditions, {"chosen": (0, limits), "weaker": (-1, near), "stronger": (1, near)}, "fold")
     return t.stored("opportunity_rows", build)
 
 
-def last_fold(roled: DataFrame) -> Column:
-    return F.lit(roled.agg(F.max(F.get("test_folds", 0))).first()[0] or FIRST)
+def last_fold(roled: DataFrame) -> int:
+    return roled.agg(F.max(F.get("test_folds", 0))).first()[0] or FIRST
 
 
 def size(h: int) -> Column:
@@ -101,7 +95,7 @@ def size(h: int) -> Column:
 
 
 def spread(rows: DataFrame, kinds: tuple[str, ...] = ("chosen",)) -> DataFrame:
-    """A row for every hypothesis that one of the bit sets names, in the stage that aggregates it."""
+    """A row for every hypothesis that one of the bit sets names: the plain form of what `sums` adds up, for tests and small tables."""
     bits = F.col(kinds[0])
     for kind in kinds[1:]:
         bits = bits.bitwiseOR(F.col(kind))
@@ -127,16 +121,49 @@ def told(t: Tables) -> DataFrame:
     return F.broadcast(t.spark.createDataFrame(rows, "hypothesis string, family string, horizon int, k double, complexity int, combo string"))
 
 
+REACHED = [f"reach_{h}" for h in sorted(REACH)]
+
+
 def sums(t: Tables) -> DataFrame:
-    """One row per hypothesis, session and regime: counts and sums of the chosen rows and of the neighbours."""
+    """One row per hypothesis, session and regime: counts and sums of the chosen rows and of the neighbours, and how many rows reach first at each horizon."""
     def build() -> DataFrame:
-        on = F.col("is_chosen")
-        return spread(test_rows(t), ("chosen", "weaker", "stronger")).groupBy(*HYP, "fold", "session_id", "state_regime").agg(
-            F.count_if(on).alias("n"), F.count_if(on & F.col("large")).alias("hits"), *[F.sum(F.when(on, F.col(c))).alias(f"sum_{c}") for c in ("mx", "cost", "surplus")],
-            F.count_if("is_weaker").alias("weaker_n"), F.sum(F.when(F.col("is_weaker"), F.col("surplus"))).alias("weaker_sum"), F.count_if("is_stronger").alias("stronger_n"), F.sum(F.when(F.col("is_stronger"), F.col("surplus"))).alias("stronger_sum"))
+        specs, reaches = [(h, float(k)) for _, h, k, _ in REGISTRY], sorted(REACH)
+
+        def measure(c, i):
+            h, k = specs[i]
+            at = (c["chosen"] >> i & 1).nonzero()[0]
+            cost, mx = c["cost"][at], c[f"size_{h}"][at]
+            need = k * cost
+            yield at, {"n": None, "hits": mx >= need, "sum_mx": mx, "sum_cost": cost, "sum_surplus": mx - need}
+            left = mx == mx
+            for x in reaches:
+                # A horizon that its excursion does not reach is passed over by every shorter one, as excursions grow with the horizon.
+                if x <= h:
+                    now = left & (c[f"size_{x}"][at] >= need)
+                    left = left & ~now
+                    yield at, {f"reach_{x}": now}
+            for kind in ("weaker", "stronger"):
+                at = (c[kind] >> i & 1).nonzero()[0]
+                yield at, {f"{kind}_n": None, f"{kind}_sum": c[f"size_{h}"][at] - k * c["cost"][at]}
+        rows = test_rows(t).select("fold", "session_id", "state_regime", "chosen", "weaker", "stronger", "cost", *[f"size_{h}" for h in REACH])
+        return tallies(rows, ["fold", "session_id", "state_regime"], IDS, ["n", "hits", *REACHED, "weaker_n", "stronger_n"], ["sum_mx", "sum_cost", "sum_surplus", "weaker_sum", "stronger_sum"], measure).withColumn("fold", F.col("fold").cast("int"))
     return t.stored("opportunity_sums", build)
 
 
+LEVELS = {"_q01": 0.01, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "_q99": 0.99}
+
+
+def levels(t: Tables) -> DataFrame:
+    """Quantiles of the excursion (p) and of the surplus (_q) of every hypothesis."""
+    def build() -> DataFrame:
+        rows = test_rows(t).select("chosen", *[f"size_{h}" for h in REACH], *[(size(h) - float(k) * F.col("cost")).alias(f"surplus_{h}_{k}") for h, k in COMBOS])
+        groups = [(f"{kind}:{name}", f"size_{h}" if kind == "p" else f"surplus_{h}_{k}", i) for i, (name, (_, h, k, _)) in enumerate(zip(IDS, REGISTRY)) for kind in ("p", "_q")]
+        asked = [(group, n) for group, *_ in groups for n, level in enumerate(LEVELS) if level.startswith(group.split(":")[0])]
+        found = column_quantiles(rows, groups, list(LEVELS.values()), asked, names=list(LEVELS), bits="chosen")
+        return found.groupBy(F.substring_index("group", ":", -1).alias("hypothesis")).agg(*[F.max(level).alias(level) for level in LEVELS])
+    return t.stored("opportunity_levels", build)
+
+
 def base_rates(t: Tables) -> DataFrame:
     """(session, combo, all_n, all_hits): how often any row is large, per horizon and multiple."""
     def build() -> DataFrame:
@@ -164,31 +191,43 @@ def skeptic(t: Tables) -> DataFrame:
     """The attacks on every hypothesis; all but the trimmed means come from the sums."""
     def build() -> DataFrame:
         table = sums(t).join(told(t), HYP)
-        trimmed = S.attacks(spread(test_rows(t)), HYP, "surplus", trim="mx").drop("temporal_concentration", "sample_concentration")
+        per, random = trimmed_sessions(t)
+        trimmed = S.attacked_sessions(per, HYP).drop("temporal_concentration", "sample_concentration")
         n = F.sum("n")
         facts = table.groupBy(*HYP).agg(n.alias("support"), ratio(F.sum(F.col("sum_mx") - 1.5 * F.col("k") * F.col("sum_cost")), n).alias("cost_1_5x"), ratio(F.sum(F.col("sum_mx") - 2 * F.col("k") * F.col("sum_cost")), n).alias("cost_2x"),
                                         ratio(F.sum("weaker_sum"), F.sum("weaker_n")).alias("weaker_surplus"), ratio(F.sum("stronger_sum"), F.sum("stronger_n")).alias("stronger_surplus"), ratio(F.sum("hits"), n).alias("selected_rate"))
         years = table.where("n > 0").groupBy(*HYP, F.substring("session_id", 1, 4)).agg(ratio(F.sum("sum_surplus"), F.sum("n")).alias("_m")).groupBy(*HYP).agg(F.count(F.lit(1)).alias("years"), F.count_if(F.col("_m") > 0).alias("positive_years"))
         regimes = table.where("n > 0").groupBy(*HYP, "state_regime").agg(ratio(F.sum("sum_surplus"), F.sum("n")).alias("_m")).groupBy(*HYP).agg(F.min("_m").alias("worst_regime"))
         out = told(t).select(*HYP)
-        for part in (trimmed, facts, years, regimes, random_rates(t)):
+        for part in (trimmed, facts, years, regimes, random):
             out = out.join(part, HYP, "left")
         checks = [(c, F.col(c) > 0) for c in SKEPTIC_CHECKS] + [("year_concentration", F.col("positive_years") >= F.greatest(F.lit(2), F.col("years") - 1))]
         return out.withColumn("failures", failed_names(checks)).drop("support")
     return t.stored("opportunity_skeptic", build)
 
 
-def random_rates(t: Tables) -> DataFrame:
-    """Rate of a random condition as frequent as the chosen one. Rows are counted between the thirty shares, and the counts summed up."""
+def trimmed_sessions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """What the attacks read of every session, and the rate of a random condition as frequent as the chosen one: (rows per session, random_rate)."""
     total = base_rates(t).groupBy("combo").agg(F.sum("all_n").alias("_all"))
-    shares = sums(t).groupBy(*HYP).agg(F.sum("n").alias("_n")).join(told(t), HYP).join(total, "combo").select(*HYP, "combo", (F.col("_n") / F.col("_all")).alias("share"))
-    # One number per hypothesis.
-    edges = sorted({row["share"] for row in shares.collect()})
-    slot = sum(((F.col("coin") >= edge).cast("int") for edge in edges), F.lit(0))
-    counted = test_rows(t).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(size(h) >= k * F.col("cost")).alias(f"hits_{h}_{k}") for h, k in COMBOS])
-    long = counted.select("slot", "n", F.inline(F.array(*[F.struct(F.lit(f"{h}:{k}").alias("combo"), F.col(f"hits_{h}_{k}").alias("hits")) for h, k in COMBOS])))
-    below = sum(((F.col("share") > edge).cast("int") for edge in edges), F.lit(0))
-    return shares.withColumn("_below", below).join(long, "combo").where(F.col("slot") <= F.col("_below")).groupBy(*HYP).agg(ratio(F.sum("hits"), F.sum("n")).alias("random_rate"))
+    shares = sums(t).groupBy(*HYP).agg(F.sum("n").alias("_n")).join(told(t), HYP).join(total, "combo").select(*HYP, (F.col("_n") / F.col("_all")).alias("share"))
+    # A few numbers per hypothesis.
+    cuts = {row["hypothesis"]: row for row in shares.join(levels(t), HYP, "left").collect()}
+    specs = [(h, float(k), *([cuts[name][c] for c in ("share", "_q01", "_q99", "p95")] if name in cuts else [0.0] + [None] * 3)) for name, (_, h, k, _) in zip(IDS, REGISTRY)]
+    specs = [tuple(float("nan") if x is None else x for x in spec) for spec in specs]
+
+    def measure(c, i):
+        h, k, share, low, high, upper = specs[i]
+        at = (c["chosen"] >> i & 1).nonzero()[0]
+        mx = c[f"size_{h}"][at]
+        value = mx - k * c["cost"][at]
+        yield at, {"_rows": None, "_n": value == value, "_s": value, "_ws": value.clip(low, high)}
+        below = mx < upper
+        yield at[below], {"_tn": value[below] == value[below], "_ts": value[below]}
+        at = (c["coin"] < share).nonzero()[0]
+        yield at, {"random_n": None, "random_hits": c[f"size_{h}"][at] >= k * c["cost"][at]}
+    rows = test_rows(t).select("session_id", "chosen", "coin", "cost", *[f"size_{h}" for h in REACH])
+    table = materialize(tallies(rows, ["session_id"], IDS, ["_rows", "_n", "_tn", "random_n", "random_hits"], ["_s", "_ws", "_ts"], measure).withColumn("_m", ratio("_s", "_n")))
+    return table.where("_rows > 0"), table.groupBy(*HYP).agg(ratio(F.sum("random_hits"), F.sum("random_n")).alias("random_rate"))
 
 
 REASON_NAMES = ("gross_edge_to_cost_below_predeclared_K", "opportunity_rate_lift_ci_failed", "minimum_support_failed", "temporal_stability_failed", "opportunity_skeptic_failed", "bh_fdr_failed")
@@ -204,9 +243,9 @@ def results(t: Tables) -> DataFrame:
         n = F.sum("n")
         facts = sums(t).groupBy(*HYP).agg(n.alias("support"), ratio(F.sum("hits"), n).alias("rate"), *[ratio(F.sum(f"sum_{c}"), n).alias(name) for c, name in (("mx", "move"), ("cost", "cost"), ("surplus", "surplus"))])
         base = base_rates(t).groupBy("combo").agg(F.sum("all_n").alias("_all"), ratio(F.sum("all_hits"), F.sum("all_n")).alias("base_rate"))
-        chosen = spread(test_rows(t))
-        shape = exact_quantiles(chosen, "mx", [0.5, 0.75, 0.9, 0.95], by=HYP, names=["p50", "p75", "p90", "p95"], few_groups=True)
-        reach = chosen.where("reach IS NOT NULL").groupBy(*HYP, "reach").agg(F.count(F.lit(1)).alias("_n")).groupBy(*HYP).agg(F.percentile("reach", F.lit(0.5), F.col("_n")).alias("reach_p50"), F.percentile("reach", F.lit(0.75), F.col("_n")).alias("reach_p75"))
+        shape = levels(t).select(*HYP, "p50", "p75", "p90", "p95")
+        listed = F.array(*[F.struct(F.lit(h).alias("reach"), F.col(f"reach_{h}").alias("_n")) for h in sorted(REACH)])
+        reach = sums(t).select(*HYP, F.inline(listed)).groupBy(*HYP, "reach").agg(F.sum("_n").alias("_n")).where("_n > 0").groupBy(*HYP).agg(F.percentile("reach", F.lit(0.5), F.col("_n")).alias("reach_p50"), F.percentile("reach", F.lit(0.75), F.col("_n")).alias("reach_p75"))
         stable = fold_lifts(t).groupBy(*HYP).agg(F.count_if(F.col("rate_lift") > 0).alias("positive_folds"))
         out = told(t).join(base, "combo")
         for part in (facts, lift, shape, reach, stable, skeptic(t).select(*HYP, (F.size("failures") == 0).alias("skeptic_passed"))):
@@ -223,17 +262,41 @@ def results(t: Tables) -> DataFrame:
     return t.stored("opportunity_results", build)
 
 
+DIRECTIONS = ("hypothesis string, action string, expected_net double, se double, ci_low double, ci_high double, p_value double, support bigint, expected_gross double, expected_cost double, stress_0_75 double, "
+              "stress_1_25 double, stress_1_5 double, stress_2_0 double, remove_best_5pct double, remove_best_sessions double, winsorised double, stable boolean, skeptic_passed boolean, id string, q_value double, status string")
+
+
 def directions(t: Tables) -> DataFrame:
     """Both actions of the surviving hypotheses only."""
     def build() -> DataFrame:
-        survivors = results(t).where("status = 'OPPORTUNITY_SURVIVOR'").select(*HYP)
-        sides = F.array(F.struct(F.lit("ENTER_LONG").alias("action"), F.col("g").alias("gross")), F.struct(F.lit("ENTER_SHORT").alias("action"), (-F.col("g")).alias("gross")))
-        e = spread(test_rows(t)).join(F.broadcast(survivors), HYP).select(*HYP, "session_id", "state_regime", "cost", F.inline(sides)).withColumn("net", F.col("gross") - F.col("cost"))
+        # A name per survivor.
+        survivors = sorted(row["hypothesis"] for row in results(t).where("status = 'OPPORTUNITY_SURVIVOR'").select(*HYP).collect())
+        if not survivors:
+            return t.spark.createDataFrame([], DIRECTIONS)
+        tests = [(IDS.index(name), side) for name in survivors for side in ("long", "short")]
+        ids = [f"{IDS[i]}-ENTER_{side.upper()}" for i, side in tests]
+        rows = test_rows(t).select("session_id", "chosen", "g", "cost", (F.col("g") - F.col("cost")).alias("net_long"), (-F.col("g") - F.col("cost")).alias("net_short"))
+        found = column_quantiles(rows, [(name, f"net_{side}", i) for name, (i, side) in zip(ids, tests)], [0.01, 0.95, 0.99], [(name, n) for name in ids for n in range(3)], bits="chosen")
+        # Three numbers per survivor and side.
+        cuts = {row["group"]: tuple(row)[1:] for row in found.collect()}
+        limits = [cuts.get(name, (float("nan"),) * 3) for name in ids]
+
+        def measure(c, j):
+            (i, side), (low, upper, high) = tests[j], limits[j]
+            at = (c["chosen"] >> i & 1).nonzero()[0]
+            gross, cost, net = c["g"][at] if side == "long" else -c["g"][at], c["cost"][at], c[f"net_{side}"][at]
+            yield at, {"_rows": None, "_n": net == net, "_s": net, "_ws": net.clip(low, high), "gross": gross, "gross_n": gross == gross, "cost": cost, "cost_n": cost == cost,
+                       **{f"stress_{str(m).replace('.', '_')}": gross - m * cost for m in (0.75, 1.25, 1.5, 2.0)}}
+            below = net < upper
+            yield at[below], {"_tn": None, "_ts": net[below]}
+        stressed = [f"stress_{str(m).replace('.', '_')}" for m in (0.75, 1.25, 1.5, 2.0)]
+        per = tallies(rows, ["session_id"], ids, ["_rows", "_n", "_tn", "gross_n", "cost_n"], ["_s", "_ws", "_ts", "gross", "cost", *stressed], measure, "id")
+        per = materialize(per.select(F.substring_index("id", "-ENTER_", 1).alias("hypothesis"), F.concat(F.lit("ENTER_"), F.substring_index("id", "_", -1)).alias("action"), *[c for c in per.columns if c != "id"], ratio("_s", "_n").alias("_m")))
         by = [*HYP, "action"]
-        ci = E.clustered_mean(e, by, "net").select(*by, F.col("mean").alias("expected_net"), "se", "ci_low", "ci_high", F.round("p_value", 9).alias("p_value"))
-        hits = S.attacks(e, by, "net").drop("mean", "temporal_concentration", "sample_concentration")
-        facts = e.groupBy(*by).agg(F.count(F.lit(1)).alias("support"), F.avg("gross").alias("expected_gross"), F.avg("cost").alias("expected_cost"), *[F.avg(F.col("gross") - m * F.col("cost")).alias(f"stress_{str(m).replace('.', '_')}") for m in (0.75, 1.25, 1.5, 2.0)])
-        years = e.groupBy(*by, F.substring("session_id", 1, 4)).agg(F.avg("net").alias("_m")).groupBy(*by).agg(F.count(F.lit(1)).alias("_y"), F.count_if(F.col("_m") > 0).alias("_good"))
+        ci = E.clustered_sessions(per.where("_n > 0"), by).select(*by, F.col("mean").alias("expected_net"), "se", "ci_low", "ci_high", F.round("p_value", 9).alias("p_value"))
+        hits = S.attacked_sessions(per, by).drop("mean", "temporal_concentration", "sample_concentration")
+        facts = per.groupBy(*by).agg(F.sum("_rows").alias("support"), ratio(F.sum("gross"), F.sum("gross_n")).alias("expected_gross"), ratio(F.sum("cost"), F.sum("cost_n")).alias("expected_cost"), *[ratio(F.sum(c), F.sum("_n")).alias(c) for c in stressed])
+        years = per.groupBy(*by, F.substring("session_id", 1, 4)).agg(ratio(F.sum("_s"), F.sum("_n")).alias("_m")).groupBy(*by).agg(F.count(F.lit(1)).alias("_y"), F.count_if(F.col("_m") > 0).alias("_good"))
         out = ci.join(facts, by).join(years, by).join(hits, by).withColumn("_family", F.lit(1))
         attacks = [F.col(c) > 0 for c in ("remove_best_5pct", "remove_best_sessions", "winsorised", "stress_1_5", "stress_2_0")]
         passed = attacks[0]
