@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barwright.functions.hashing import draw_index
 from barwright.functions.numeric import ratio
 from barwright.operators import conditions as C, effects as E, resampling as R, stability as S
+from barwright.operators.tallies import tallies
 from barwright.session import materialize
 
 BY = ["hypothesis"]
@@ -41,33 +42,88 @@ def late_outcomes(rows: DataFrame, targets: Sequence[str], slot: Sequence[str],
     means = rows.groupBy(*slot, session).agg(*[F.avg(target).alias(target) for target in targets])
     before = Window.partitionBy(*slot).orderBy(session)
     late = means.select(*slot, session, *[F.lag(target, LATE).over(before).alias(f"late_{target}") for target in targets])
-    return rows.join(late, [*slot, session])
+    # A row per slot and session: bounded by the calendar, whatever the number of rows.
+    return rows.join(F.broadcast(late), [*slot, session])
 
 
-def sums(rows: DataFrame, specs: Sequence[Mapping], session: str = "session_id") -> DataFrame:
-    """One row per hypothesis and session. `rows` holds thresholds, targets, late_<target>, and gross and cost where a target is tradable.
+def sums(rows: DataFrame, specs: Sequence[Mapping], session: str = "session_id", limits: Mapping[str, float] | None = None) -> DataFrame:
+    """One row per hypothesis and session. `rows` holds targets, late_<target>, gross and cost where a target is tradable, and thresholds that
+    `limits` does not tell.
 
     n1, s1 count and sum the target under the condition, n0, s0 outside; a_ and b_ are the neighbours, r_ the random condition, l_ the late
     outcome; g and c are the gross return and the cost where both are known; condition_rows counts all rows under the condition.
     """
-    none = F.lit(None).cast("double")
+    limits, tests, plans = limits or {}, {}, []
+
+    def clause(spec: Mapping, override: float | None = None) -> list[str]:
+        """Names of the clauses of a condition; a clause compares a column with a number, a column, or is a boolean column."""
+        if spec["type"] == "all":
+            return [name for one in spec["clauses"] for name in clause(one)]
+        kind, field = spec["type"], spec.get("field", "")
+        if kind == "minute_range":
+            test = (field, spec["start"], spec["end"] if override is None else override)
+        elif kind in ("quantile_gte", "quantile_lte"):
+            limit = C.threshold_name(field, spec["quantile"] if override is None else override)
+            limit = (float("nan") if limits[limit] is None else limits[limit]) if limit in limits else limit
+            test = (field, limit, None) if kind == "quantile_gte" else (field, None, limit)
+        else:
+            test = C.condition(spec, override=override)
+        name = f"_c{len(tests)}"
+        tests[name] = test
+        return [name]
 
-    def packed(spec: Mapping) -> Column:
-        factor = sign(spec)
-        near = [C.condition(spec["condition"], override=value) for value in spec["neighbours"]] + [F.lit(None).cast("boolean")] * 2
+    for spec in specs:
+        near = [clause(spec["condition"], value) for value in spec["neighbours"]][:2]
         traded = spec.get("gross") is not None
-        return F.struct(F.lit(spec["id"]).alias("hypothesis"), C.condition(spec["condition"]).alias("m"), near[0].alias("a"), near[1].alias("b"), C.condition(RANDOM).alias("r"),
-                        (factor * F.col(spec["target"])).cast("double").alias("v"), (factor * F.col(f"late_{spec['target']}")).cast("double").alias("w"),
-                        ((factor * F.col(spec["gross"])).cast("double") if traded else none).alias("g"), ((factor * F.col(spec["cost"])).cast("double") if traded else none).alias("c"))
-
-    def both(prefix: str, mask: str, value: str) -> list[Column]:
-        inside, outside = F.when(F.col(mask), F.col(value)), F.when(~F.col(mask), F.col(value))
-        return [F.count(inside).alias(f"{prefix}n1"), F.sum(inside).alias(f"{prefix}s1"), F.count(outside).alias(f"{prefix}n0"), F.sum(outside).alias(f"{prefix}s0")]
-
-    listed = rows.select(session, F.inline(F.array(*[packed(spec) for spec in specs])))
-    return listed.groupBy(*BY, session).agg(
-        F.count_if("m").alias("condition_rows"), F.count("v").alias("rows"), *both("", "m", "v"), *both("a_", "a", "v"), *both("b_", "b", "v"), *both("r_", "r", "v"), *both("l_", "m", "w"),
-        *both("g_", "m", "g"), *both("c_", "m", "c"))
+        plans.append((sign(spec), clause(spec["condition"]), list(zip("ab", near)), spec["target"], f"late_{spec['target']}", (spec["gross"], spec["cost"]) if traded else None))
+    numbers = {c for _, _, _, target, late, traded in plans for c in (target, late, *(traded or ()))}
+    numbers |= {c for test in tests.values() if isinstance(test, tuple) for c in test if isinstance(c, str)}
+    flags = {name: test for name, test in tests.items() if not isinstance(test, tuple)}
+    compared = {name: test for name, test in tests.items() if isinstance(test, tuple)}
+    source = rows.select(F.col(session).alias("session_id"), *[F.col(c).cast("double").alias(c) for c in sorted(numbers)], *[flag.alias(name) for name, flag in flags.items()])
+
+    def measure(columns, i):
+        factor, main, near, target, late, traded = plans[i]
+
+        def met(names):
+            out = None
+            for name in names:
+                if name in compared:
+                    field, low, high = compared[name]
+                    one = columns[field] == columns[field]
+                    for limit, above in ((low, True), (high, False)):
+                        if limit is not None:
+                            limit = columns[limit] if isinstance(limit, str) else limit
+                            one = one & (columns[field] >= limit if above else columns[field] <= limit)
+                else:
+                    one = columns[name].astype(bool)
+                out = one if out is None else out & one
+            return out
+        at, v = met(main).nonzero()[0], factor * columns[target]
+        whole, known = slice(None), v == v
+        yield whole, {"rows": known, "s": v}
+        yield at, {"condition_rows": None, "n1": known[at], "s1": v[at]}
+        for prefix, names in near:
+            there = met(names).nonzero()[0]
+            yield there, {f"{prefix}_n1": known[there], f"{prefix}_s1": v[there]}
+            yield whole, {f"{prefix}_n": known}
+        more = {"l": factor * columns[late], **({"g": factor * columns[traded[0]], "c": factor * columns[traded[1]]} if traded else {})}
+        for prefix, value in more.items():
+            yield whole, {f"{prefix}_n": value == value, f"{prefix}_s": value}
+            yield at, {f"{prefix}_n1": (value == value)[at], f"{prefix}_s1": value[at]}
+
+    parts = ("a", "b", "l", "g", "c")
+    table = tallies(source, ["session_id"], [spec["id"] for spec in specs], ["condition_rows", "rows", "n1", *[f"{p}_{n}" for p in parts for n in ("n", "n1")]], ["s", "s1", *[f"{p}_{x}" for p in parts for x in ("s", "s1") if (p, x) not in (("a", "s"), ("b", "s"))]], measure)
+    random = C.condition(RANDOM)
+
+    def outside(prefix: str, whole_n: str, whole_s: str) -> list[Column]:
+        """The sums under the condition and, as the rest of all rows, outside of it; nothing is known of a neighbour that does not exist."""
+        n0 = F.col(whole_n) - F.col(f"{prefix}n1")
+        return [F.col(f"{prefix}n1"), F.when(F.col(f"{prefix}n1") > 0, F.col(f"{prefix}s1")).alias(f"{prefix}s1"), n0.alias(f"{prefix}n0"), F.when(n0 > 0, F.col(whole_s) - F.col(f"{prefix}s1")).alias(f"{prefix}s0")]
+
+    # The random condition chooses whole sessions.
+    drawn = [F.when(on, F.col("rows")).otherwise(F.lit(0)).alias(f"r_n{side}") for side, on in ((1, random), (0, ~random))] + [F.when(on & (F.col("rows") > 0), F.col("s")).alias(f"r_s{side}") for side, on in ((1, random), (0, ~random))]
+    return table.select(*BY, "session_id", "condition_rows", "rows", *outside("", "rows", "s"), *outside("a_", "a_n", "s"), *outside("b_", "b_n", "s"), *drawn, *[c for p in ("l", "g", "c") for c in outside(f"{p}_", f"{p}_n", f"{p}_s")])
 
 
 def effects(table: DataFrame, period: Sequence[Column]) -> DataFrame:
