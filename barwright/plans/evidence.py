@@ -191,12 +191,14 @@ def with_cost_atr(df: DataFrame) -> DataFrame:
 @query("c08_policy_filters", QSQL + f", tr AS (SELECT * FROM states WHERE ts < TIMESTAMP '2024-01-16' AND {signal_sql(SIGNALS[1])}), te AS (SELECT * FROM states WHERE ts >= TIMESTAMP '2024-01-16' AND {signal_sql(SIGNALS[1])}) " +
        " UNION ALL ".join(f"SELECT '{p}' AS policy, count(*) AS eligible, count(*) FILTER ({policy_sql(p, SIGNALS[1])}) AS entered FROM te" for p in C.POLICIES))
 def policy_filters(t: Tables) -> DataFrame:
+    """Eligible and entered rows of the second half per policy, thresholds from the first; a policy without such rows counts zero."""
     s = SIGNALS[1]
     rows = with_cost_atr(states(t)).where(C.signal(s))
     cut = F.lit("2024-01-16").cast("timestamp")
     test = C.with_thresholds(rows.where(F.col("ts") >= cut), rows.where(F.col("ts") < cut), [], extra=C.POLICY_NEEDS)
-    listed = F.array(*[F.struct(F.lit(p).alias("policy"), C.policy(p, s).alias("m")) for p in C.POLICIES])
-    return test.select(F.inline(listed)).groupBy("policy").agg(F.count(F.lit(1)).alias("eligible"), F.count_if("m").alias("entered"))
+    # One aggregate without groups: it has its row where no row is eligible.
+    counts = test.agg(F.count(F.lit(1)).alias("eligible"), *[F.count_if(C.policy(p, s)).alias(p) for p in C.POLICIES])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), F.col("eligible"), F.col(p).alias("entered")) for p in C.POLICIES])))
 
 
 # ---- effects ---------------------------------------------------------------------------------------
