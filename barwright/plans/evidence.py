@@ -177,7 +177,8 @@ def policy_sql(name: str, s: dict, train: str = "tr") -> str:
     ratio = "state_spread_price / nullif(state_atr, 0)"
     return "coalesce(" + {
         "LOW_COST": f"state_spread_points <= {q('state_spread_points', 0.25)}",
-        "HIGH_SIGNAL_MAGNITUDE": signal_sql(s, C.magnitude_factor(s)),
+        # A product of doubles, as in the query: with decimals 0.8 * 0.75 is one step less, and three fifths in doubles can lie above it.
+        "HIGH_SIGNAL_MAGNITUDE": signal_sql({**s, "threshold": f"{s['threshold']}::DOUBLE"}, C.magnitude_factor(s)),
         "FAVORABLE_VOLATILITY": f"state_vol_short BETWEEN {q('state_vol_short', 0.25)} AND {q('state_vol_short', 0.75)}",
         "LOW_COST_ATR": f"{ratio} <= {q(ratio, 0.25)}",
         "SELECTED_TIME_WINDOW": "minute BETWEEN 60 AND 210",

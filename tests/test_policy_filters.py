@@ -32,3 +32,9 @@ def test_without_training_rows_learned_policies_wait(spark, tmp_path):
     got, want = both(spark, tmp_path, dt.datetime(2024, 1, 16), [[50 + i % 5] for i in range(96)])
     assert got == want and set(got) == set(C.POLICIES) and {e for e, _ in got.values()} == {86}
     assert [got[p][1] for p in ("LOW_COST", "FAVORABLE_VOLATILITY", "LOW_COST_ATR")] == [0, 0, 0] and got["HIGH_SIGNAL_MAGNITUDE"][1] == 86
+
+
+def test_limit_of_the_stronger_signal_is_a_product_of_doubles(spark, tmp_path):
+    # (0.55 - 0.22) / 0.55 is three fifths and so is 0.8 * 0.75: in doubles both are one step above 0.6.
+    got, want = both(spark, tmp_path, dt.datetime(2024, 1, 15), [[0.22 if i % 10 == 0 else 0.55] for i in range(96 * 2)])
+    assert got["HIGH_SIGNAL_MAGNITUDE"] == want["HIGH_SIGNAL_MAGNITUDE"] == (96, 96)
