@@ -45,13 +45,13 @@ def learn_thresholds(train: DataFrame, needs: set[tuple[str, float]], by: Sequen
     asked, names = [(f, probs.index(q)) for f, q in sorted(needs)], [f"_p{i}" for i in range(len(probs))]
     if by:
         # Groups of rows may be many; only without them are columns counted side by side.
-        stacked = train.select(*by, *([fan] if fan else []), F.inline(F.array(*[F.struct(F.lit(f).alias("group"), F.col(f).cast("double").alias("_value")) for f in fields])))
-        table = exact_quantiles(stacked, "_value", probs, by=["group", *by], names=names, fan=fan, few_groups=True, asked=asked)
+        stacked = train.select(*by, *([fan] if fan else []), F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f).cast("double").alias("_value")) for f in fields])))
+        table = exact_quantiles(stacked, "_value", probs, by=["_field", *by], names=names, fan=fan, few_groups=True, asked=asked)
     else:
-        table = column_quantiles(train, [(f, f, None) for f in fields], probs, asked, names=names, fan=fan)
+        table = column_quantiles(train, [(f, f, None) for f in fields], probs, asked, names=names, fan=fan).withColumnRenamed("group", "_field")
     keys = [*by, "fold"] if fan else list(by)
     return table.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("group") == f, F.col(f"_p{probs.index(q)}"))).alias(threshold_name(f, q)) for f, q in sorted(needs)])
+        F.max(F.when(F.col("_field") == f, F.col(f"_p{probs.index(q)}"))).alias(threshold_name(f, q)) for f, q in sorted(needs)])
 
 
 def condition(spec: Mapping, neighbour: float = 0.0, override: float | None = None) -> Column:
