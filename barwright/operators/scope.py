@@ -6,8 +6,11 @@ period_from/period_to, valid_from/valid_to, revoked. Parent edges: (child, paren
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barwright.functions.numeric import failed_names
@@ -17,6 +20,8 @@ MAX_DEPTH = 32
 MAX_PARENTS = 32
 # Ways per certificate beyond which they are continued by short steps instead of by everything their ends reach.
 SPREAD = 8
+# Most parent edges that every task may hold, and the most pairs of a start and a certificate that it walks at once.
+EDGES_HELD, PAIRS_HELD = 2_000_000, 8_000_000
 SETS = ("capabilities", "fields", "purposes", "consumers")
 
 
@@ -57,12 +62,80 @@ def _hops(reach: DataFrame, length: int, top: int) -> DataFrame:
     return renamed(found.select("id", "ancestor", "depth"), "number", "name")
 
 
+def walks(starts: np.ndarray, first: np.ndarray, parents: np.ndarray, max_depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, ancestor, longest way of at most max_depth) of all starts; the parents of n are parents[first[n]:first[n + 1]].
+
+    All starts go up one step at a time. Whatever the last step reaches is at the limit, and so is all that follows.
+    """
+    nodes = len(first) - 1
+    depth = np.full(len(starts) * nodes, -1, np.int32)
+
+    def onward(pairs: np.ndarray) -> np.ndarray:
+        row, node = np.divmod(pairs, nodes)
+        count = first[node + 1] - first[node]
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[node], count)
+        return np.unique(np.repeat(row, count) * nodes + parents[place])
+
+    pairs, step = np.arange(len(starts)) * nodes + starts, 0
+    while len(pairs):
+        depth[pairs] = step
+        pairs, step = onward(pairs), min(step + 1, max_depth)
+        if step == max_depth:
+            pairs = pairs[depth[pairs] < max_depth]
+    found = np.flatnonzero(depth >= 0)
+    row, ancestor = np.divmod(found, nodes)
+    return starts[row], ancestor, depth[found]
+
+
+def _walked(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """The closure where every task holds the edges: each certificate is walked from in one place, and no pair is shuffled."""
+    spark, kind = nodes.sparkSession, nodes.schema["id"].dataType.simpleString()
+    table = edges.toArrow()
+    names = pc.unique(pa.chunked_array([*table["child"].chunks, *table["parent"].chunks], table.schema.field("child").type))
+    child, parent = (pc.index_in(table[end], names).to_numpy() for end in ("child", "parent"))
+    order = np.lexsort((parent, child))
+    first = np.searchsorted(child[order], np.arange(len(names) + 1))
+    graph = spark.sparkContext.broadcast((names, first, parent[order].astype(np.int64)))
+    # A child without a certificate of its own is not its own ancestor.
+    starts = nodes.select("id", F.lit(True).alias("own")).unionByName(edges.select(F.col("child").alias("id"), F.lit(False).alias("own"))).groupBy("id").agg(F.max("own").alias("own"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(child) // 5000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, first, parents = graph.value
+        for batch in batches:
+            number = pc.index_in(batch.column(0), names)  # null: in no edge
+            alone = pc.is_null(number)
+            apart = batch.column(0).filter(alone)
+            yield pa.RecordBatch.from_arrays([apart, apart, pa.array(np.zeros(len(apart), np.int32))], names=["id", "ancestor", "depth"])
+            own, at = (pc.filter(column, pc.invert(alone)).to_numpy(zero_copy_only=False) for column in (batch.column(1), number))
+            has_row = np.zeros(len(first) - 1, bool)
+            has_row[at[own]] = True
+            some = max(1, PAIRS_HELD // len(first))
+            for i in range(0, len(at), some):
+                start, ancestor, depth = walks(at[i:i + some].astype(np.int64), first, parents, max_depth)
+                keep = (depth > 0) | has_row[start]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(start[keep])), names.take(pa.array(ancestor[keep])), pa.array(depth[keep])], names=["id", "ancestor", "depth"])
+
+    return starts.repartition(parts, "id").mapInArrow(run, f"id {kind}, ancestor {kind}, depth int")
+
+
 def ancestor_closure(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(id, ancestor, depth): every ancestor of every certificate, itself included, and the longest way there, at most max_depth.
 
+    No ancestor is left out; a depth at the limit marks a cycle or a chain that is too deep. Up to EDGES_HELD edges are held by every task, and only
+    the certificates are dealt out; more edges are joined.
+    """
+    links = materialize(edges.select("child", "parent").distinct())
+    if links.count() <= EDGES_HELD:
+        return _walked(nodes, links.where("child IS NOT NULL AND parent IS NOT NULL"), max_depth)
+    return _joined(nodes, links, max_depth)
+
+
+def _joined(nodes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """The closure by joins, for any number of edges.
+
     Semi-naive doubling: a round continues only the ways as long as the round before could find, so a way is joined once, and the rounds
-    grow with the logarithm of the longest chain. No ancestor is left out; a depth at the limit marks a cycle or a chain that is too deep.
-    Lengths are followed up to a power of two. Beyond it only new pairs count, and one join at the end marks whatever ways of that length lead to.
+    grow with the logarithm of the longest chain. Lengths are followed up to a power of two. Beyond it only new pairs count, and one join at the end marks whatever ways of that length lead to.
     Once there are more than SPREAD ways of a length per certificate, doubling would join each of them to hundreds of ancestors: short steps go on.
     """
     top = 1 << max(max_depth - 1, 0).bit_length()
