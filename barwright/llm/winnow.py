@@ -52,10 +52,11 @@ def window_minima(hashes: np.ndarray, w: int) -> np.ndarray:
     while width < w:
         step = min(width, w - width)
         right = value[step:] <= value[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        value = np.where(right, value[step:], value[:-step])
+        at = at[:-step] + (at[step:] - at[:-step]) * right
+        value = np.minimum(value[step:], value[:-step])
         width += step
-    return np.unique(at)
+    # The rightmost least hash never moves back from one window to the next.
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
 def fingerprint_of(text: str, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +87,32 @@ def fingerprint(df: DataFrame, text: str = "text", key: str = "doc_id", k: int =
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
     """Common share of two sets of kept hashes; two empty sets are alike."""
+    return common_share(distinct(one), distinct(other))
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; np.unique takes several times as long for whole numbers."""
+    hashes = np.sort(hashes)
+    return hashes[np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[:len(hashes)])]
+
+
+def common_share(one: np.ndarray, other: np.ndarray) -> float:
+    """`likeness` of hashes that are sorted and distinct already."""
     if not len(one) and not len(other):
         return 1.0
-    one, other = np.unique(one), np.unique(other)
     common = len(np.intersect1d(one, other, assume_unique=True))
     return common / (len(one) + len(other) - common)
 
 
 def written(hashes: np.ndarray, at: np.ndarray) -> str:
     """Kept grams as text: the low half of each hash and its distance from the gram before, in hex."""
-    return " ".join(map("%08x+%x".__mod__, zip((hashes & np.uint64(0xFFFFFFFF)).tolist(), np.diff(at, prepend=0).tolist())))
+    if not len(at):
+        return ""
+    halves = (hashes & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex(" ", 4).split(" ")
+    # Distances are window lengths at most, so few of them are spelled out.
+    apart = np.diff(at, prepend=0)
+    spelled = [f"+{distance:x}" for distance in range(apart.max() + 1)]
+    return " ".join(map(str.__add__, halves, map(spelled.__getitem__, apart.tolist())))
 
 
 def id_bounds(df: DataFrame, key: str, text: str) -> list[int]:
@@ -165,17 +182,18 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text", k:
 
         def finish(row, following) -> None:
             """One document, now that its successor is known."""
-            number, own, marks = row
+            number, own, marks, kept = row
             keep = len(own) - len(own) // 2
             edited = own[:keep] + following[1][:len(own) // 2]
             changed = fingerprint_of(edited, k, w)
-            values = (number, len(own), edited, written(*marks), written(*changed), likeness(marks[0], changed[0]), likeness(marks[0], following[2][0]))
+            values = (number, len(own), edited, written(*marks), written(*changed), common_share(kept, distinct(changed[0])), common_share(kept, following[3]))
             for column, value in zip(out, values):
                 column.append(value)
 
         for batch in batches:
             for bucket, guest, number, own in zip(*(column.to_pylist() for column in batch.columns)):
-                row = (number, own, fingerprint_of(own, k, w))
+                marks = fingerprint_of(own, k, w)
+                row = (number, own, marks, distinct(marks[0]))
                 if held is not None and held[0] == bucket and not held[1]:
                     finish(held[2], row)
                 held = (bucket, guest, row)
