@@ -46,13 +46,14 @@ def propagate(rows: DataFrame, shards: int, rounds: int, total: int) -> tuple[Da
     start = links.groupBy("unit").agg(F.min("item").alias("seed"), F.max("weight").alias("weight"))
     labels = start.select("unit", "weight", F.pmod(F.xxhash64(F.lit(6), "seed"), F.lit(shards)).cast("int").alias("shard"))
     for number in range(rounds):
-        votes = links.join(labels.select("unit", "shard"), "unit").groupBy("item", "shard").agg(F.sum("weight").alias("mass"))
         # One row per item: what each shard holds of it, relative to all of it, so that common lines count less.
-        votes = votes.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("shard", "mass"))).alias("mass"))
-        votes = votes.withColumn("all", F.aggregate(F.map_values("mass"), F.lit(0.0), lambda s, v: s + v))
-        pull = links.join(votes, "item").select("unit", F.explode(F.transform(F.map_entries("mass"), lambda e: F.struct(e["key"].alias("to"), (e["value"] / F.col("all")).alias("share")))).alias("p"))
-        pull = pull.groupBy("unit", F.col("p.to").alias("to")).agg(F.sum("p.share").alias("pull"))
-        best = pull.groupBy("unit").agg(F.max_by("to", F.struct("pull", F.xxhash64("unit", "to"))).alias("to"), F.max("pull").alias("most"))
+        held = [F.sum(F.when(F.col("shard") == s, F.col("weight")).otherwise(0.0)) for s in range(shards)]
+        votes = links.join(labels.select("unit", "shard"), "unit").groupBy("item").agg(F.array(*held).alias("mass"))
+        votes = votes.select("item", "mass", F.aggregate("mass", F.lit(0.0), lambda total, mass: total + mass).alias("all"))
+        # One row per unit: how strongly each shard pulls; of equal pulls a hash decides.
+        pull = links.join(votes, "item").groupBy("unit").agg(*[F.sum(F.col("mass")[s] / F.col("all")).alias(f"pull{s}") for s in range(shards)])
+        best = F.array_max(F.array(*[F.struct(F.col(f"pull{s}").alias("pull"), F.xxhash64("unit", F.lit(s)).alias("draw"), F.lit(s).alias("to")) for s in range(shards)]))
+        best = pull.select("unit", best["to"].alias("to"))
         wish = materialize(labels.join(best, "unit").select("unit", "weight", "shard", "to"))
         flows = {(r["shard"], r["to"]): r["mass"] for r in wish.where("shard <> to").groupBy("shard", "to").agg(F.sum("weight").alias("mass")).collect()}
         sizes = {r["shard"]: r["mass"] for r in wish.groupBy("shard").agg(F.sum("weight").alias("mass")).collect()}
